@@ -34,8 +34,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Tokens in a segment (a longer document is a segment of its own).
 SEGMENT = 1 << 18
-#: Pre-tokens whose ids a worker remembers; beyond, it starts anew (this changes no result).
-REMEMBERED = 1 << 20
+#: Pre-tokens whose ids a worker remembers.  Once full it stays, as common ones come early,
+#: and starts anew after as many misses (this changes no result).
+REMEMBERED = 1 << 19
 #: Texts of these characters only are split by the plainer pattern below, which says the same of them.
 PLAIN = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -45,10 +46,11 @@ LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)
 
 
 @cache
-def tokenizer(path: str) -> tuple[Tokenizer, list[str], dict[str, bytes]]:
-    """The tokenizer, the texts of its added tokens, and the ids of pre-tokens so far."""
+def tokenizer(path: str) -> tuple[Tokenizer, list[str], dict[str, bytes], list[int]]:
+    """The tokenizer, the texts of its added tokens, the ids of pre-tokens so far, and the
+    number of misses since these are full."""
     own = Tokenizer.from_file(path)
-    return own, [t.content for t in own.get_added_tokens_decoder().values()], {}
+    return own, [t.content for t in own.get_added_tokens_decoder().values()], {}, [0]
 
 
 def encode(text: str, path: str) -> bytes:
@@ -57,26 +59,32 @@ def encode(text: str, path: str) -> bytes:
     Byte-level BPE treats each pre-token by itself, so pre-tokens are encoded once and
     remembered.  A text that holds an added token goes through the tokenizer whole.
     """
-    own, added, known = tokenizer(path)
+    own, added, known, missed = tokenizer(path)
     if any(a in text for a in added):
         return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     words = (PLAIN_PATTERN if PLAIN.fullmatch(text) else FULL_PATTERN).findall(text)
-    try:
-        return b"".join([known[w] for w in words])
-    except KeyError:
-        pass
-    fresh = list({w for w in words if w not in known})
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = list(set(words))
+    got = list(map(known.get, words))
+    if None not in got:
+        return b"".join(got)
+    places = [i for i, ids in enumerate(got) if ids is None]
+    fresh = list({words[i] for i in places})
+    new: dict[str, bytes] = {}
     for cut in range(0, len(fresh), 4096):
         some = fresh[cut : cut + 4096]
         found = own.encode(some, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))
-        raw = ids.tobytes()
-        known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-    return b"".join([known[w] for w in words])
+        raw = np.array(found.ids, "<u4").tobytes()
+        ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
+        new.update((w, raw[a:b]) for w, a, b in zip(some, ends[:-1], ends[1:], strict=True))
+    for i in places:
+        got[i] = new[words[i]]
+    if len(known) >= REMEMBERED:
+        missed[0] += len(new)
+        if missed[0] >= REMEMBERED:
+            known.clear()
+            missed[0] = 0
+    if len(known) < REMEMBERED:
+        known.update(new)
+    return b"".join(got)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
