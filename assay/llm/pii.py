@@ -26,13 +26,13 @@ SYLLABLES = {
     "greek": ("βα", "δε", "φι", "γο", "λυ", "μα", "νε", "ρι", "σο", "τυ", "βε", "ζε", "ζα", "κε", "λο", "μι"),
 }
 ENDINGS = {"latin": ("n", "na"), "cyrillic": ("н", "на"), "greek": ("νος", "να")}
-NAME = rf"(?U)(?<!\w)(?:{'|'.join((*MALE, *FEMALE))})\.?\x20\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+)?"
+NAME = rf"(?U)(?=[{''.join(sorted({t[0] for t in (*MALE, *FEMALE)}))}])(?<!\w)(?:{'|'.join((*MALE, *FEMALE))})\.?\x20\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+)?"
 TYPES = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
-    ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("card", r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
-    ("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"),
+    ("ip", r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
+    ("ssn", r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("card", r"(?=[0-9])(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
+    ("phone", r"(?=\+)(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"),
     ("name", NAME),
 )
 
@@ -131,7 +131,11 @@ def detect(docs: DataFrame) -> DataFrame:
     Where mentions overlap, the type listed first in TYPES has it.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    step = docs.withColumns({f"_{kind}": spans(t, pattern) for kind, pattern in TYPES})
+    # what every match holds; most texts have neither and aren't searched further
+    needs = {"email": t.contains("@"), "name": F.lit(True)}
+    digits = docs.withColumn("_digits", t.rlike("[0-9]{2}"))
+    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    step = digits.withColumns({f"_{kind}": F.when(needs.get(kind, F.col("_digits")), spans(t, pattern)).otherwise(empty) for kind, pattern in TYPES}).drop("_digits")
     def labelled(order: int, kind: str) -> Column:
         return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["match"].alias("match")))
 
@@ -179,18 +183,14 @@ def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     """
     columns = [c for c in docs.columns if c != "n_entities"]
     base = docs.select(*columns)
-    found = table(
-        detect(base.select("text").filter(F.col("text").isNotNull())).filter(F.size("entities") > 0)
-        .select(F.explode(F.array_distinct(F.transform("entities", lambda e: F.struct(e["kind"].alias("kind"), e["form"].alias("form"))))).alias("e"))
-        .select("e.kind", "e.form").distinct(),
-        "distinct-entities",
-    )
+    rows = table(detect(base), "detected")  # texts are searched once
+    some = rows.filter(F.size("entities") > 0)
+    pair = F.transform("entities", lambda e: F.struct(e["kind"].alias("kind"), e["form"].alias("form")))
+    found = some.select(F.explode(F.array_distinct(pair)).alias("e")).select("e.kind", "e.form").distinct()
     changed = table(retries(found, key), "retries")
-    rows = detect(base)
     if changed.head(1):
         # per text that holds one: the entities that try again, a small part of all
-        small = detect(base.select("text").filter(F.col("text").isNotNull())).filter(F.size("entities") > 0)
-        small = small.select(F.xxhash64("text").alias("_h"), F.explode("entities").alias("e")).select("_h", F.col("e.kind").alias("_k"), F.col("e.form").alias("_f"))
+        small = some.select(F.xxhash64("text").alias("_h"), F.explode("entities").alias("e")).select("_h", F.col("e.kind").alias("_k"), F.col("e.form").alias("_f"))
         hits = small.join(changed, (F.col("_k") == F.col("kind")) & (F.col("_f") == F.col("form"))).select("_h", "kind", "form", "own").distinct()
         hits = hits.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "form"), "own"))).alias("_own"))
         hits = table(hits, "texts-that-try-again")
