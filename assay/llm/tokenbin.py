@@ -22,6 +22,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,7 +37,7 @@ END = 2
 SEGMENT = 1 << 18
 #: Pre-tokens whose ids a worker remembers.  Once full it stays, as common ones come early,
 #: and starts anew after as many misses (this changes no result).
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 #: Texts of these characters only are split by the plainer pattern below, which says the same of them.
 PLAIN = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -127,21 +128,23 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
     """
     spark = docs.sparkSession
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = public_tokenizers.path(vocabulary)
         last = np.array([end], "<u4").tobytes()
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids, n = [], []
-            for text in batch["text"]:
-                own = encode(text or "", file) + last
-                n.append(len(own) // 4)
-                ids.append(squeeze(np.frombuffer(own, "<u4").astype("<u2").tobytes() if wide == 2 else own))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "n": n, "ids": ids})
+            for at in range(0, batch.num_rows, 512):  # a batch is never held as Python strings whole
+                some = batch.slice(at, 512)
+                ids, n = [], []
+                for text in some.column("text").to_pylist():
+                    own = encode(text or "", file) + last
+                    n.append(len(own) // 4)
+                    ids.append(squeeze(np.frombuffer(own, "<u4").astype("<u2").tobytes() if wide == 2 else own))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("h"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "h", "n", "ids"])
 
     size = tokenizer(public_tokenizers.path(vocabulary))[0].get_vocab_size()
     wide = 2 if max(size, end) < 1 << 16 else 4
-    coded = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInPandas(code, "doc_id long, h long, n long, ids binary")
+    coded = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(code, "doc_id long, h long, n long, ids binary")
     # the bounds of the ranges come from doc_id alone, so no text is encoded for them
     parts = spread(docs)
     coded = table(coded, "coded")
