@@ -241,6 +241,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: i
     members = members.groupBy("doc_id", "th").agg(F.first(F.col("_me") == F.col("_best")).alias("_stays"), F.count(F.lit(1)).alias("_copies"))
     members = table(members.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_stays", "_copies"), "members")
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th"))
-    kept = docs.join(members.filter("not _stays or _copies > 1"), same, "left_anti")
+    # what goes grows with the corpus: it is merged at every size, never broadcast
+    kept = docs.join(members.filter("not _stays or _copies > 1").hint("merge"), same, "left_anti")
     repeated = docs.join(members.filter("_stays and _copies > 1"), same, "left_semi")
     return kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
