@@ -90,3 +90,38 @@ votes AS (
 def sql(*names: str) -> str:
     """WITH clause of the named expressions, in order."""
     return "WITH " + ",\n".join(CTE[n] for n in names) + "\n"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, standard, paragraph, body of each header in the evidence."""
+    head = F.regexp_extract_all("raw", F.lit(r"\[([^\]]*)\] "), F.lit(1))
+    body = F.slice(F.split("raw", r"\[[^\]]*\] ", -1), 2, 1_000_000)
+    r = evidence(spark, sf_dir).select("question_id", F.explode(F.arrays_zip(head.alias("head"), body.alias("body"))).alias("r"))
+    return r.select("question_id", F.regexp_extract("r.head", "^([0-9]{3,4})", 1).alias("standard"), F.regexp_extract("r.head", r"문단 ([0-9]+[A-Za-z]?)$", 1).alias("paragraph"), F.col("r.body").alias("body"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, raw: an answer per document, sound or broken in one of eleven ways."""
+    k = F.col("question_id") % 12
+    s, p = (1001 + F.col("question_id") % 9).cast("string"), (1 + F.col("question_id") % 97).cast("string")
+    quote = F.when(k == 9, "nowhere to be found 0000").otherwise(F.coalesce("quote", F.lit("")))
+    address = F.format_string('{"standard": "%s", "paragraph": "%s"}', F.when(k == 1, "9999").otherwise(s), p)
+    cited = F.when(k == 2, F.format_string('"%s 문단 %s(77)"', s, p)).when(k == 11, F.lit('"see above"')).otherwise(address)
+    claim = F.format_string('{"id": "c1", "text": "a claim", "citations": [%s], "quote": "%s"}', cited, quote)
+    listed = F.when(k == 3, F.lit("[]")).when(k == 8, F.lit('"none"')).when(k == 10, F.format_string("[%s, %s]", claim, claim)).otherwise(F.format_string("[%s]", claim))
+    whole = F.format_string('{"answer": "an answer", "claims": %s}', listed)
+    raw = F.when(k == 4, F.expr("left(w, length(w) - 9)")).when(k == 5, F.regexp_replace("w", r"\}$", ",}")).when(k == 6, F.concat(F.lit("["), "w", F.lit("]"))).when(k == 7, "").otherwise(F.col("w"))
+    return evidence(spark, sf_dir).withColumn("w", whole).select("question_id", raw.alias("raw"))
+
+
+CTE["found"] = r"""q AS (SELECT question_id, question_id % 12 AS k, trim(regexp_replace(coalesce(quote, ''), '[\s]+', ' ', 'g')) AS quote,
+    trim(regexp_replace(regexp_replace(raw, '^\[[^\]]*\] ', ''), '[\s]+', ' ', 'g')) AS body, raw IS NOT NULL AS there FROM evidence),
+q2 AS (SELECT *, there AND quote <> '' AND contains(body, quote) AND k <> 9 AS quoted FROM q),
+found AS (SELECT question_id, unnest(CASE
+    WHEN k IN (0, 9, 10) THEN list_concat(CASE WHEN there THEN [] ELSE ['source_id_not_found'] END, CASE WHEN quoted THEN [] ELSE ['quote_not_in_source'] END, CASE WHEN k = 10 THEN ['claim_id_duplicate'] ELSE [] END)
+    WHEN k = 1 THEN ['source_id_not_found', 'quote_not_in_source']
+    WHEN k = 2 AND NOT there THEN ['source_id_not_found', 'quote_not_in_source']
+    WHEN k = 2 AND NOT contains(body, '77') THEN ['subitem_not_found', 'quote_not_in_source']
+    WHEN k = 2 THEN CASE WHEN quoted THEN [] ELSE ['quote_not_in_source'] END
+    WHEN k = 3 THEN ['claims_missing'] WHEN k IN (4, 5, 6) THEN ['schema_invalid'] WHEN k = 7 THEN ['empty_output']
+    WHEN k = 8 THEN ['schema_invalid', 'claims_missing'] ELSE ['citation_missing', 'citation_missing'] END) AS reason FROM q2)"""
