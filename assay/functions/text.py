@@ -60,3 +60,50 @@ def line_of(x: Column, at: Column) -> Column:
     """Line number (from 1) of the character at place ``at`` (from 1)."""
     before = F.substring(x, F.lit(1), at - 1) if not isinstance(at, int) else F.substring(x, 1, at - 1)
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+# Phrases in evidence that read as orders, in the order they are replaced; the mark
+# put for them; the fences of an evidence block and what stands for a forged one.
+ORDERS = (
+    r"(?i)ignore\s+(?:all\s+)?(?:previous|prior|above)\s+instructions?",
+    r"(?i)disregard\s+(?:all\s+)?(?:previous|prior|above)",
+    r"이전\s*지시.{0,10}무시",
+    r"위\s*지시.{0,10}무시",
+    r"(?i)system\s*:",
+    r"(?i)</?(?:system|instruction|prompt)>",
+    r"(?i)\bSUPPORTED\b\s*(?:로|으로)?\s*(?:판정|출력|답)",
+    r"(?i)always\s+(?:answer|respond|output)\s+SUPPORTED",
+    r"```",
+)
+MARK = "〈무력화된 지시문〉"
+FENCES = {"<<<EVIDENCE_BEGIN>>>": "«EVIDENCE_BEGIN»", "<<<EVIDENCE_END>>>": "«EVIDENCE_END»"}
+#: Words that negate a tag in the 12 characters after it.
+NEGATORS = ("아님", "아니", "해당 없", "해당없", "제외")
+#: Words of a rule that picks one, and of one whose parts must all hold.
+SELECTION = ("중 이른", "중 늦은", "중 빠른", "둘 중", "중 하나", "중 작은", "중 큰", "중 낮은", "중 높은")
+CONJUNCTIVE = ("모두 충족", "모두 해당", "요소로 구성", "항목으로 구성", "모두 확인", "다음을 모두")
+
+
+def without_orders(x: Column) -> Column:
+    """A copy of evidence for a prompt: orders and forged fences are replaced."""
+    out = F.coalesce(x, F.lit(""))
+    for pattern in ORDERS:
+        out = F.regexp_replace(out, pattern, MARK)
+    for fence, other in FENCES.items():
+        out = F.replace(out, F.lit(fence), F.lit(other))
+    return out
+
+
+def has_tag(note: Column, tag: str, negators: tuple[str, ...] = NEGATORS) -> Column:
+    """Whether a tag occurs without a negator wholly inside the 12 characters that follow it."""
+    tails = F.slice(F.split(note, rf"\Q{tag}\E", -1), 2, 1_000_000)
+    # a tail ends at the next occurrence, so what follows is put together again
+    places = F.transform(tails, lambda t, i: F.substring(F.array_join(F.slice(tails, i + 1, 13), tag), 1, 12))
+    denied = lambda t: F.exists(F.array(*[F.lit(n) for n in negators]), lambda n: F.contains(t, n))
+    return F.coalesce(F.exists(places, lambda t: ~denied(t)), F.lit(False))
+
+
+def rule_type(evidence: Column) -> Column:
+    """SELECTION before CONJUNCTIVE before OTHER."""
+    names = lambda words: evidence.rlike("|".join(words))
+    return F.when(names(SELECTION), "SELECTION").when(names(CONJUNCTIVE), "CONJUNCTIVE").otherwise("OTHER")

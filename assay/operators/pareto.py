@@ -116,3 +116,45 @@ def gate_violations(c: DataFrame) -> DataFrame:
     rules = {"R1": F.col("n_problem") < 8, "R2": F.col("n_flagged") < 5, "R3": F.col("n_runs") != 3, "R4": unresolved >= 0.10, "R5": ratio("n_split", "n_units") >= 0.20}
     found = F.array_compact(F.array(*[F.when(v, k) for k, v in rules.items()]))
     return c.withColumn("violations", F.array_join(found, ",")).withColumn("gate_passed", F.size(found) == 0)
+
+
+def termination(members: DataFrame, current: DataFrame, stall: int = 0, halted: bool = False, intervals: bool = True) -> DataFrame:
+    """One row: triggered (T1 to T4), stop, calls, generation.
+
+    ``members``: the front.  ``current``: the latest row per candidate with generation,
+    calls (null: 0) and judgeable.  T1: no change for 3 rounds; T2: over 1,650 calls; T3:
+    the newest generation, if not the first, has none to judge; T4: half of the front or
+    more ties with another member on both axes, or pruning halted.
+    """
+    row = F.struct(*members.columns)
+    x, y = members.select(row.alias("x")), members.select(row.alias("y"))
+    level = (compare("recall", "x", "y", intervals) == 0) & (compare("precision", "x", "y", intervals) == 0)
+    tied = x.join(y, (F.col("x.candidate") != F.col("y.candidate")) & level, "left_semi").agg(F.count(F.lit(1)).alias("tied"))
+    by_generation = current.groupBy("generation").agg(F.sum(F.coalesce("calls", F.lit(0))).alias("calls"), F.bool_or("judgeable").alias("any"))
+    spent = by_generation.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.max("generation"), F.lit(0)).alias("generation"), F.max_by("any", "generation").alias("any"))
+    one = members.agg(F.count(F.lit(1)).alias("size")).crossJoin(tied).crossJoin(spent)  # a row each
+    rules = {
+        "T1": F.lit(stall >= 3), "T2": F.col("calls") > 1650, "T3": (F.col("generation") > 0) & ~F.coalesce("any", F.lit(False)),
+        "T4": F.lit(halted) | ((F.col("size") > 0) & (F.col("tied") * 2 >= F.col("size"))),
+    }
+    hit = F.array_compact(F.array(*[F.when(v, k) for k, v in rules.items()]))
+    return one.select(F.array_join(hit, ",").alias("triggered"), (F.size(hit) > 0).alias("stop"), "calls", "generation")
+
+
+def admit(new: DataFrame, current: DataFrame, model: str, intervals: bool = True, baseline: str = "c000") -> DataFrame:
+    """(candidate, status, code) of candidates that ask to enter the ledger.
+
+    Code 2 and no status: the id is there already or origin_reason is blank.  INVALID (3):
+    another model, no prompt hash or one that is there.  UNJUDGED (3): the sample gate
+    failed.  DOMINATED (0) by the baseline, else ON_FRONT (0) until the front is drawn.
+    """
+    known = current.select(F.col("candidate").alias("_id"))
+    hashes = current.select(F.col("prompt_sha256").alias("_hash")).filter("_hash is not null").distinct()
+    base = current.filter(F.col("candidate") == baseline).select(F.struct(*[F.col(c) for c in current.columns if c[:3] in ("rec", "pre")]).alias("b"))
+    row = F.struct(*new.columns)
+    x = new.select("*", row.alias("n")).join(known, F.col("candidate") == F.col("_id"), "left").join(hashes, F.col("prompt_sha256") == F.col("_hash"), "left").join(base, F.lit(True), "left")
+    refused = F.col("_id").isNotNull() | (F.trim(F.coalesce("origin_reason", F.lit(""))) == "")
+    invalid = ~F.col("model").eqNullSafe(F.lit(model)) | (F.coalesce("prompt_sha256", F.lit("")) == "") | F.col("_hash").isNotNull()
+    worse = F.coalesce(dominates("b", "n", intervals), F.lit(False)) & (F.col("candidate") != baseline)
+    status = F.when(refused, None).when(invalid, "INVALID").when(~F.coalesce("gate_passed", F.lit(False)), "UNJUDGED").when(worse, "DOMINATED").otherwise("ON_FRONT")
+    return x.select("candidate", status.alias("status"), F.when(refused, 2).when(status.isin("INVALID", "UNJUDGED"), 3).otherwise(0).alias("code"))
