@@ -200,9 +200,9 @@ def ag18(s: SparkSession, d: str) -> DataFrame:
     return views.read(s, d, "events").groupBy("event_type").agg(F.bround(F.median("value"), 4).alias("median_value"))
 
 
-@query("AG19_percentile", "SELECT event_type, round_even(quantile_cont(value, 0.025), 3) AS lo, round_even(quantile_cont(value, 0.975), 3) AS hi FROM events GROUP BY event_type")
+@query("AG19_percentile", "SELECT event_type, round_even(quantile_cont(value, 0.025), 6) AS lo, round_even(quantile_cont(value, 0.975), 6) AS hi FROM events GROUP BY event_type")
 def ag19(s: SparkSession, d: str) -> DataFrame:
-    p = lambda q: F.bround(F.percentile("value", F.lit(q)), 3)
+    p = lambda q: F.bround(F.percentile("value", F.lit(q)), 6)
     return views.read(s, d, "events").groupBy("event_type").agg(p(0.025).alias("lo"), p(0.975).alias("hi"))
 
 
