@@ -374,7 +374,7 @@ def pa5(s: SparkSession, d: str) -> DataFrame:
   CASE WHEN y.generation IN (1, 2) THEN 3 ELSE 0 END AS code FROM pool y, (SELECT * FROM pool WHERE candidate = 'c006') x""")
 def pa8(s: SparkSession, d: str) -> DataFrame:
     c = _candidates(s, d)
-    new = c.select(F.concat("candidate", F.lit("-next")).alias("candidate"), F.lit("why").alias("origin_reason"), F.lit("m").alias("model"), F.when(F.col("generation") == 1, F.lit("h-c001")).otherwise(F.sha2("candidate", 256)).alias("prompt_sha256"), (F.col("generation") != 2).alias("gate_passed"), "recall", "precision")
+    new = c.select(F.concat("candidate", F.lit("-next")).alias("candidate"), F.lit("why").alias("origin_reason"), F.lit("m").alias("model"), F.when(F.col("generation") == 1, F.lit("h-c006")).otherwise(F.sha2("candidate", 256)).alias("prompt_sha256"), (F.col("generation") != 2).alias("gate_passed"), "recall", "precision")
     return pareto.admit(new, c.select("candidate", F.concat(F.lit("h-"), "candidate").alias("prompt_sha256"), "recall", "precision"), "m", intervals=False, baseline="c006")
 
 
