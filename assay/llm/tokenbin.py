@@ -14,6 +14,7 @@ id of each rank.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,8 +40,11 @@ SEGMENT = 1 << 18
 REMEMBERED = 1 << 19
 #: Texts of these characters only are split by the plainer pattern below, which says the same of them.
 PLAIN = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+PLAIN_PATTERN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
 FULL_PATTERN = regex.compile(public_tokenizers.PATTERN)
+#: A byte-level vocabulary writes a byte as the character of that number if it can be seen, else as the next from U+0100.
+SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in SEEN)}
 #: How many data bytes the four ranks of each control byte take.
 LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)], np.uint8)
 
@@ -50,14 +54,15 @@ def tokenizer(path: str) -> tuple[Tokenizer, list[str], dict[str, bytes], list[i
     """The tokenizer, the texts of its added tokens, the ids of pre-tokens so far, and the
     number of misses since these are full."""
     own = Tokenizer.from_file(path)
+    own.model._resize_cache(0)  # pre-tokens are remembered here, so the model sees each but once
     return own, [t.content for t in own.get_added_tokens_decoder().values()], {}, [0]
 
 
 def encode(text: str, path: str) -> bytes:
     """Ids of a text as little-endian 32-bit integers, as ``Tokenizer.encode`` gives them.
 
-    Byte-level BPE treats each pre-token by itself, so pre-tokens are encoded once and
-    remembered.  A text that holds an added token goes through the tokenizer whole.
+    Byte-level BPE treats each pre-token by itself, so the model is given pre-tokens, and
+    each is remembered.  A text that holds an added token goes through the tokenizer whole.
     """
     own, added, known, missed = tokenizer(path)
     if any(a in text for a in added):
@@ -67,14 +72,11 @@ def encode(text: str, path: str) -> bytes:
     if None not in got:
         return b"".join(got)
     places = [i for i, ids in enumerate(got) if ids is None]
-    fresh = list({words[i] for i in places})
+    pieces_of = own.model.tokenize
     new: dict[str, bytes] = {}
-    for cut in range(0, len(fresh), 4096):
-        some = fresh[cut : cut + 4096]
-        found = own.encode(some, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(found.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-        new.update((w, raw[a:b]) for w, a, b in zip(some, ends[:-1], ends[1:], strict=True))
+    for word in {words[i] for i in places}:
+        ids = [piece.id for piece in pieces_of(word.encode("utf-8").decode("latin-1").translate(VISIBLE))]
+        new[word] = struct.pack(f"<{len(ids)}I", *ids)
     for i in places:
         got[i] = new[words[i]]
     if len(known) >= REMEMBERED:
