@@ -107,3 +107,62 @@ def rule_type(evidence: Column) -> Column:
     """SELECTION before CONJUNCTIVE before OTHER."""
     names = lambda words: evidence.rlike("|".join(words))
     return F.when(names(SELECTION), "SELECTION").when(names(CONJUNCTIVE), "CONJUNCTIVE").otherwise("OTHER")
+
+
+def aliased(cite: Column) -> Column:
+    """IAS n becomes 1000 + n and IFRS n 1100 + n, but for numbers that have four digits already."""
+    shape = r"^\s*(IAS|IFRS)\s*([0-9]+)\s*(.*)$"
+    n = F.try_to_number(F.regexp_extract(cite, shape, 2), F.lit("999999999")).cast("long")
+    base = F.when(n >= 1000, 0).when(F.regexp_extract(cite, shape, 1) == "IAS", 1000).otherwise(1100)
+    return F.when(cite.rlike(shape), F.concat((base + n).cast("string"), F.lit(" "), F.regexp_extract(cite, shape, 3))).otherwise(cite)
+
+
+# Phrases that abstain.
+ABSTAIN = r"확인되지\s*않|근거\s*없|답변\s*불가|판단할\s*수\s*없"
+
+
+def adapted(cites: Column, standard: Column) -> Column:
+    """Citations with aliases resolved and the default standard put before those without one; blank and abstaining ones go."""
+    known = F.filter(F.transform(cites, lambda c: aliased(F.trim(c))), lambda c: (F.trim(c) != "") & ~c.rlike(ABSTAIN))
+    return F.transform(known, lambda c: F.when(c.rlike(r"^\s*제?\s*[0-9]{4}"), c).otherwise(F.concat(standard, F.lit(" "), c)))
+
+
+def evidence_paragraphs(x: Column) -> Column:
+    """Distinct paragraphs that an evidence text is headed by, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(rf"(?U){PARAGRAPH} (\w+)"), F.lit(1))))
+
+
+def cited_paragraphs(x: Column) -> Column:
+    """Paragraphs that a citation names, without sub-items; else its last number that isn't a four-digit one."""
+    bare = F.regexp_replace(x, r"[-–]?\s*\([0-9]+\)", "")
+    named = F.array_distinct(F.regexp_extract_all(bare, F.lit(rf"{PARAGRAPH}\s*([0-9]+[A-Za-z]?)"), F.lit(1)))
+    numbers = F.filter(F.regexp_extract_all(bare, F.lit(r"\b([0-9]+[A-Za-z]?)\b"), F.lit(1)), lambda n: ~n.rlike("^[0-9]{4}$"))
+    return F.when(F.size(named) > 0, named).otherwise(F.array_compact(F.array(F.try_element_at(numbers, F.lit(-1)))))
+
+
+def base_citation(x: Column) -> Column:
+    """A citation without its sub-items."""
+    return F.trim(F.regexp_replace(x, r"\s*\([^)]*\)", ""))
+
+
+def greedy_object(raw: Column) -> Column:
+    """From the first opening to the last closing brace, or null: for output with words around the JSON."""
+    return F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def profile(md: Column) -> Column:
+    """struct(levels, rules, links, images) of a Markdown text: levels of headings outside fenced blocks,
+    rows that part a table's head, targets of links (linked images too) and of images."""
+    def step(held: Column, line: Column) -> Column:
+        fence, head = line.rlike(r"^\s*```"), line.rlike(r"^>?\s*#{1,6}\s")
+        level = F.length(F.regexp_extract(line, r"^>?\s*(#{1,6})\s", 1))
+        inside = F.when(fence, ~held["inside"]).otherwise(held["inside"])
+        levels = F.when(head & ~fence & ~held["inside"], F.array_append(held["levels"], level)).otherwise(held["levels"])
+        return F.struct(inside.alias("inside"), levels.alias("levels"))
+
+    lines = F.split(md, "\n", -1)
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<int>").alias("levels"))
+    levels = F.aggregate(lines, start, step, lambda held: held["levels"])
+    rules = F.size(F.filter(lines, lambda x: F.trim(x).rlike(r"^\|[\s:|-]+\|$")))
+    found = lambda p: F.regexp_extract_all(md, F.lit(p), F.lit(1))
+    return F.struct(levels.alias("levels"), rules.alias("rules"), found(r"(?<!!)\]\(([^)]+)\)").alias("links"), found(r"!\[[^\]]*\]\(([^)]+)\)").alias("images"))
