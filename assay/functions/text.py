@@ -166,3 +166,12 @@ def profile(md: Column) -> Column:
     rules = F.size(F.filter(lines, lambda x: F.trim(x).rlike(r"^\|[\s:|-]+\|$")))
     found = lambda p: F.regexp_extract_all(md, F.lit(p), F.lit(1))
     return F.struct(levels.alias("levels"), rules.alias("rules"), found(r"(?<!!)\]\(([^)]+)\)").alias("links"), found(r"!\[[^\]]*\]\(([^)]+)\)").alias("images"))
+
+
+# Words near a number that belong to contacts and imprints.
+CONTACT = r"(?i)e-?mail|fax|tel\b|foundation"
+
+
+def noise(number: Column, context: Column) -> Column:
+    """Whether a paragraph number is surely none: above 999, or among contacts.  A lower bound by design."""
+    return (F.floor(number) > 999) | F.coalesce(context, F.lit("")).rlike(CONTACT)
