@@ -71,7 +71,8 @@ def question_faults(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     """(qid, fault) of a set of questions against (standard, body) of a corpus.
 
     Questions have qid, layer, question, evidence and citations (array of standard and
-    quote).  White space doesn't count where quotes are looked for.
+    quote).  White space doesn't count where quotes are looked for.  Questions that share a
+    qid, evidence and citation are one as to that citation's faults.
     """
     norm = text.without_space
     n = F.size(F.coalesce("citations", F.array()))
