@@ -10,6 +10,10 @@ list the shared positional bytes of each pair are tallied, pairs with fewer than
 A list never emits its pairs: it emits a forest that connects what it verified, so the
 output stays below its number of entries.  Lists over ``list_rows`` entries are dealt
 to several tasks as pairs of blocks.
+
+Texts of a given similarity (``drop_similar``) use the same index over other bytes: each of
+the 8 is of a min-hash, so texts of similarity s share a byte with probability s.  What the
+index links is verified by the exact similarity of the shingles.
 """
 
 from __future__ import annotations
@@ -31,20 +35,26 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the shingles of ``words`` words, repeats included; no word: 0."""
-    if not text:
-        return 0
-    found = WORD_BYTES.findall(text.encode("utf-8", "surrogatepass").translate(LOWER))
+def shingles(text: str | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of ``words`` words (of all words if they are fewer), repeats included."""
+    found = WORD_BYTES.findall(text.encode("utf-8", "surrogatepass").translate(LOWER)) if text else []
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     n = max(1, len(found) - words + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1])
     stops = ends[words - 1 :] if len(found) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of the shingles of ``words`` words, repeats included; no word: 0."""
+    hashes = shingles(text, words, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         block = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -52,6 +62,18 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits((counts * 2 > n), bitorder="little").view(np.uint64)[0])
 
 
+#: Odd factors and masks of the min-hashes: two sketches of 8 bytes each.
+FACTORS, MASKS = np.random.default_rng(20).integers(1 << 63, size=(2, 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Two sketches: of 8 min-hashes each the lowest byte; without a shingle both are 0."""
+    if not len(hashes):
+        return np.zeros(2, np.int64)
+    low = [((hashes ^ m) * f).min() for f, m in zip(FACTORS, MASKS, strict=True)]
+    return (np.array(low, np.uint64) & np.uint64(255)).astype(np.uint8).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, th (XXH64 of the text) and fp (the 64 bits as a signed long) of every row."""
 
@@ -93,16 +115,16 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def verified(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
-    """Which pairs share ``8 - bits`` positional bytes or more and differ in ``bits`` or less."""
+def verified(x: np.ndarray, y: np.ndarray, bits: int, most: int) -> np.ndarray:
+    """Which pairs share ``8 - bits`` positional bytes or more and differ in ``most`` bits or less."""
     diff = x ^ y
     shared = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
     out = shared >= max(0, 8 - bits)
-    out[out] = np.bitwise_count(diff[out]) <= bits
+    out[out] = np.bitwise_count(diff[out]) <= most
     return out
 
 
-def _links(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+def _links(batches: Iterator[pd.DataFrame], bits: int, most: int) -> Iterator[pd.DataFrame]:
     """From rows (entry, side, fp) sorted by entry: edges that connect all linked pairs.
 
     side 0: compared with all of its entry; sides 1 and 2: only 1 with 2.
@@ -120,7 +142,7 @@ def _links(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]
             for cut in range(0, len(at), 1 << 20):
                 i = at[cut : cut + (1 << 20)]
                 i = i[(side[i] != side[i + step]) | (side[i] == 0)]
-                i = i[verified(fp[i], fp[i + step], bits)] if len(i) else i
+                i = i[verified(fp[i], fp[i + step], bits, most)] if len(i) else i
                 left.append(i)
                 right.append(i + step)
             step += 1
@@ -140,9 +162,28 @@ def _links(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]
         yield pd.DataFrame({"src": values[keep], "dst": values[root[keep]]})
 
 
-def links(fps: DataFrame, bits: int = 4, width: int = 3, list_rows: int = 4096) -> DataFrame:
+def _dealt(listed: DataFrame, key: str, value: str, list_rows: int, *rest: str) -> DataFrame:
+    """Rows (entry, side, value, rest) by entry: lists (``n`` rows each) as pairs of blocks."""
+    return (
+        listed.withColumn("blocks", F.ceil(F.col("n") / list_rows).cast("int"))
+        .withColumn("b", F.pmod(F.xxhash64(value), F.col("blocks")).cast("int"))
+        .select(key, value, *rest, "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(
+            F.xxhash64(key, F.least("b", "other"), F.greatest("b", "other")).alias("entry"),
+            F.when(F.col("b") == F.col("other"), 0).when(F.col("b") < F.col("other"), 1).otherwise(2).alias("side"),
+            value, *rest,
+        )
+        .repartition(spread(listed), "entry")
+        .sortWithinPartitions("entry")
+    )
+
+
+def links(fps: DataFrame, bits: int = 4, width: int = 3, list_rows: int = 4096, most: int | None = None) -> DataFrame:
     """Edges (src > dst, as signed longs) that connect distinct fingerprints like their links do.
 
+    Linked are those that differ in ``bits`` bits or less; with ``most``, those that differ in
+    ``bits`` bytes and ``most`` bits or less.
+
     ``width``: bytes in a key of the index, 3 for up to some billion fingerprints, 4 beyond.
     """
     if not 0 <= bits <= 8 - width:
@@ -155,19 +196,8 @@ def links(fps: DataFrame, bits: int = 4, width: int = 3, list_rows: int = 4096)
         keys.append(value)
     index = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    listed = index.join(lists, "key").withColumn("blocks", F.ceil(F.col("n") / list_rows).cast("int"))
-    dealt = (
-        listed.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        .select("key", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(
-            F.xxhash64("key", F.least("b", "other"), F.greatest("b", "other")).alias("entry"),
-            F.when(F.col("b") == F.col("other"), 0).when(F.col("b") < F.col("other"), 1).otherwise(2).alias("side"),
-            "fp",
-        )
-        .repartition(spread(fps), "entry")
-        .sortWithinPartitions("entry")
-    )
-    return dealt.mapInPandas(lambda rows: _links(rows, bits), "src long, dst long")
+    dealt = _dealt(index.join(lists, "key"), "key", "fp", list_rows)
+    return dealt.mapInPandas(lambda rows: _links(rows, bits, bits if most is None else most), "src long, dst long")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -234,8 +264,88 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: i
     A null doc_id comes after all others; of different texts under the smallest doc_id the
     one with the smallest hash stays, of repeated rows one.  Columns are the input's.
     """
+    return _first_of_each(docs, _grouped(docs, words, bits, seed))
+
+
+def _same(batches: Iterator[pd.DataFrame], words: int, least: float, seed: int) -> Iterator[pd.DataFrame]:
+    """From rows (entry, side, th, text) by entry: edges that connect all similar texts."""
+    for part in pieces(batches, "entry"):
+        src, dst = [], []
+        for _, rows in part.groupby("entry", sort=False):
+            th, side, n = rows["th"].to_numpy(), rows["side"].to_numpy(), len(rows)
+            if n < 2:
+                continue
+            sets = [np.unique(shingles(t, words, seed)) for t in rows["text"]]
+            size = np.fromiter(map(len, sets), np.int64, n)
+            # for each shingle the texts that hold it
+            owner = np.repeat(np.arange(n), size)
+            number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            order = np.argsort(number, kind="stable")
+            holders = np.split(owner[order], np.flatnonzero(np.diff(number[order])) + 1)
+            begin = np.concatenate([[0], np.cumsum(size)])
+            root = np.arange(n)
+            for i in range(n):
+                own = number[begin[i] : begin[i + 1]]
+                both = np.bincount(np.concatenate([holders[k] for k in own]), minlength=n) if len(own) else np.where(size == 0, 1, 0)
+                hit = both >= least * np.maximum(size + size[i] - both, 1) - 1e-9
+                hit &= ((side != side[i]) | (side == 0)) & (root != root[i])
+                if hit.any():
+                    joined = np.append(np.unique(root[hit]), root[i])
+                    root[np.isin(root, joined)] = joined.min()
+            for i in np.flatnonzero(root != np.arange(n)):
+                src.append(max(th[i], th[root[i]]))
+                dst.append(min(th[i], th[root[i]]))
+        yield pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+
+
+def similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42, list_rows: int = 1024) -> DataFrame:
+    """doc_id, th (a hash of the text) and root (the th that names its component) of every row.
+
+    Texts link when the sets of their shingles of ``words`` words have a Jaccard similarity of
+    ``least`` or more.  Compared are texts that share 4 bytes or more of one of two sketches of
+    8 (a pair of similarity 0.8 fails that with probability 0.0001), and all in reach of them.
+    """
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            both = np.array([sketch(shingles(t, words, seed)) for t in batch["text"]], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "f1": both[:, 0], "f2": both[:, 1]})
+
+    seen = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInPandas(score, "doc_id long, th long, f1 long, f2 long")
+    seen = table(seen, "sketches")
+    texts = table(seen.groupBy("th", "f1", "f2").agg(F.min("doc_id").alias("low")), "texts")
+    near, again = [], []
+    for f in ("f1", "f2"):
+        count = table(texts.groupBy(F.col(f).alias("fp")).agg(F.count(F.lit(1)).alias("n")), f"distinct-{f}")
+        near.append(links(count.select("fp"), 4, most=64))
+        again.append(count.filter("n > 1").select(F.col("fp").alias("v")))
+    edges = table(near[0].union(near[1]), "sketch-links")
+    touched = edges.select(F.col("src").alias("v")).union(edges.select("dst")).union(again[0]).union(again[1]).distinct()
+    touched = table(touched, "touched")
+    some = texts.join(touched, texts["f1"] == touched["v"], "left_semi").union(texts.join(touched, texts["f2"] == touched["v"], "left_semi")).distinct()
+    some = table(some, "candidates")
+    own = some.filter("f1 <> f2").select(F.greatest("f1", "f2").alias("src"), F.least("f1", "f2").alias("dst"))
+    roots = components(edges.union(own))
+    some = table(some.join(roots, some["f1"] == roots["v"], "left").select(F.col("th").alias("_th"), F.col("low").alias("_low"), F.coalesce("root", "f1").alias("key")), "candidate-lists")
+    lists = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    listed = some.join(lists, "key")
+    # the text of a list's member is taken from one of its rows: repeats have another doc_id
+    # and is merged at every size, as the lists grow with the corpus
+    whole = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    whole = whole.join(listed.hint("merge"), whole["doc_id"].eqNullSafe(listed["_low"]) & (whole["th"] == listed["_th"])).dropDuplicates(["th"])
+    pairs = _dealt(whole, "key", "th", list_rows, "text").mapInPandas(lambda rows: _same(rows, words, least, seed), "src long, dst long")
+    found = components(pairs)
+    return seen.join(found, seen["th"] == found["v"], "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+
+
+def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+    """The documents with one row left of each component of ``similar``, as drop_near_duplicates."""
+    return _first_of_each(docs, similar(docs, words, least, seed))
+
+
+def _first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     known = (F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("doc_id").isNull(), F.col("th"))
-    found = table(_grouped(docs, words, bits, seed).select("doc_id", "th", "root", F.struct(*known).alias("_me")), "grouped")
+    found = table(rooted.select("doc_id", "th", "root", F.struct(*known).alias("_me")), "grouped")
     best = found.groupBy("root").agg(F.min("_me").alias("_best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     members = found.join(best.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"))
     members = members.groupBy("doc_id", "th").agg(F.first(F.col("_me") == F.col("_best")).alias("_stays"), F.count(F.lit(1)).alias("_copies"))

@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays, that of the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of texts alike in 0.8 of their 5-word shingles one stays, that of the smallest doc_id."""
+    return simhash.drop_similar(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
