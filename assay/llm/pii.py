@@ -19,34 +19,38 @@ from .secrets import spans
 # Titles and the gender they tell.
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Signor", "господин", "κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Signora", "госпожа", "κυρία")
+NEUTRAL = ("Dr", "Prof", "Professor", "Doctor")
+TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
 # Syllables of surrogate names by script, and name endings by gender.
 SYLLABLES = {
     "latin": ("ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu", "va", "we", "za", "ke", "lo", "mi"),
     "cyrillic": ("ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "ту", "ва", "зе", "за", "ке", "ло", "ми"),
     "greek": ("βα", "δε", "φι", "γο", "λυ", "μα", "νε", "ρι", "σο", "τυ", "βε", "ζε", "ζα", "κε", "λο", "μι"),
 }
-ENDINGS = {"latin": ("n", "na"), "cyrillic": ("н", "на"), "greek": ("νος", "να")}
-NAME = rf"(?U)(?=[{''.join(sorted({t[0] for t in (*MALE, *FEMALE)}))}])(?<!\w)(?:{'|'.join((*MALE, *FEMALE))})\.?\x20\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+)?"
+ENDINGS = {"latin": ("n", "na", "r"), "cyrillic": ("н", "на", "р"), "greek": ("νος", "να", "ρη")}
+NAME = rf"(?U)(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])(?<!\w)(?:(?:{TITLES})\.?\x20)+\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+)?"
+# Fixed value: phones with no country, (555) 123-4567 or 555-123-4567, and after a 0, 030 1234567.
+NATIONAL = r"(?=[(0-9])(?<![0-9A-Za-z+])(?<![0-9][ .-])(?:(?:1[ .-])?(?:\([0-9]{3}\)\x20?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8})(?![0-9A-Za-z]|[ .-][0-9])"
 TYPES = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
     ("ip", r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("ssn", r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?=[0-9])(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
-    ("phone", r"(?=\+)(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"),
+    ("phone", r"(?=\+)(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])|" + NATIONAL),
     ("name", NAME),
 )
 
 
 def _title(match: Column) -> Column:
-    return F.regexp_extract(match, r"(?U)^(\w+\.?\x20)", 1)
+    return F.regexp_extract(match, rf"(?U)^((?:(?:{TITLES})\.?\x20)+)", 1)
 
 
 def normal(kind: Column, match: Column) -> Column:
     """What makes two mentions the same entity; of names with gender and script."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     name = F.substr(match, F.length(_title(match)) + 1)
-    title = F.regexp_replace(_title(match), r"[.\x20]", "")
-    gender = F.when(title.isin(*FEMALE), "f").otherwise("m")
+    told = {k: _title(match).rlike(rf"(?U)(?<!\w)(?:{'|'.join(some)})(?!\w)") for k, some in (("f", FEMALE), ("m", MALE))}
+    gender = F.when(told["f"], "f").when(told["m"], "m").otherwise("n")
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     return (
         F.when(kind == "email", F.lower(match)).when(kind == "ip", match)
@@ -78,7 +82,11 @@ def _checked(body: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
-    """The surrogate's own normal form: same type, length, validity, gender and script."""
+    """The surrogate's own normal form: same type, length, validity, gender and script.
+
+    Later attempts have more room: each adds a syllable to a name, every fourth a digit to a
+    phone number, up to 8 of both.
+    """
     h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string")), 256)
     stream = F.concat(*[F.lpad((_number(h, 1 + 15 * i, 15) % 10**18).cast("string"), 18, "0") for i in range(2)])
     n = F.length(form)
@@ -88,22 +96,24 @@ def surrogate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
     octets = [F.pmod(_number(h, 7 + 6 * i, 6), F.lit(256)).cast("string") for i in range(2)] + [F.pmod(_number(h, 19, 6), F.lit(254) + 0).cast("int") + 1]
     ip = F.concat_ws(".", first.cast("string"), *[o.cast("string") for o in octets])
     plain = F.substr(stream, F.lit(1), n)
+    longer = F.substr(stream, F.lit(3), n - 2 + F.least(F.floor(attempt / 4), F.lit(8)).cast("int"))
     nonzero = F.concat((F.substr(plain, F.lit(1), F.lit(1)).cast("int") % 8 + 2).cast("string"), F.substr(plain, F.lit(2)))
     card = F.when(luhn(form), _checked(F.substr(nonzero, F.lit(1), n - 1))).otherwise(
         F.when(luhn(nonzero), F.concat(F.substr(nonzero, F.lit(1), n - 1), ((F.substr(nonzero, n, F.lit(1)).cast("int") + 1) % 10).cast("string"))).otherwise(nonzero)
     )
     # the country's digit and the area's first digit (2 to 9) keep a phone number plausible
-    phone = F.concat(F.substr(form, F.lit(1), F.lit(1)), (F.substr(plain, F.lit(2), F.lit(1)).cast("int") % 8 + 2).cast("string"), F.substr(plain, F.lit(3)))
+    phone = F.concat(F.substr(form, F.lit(1), F.lit(1)), (F.substr(plain, F.lit(2), F.lit(1)).cast("int") % 8 + 2).cast("string"), longer)
     ssn = F.concat(F.lit("9"), F.substr(plain, F.lit(2)))
     gender, script = F.element_at(F.split(form, r"\|"), 1), F.element_at(F.split(form, r"\|"), 2)
     names = F.lit(None).cast("string")
     for kind_of, some in SYLLABLES.items():
         list_ = F.array(*map(F.lit, some))
-        part = [F.element_at(list_, (F.pmod(_number(h, 1 + 4 * i, 4), F.lit(16)) + 1).cast("int")) for i in range(8)]
-        male, female = ENDINGS[kind_of]
-        end = F.when(gender == "f", female).otherwise(male)
-        one = F.concat(F.initcap(F.concat(*part[:3])), end)
-        two = F.when(F.element_at(F.split(form, r"\|"), 3).contains(" "), F.concat(F.lit(" "), F.initcap(F.concat(*part[3:])))).otherwise("")
+        part = [F.element_at(list_, (F.pmod(_number(h, 1 + 4 * i, 4), F.lit(16)) + 1).cast("int")) for i in range(16)]
+        male, female, neutral = ENDINGS[kind_of]
+        end = F.when(gender == "f", female).when(gender == "m", male).otherwise(neutral)
+        first_word = F.array_join(F.slice(F.array(*part[:11]), F.lit(1), F.least(attempt, F.lit(8)) + 3), "")
+        one = F.concat(F.initcap(first_word), end)
+        two = F.when(F.element_at(F.split(form, r"\|"), 3).contains(" "), F.concat(F.lit(" "), F.initcap(F.concat(*part[11:])))).otherwise("")
         names = F.when(script == kind_of, F.concat(one, two)).otherwise(names)
     names = F.concat_ws("|", gender, script, F.lower(names))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(names)
@@ -116,7 +126,7 @@ def render(kind: Column, match: Column, form: Column) -> Column:
         before, F.struct(F.lit(0).alias("i"), F.lit("").alias("out")),
         lambda acc, c: F.when(c.rlike("[0-9]"), F.struct((acc["i"] + 1).alias("i"), F.concat(acc["out"], F.substr(form, acc["i"] + 1, F.lit(1))).alias("out")))
         .otherwise(F.struct(acc["i"].alias("i"), F.concat(acc["out"], c).alias("out"))),
-        lambda acc: acc["out"],
+        lambda acc: F.concat(acc["out"], F.when(kind == "phone", F.substr(form, acc["i"] + 1)).otherwise("")),
     )
     name = F.initcap(F.element_at(F.split(form, r"\|"), 3))
     old = F.substr(match, F.length(_title(match)) + 1)
