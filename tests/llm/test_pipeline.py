@@ -7,7 +7,7 @@ import public_tokenizers as P
 import corpus_pipeline
 from assay.llm import bpe, mixing, quality, secrets
 
-from test_operators import brute_components, brute_fp
+from test_corpus_operators import brute_components, brute_fp
 
 
 def test_pipeline_equals_brute_force(spark, sf):
