@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN = "id string, run string, label string, rationale string, human string, n_siblings int, candidate_id string, candidate string, `condition` string, model string, prompt_sha256 string, elapsed double, domain string"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="assay-files-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def json_lines(spark: SparkSession, paths: list[str], schema: str = RUN, tolerant: bool = False) -> DataFrame:
     """Rows of JSON-lines files with ``file``; a path named twice is read once, one that isn't there fails.
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import metrics, pareto, stats, votes
 from .plans import views
+from .plans.shared import folder
 from .plans.views import sql
 from .queries import BAD, BASE, CANDIDATES, COUNTS, DOMINATES, HIT, PROBE, RATE, SAID, VOTED, WILSON, _candidates, _probe, _said, _voted, query
 from .sources import files
@@ -381,30 +380,26 @@ def pa8(s: SparkSession, d: str) -> DataFrame:
 # --- files and streams -----------------------------------------------------------------
 
 
-def _folder(s: SparkSession, name: str) -> str:
-    return f"{files.scratch(s)}/assay-{name}-{uuid.uuid4().hex}"
-
-
 @query("SRC1_json_lines", BASE + "SELECT candidate, id, label, count(*) AS n FROM runs GROUP BY ALL")
 def src1(s: SparkSession, d: str) -> DataFrame:
-    at = _folder(s, "runs")
+    at = folder(s, "runs")
     files.append_json_lines(views.judge_runs(s, d).select("candidate", "id", "label", F.col("run").cast("string").alias("run")), at)
     return files.json_lines(s, [at, at]).groupBy("candidate", "id", "label").agg(_n())
 
 
 @query("SM1_resume_stream", BASE + "SELECT candidate, count(*) AS n FROM runs GROUP BY candidate")
 def sm1(s: SparkSession, d: str) -> DataFrame:
-    log, out = _folder(s, "log"), _folder(s, "done")
+    log, out = folder(s, "log"), folder(s, "done")
     rows = views.judge_runs(s, d).select("candidate", "id", "run")
     for _ in range(2):  # as after a restart: every row is written again
         rows.write.mode("append").parquet(log)
-    streams.drain(streams.resume(streams.source(s, log, "candidate string, id string, run int"), ["candidate", "id", "run"]), out, _folder(s, "state"), "append")
+    streams.drain(streams.resume(streams.source(s, log, "candidate string, id string, run int"), ["candidate", "id", "run"]), out, folder(s, "state"), "append")
     return s.read.schema("candidate string").parquet(out).groupBy("candidate").agg(_n())
 
 
 @query("SM5_latest_stream", sql("ledger") + "SELECT candidate, max(seq) AS seq, arg_max(status, seq) AS status FROM ledger GROUP BY candidate")
 def sm5(s: SparkSession, d: str) -> DataFrame:
-    log, out = _folder(s, "ledger"), _folder(s, "latest")
+    log, out = folder(s, "ledger"), folder(s, "latest")
     views.ledger(s, d).select("candidate", "seq", "status").repartition(4, "seq").write.parquet(log)
-    streams.drain(streams.latest(streams.source(s, log, "candidate string, seq long, status string", 2)), out, _folder(s, "state"), "update")
+    streams.drain(streams.latest(streams.source(s, log, "candidate string, seq long, status string", 2)), out, folder(s, "state"), "update")
     return pareto.latest(s.read.schema("candidate string, seq long, status string").parquet(out).select("candidate", "seq", "status"))

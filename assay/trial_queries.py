@@ -12,7 +12,8 @@ from .plans.views import sql
 from .queries import BAD, BASE, CANDIDATES, DOMINATES, HIT, VOTED, WILSON, _candidates, _voted, query
 from .sources import files
 from .streaming import runs as streams
-from .study_queries import _folder, _n
+from .plans.shared import folder
+from .study_queries import _n
 
 LO, HI = WILSON.format(edge="0.0", best="greatest", sign="-", z="1.96e0"), WILSON.format(edge="1.0", best="least", sign="+", z="1.96e0")
 
@@ -122,7 +123,7 @@ def sp6(s: SparkSession, d: str) -> DataFrame:
 
 @query("SRC2_tolerant_lines", sql("units") + "SELECT human, count(*) AS n FROM units WHERE doc_id % 5 <> 0 GROUP BY human")
 def src2(s: SparkSession, d: str) -> DataFrame:
-    at = _folder(s, "broken")
+    at = folder(s, "broken")
     line = F.when(F.col("doc_id") % 5 == 0, '{"id": "cut of').otherwise(F.to_json(F.struct("id", "human")))
     views.units(s, d).select(line.alias("value")).write.text(at)
     # the reader drops what it can't parse only where it reads a column
@@ -138,7 +139,7 @@ def src13(s: SparkSession, d: str) -> DataFrame:
 
 @query("SNK3_ledger_append", sql("ledger") + "SELECT candidate, seq, status FROM ledger WHERE seq % 3 <> 2 AND status IS NOT NULL")
 def snk3(s: SparkSession, d: str) -> DataFrame:
-    at = _folder(s, "ledger")
+    at = folder(s, "ledger")
     rows = views.ledger(s, d).select("candidate", "seq", "status").filter("status is not null")
     files.seed_ledger(rows.filter("seq % 3 = 0"), at)
     files.append_json_lines(rows.filter("seq % 3 = 1"), at)
@@ -154,9 +155,9 @@ def va18(s: SparkSession, d: str) -> DataFrame:
 
 @query("SM2_resume_by_two_keys", sql("units") + "SELECT DISTINCT qid, arm FROM units")
 def sm2(s: SparkSession, d: str) -> DataFrame:
-    log, out = _folder(s, "log"), _folder(s, "done")
+    log, out = folder(s, "log"), folder(s, "done")
     views.units(s, d).select("qid", "arm").write.parquet(log)
-    streams.drain(streams.resume(streams.source(s, log, "qid string, arm string"), ["qid", "arm"]), out, _folder(s, "state"), "append")
+    streams.drain(streams.resume(streams.source(s, log, "qid string, arm string"), ["qid", "arm"]), out, folder(s, "state"), "append")
     return s.read.schema("qid string, arm string").parquet(out).select("qid", "arm")
 
 
@@ -182,11 +183,11 @@ m AS (SELECT *, CASE WHEN lag(front) OVER w = front THEN 0 ELSE 1 END AS fresh F
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY study ORDER BY round) AS island FROM m)
 SELECT 's' || study AS study, round, CAST(row_number() OVER (PARTITION BY study, island ORDER BY round) - 1 AS INTEGER) AS stall FROM i""")
 def sm6(s: SparkSession, d: str) -> DataFrame:
-    log, out = _folder(s, "rounds"), _folder(s, "stalls")
+    log, out = folder(s, "rounds"), folder(s, "stalls")
     e = views.read(s, d, "events").filter("event_type is not null")
     study: Column = F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string"))
     e.select(study.alias("study"), F.col("event_id").alias("round"), F.col("event_type").alias("front")).write.parquet(log)
-    streams.drain(streams.stalls(streams.source(s, log, "study string, round long, front string", 1_000)), out, _folder(s, "state"), "append")
+    streams.drain(streams.stalls(streams.source(s, log, "study string, round long, front string", 1_000)), out, folder(s, "state"), "append")
     return s.read.schema("study string, round long, stall int").parquet(out).select("study", "round", "stall")
 
 
