@@ -1,17 +1,17 @@
 """Byte-level BPE encoding and decoding, by overlapping chunks.
 
-A text is cut into chunks that overlap.  Chunks are pre-tokenised and encoded in
-parallel, each without the others; neighbours are stitched at the first boundary between
-pre-tokens that both have and that neither's cut can have moved.  Short texts are a
-single chunk and are finished where they are read; only the chunks of long ones are
-shuffled.  Decoding concatenates the bytes of the ids.
+A text is cut into chunks that overlap.  Chunks are pre-tokenised in parallel, each without
+the others.  Neighbours are stitched at the first boundary between pre-tokens that both have
+and that neither's cut can have moved; what a chunk keeps between its two stitches is then
+encoded, pre-token by pre-token.  A text of one chunk has no stitches and is finished where it
+is read; only the chunks of longer ones are shuffled.  Decoding concatenates the bytes of the
+ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -20,16 +20,18 @@ import pandas as pd
 import public_tokenizers
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, spread
+from .common import in_frames, spread, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: Pre-tokens whose ids a worker remembers; beyond, it starts anew (this changes no result).
 REMEMBERED = 1 << 18
+#: Characters of a pre-token that is remembered.
+LONG_WORD = 64
 
 
 @cache
@@ -38,40 +40,47 @@ def pattern(source: str) -> regex.Pattern:
 
 
 @cache
-def coder(path: str, source: str) -> tuple[tiktoken.Encoding, list[bytes], list[str]]:
-    """The encoder, the bytes of each id and its decimal form, of a rank file."""
+def coder(path: str) -> tuple[tiktoken.Encoding, list[bytes], list[str]]:
+    """The encoder of single pre-tokens, the bytes of each id and its decimal form, of a rank file."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     raw = [b""] * (max(ranks.values()) + 1)
     for word, rank in ranks.items():
         raw[rank] = word
-    encoding = tiktoken.Encoding("ranks", pat_str=source, mergeable_ranks=ranks, special_tokens={})
+    # its pattern takes whatever it is given as one pre-token
+    encoding = tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
     return encoding, raw, [str(i) for i in range(len(raw))]
 
 
 class Memo(dict):
     """Pre-token to its ids as little-endian 32-bit integers."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]]) -> None:
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
         super().__init__()
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word.encode("utf-8")), "<u4").tobytes()
+        ids = np.array(self.encode(word), "<u4").tobytes()
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = ids
+        if len(word) <= LONG_WORD:
+            self[word] = ids
         return ids
 
 
 @cache
-def memo(path: str, source: str) -> Memo:
-    return Memo(coder(path, source)[0]._encode_single_piece)
+def memo(path: str) -> Memo:
+    return Memo(coder(path)[0].encode_ordinary)
 
 
-def decode(ids: list[int], path: str, source: str) -> bytes:
-    raw = coder(path, source)[1]
-    return b"".join([raw[i] for i in ids])
+def pieces_of(text: str, path: str, source: str) -> bytes:
+    """Ids of a stretch of text between two true boundaries, as little-endian 32-bit integers."""
+    return b"".join(map(memo(path).__getitem__, pattern(source).findall(text)))
+
+
+def decode(ids: np.ndarray, path: str) -> bytes:
+    raw = coder(path)[1]
+    return b"".join([raw[i] for i in ids.tolist()])
 
 
 def chunk_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -79,131 +88,170 @@ def chunk_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return [(at, min(len(text), at + size + overlap)) for at in range(0, max(1, len(text) - overlap), size)]
 
 
-def pretokens(text: str, begin: int, path: str, source: str) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Of a chunk that begins at ``begin``: where its pre-tokens begin and it ends, how many
-    ids come before each of these, and the ids."""
-    known = memo(path, source)
-    words = pattern(source).findall(text)
-    coded = [known[w] for w in words]
-    at = np.cumsum([begin, *map(len, words)])
-    return at, np.cumsum([0, *map(len, coded)]) // 4, b"".join(coded)
+def edges(text: str, begin: int, last: bool, overlap: int, source: str) -> tuple[list[int], list[int]]:
+    """Of a chunk that begins at ``begin``: the places where a pre-token begins in its first
+    ``overlap`` characters, and those in its last that the cut behind them cannot have moved.
+
+    The pattern only looks ahead: from a true boundary on a chunk's boundaries are true, but
+    for the last two pre-tokens before a cut, which the missing text may change.
+    """
+    at = np.cumsum([0, *map(len, pattern(source).findall(text))])
+    sure = at if last else at[: max(0, len(at) - 3)]
+    return (at[at < overlap] + begin).tolist(), (sure[sure >= len(text) - overlap] + begin).tolist()
 
 
-def stitch(bounds: list[np.ndarray]) -> list[tuple[int, int]] | None:
-    """Which pre-tokens (from, to) of each chunk make up the text; None if chunks don't meet.
+def stitch(parts: DataFrame) -> DataFrame:
+    """(row, chunk, begin, end): the stretch of its text that each chunk keeps; null if chunks don't meet.
 
-    The pattern only looks ahead: from a true boundary on, a chunk's boundaries are true,
-    but for the last two pre-tokens before a cut, which the missing text may change.  So
-    neighbours meet at the first boundary that both have and that is true in the earlier.
+    ``parts``: row, chunk, first, head, tail.  Neighbours meet at the least place that is in
+    the earlier one's tail and the later one's head.
     """
-    keep, begin = [], 0
-    for own, later in itertools.pairwise(bounds):
-        common = np.intersect1d(own[begin : max(begin, len(own) - 3)], later)
-        if not len(common):
-            return None
-        keep.append((begin, int(np.searchsorted(own, common[0]))))
-        begin = int(np.searchsorted(later, common[0]))
-    return [*keep, (begin, len(bounds[-1]) - 1)]
+    order = Window.partitionBy("row").orderBy("chunk")
+    meet = F.array_min(F.array_intersect(F.lag("tail").over(order), F.col("head")))
+    met = parts.select("row", "chunk", "size", F.when(F.col("chunk") == 0, F.lit(0).cast("long")).otherwise(meet).alias("begin"))
+    later = F.lead("chunk").over(order).isNull()
+    return met.select("row", "chunk", "begin", F.when(later, F.col("size")).otherwise(F.lead("begin").over(order)).alias("end"))
 
 
-def join_chunks(laid: list[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int, path: str, source: str) -> list[int]:
-    """Ids of a text from (bounds, ids before each, ids) of its chunks in order."""
-    kept = stitch([bounds for bounds, _, _ in laid])
-    if kept is None:  # a pre-token is longer than the overlap: the text is rebuilt and encoded whole
-        texts = [decode(ids.tolist(), path, source).decode("utf-8") for _, _, ids in laid]
-        return coder(path, source)[0].encode_ordinary("".join([t[:size] for t in texts[:-1]] + texts[-1:]))
-    return np.concatenate([ids[count[a] : count[b]] for (a, b), (_, count, ids) in zip(kept, laid, strict=True)]).tolist()
+#: A finished text, or (row set) one of its chunks: which, where it begins, the text's length, the piece.
+DONE = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
+CUT = f"{DONE}, row long, chunk int, size long, piece string"
 
 
-#: A finished text, or (key set) one of its chunks: the text of it, later its bounds and ids.
-ROWS = (
-    "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, "
-    "key string, n_chunks int, chunk int, piece string, bounds binary, counts binary, ids binary"
-)
-NAMES = [x.split()[0] for x in ROWS.split(", ")]
-DONE = NAMES[:4]
+class _Sink:
+    """Takes the ids of a text piece by piece; gives its finished row."""
 
+    def __init__(self, path: str, digests: bool) -> None:
+        self.path, self.digests = path, digests
+        self.n, self.kept, self.decimal, self.bytes = 0, [], hashlib.sha256(), hashlib.sha256()
 
-def _finished(doc_id: object, ids: list[int], path: str, source: str, digests: bool) -> list:
-    own = None if pd.isna(doc_id) else int(doc_id)
-    if not digests:
-        return [own, len(ids), None, None, *[None] * 6, np.array(ids, "<u4").tobytes()]
-    decimal = coder(path, source)[2]
-    listed = ",".join([decimal[i] for i in ids]).encode()
-    return [own, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decode(ids, path, source)).hexdigest(), *[None] * 7]
+    def add(self, raw: bytes) -> None:
+        ids = np.frombuffer(raw, "<u4")
+        if not len(ids):
+            return
+        if self.digests:
+            decimal = coder(self.path)[2]
+            listed = ",".join([decimal[i] for i in ids.tolist()])
+            self.decimal.update((listed if not self.n else f",{listed}").encode())
+            self.bytes.update(decode(ids, self.path))
+        else:
+            self.kept.append(raw)
+        self.n += len(ids)
 
+    def row(self, doc_id: object) -> list:
+        own = None if pd.isna(doc_id) else int(doc_id)
+        if self.digests:
+            return [own, self.n, self.decimal.hexdigest(), self.bytes.hexdigest(), None]
+        return [own, self.n, None, None, b"".join(self.kept)]
 
-def _frame(rows: list[list]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=NAMES).astype({"doc_id": "Int64", "n_tokens": "Int64", "n_chunks": "Int32", "chunk": "Int32"})
 
+def _frame(rows: list[list], schema: str) -> pd.DataFrame:
+    names = [part.split()[0] for part in schema.split(", ")]
+    frame = pd.DataFrame({name: [r[i] for r in rows] for i, name in enumerate(names)}, dtype=object)
+    return frame
+
+
+def _chunks(docs: DataFrame, ranks: str, source: str, size: int, overlap: int, digests: bool) -> DataFrame:
+    """Texts of one chunk finished, the others as chunks; ``docs``: row, doc_id, text."""
 
-def _run(docs: DataFrame, ranks: str, source: str, size: int, overlap: int, digests: bool) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = public_tokenizers.path(ranks)
-        whole = coder(path, source)[0].encode_ordinary
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
                 text = text or ""
                 at = chunk_bounds(text, size, overlap)
-                if len(at) == 1:
-                    out.append(_finished(doc_id, whole(text), path, source, digests))
-                    continue
                 own = None if pd.isna(doc_id) else int(doc_id)
-                key = f"{own} {hashlib.md5(text.encode('utf-8')).hexdigest()}"
-                out += [[own, None, None, None, key, len(at), i, text[a:b], None, None, None] for i, (a, b) in enumerate(at)]
-            yield _frame(out)
+                if len(at) == 1:
+                    sink = _Sink(path, digests)
+                    sink.add(pieces_of(text, path, source))
+                    out.append([*sink.row(doc_id), None, None, None, None])
+                else:
+                    out += [[own, None, None, None, None, row, i, len(text), text[a:b]] for i, (a, b) in enumerate(at)]
+            yield _frame(out, CUT)
+
+    return table(in_frames(docs, cut, CUT), "chunks")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _joined(long: DataFrame, ranks: str, source: str, size: int, overlap: int, digests: bool) -> DataFrame:
+    """Finished rows of the texts whose chunks are ``long``."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row, chunk, whole, piece in zip(batch["row"], batch["chunk"], batch["size"], batch["piece"], strict=True):
+                begin = int(chunk) * size
+                out.append([int(row), int(chunk), int(whole), *edges(piece, begin, begin + len(piece) == whole, overlap, source)])
+            yield _frame(out, "row, chunk, size, head, tail")
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = public_tokenizers.path(ranks)
         for batch in batches:
-            for name in ("bounds", "counts", "ids"):
-                batch[name] = batch[name].astype(object)
-            for i in np.flatnonzero(batch["key"].notna()):
-                at, count, ids = pretokens(batch["piece"].iat[i], int(batch["chunk"].iat[i]) * size, path, source)
-                for name, value in (("bounds", at.tobytes()), ("counts", count.tobytes()), ("ids", ids), ("piece", None)):
-                    batch.iat[i, NAMES.index(name)] = value
-            yield batch
-
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = []
+            for doc_id, row, chunk, begin, end, piece in zip(*(batch[c] for c in ("doc_id", "row", "chunk", "begin", "end", "piece")), strict=True):
+                base = int(chunk) * size
+                own = None if pd.isna(doc_id) else int(doc_id)
+                out.append([own, int(row), int(chunk), pieces_of(piece[int(begin) - base : int(end) - base], path, source)])
+            yield _frame(out, "doc_id, row, chunk, ids")
+
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = public_tokenizers.path(ranks)
-        for part in pieces(batches, "key"):
+        sink, now, doc = _Sink(path, digests), None, None
+        for batch in batches:
             out = []
-            for _, group in part.groupby("key", sort=False):
-                one = group.drop_duplicates("chunk").sort_values("chunk")
-                laid = [
-                    (np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, "<u4"))
-                    for a, b, c in zip(one["bounds"], one["counts"], one["ids"], strict=True)
-                ]
-                row = _finished(one["doc_id"].iat[0], join_chunks(laid, size, path, source), path, source, digests)
-                out += [row] * int((group["chunk"] == 0).sum())  # copies of a row share their key
-            yield _frame(out)
-
-    n = spread(docs)
-    spare = F.coalesce("key", F.xxhash64("doc_id", "ids_sha256").cast("string"))
-    rows = docs.select("doc_id", "text").mapInPandas(cut, ROWS)
-    rows = rows.repartition(n, spare, "chunk").mapInPandas(each, ROWS)
-    rows = rows.repartition(n, spare).sortWithinPartitions("key", "chunk")
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: list[pd.DataFrame] = []
-
-        def others() -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                single = batch["key"].isna()
-                done.append(batch[single])
-                if not single.all():
-                    yield batch[~single]
-                else:
-                    yield batch.iloc[:0]
+            for doc_id, row, ids in zip(batch["doc_id"], batch["row"], batch["ids"], strict=True):
+                if row != now:
+                    if now is not None:
+                        out.append(sink.row(doc))
+                    sink, now, doc = _Sink(path, digests), row, doc_id
+                sink.add(ids)
+            yield _frame(out, DONE)
+        if now is not None:
+            yield _frame([sink.row(doc)], DONE)
+
+    n = spread(long)
+    dealt = long.select("row", "chunk", "size", "piece").repartition(n, "row", "chunk")
+    marked = in_frames(dealt, mark, "row long, chunk int, size long, head array<long>, tail array<long>")
+    met = table(stitch(marked), "stitches").withColumnsRenamed({"row": "_row", "chunk": "_chunk"})
+    apart = met.filter("begin is null").select(F.col("_row").alias("_apart")).distinct()
+    same = (long["row"] == F.col("_row")) & (long["chunk"] == F.col("_chunk"))
+    ready = long.join(met.join(apart, F.col("_row") == F.col("_apart"), "left_anti"), same)
+    coded = in_frames(ready.select("doc_id", "row", "chunk", "begin", "end", "piece"), code, "doc_id long, row long, chunk int, ids binary")
+    done = in_frames(coded.repartition(n, "row").sortWithinPartitions("row", "chunk").select("doc_id", "row", "ids"), assemble, DONE)
+    if not apart.head(1):
+        return done
+
+    def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now, doc = [], None, None
+        for batch in batches:
+            out = []
+            for doc_id, row, whole, chunk, piece in zip(*(batch[c] for c in ("doc_id", "row", "size", "chunk", "piece")), strict=True):
+                if row != now:
+                    if now is not None:
+                        out.append([now, doc, "".join(held)])
+                    held, now, doc = [], int(row), None if pd.isna(doc_id) else int(doc_id)
+                held.append(piece if int(chunk) * size + len(piece) == whole else piece[:size])
+            yield _frame(out, "row, doc_id, text")
+        if now is not None:
+            yield _frame([[now, doc, "".join(held)]], "row, doc_id, text")
+
+    # a pre-token is longer than the overlap: such a text is cut anew, into wider chunks
+    again = long.join(apart, long["row"] == F.col("_apart"), "left_semi").repartition(n, "row").sortWithinPartitions("row", "chunk")
+    again = in_frames(again.select("doc_id", "row", "size", "chunk", "piece"), rebuild, "row long, doc_id long, text string")
+    wider = _chunks(again, ranks, source, size * 16, overlap * 16, digests)
+    return done.unionByName(_finished(wider, ranks, source, size * 16, overlap * 16, digests))
 
-        for out in join(others()):
-            yield out
-            yield from done
-            done.clear()
-        yield from done
 
-    return rows.mapInPandas(finish, ROWS)
+def _finished(chunks: DataFrame, ranks: str, source: str, size: int, overlap: int, digests: bool) -> DataFrame:
+    done = chunks.filter("row is null").select(*[part.split()[0] for part in DONE.split(", ")])
+    long = chunks.filter("row is not null")
+    return done.unionByName(_joined(long, ranks, source, size, overlap, digests)) if long.head(1) else done
+
+
+def _run(docs: DataFrame, ranks: str, source: str, size: int, overlap: int, digests: bool) -> DataFrame:
+    # a row's number tells copies apart; it is fixed once the chunks are written
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return _finished(_chunks(rows, ranks, source, size, overlap, digests), ranks, source, size, overlap, digests)
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, source: str = public_tokenizers.PATTERN, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -220,4 +268,4 @@ def encode(docs: DataFrame, ranks: str = RANKS, source: str = public_tokenizers.
 def digest(docs: DataFrame, ranks: str = RANKS, source: str = public_tokenizers.PATTERN, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256
     (of the bytes that the ids decode to) of every text, encoded as by ``encode``."""
-    return _run(docs, ranks, source, size, overlap, True).select(*DONE)
+    return _run(docs, ranks, source, size, overlap, True).drop("ids")

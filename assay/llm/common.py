@@ -1,53 +1,65 @@
-"""What the operators of this subpackage share: scratch tables, words, sorted groups."""
+"""What the operators of this subpackage share: words, frames, sorted groups, joins on hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import folder, shared_dir, table  # noqa: F401
+
 #: A word: a run of characters that are neither space nor one of U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+#: Arrow types of the columns that Python functions give back.
+ARROW = {
+    "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()),
+}
+
 
-    Only where it is unset (tests, one machine) a temporary folder is made and kept in
-    the session's settings.
+def in_frames(rows: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` that keeps every long as it is.
+
+    pandas makes numbers with a null among them floating point, which rounds those above
+    2**53.  So Arrow batches are taken, and a column of numbers with nulls becomes one of
+    the nullable extension type; ``schema`` is a list of "name type".
     """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="assay-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    arrow = pa.schema([(name, ARROW[kind]) for name, kind in (part.strip().split(" ", 1) for part in schema.split(", "))])
+    nullable = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+
+    def frame(batch: pa.RecordBatch) -> pd.DataFrame:
+        columns = {n: c.to_pandas(types_mapper=nullable.get) if c.null_count else c.to_pandas() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+        return pd.DataFrame(columns)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work(map(frame, batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone before its driver  # noqa: BLE001
-        return
+    return rows.mapInArrow(run, schema)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+#: A key with more than this share of the rows is dealt apart: there are at most 1 / HEAVY such keys.
+HEAVY = 1 / 500
 
-    This cuts the lineage (a lost executor costs a read, not the work before it), keeps
-    a costly scan from running twice and gives the planner the true size.  The folder is
-    removed when the driver ends.
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: Column, named: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``counted`` (one row per key, column ``named``) on ``key``, hot keys apart.
+
+    ``n`` of ``counted`` is how many of ``rows`` have the key.  The few keys that hold more
+    than HEAVY of all rows are at most 500, whatever the corpus, and so are broadcast; the
+    rest is shuffled, so no task gets more than that share for one key.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/assay-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total * HEAVY
+    heavy = F.broadcast(counted.filter(hot))
+    names = F.broadcast(counted.filter(hot).select(F.col(named).alias("_hot")))
+    rest = rows.join(names, key == F.col("_hot"), "left_anti")
+    return rows.join(heavy, key == F.col(named)).unionByName(rest.join(counted.filter(~hot), key == F.col(named), how))
 
 
 def word_count(text: str | Column) -> Column:

@@ -3,8 +3,8 @@
 Every document gets a hash-random key.  Within a source, documents are taken in key
 order until the source's budget is used up: ``full`` whole passes and one cut pass.
 The cut is found without sorting a source in one task: keys are ranged into blocks of
-about ``block_rows`` documents, block totals give the distributed prefix sum, and only
-the block that holds the cut is sorted.  What is left is one small row per source, so
+about ``block_rows`` documents, and totals of blocks, of groups of blocks and so on give
+the prefix sums, level by level, down to the block that holds the cut; only it is sorted.  What is left is one small row per source, so
 documents are marked where they are read; neither rows nor texts are shuffled.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import place, running
 from .common import table, word_count
 
 KEY_BITS = 52
@@ -38,30 +39,55 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     Weights repeat over the sources by code point, null last.  Targets share the sum of
     all sizes by weight, but stop at ``cap`` times the source's size; the excess goes to
     the others by weight until none is above.  Sorted by ``cap * size / weight``, the
-    sources that stop come first, so one running sum finds the level of the rest.
+    sources that stop come first, so one running sum finds the level of the rest.  Places
+    and running sums are distributed: sources may be as many as web hosts.
     """
-    rank = Window.orderBy(F.col("_source").asc_nulls_last())
-    level = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("_rank"))
-    everything = Window.partitionBy()
-    s = (
-        sizes.withColumn("_rank", F.row_number().over(rank))
-        .withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") - 1) % len(weights) + 1).cast("long"))
-        .withColumn("_cap", F.col("source_size") * cap)
-    )
-    before = level.rowsBetween(Window.unboundedPreceding, -1)
-    s = (
-        s.withColumn("_all", F.sum("source_size").over(everything))
-        .withColumn("_left", F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
-        .withColumn("_open", F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
-    )
+    s = place(sizes.withColumn("_absent", F.col("_source").isNull()), [F.col("_absent"), F.col("_source")], "_rank")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("long")
+    s = s.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * cap)
+    s = running(s.withColumn("_ratio", F.col("_cap") / F.col("_w")), [F.col("_ratio"), F.col("_rank")], {"_spent": F.col("_cap"), "_gone": F.col("_w")})
+    s = table(s, "levels")
+    everything, all_weights = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    s = s.withColumn("_left", F.lit(everything) - F.col("_spent")).withColumn("_open", F.lit(all_weights) - F.col("_gone"))
     wide = "decimal(38,0)"
-    stops = F.col("_cap").cast("decimal(19,0)") * F.col("_open").cast("decimal(19,0)") <= F.col("_left").cast("decimal(19,0)") * F.col("_w").cast("decimal(19,0)")
-    s = s.withColumn("_at", F.min(F.when(~stops, F.struct((F.col("_cap") / F.col("_w")).alias("r"), "_rank", "_left", "_open"))).over(everything))
-    share = (F.col("_w").cast("decimal(19,0)") * F.col("_at._left").cast("decimal(19,0)")).cast(wide).cast("double") / F.col("_at._open").cast("double")
-    target = F.when(stops | F.col("_at").isNull(), F.col("_cap").cast("double")).otherwise(F.least(share, F.col("_cap").cast("double")))
+
+    def product(a: Column, b: Column) -> Column:
+        return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+
+    stops = product(F.col("_cap"), F.col("_open")) <= product(F.col("_left"), F.col("_w"))
+    first = s.filter(~stops).agg(F.min(F.struct("_ratio", "_rank", "_left", "_open")).alias("at")).first()["at"]
+    full = F.col("_cap").cast("double")
+    if first is None:
+        target = full
+    else:
+        share = product(F.col("_w"), F.lit(first["_left"])).cast(wide).cast("double") / F.lit(float(first["_open"]))
+        target = F.when(stops, full).otherwise(F.least(share, full))
     return s.select("_source", "n", "source_size", F.col("_w").alias("weight"), target.alias("target"))
 
 
+#: Blocks in a group of blocks, groups in a group of groups: the steps down to a cut.
+FAN = 1024
+
+
+def _descend(parts: DataFrame, levels: int) -> DataFrame:
+    """(_hp, _hb, _before) of the block that holds each source's cut, from (_p, _block, rest, _sum).
+
+    Totals are summed over groups of FAN ** level blocks.  A source's window is over FAN rows
+    at a time: first its largest groups, then the groups within the one that holds the cut.
+    """
+    found = parts.groupBy("_p", "rest").agg(F.lit(0).cast("long").alias("_in"), F.lit(0).cast("long").alias("_base"))
+    for level in reversed(range(levels)):
+        size, wider = FAN**level, FAN ** (level + 1)
+        sums = parts.groupBy(F.col("_p").alias("_q"), F.floor(F.col("_block") / size).alias("_g")).agg(F.sum("_sum").alias("_sum"))
+        upper = F.floor(F.col("_g") / (wider // size)) if level < levels - 1 else F.lit(0).cast("long")
+        inside = found.join(sums, F.col("_p").eqNullSafe(F.col("_q")) & (upper == F.col("_in")))
+        before = Window.partitionBy("_p").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+        inside = inside.withColumn("_base", F.col("_base") + F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        inside = inside.filter((F.col("_base") <= F.col("rest")) & (F.col("rest") < F.col("_base") + F.col("_sum")))
+        found = table(inside.select("_p", "rest", F.col("_g").alias("_in"), "_base"), "cut-level")
+    return found.select(F.col("_p").alias("_hp"), F.col("_in").alias("_hb"), F.col("_base").alias("_before"))
+
+
 def cuts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 42, block_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(sized documents, one row per source with target, whole passes and the cut)."""
     sized = table(_sized(docs, seed), "sized")
@@ -76,13 +102,11 @@ def cuts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, se
     plan = table(plan.withColumnRenamed("_source", "_p"), "plan")
     block = F.floor(F.col("_key").cast("double") * F.col("blocks") / F.lit(float(2**KEY_BITS))).cast("long")
     placed = sized.join(plan, F.col("_source").eqNullSafe(F.col("_p"))).select("_p", "doc_id", "size", "_key", "rest", block.alias("_block"))
-    running = Window.partitionBy("_p").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    holds = (
-        placed.groupBy("_p", "_block", "rest").agg(F.sum("size").alias("_sum"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(running), F.lit(0)))
-        .filter((F.col("_before") <= F.col("rest")) & (F.col("rest") < F.col("_before") + F.col("_sum")))
-    )
-    holds = table(holds.select(F.col("_p").alias("_hp"), F.col("_block").alias("_hb"), "_before"), "cut-blocks")
+    parts = table(placed.groupBy("_p", "_block", "rest").agg(F.sum("size").alias("_sum")), "blocks")
+    most, levels = plan.agg(F.max("blocks")).first()[0] or 1, 1
+    while FAN**levels < most:
+        levels += 1
+    holds = _descend(parts, levels)
     one = (
         placed.join(holds, F.col("_p").eqNullSafe(F.col("_hp")) & (F.col("_block") == F.col("_hb")))
         .groupBy("_p", "_before", "rest", "_key", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "size").agg(F.count(F.lit(1)).alias("_copies"))
@@ -125,7 +149,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     """The mixed documents, with the input's columns: a document is there once per pass.
 
     Texts stay whole: the document at the cut is in the last pass if at least half of
-    its words are inside the budget.  Documents that no pass takes are left out.
+    its words are inside the budget.  Documents that no pass takes are left out, and so are
+    null and empty texts, which have no words.  A null source is one of its own, after the
+    others.  Repeated rows come as often as each other.  An empty table stays empty, and
+    extra columns, whatever their names, are kept as they are.
     """
     _, plan = cuts(docs, weights, cap, seed)
     plan = plan.select(F.col("_p").alias("_mix_s"), F.col("full").alias("_mix_full"), F.col("cut").alias("_mix_cut"), F.col("part").alias("_mix_part"))

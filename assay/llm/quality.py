@@ -14,14 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD
+from .common import WORD, in_frames
 
 FOUND = re.compile(WORD)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Words that are sorted at a time (a longer document is sorted alone).
 BATCH_WORDS = 1 << 19
+#: Repeats of so many words or more may cover this share of the characters; none may be longer than LONGEST words.
+LONG_WORDS, FRACTION, LONGEST = 10, 0.1, 60
 
 
 def common_prefixes(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +134,7 @@ def _measure(ids: list, texts: list[str], lists: list[list[str]], rules: tuple[i
     (repeat, long), longest = covered(numbers.astype(np.int64), doc, len(lists), ((window, None), (long_words, chars)))
     failed = (n_words < 10) | (100 * repeat > 20 * n_words)
     return pd.DataFrame({
-        "doc_id": pd.array(ids, dtype="Int64"),
+        "doc_id": pd.array(ids, dtype="Int64"),  # nulls and large ids stay whole
         "n_words": n_words,
         "word_chars": word_chars,
         "n_symbols": [len(SYMBOLS.findall(t)) for t in texts],
@@ -166,7 +169,7 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, li
             yield batch.iloc[begin:], lists
 
 
-def measure(docs: DataFrame, window: int = 5, long_words: int = 10, fraction: float = 0.25, longest_words: int = 120) -> DataFrame:
+def measure(docs: DataFrame, window: int = 5, long_words: int = LONG_WORDS, fraction: float = FRACTION, longest_words: int = LONGEST) -> DataFrame:
     """Counts and verdict of every document.
 
     Result: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (words in
@@ -184,19 +187,27 @@ def measure(docs: DataFrame, window: int = 5, long_words: int = 10, fraction: fl
         for rows, lists in _batches(batches):
             yield _measure(list(rows["doc_id"]), [t or "" for t in rows["text"]], lists, rules)
 
-    return docs.select("doc_id", "text").mapInPandas(run, COLUMNS)
+    return in_frames(docs.select("doc_id", "text"), run, COLUMNS)
 
 
-def keep_good(docs: DataFrame, window: int = 5, long_words: int = 10, fraction: float = 0.25, longest_words: int = 120) -> DataFrame:
-    """The documents that ``measure`` keeps, with the input's columns; one pass, no shuffle."""
+def keep_good(docs: DataFrame, window: int = 5, long_words: int = LONG_WORDS, fraction: float = FRACTION, longest_words: int = LONGEST) -> DataFrame:
+    """The documents that ``measure`` keeps, with the input's columns; one pass, no shuffle.
+
+    Rows pass as Arrow batches of which some are left out, so every value stays as it is,
+    whatever the columns' names.  Null, empty and white texts go; repeated rows stay or go
+    together; an empty table stays empty.
+    """
     rules = (window, long_words, fraction, longest_words)
+    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, lists in _batches(batches):
-            found = _measure([None] * len(rows), [t or "" for t in rows["text"]], lists, rules)
-            yield rows[found["kept"].to_numpy()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frames = iter([pd.DataFrame({"text": batch.column(at).to_pandas()})])
+            kept = [_measure([None] * len(rows), [t or "" for t in rows["text"]], lists, rules)["kept"] for rows, lists in _batches(frames)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 ORACLE = r"""
@@ -207,16 +218,16 @@ v AS (SELECT r, i, w,
         CASE WHEN lead(i, 4) OVER p IS NOT NULL THEN concat_ws(' ', w, lead(w, 1) OVER p, lead(w, 2) OVER p, lead(w, 3) OVER p, lead(w, 4) OVER p) END AS s5,
         CASE WHEN lead(i, 9) OVER p IS NOT NULL THEN concat_ws(' ', w, lead(w, 1) OVER p, lead(w, 2) OVER p, lead(w, 3) OVER p, lead(w, 4) OVER p,
              lead(w, 5) OVER p, lead(w, 6) OVER p, lead(w, 7) OVER p, lead(w, 8) OVER p, lead(w, 9) OVER p) END AS s10,
-        CASE WHEN lead(i, 120) OVER p IS NOT NULL THEN string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 120 FOLLOWING) END AS s121
+        CASE WHEN lead(i, 60) OVER p IS NOT NULL THEN string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 60 FOLLOWING) END AS s61
       FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
 h AS (SELECT r, i, w,
         s5 IS NOT NULL AND count(*) OVER (PARTITION BY r, s5) > 1 AS h5,
         s10 IS NOT NULL AND count(*) OVER (PARTITION BY r, s10) > 1 AS h10,
-        s121 IS NOT NULL AND count(*) OVER (PARTITION BY r, s121) > 1 AS h121
+        s61 IS NOT NULL AND count(*) OVER (PARTITION BY r, s61) > 1 AS h61
       FROM v),
 m AS (SELECT r, w, bool_or(h5) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c5,
-        bool_or(h10) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, h121 FROM h),
-q AS (SELECT r, count(*) FILTER (c5) AS n_repeat_words, coalesce(sum(length(w)) FILTER (c10), 0) AS n_long, bool_or(h121) AS over FROM m GROUP BY r),
+        bool_or(h10) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10, h61 FROM h),
+q AS (SELECT r, count(*) FILTER (c5) AS n_repeat_words, coalesce(sum(length(w)) FILTER (c10), 0) AS n_long, bool_or(h61) AS over FROM m GROUP BY r),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 k AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 a AS (SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, CAST(coalesce(c.word_chars, 0) AS BIGINT) AS word_chars,
@@ -225,6 +236,6 @@ a AS (SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, CAST(coalesce(c.word_c
       FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r) LEFT JOIN q USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_long <= 0.25 * word_chars AND NOT over AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_long <= 0.1 * word_chars AND NOT over AS kept
 FROM a
 """

@@ -3,16 +3,20 @@
 Column expressions only.  A regular expression's matches and the pieces between them
 (``regexp_extract_all`` and ``split``) give every match's place by running lengths.
 
-The battery looks at runs of 20 or more key characters that no fixed kind covers:
+The battery looks at runs of 20 or more key characters that no fixed kind covers, and at
+the pieces of them between slashes:
 
 * the encoding is inferred from the characters: hex, base32, base62 or base64;
-* chi-squared uniformity: the statistic is linear in the number of equal pairs of
-  characters, which is held against what text would have (its share of equal pairs),
-  giving the p-value of "this is text";
-* runs above and below the middle of the alphabet, and lag-1 serial correlation: a token
-  that is too far from random in either is dropped;
-* the p-values of a document are weighted by length (long tokens have the power) and the
-  Benjamini-Hochberg rule decides which are discoveries.
+* chi-squared uniformity over its alphabet: the statistic is linear in the number of equal
+  pairs of characters, whose share is 1 / k if uniform and TEXT_PAIRS in text;
+* runs above and below the middle of the alphabet, whose turns text has in TEXT_TURNS of its
+  places, and the lag-1 serial correlation;
+* "random" has three p-values, of uniformity, runs and correlation, combined as three times
+  the least; "text" has two, of few equal pairs and of many turns, combined by Fisher's rule;
+* a document's p-values are divided by length (long tokens have the power, so they get the
+  greater part of the rate), and the Benjamini-Hochberg rule decides twice: which tokens
+  aren't text, at ``rate``, and which of these aren't random either, at ``lost``.  What is no
+  text and may be random is a secret.
 """
 
 from __future__ import annotations
@@ -34,15 +38,18 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+$", "+/" + DIGITS + UPPER + LOWER),
     ("base64url", "^[A-Za-z0-9_-]+$", "-" + DIGITS + UPPER + "_" + LOWER),
 )
-#: Share of equal pairs of characters in text; of an alphabet of k, at least 2 / k.
-TEXT_PAIRS = 0.065
+PIECE = r"[A-Za-z0-9+_-]{20,}"
+#: Share of equal pairs of characters in text (of an alphabet of k, at least 2 / k), and of
+#: places where words in camel case turn from the lower to the upper half of the alphabet.
+TEXT_PAIRS, TEXT_TURNS = 0.065, 0.35
+SPANS = "array<struct<start:int,end:int,match:string>>"
 
 
 def spans(text: Column, pattern: str) -> Column:
     """Matches of ``pattern`` as array of (start, end, match), in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    empty = F.array().cast(SPANS)
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, match: Column) -> Column:
@@ -64,48 +71,51 @@ def upper_tail(z: Column) -> Column:
 
 
 def _battery(match: Column) -> Column:
-    """(p, mixed, runs, serial) of a token: p of "text", has digit and letter, two z-values."""
+    """(n, text, random) of a token: its length and the p-values of being text and of being random."""
     encoding = F.lit(None).cast("string")
     for _, pattern, alphabet in reversed(ENCODINGS):
         encoding = F.when(match.rlike(pattern), F.lit(alphabet)).otherwise(encoding)
     # hex is compared in lower case
     body = F.when(match.rlike(ENCODINGS[0][1]), F.lower(match)).otherwise(match)
-    body = F.struct(body.alias("body"), encoding.alias("alphabet"))
 
-    def test(x: Column) -> Column:
-        n = F.length(x["body"]).cast("double")
-        k = F.length(x["alphabet"]).cast("double")
-        values = F.transform(F.split(x["body"], ""), lambda c: F.instr(x["alphabet"], c).cast("double") - 1)
-        row = F.struct(n.alias("n"), k.alias("k"), values.alias("v"), x["body"].alias("body"))
-        return _one(row, test_counts)
+    def values(x: Column) -> Column:
+        n, k = F.length(x["body"]).cast("double"), F.length(x["alphabet"]).cast("double")
+        v = F.transform(F.split(x["body"], ""), lambda c: F.instr(x["alphabet"], c).cast("double") - 1)
+        return _one(F.struct(n.alias("n"), k.alias("k"), v.alias("v"), x["body"].alias("body")), counts)
 
-    def test_counts(r: Column) -> Column:
+    def counts(r: Column) -> Column:
         squares = F.aggregate(
             F.array_distinct(F.split(r["body"], "")), F.lit(0.0),
             lambda acc, c: acc + F.pow((F.length(r["body"]) - F.length(F.replace(r["body"], c, F.lit("")))).cast("double"), F.lit(2.0)),
         )
-        pairs = r["n"] * (r["n"] - 1) / 2
-        share = F.greatest(F.lit(TEXT_PAIRS), 2 / r["k"])
-        equal = (squares - r["n"]) / 2  # chi-squared = k / n * squares - n
-        p = upper_tail((pairs * share - equal) / F.sqrt(pairs * share * (1 - share)))
-        half = (r["k"] - 1) / 2
-        high = F.transform(r["v"], lambda v: v > half)
-        n1 = F.size(F.filter(high, lambda h: h)).cast("double")
-        n0 = r["n"] - n1
-        runs = 1 + F.size(F.filter(F.zip_with(F.slice(high, 2, F.size(high) - 1), F.slice(high, 1, F.size(high) - 1), lambda a, b: a != b), lambda d: d)).cast("double")
-        mean = 1 + 2 * n0 * n1 / r["n"]
-        var = (mean - 1) * (mean - 2) / (r["n"] - 1)
-        z_runs = F.when(var > 0, (runs - mean) / F.sqrt(var)).otherwise(F.lit(-99.0))
+        high = F.transform(r["v"], lambda v: v > (r["k"] - 1) / 2)
+        turns = F.size(F.filter(F.zip_with(F.slice(high, 2, F.size(high) - 1), F.slice(high, 1, F.size(high) - 1), lambda a, b: a != b), lambda d: d))
         centre = F.aggregate(r["v"], F.lit(0.0), lambda acc, v: acc + v) / r["n"]
         spread = F.aggregate(r["v"], F.lit(0.0), lambda acc, v: acc + (v - centre) * (v - centre))
         lagged = F.aggregate(
             F.zip_with(F.slice(r["v"], 2, F.size(r["v"]) - 1), F.slice(r["v"], 1, F.size(r["v"]) - 1), lambda a, b: (a - centre) * (b - centre)),
             F.lit(0.0), lambda acc, v: acc + v,
         )
-        z_serial = F.when(spread > 0, lagged / spread * F.sqrt(r["n"])).otherwise(F.lit(99.0))
-        return F.struct(p.alias("p"), r["n"].alias("n"), z_runs.alias("runs"), z_serial.alias("serial"))
-
-    return _one(body, test)
+        return _one(F.struct(
+            r["n"].alias("n"), r["k"].alias("k"), ((squares - r["n"]) / 2).alias("equal"), turns.cast("double").alias("turns"),
+            F.size(F.filter(high, lambda h: h)).cast("double").alias("high"), spread.alias("spread"), lagged.alias("lagged"),
+        ), p_values)
+
+    def p_values(r: Column) -> Column:
+        n, pairs = r["n"], r["n"] * (r["n"] - 1) / 2
+        share, even = F.greatest(F.lit(TEXT_PAIRS), 2 / r["k"]), 1 / r["k"]
+        few = upper_tail((pairs * share - r["equal"]) / F.sqrt(pairs * share * (1 - share)))
+        many = upper_tail((r["turns"] - (n - 1) * TEXT_TURNS) / F.sqrt((n - 1) * TEXT_TURNS * (1 - TEXT_TURNS)))
+        uniform = upper_tail((r["equal"] - pairs * even) / F.sqrt(pairs * even * (1 - even)))
+        mean = 1 + 2 * (n - r["high"]) * r["high"] / n
+        deviation = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(0.0)))
+        # all on one side of the middle: half to the power of n - 1
+        runs = F.when(deviation > 0, 2 * upper_tail(F.abs((1 + r["turns"] - mean) / deviation))).otherwise(F.pow(F.lit(2.0), 1 - n))
+        serial = F.when(r["spread"] > 0, 2 * upper_tail(F.abs(r["lagged"] / r["spread"] * F.sqrt(n)))).otherwise(F.lit(0.0))
+        product = F.greatest(few * many, F.lit(1e-300))
+        return F.struct(n.alias("n"), (product * (1 - F.ln(product))).alias("text"), F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial)).alias("random"))
+
+    return _one(F.struct(body.alias("body"), encoding.alias("alphabet")), values)
 
 
 def _one(value: Column, then) -> Column:  # noqa: ANN001
@@ -113,52 +123,73 @@ def _one(value: Column, then) -> Column:  # noqa: ANN001
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _random(candidates: Column, rate: float, limit: float) -> Column:
-    """The candidates (start, end, match) that the battery and the discovery rule leave."""
-    tested = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), _battery(c["match"]).alias("t")))
-
-    def decide(all_: Column) -> Column:
-        mean = F.aggregate(all_, F.lit(0.0), lambda acc, c: acc + c["t"]["n"]) / F.size(all_)
-        weighted = F.transform(all_, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), c["t"].alias("t"), (c["t"]["p"] * mean / c["t"]["n"]).alias("w")))
-        return _one(weighted, discover)
+def _discovered(all_: Column, name: str, rate: float, then) -> Column:  # noqa: ANN001
+    """``then(all_, p, level)``: ``p(c)`` is a candidate's p-value ``name`` by its part of the rate, and
+    those up to ``level`` are discoveries by the Benjamini-Hochberg rule."""
+    total = F.aggregate(all_, F.lit(0.0), lambda acc, c: acc + c["t"]["n"])
 
-    def discover(all_: Column) -> Column:
-        ranked = F.array_sort(F.transform(all_, lambda c: c["w"]))
+    def weighted(mean: Column) -> Column:
+        p = lambda c: c["t"][name] * mean / c["t"]["n"]
+        ranked = F.array_sort(F.transform(all_, p))
         places = F.sequence(F.lit(1), F.size(all_))
         level = _one(ranked, lambda r: F.aggregate(places, F.lit(-1.0), lambda acc, i: F.when(F.element_at(r, i) <= rate * i / F.size(r), F.element_at(r, i)).otherwise(acc)))
-        left = _one(level, lambda at: F.filter(all_, lambda c: (c["w"] <= at) & (F.abs(c["t"]["runs"]) <= limit) & (F.abs(c["t"]["serial"]) <= limit)))
-        return F.transform(left, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match")))
+        return _one(level, lambda at: then(all_, p, at))
 
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(F.size(candidates) > 0, _one(tested, decide)).otherwise(empty)
+    return _one(total / F.size(all_), weighted)
 
 
-def find(docs: DataFrame, text: str = "text", rate: float = 0.05, limit: float = 3.3) -> DataFrame:
-    """``docs`` with ``secrets``: array of (start, kind, end), by start and then kind's place in KINDS.
+def _random(candidates: Column, rate: float, lost: float) -> Column:
+    """The candidates (start, end, match) that are no text and may be random; of nested ones the longest."""
+    bare = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"))
+    empty = F.array().cast(SPANS)
+    tested = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), _battery(c["match"]).alias("t")))
 
-    Null texts are taken as empty and have none.  Kinds may overlap each other (a token
-    that is assigned and hex is both); random ones overlap no other.  Any columns may be
-    there besides; one named ``secrets`` is replaced.  An empty table stays empty.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    step = docs.withColumns({"_assign": spans(t, ASSIGN), "_access": spans(t, ACCESS), "_hex": spans(t, HEX), "_token": spans(t, TOKEN)})
-    long_enough = F.filter("_assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 8)
-    step = step.withColumn("_assign", F.when(F.size("_assign") > 0, long_enough).otherwise(F.col("_assign")))
-    step = step.withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    mixed = F.filter(
-        "_token",
-        lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]") & ~F.coalesce(s["match"].rlike("[+/].*[_-]|[_-].*[+/]"), F.lit(False))
-        & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    step = step.withColumn("_token", F.when(F.size("_token") > 0, mixed).otherwise(F.col("_token")))
-    step = step.withColumn("_random", _random(F.col("_token"), rate, limit))
+    def left(found: Column) -> Column:
+        def outer(some: Column) -> Column:
+            inside = lambda c: F.exists(some, lambda o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (o["end"] - o["start"] > c["end"] - c["start"]))
+            return F.transform(F.filter(some, lambda c: ~inside(c)), bare)
+
+        keep = _discovered(found, "random", lost, lambda all_, p, at: F.filter(all_, lambda c: p(c) > at))
+        return F.when(F.size(found) > 0, _one(keep, outer)).otherwise(empty)
+
+    strange = _one(tested, lambda all_: _discovered(all_, "text", rate, lambda some, p, at: F.filter(some, lambda c: p(c) <= at)))
+    return F.when(F.size(candidates) > 0, _one(strange, left)).otherwise(empty)
+
+
+def _with_spans(docs: DataFrame, text: str, rate: float, lost: float) -> DataFrame:
+    """(row, t, found): the input's columns as one struct, so that no name of theirs can clash,
+    the text, and its spans (start, kind, end)."""
+    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    t = F.col("t")
+    step = step.withColumns({"assign": spans(t, ASSIGN), "access": spans(t, ACCESS), "hex": spans(t, HEX), "token": spans(t, TOKEN)})
+    long_enough = F.filter("assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 8)
+    step = step.withColumn("assign", F.when(F.size("assign") > 0, long_enough).otherwise(F.col("assign")))
+    step = step.withColumn("base", F.concat("assign", "access", "hex"))
+    # a run with a slash may be a path: its pieces are candidates too
+    both = F.when(F.exists("token", lambda s: s["match"].contains("/")), F.array_distinct(F.concat("token", spans(t, PIECE)))).otherwise(F.col("token"))
+    encoded = "|".join(pattern for _, pattern, _ in ENCODINGS)
+    fit = F.filter(both, lambda s: s["match"].rlike(encoded) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    step = step.withColumn("token", F.when(F.size("token") > 0, fit).otherwise(F.col("token")))
+    step = step.withColumn("random", _random(F.col("token"), rate, lost))
 
     def kind(name: str, at: int) -> Column:
         return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(at).alias("kind"), s["end"].alias("end")))
 
-    every = F.concat(*[kind(f"_{k}", i) for i, k in enumerate(KINDS)])
+    every = F.concat(*[kind(k, i) for i, k in enumerate(KINDS)])
     # an array of structs sorts by start, then kind
-    return step.withColumn("secrets", F.array_sort(every)).drop("_assign", "_access", "_hex", "_token", "_base", "_random")
+    return step.select("row", "t", F.array_sort(every).alias("found"))
+
+
+def find(docs: DataFrame, text: str = "text", rate: float = 0.01, lost: float = 0.002) -> DataFrame:
+    """``docs`` with ``secrets``: array of (start, kind, end), by start and then kind's place in KINDS.
+
+    Null and empty texts have none; texts of any length are searched whole.  Kinds may overlap
+    each other (a token that is assigned and hex is both); random ones overlap no other.
+    Repeated rows have the same.  Any columns may be there besides, and keep their values; one
+    named ``secrets`` is replaced.  An empty table stays empty.
+    """
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != "secrets"]
+    return _with_spans(docs, text, rate, lost).select(*kept, F.col("found").alias("secrets"))
 
 
 def _joined(found: Column) -> Column:
@@ -167,7 +198,11 @@ def _joined(found: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans of every document."""
+    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans of every document.
+
+    One row per input row, repeated rows alike; null and empty texts have none of any kind
+    and an empty list.  An empty table gives an empty result; extra columns are ignored.
+    """
     found = find(docs.select("doc_id", "text"))
 
     def count(at: int) -> Column:
@@ -180,20 +215,24 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.01, lost: float = 0.002) -> DataFrame:
     """The documents with every secret replaced by ``mark``; overlapping ones by a single one.
 
-    ``n_chars``, where there is such a column, becomes the new length of a changed text.
+    ``n_chars``, where there is such a column, becomes the new length of a changed text.  All
+    other values stay as they are, whatever the columns' names.  Null and empty texts stay;
+    repeated rows change alike; an empty table stays empty.
     """
-    t = F.coalesce(F.col("text"), F.lit(""))
+    t = F.col("t")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = F.concat(acc["out"], F.substr(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("secrets", begin, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))
-    done = find(docs).withColumn("text", F.when(F.size("secrets") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate("found", begin, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))
+    hit = F.size("found") > 0
+    done = _with_spans(docs, "text", rate, lost).select("row", "found", F.when(hit, clean).otherwise(F.col("row.text")).alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        new["n_chars"] = F.when(hit, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

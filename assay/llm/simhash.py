@@ -2,10 +2,11 @@
 
 Two 64-bit fingerprints that differ in at most ``d`` bits differ in at most ``d`` of
 their 8 bytes, so they share at least ``8 - d`` bytes at the same position.  The index
-lists fingerprints under triples of (position, byte); the triples are chosen so that any
-``8 - d`` shared positions hold at least one of them, which loses no pair.  Within a
-list the shared positional bytes of each pair are tallied, pairs with fewer than
-``8 - d`` are dropped, and the rest are verified by their differing bits.
+lists fingerprints under triples of (position, byte), as single ones would be lists of
+1/256 of all; the triples are chosen so that any ``8 - d`` shared positions hold at least one
+of them, which loses no pair.  Within a list each of the other positions has its postings,
+the entries that hold a byte there.  The postings are tallied per pair, pairs whose tally and
+triple don't reach ``8 - d`` are dropped, and the rest are verified by their differing bits.
 
 A list never emits its pairs: it emits a forest that connects what it verified, so the
 output stays below its number of entries.  Lists over ``list_rows`` entries are dealt
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, spread, table
+from .common import in_frames, join_counted, pieces, spread, table
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: A word over UTF-8: its separators are single bytes that no other character contains.
@@ -82,7 +83,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             fps = np.fromiter((fingerprint(t, words, seed) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "fp": fps.view(np.int64)})
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInPandas(score, "doc_id long, th long, fp long")
+    return in_frames(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), score, "doc_id long, th long, fp long")
 
 
 def position_sets(shared: int, width: int) -> list[tuple[int, ...]]:
@@ -115,45 +116,78 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def verified(x: np.ndarray, y: np.ndarray, bits: int, most: int) -> np.ndarray:
-    """Which pairs share ``8 - bits`` positional bytes or more and differ in ``most`` bits or less."""
-    diff = x ^ y
-    shared = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    out = shared >= max(0, 8 - bits)
-    out[out] = np.bitwise_count(diff[out]) <= most
-    return out
+def tallied(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, held: np.ndarray, need: int, cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of a list that share ``need`` positional bytes or more, counted from postings.
 
-
-def _links(batches: Iterator[pd.DataFrame], bits: int, most: int) -> Iterator[pd.DataFrame]:
-    """From rows (entry, side, fp) sorted by entry: edges that connect all linked pairs.
-
-    side 0: compared with all of its entry; sides 1 and 2: only 1 with 2.
+    Entry ``i`` belongs to the list of places ``begin[i]`` to ``end[i]``; ``held[i]`` marks the
+    positions that all of its list share.  At each other position the entries of a list with
+    the same byte are a posting: every pair of it gets one more.  ``cells``: tallies at a time.
     """
+    n = len(fp)
+    shared = held.sum(axis=1)
+    byte = fp.view(np.uint8).reshape(-1, 8).astype(np.int64)
+    postings = []
+    for p in range(8):
+        rows = np.flatnonzero(~held[:, p])
+        rows = rows[np.argsort(begin[rows] * 256 + byte[rows, p], kind="stable")]
+        key = begin[rows] * 256 + byte[rows, p]
+        stop = np.searchsorted(key, key, side="right")
+        many = stop - np.arange(len(rows)) > 1  # the last of a posting has no later partner
+        where = np.zeros(n, np.int64)
+        later = np.zeros(n, np.int64)
+        where[rows[many]] = np.flatnonzero(many)
+        later[rows[many]] = (stop - np.arange(len(rows)) - 1)[many]
+        postings.append((rows, where, later))
+    width = end - begin
+    room = np.concatenate([[0], np.cumsum(width)])
+    at = 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(room, room[at] + cells, side="right")) - 1)
+        base, own = room[at], slice(at, upto)
+        tally = np.zeros(int(room[upto] - base), np.int64)
+        for rows, where, later in postings:
+            left = np.flatnonzero(later[own]) + at
+            count = later[left]
+            each = np.repeat(left, count)
+            if not len(each):
+                continue
+            ahead = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + 1
+            right = rows[where[each] + ahead]
+            tally += np.bincount(room[each] - base + right - begin[each], minlength=len(tally))
+        hit = np.flatnonzero(tally)
+        i = np.searchsorted(room, hit + base, side="right") - 1
+        j = begin[i] + hit + base - room[i]
+        enough = tally[hit] + shared[i] >= need
+        yield i[enough], j[enough]
+        at = upto
+
+
+def _links(batches: Iterator[pd.DataFrame], sets: list[tuple[int, ...]], bits: int, most: int) -> Iterator[pd.DataFrame]:
+    """From rows (entry, side, slot, fp) sorted by entry: edges that connect all linked pairs.
+
+    slot: which of ``sets`` the entry's key holds.  side 0: compared with all of its entry;
+    sides 1 and 2: only 1 with 2.
+    """
+    holds = np.array([[p in some for p in range(8)] for some in sets])
     for part in pieces(batches, "entry"):
-        fp = part["fp"].to_numpy().view(np.uint64)
-        entry, side = part["entry"].to_numpy(), part["side"].to_numpy()
+        fp = part["fp"].to_numpy(np.int64).view(np.uint64)
+        entry, side = part["entry"].to_numpy(np.int64), part["side"].to_numpy(np.int32)
         n = len(fp)
-        first = np.concatenate([[True], entry[1:] != entry[:-1]])
-        group = np.cumsum(first) - 1
-        end = np.append(np.flatnonzero(first)[1:], n)[group]
-        left, right = [], []
-        at, step = np.flatnonzero(end - np.arange(n) > 1), 1
-        while len(at):
-            for cut in range(0, len(at), 1 << 20):
-                i = at[cut : cut + (1 << 20)]
-                i = i[(side[i] != side[i + step]) | (side[i] == 0)]
-                i = i[verified(fp[i], fp[i + step], bits, most)] if len(i) else i
-                left.append(i)
-                right.append(i + step)
-            step += 1
-            at = at[end[at] - at > step]
-            if sum(map(len, left)) > 1 << 22:  # a forest takes the place of many pairs
+        edge = np.append(np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])), n)
+        size = np.diff(edge)
+        begin, end = np.repeat(edge[:-1], size), np.repeat(edge[1:], size)
+        root = np.arange(n)
+        left, right, pairs = [], [], 0
+        for i, j in tallied(fp, begin, end, holds[part["slot"].to_numpy(np.int32)], 8 - bits):
+            fine = ((side[i] != side[j]) | (side[i] == 0)) & (np.bitwise_count(fp[i] ^ fp[j]) <= most)
+            left.append(i[fine])
+            right.append(j[fine])
+            pairs += int(fine.sum())
+            if pairs > 1 << 22:  # a forest takes the place of many pairs
                 root = _roots(np.concatenate(left), np.concatenate(right), n)
                 keep = np.flatnonzero(root != np.arange(n))
-                left, right = [keep], [root[keep]]
-        if not left:
-            continue
-        a, b = np.concatenate(left), np.concatenate(right)
+                left, right, pairs = [keep], [root[keep]], len(keep)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         if not len(a):
             continue
         values, index = np.unique(fp[np.concatenate([a, b])].view(np.int64), return_inverse=True)
@@ -188,27 +222,38 @@ def links(fps: DataFrame, bits: int = 4, width: int = 3, list_rows: int = 4096,
     """
     if not 0 <= bits <= 8 - width:
         raise ValueError("bits must be between 0 and 8 - width")
-    keys = []
-    for i, at in enumerate(position_sets(8 - bits, width)):
+    keys, sets = [], position_sets(8 - bits, width)
+    for i, at in enumerate(sets):
         value = F.lit(i).cast("long")
         for p in at:
             value = value * 256 + F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255)
         keys.append(value)
-    index = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = _dealt(index.join(lists, "key"), "key", "fp", list_rows)
-    return dealt.mapInPandas(lambda rows: _links(rows, bits, bits if most is None else most), "src long, dst long")
+    index = fps.select("fp", F.posexplode(F.array(*keys)).alias("slot", "key"))
+    lists = table(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
+    dealt = _dealt(join_counted(index, lists.withColumnRenamed("key", "_list"), F.col("key"), "_list", "n").drop("_list"), "key", "fp", list_rows, "slot")
+    return in_frames(dealt, lambda rows: _links(rows, sets, bits, bits if most is None else most), "src long, dst long")
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first())
 
 
+#: Tasks that share the edges of one vertex.
+SALTS = 8
+
+
+def _salted(edges: DataFrame, one: str, other: str, low: DataFrame) -> DataFrame:
+    """``edges`` with ``m`` of ``low`` (one row per ``u``), joined on column ``one`` and a salt from ``other``."""
+    salted = low.select(F.col("u").alias("_u"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return edges.join(salted, (edges[one] == F.col("_u")) & (F.pmod(F.xxhash64(other), F.lit(SALTS)) == F.col("_salt")))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(v, root) for every vertex of the edges but the roots; root is the smallest reachable.
 
     Large-star and small-star in turn: each moves edges to smaller neighbours until all
-    are stars.  Minima are combined before their shuffle; a join's large keys can be split.
+    are stars.  Minima are combined before their shuffle.  A star's edges meet its minimum in
+    SALTS tasks, to each of which the minimum, two numbers, is sent.
     Every half round is a written table, so a lost executor never repeats earlier rounds.
     """
     now = table(edges.select("src", "dst").distinct(), "edges")
@@ -216,10 +261,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds if before[0] else 0):
         both = now.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(now.select(F.col("dst").alias("u"), F.col("src").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
+        large = _salted(both.filter("v > u"), "u", "v", low).select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
         large = table(large, "large-star")
         low = large.groupBy(F.col("src").alias("u")).agg(F.min("dst").alias("m"))
-        small = large.join(low, large["src"] == low["u"]).select(
+        small = _salted(large, "src", "dst", low).select(
             F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst")
         )
         now = table(small.filter("src <> dst").distinct(), "small-star")
@@ -236,13 +281,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def _grouped(docs: DataFrame, words: int, bits: int, seed: int) -> DataFrame:
     """doc_id, th (a hash of the text), fp, root (a fingerprint) and component_id of every row."""
     seen = table(fingerprints(docs, words, seed), "fingerprints")
-    distinct = table(seen.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    distinct = table(seen.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), bits))
-    rooted = distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", "low", "rows", F.coalesce("root", "fp").alias("root"))
     rooted = table(rooted, "rooted")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = table(rooted.join(lows, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "component-ids")
-    return seen.join(ids, seen["fp"] == ids["_fp"]).select("doc_id", "th", "fp", "root", "component_id")
+    lows = table(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n")), "roots").withColumnRenamed("root", "_root")
+    ids = join_counted(rooted, lows, F.col("root"), "_root", "n").select(F.col("fp").alias("_fp"), "root", "component_id", "rows")
+    return join_counted(seen, table(ids, "component-ids"), F.col("fp"), "_fp", "rows").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
@@ -311,9 +356,9 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42,
             both = np.array([sketch(shingles(t, words, seed)) for t in batch["text"]], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "f1": both[:, 0], "f2": both[:, 1]})
 
-    seen = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInPandas(score, "doc_id long, th long, f1 long, f2 long")
+    seen = in_frames(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), score, "doc_id long, th long, f1 long, f2 long")
     seen = table(seen, "sketches")
-    texts = table(seen.groupBy("th", "f1", "f2").agg(F.min("doc_id").alias("low")), "texts")
+    texts = table(seen.groupBy("th", "f1", "f2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")), "texts")
     near, again = [], []
     for f in ("f1", "f2"):
         count = table(texts.groupBy(F.col(f).alias("fp")).agg(F.count(F.lit(1)).alias("n")), f"distinct-{f}")
@@ -327,15 +372,16 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42,
     own = some.filter("f1 <> f2").select(F.greatest("f1", "f2").alias("src"), F.least("f1", "f2").alias("dst"))
     roots = components(edges.union(own))
     some = table(some.join(roots, some["f1"] == roots["v"], "left").select(F.col("th").alias("_th"), F.col("low").alias("_low"), F.coalesce("root", "f1").alias("key")), "candidate-lists")
-    lists = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    listed = some.join(lists, "key")
+    lists = table(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "candidate-counts").withColumnRenamed("key", "_list")
+    listed = table(join_counted(some, lists, F.col("key"), "_list", "n").drop("_list"), "listed")
     # the text of a list's member is taken from one of its rows: repeats have another doc_id
     # and is merged at every size, as the lists grow with the corpus
     whole = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     whole = whole.join(listed.hint("merge"), whole["doc_id"].eqNullSafe(listed["_low"]) & (whole["th"] == listed["_th"])).dropDuplicates(["th"])
-    pairs = _dealt(whole, "key", "th", list_rows, "text").mapInPandas(lambda rows: _same(rows, words, least, seed), "src long, dst long")
+    pairs = in_frames(_dealt(whole, "key", "th", list_rows, "text"), lambda rows: _same(rows, words, least, seed), "src long, dst long")
     found = components(pairs)
-    return seen.join(found, seen["th"] == found["v"], "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+    named = texts.join(found, texts["th"] == found["v"], "left").select(F.col("th").alias("_th"), "rows", F.coalesce("root", "th").alias("root"))
+    return join_counted(seen, table(named, "named"), F.col("th"), "_th", "rows").select("doc_id", "th", "root")
 
 
 def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
@@ -346,8 +392,8 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int
 def _first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     known = (F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("doc_id").isNull(), F.col("th"))
     found = table(rooted.select("doc_id", "th", "root", F.struct(*known).alias("_me")), "grouped")
-    best = found.groupBy("root").agg(F.min("_me").alias("_best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    members = found.join(best.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"))
+    best = table(found.groupBy("root").agg(F.min("_me").alias("_best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "best")
+    members = join_counted(found, best.withColumnRenamed("root", "_root"), F.col("root"), "_root", "_n")
     members = members.groupBy("doc_id", "th").agg(F.first(F.col("_me") == F.col("_best")).alias("_stays"), F.count(F.lit(1)).alias("_copies"))
     members = table(members.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_stays", "_copies"), "members")
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th"))

@@ -42,22 +42,21 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def best_of_tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of each query's k best other candidates; ties to smaller ids."""
-    order = np.argsort(cid, kind="stable")
-    cid, c = cid[order], c[order]
-    out = []
-    for at in range(0, len(qid), 512):
-        scores = _products(q[at : at + 512], c)
-        for i, row in enumerate(scores):
-            own = cid != qid[at + i]
-            row, ids = row[own], cid[own]
-            if len(row) > k:
-                least = np.partition(row, len(row) - k)[len(row) - k]
-                keep = np.flatnonzero(row >= least)
-                row, ids = row[keep], ids[keep]
-            top = np.lexsort((ids, -row))[:k] if row.min(initial=0) > LONG[0] else np.array(sorted(range(len(row)), key=lambda j: (-int(row[j]), ids[j]))[:k], int)
-            out.append((np.full(len(top), qid[at + i]), ids[top], row[top]))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
+    out = [(np.zeros(0, np.int64),) * 3]
+    for at in range(0, len(qid) if len(cid) else 0, 512):
+        own, scores = qid[at : at + 512], _products(q[at : at + 512], c)
+        other = cid[None, :] != own[:, None]
+        if len(cid) > k + 1:
+            # the k + 1 highest scores hold the k best of the others; equal ones are all kept here
+            place = len(cid) - k - 1
+            other &= scores >= np.partition(scores, place, axis=1)[:, place : place + 1]
+        row, col = np.nonzero(other)
+        order = np.lexsort((cid[col], ~scores[row, col], row))  # ~x falls as x rises, without overflow
+        row, col = row[order], col[order]
+        first = np.searchsorted(row, row)
+        best = np.arange(len(row)) - first < k
+        row, col = row[best], col[best]
+        out.append((own[row], cid[col], scores[row, col]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 

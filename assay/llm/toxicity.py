@@ -25,9 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_frames
+
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = (5, 6, 7, 8)
+#: Toxic texts to one clean one where no label says otherwise.
+RARE = 0.01
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
@@ -90,16 +94,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
     U is drawn from all of these rows whatever their label, which isn't looked at; ``prior``
     is the toxic share of all labelled rows outside fold 2.  At most ``words`` features,
     each in ``least`` texts of P.
+
+    Labels without doc_id or value take no part; of several labels of a doc_id the highest
+    counts; of several texts of a doc_id that of the smallest hash.  Null and empty texts have
+    no features.  Without any label a model that calls nothing toxic is given (prior RARE to
+    1), and so it is with labels that are all clean; labels that are all toxic give one that
+    calls everything toxic.  Extra columns are ignored.
     """
     known = labels.filter((fold() != 2) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
-        return Model([], np.zeros(0), float(np.log((toxic + 0.5) / (n - toxic + 0.5))))
+        return Model([], np.zeros(0), float(np.log((toxic + RARE) / (n - toxic + 1))))
     hashed = F.xxhash64("doc_id")
     chosen = known.filter("toxic = 1").orderBy(hashed).limit(positives).select("doc_id", F.lit(1).alias("p"))
     others = known.orderBy(F.xxhash64("doc_id", F.lit(1))).limit(unlabelled).select("doc_id", F.lit(0).alias("p"))
     # at most positives + unlabelled rows of two numbers: a proven bound
     sample = docs.join(F.broadcast(chosen.unionByName(others).withColumnRenamed("doc_id", "_id")), docs["doc_id"] == F.col("_id"))
+    # rows that share a doc_id are one text, so the bound holds for rows too
+    sample = sample.groupBy("doc_id", "p").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = sample.select("p", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
     found = found.select("p", F.array_distinct(F.concat("w", *map(_beginnings, BEGINNINGS))).alias("w"))
     found = found.persist()
@@ -141,7 +153,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
 
     held = docs.select("doc_id", (fold() == 2).alias("held_out"), "text")
-    return held.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_frames(held, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def python_fold(doc_id: int | None) -> int:
