@@ -155,15 +155,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     extra columns, whatever their names, are kept as they are.
     """
     _, plan = cuts(docs, weights, cap, seed)
-    plan = plan.select(F.col("_p").alias("_mix_s"), F.col("full").alias("_mix_full"), F.col("cut").alias("_mix_cut"), F.col("part").alias("_mix_part"))
-    size = word_count(docs["text"])
-    mine = F.struct(_key("doc_id", seed).alias("_key"), F.coalesce(docs["doc_id"], F.lit(-(2**63))).alias("_id"), size.alias("size"))
-    extra = F.when(F.col("_mix_cut").isNull(), F.lit(0)).when(mine < F.col("_mix_cut"), 1)
-    extra = extra.when((mine == F.col("_mix_cut")) & (F.col("_mix_part") * 2 >= size), 1).otherwise(0)
-    passes = F.when(size > 0, F.col("_mix_full") + extra).otherwise(0)
-    joined = docs.join(plan, docs["source"].eqNullSafe(F.col("_mix_s")))
-    kept = joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), passes.cast("int"))).alias("_mix_pass"))
-    return kept.drop("_mix_pass")
+    plan = plan.select("_p", "full", "cut", "part")
+    # the input's columns as one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("_source"), "doc_id", _key("doc_id", seed).alias("_key"), word_count("text").alias("size"))
+    mine = F.struct("_key", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "size")
+    extra = F.when(F.col("cut").isNull(), F.lit(0)).when(mine < F.col("cut"), 1)
+    extra = extra.when((mine == F.col("cut")) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)
+    passes = F.when(F.col("size") > 0, F.col("full") + extra).otherwise(0)
+    kept = rows.join(plan, F.col("_source").eqNullSafe(F.col("_p"))).select("row", F.explode(F.array_repeat(F.lit(0), passes.cast("int"))))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

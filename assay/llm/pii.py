@@ -17,18 +17,29 @@ from .common import table
 from .secrets import spans
 
 # Titles and the gender they tell.
-MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Signor", "господин", "κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Signora", "госпожа", "κυρία")
+MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Signor", "господин", "κύριος", "պարոն", "ბატონი", "מר", "السيد", "श्री", "นาย")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Signora", "госпожа", "κυρία", "տիկին", "ქალბატონი", "גברת", "السيدة", "श्रीमती", "นางสาว")
 NEUTRAL = ("Dr", "Prof", "Professor", "Doctor")
 TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
-# Syllables of surrogate names by script, and name endings by gender.
-SYLLABLES = {
-    "latin": ("ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu", "va", "we", "za", "ke", "lo", "mi"),
-    "cyrillic": ("ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "ту", "ва", "зе", "за", "ке", "ло", "ми"),
-    "greek": ("βα", "δε", "φι", "γο", "λυ", "μα", "νε", "ρι", "σο", "τυ", "βε", "ζε", "ζα", "κε", "λο", "μι"),
+# Letters of surrogate names by script (consonants, vowels), and name endings by gender.
+SCRIPTS = {
+    "latin": ("b d f g l m n r s t v w z k p h", "a e i o u", ("n", "na", "r")),
+    "cyrillic": ("б д ф г л м н р с т в з к п ж ш", "а е и о у", ("н", "на", "р")),
+    "greek": ("β δ φ γ λ μ ν ρ σ τ ζ κ π θ χ ξ", "α ε ι ο υ", ("νος", "να", "ρη")),
+    "armenian": ("բ դ ֆ գ լ մ ն ր ս տ վ զ կ պ հ շ", "ա ե ի ո ու", ("ն", "նա", "ր")),
+    "georgian": ("ბ დ ფ გ ლ მ ნ რ ს ტ ვ ზ კ პ ჰ შ", "ა ე ი ო უ", ("ნ", "ნა", "რ")),
+    "hebrew": ("ב ד פ ג ל מ נ ר ס ט ו ז כ ק ה ש", "א ע י ו ה", ("ן", "נה", "ר")),
+    "arabic": ("ب د ف ج ل م ن ر س ط و ز ك ق ه ش", "ا و ي ع ة", ("ن", "نة", "ر")),
+    "devanagari": ("ब द फ ग ल म न र स त व ज क प ह श", "ा े ि ो ु", ("न", "ना", "र")),
+    "thai": ("บ ด ฟ ก ล ม น ร ส ต ว ซ ค ป ห ช", "า ี ู ะ ิ", ("น", "นา", "ร")),
+    "hangul": ("가 나 다 라 마 바 사 자 차 카 타 파 하 고 노 도", "김 민 선 준 현", ("준", "희", "영")),
+    "hiragana": ("か さ た な は ま や ら き し に み り こ そ と", "あ い う え お", ("た", "こ", "み")),
+    "katakana": ("カ サ タ ナ ハ マ ヤ ラ キ シ ニ ミ リ コ ソ ト", "ア イ ウ エ オ", ("タ", "コ", "ミ")),
+    "han": ("王 李 张 刘 陈 杨 赵 黄 周 吴 徐 孙 胡 朱 高 林", "安 文 明 国 海", ("伟", "芳", "平")),
 }
-ENDINGS = {"latin": ("n", "na", "r"), "cyrillic": ("н", "на", "р"), "greek": ("νος", "να", "ρη")}
-NAME = rf"(?U)(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])(?<!\w)(?:(?:{TITLES})\.?\x20)+\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+)?"
+#: What tells a script, in this order: a kana beside Han characters makes a name Japanese.
+TOLD = {k: rf"\p{{Is{k.capitalize()}}}" for k in SCRIPTS if k != "latin"}
+NAME = rf"(?U)(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])(?<!\w)(?:(?:{TITLES})\.?\x20)+[\p{{Lu}}\p{{Lo}}][\p{{L}}\p{{M}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}\p{{M}}'’-]+)?"
 # Fixed value: phones with no country, (555) 123-4567 or 555-123-4567, and after a 0, 030 1234567.
 NATIONAL = r"(?=[(0-9])(?<![0-9A-Za-z+])(?<![0-9][ .-])(?:(?:1[ .-])?(?:\([0-9]{3}\)\x20?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8})(?![0-9A-Za-z]|[ .-][0-9])"
 TYPES = (
@@ -51,7 +62,9 @@ def normal(kind: Column, match: Column) -> Column:
     name = F.substr(match, F.length(_title(match)) + 1)
     told = {k: _title(match).rlike(rf"(?U)(?<!\w)(?:{'|'.join(some)})(?!\w)") for k, some in (("f", FEMALE), ("m", MALE))}
     gender = F.when(told["f"], "f").when(told["m"], "m").otherwise("n")
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    script = F.lit("latin")
+    for kind_of, letter in reversed(TOLD.items()):
+        script = F.when(name.rlike(letter), kind_of).otherwise(script)
     return (
         F.when(kind == "email", F.lower(match)).when(kind == "ip", match)
         .when(kind == "name", F.concat_ws("|", gender, script, F.lower(name)))
@@ -106,10 +119,9 @@ def surrogate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
     ssn = F.concat(F.lit("9"), F.substr(plain, F.lit(2)))
     gender, script = F.element_at(F.split(form, r"\|"), 1), F.element_at(F.split(form, r"\|"), 2)
     names = F.lit(None).cast("string")
-    for kind_of, some in SYLLABLES.items():
-        list_ = F.array(*map(F.lit, some))
-        part = [F.element_at(list_, (F.pmod(_number(h, 1 + 4 * i, 4), F.lit(16)) + 1).cast("int")) for i in range(16)]
-        male, female, neutral = ENDINGS[kind_of]
+    for kind_of, (consonants, vowels, (male, female, neutral)) in SCRIPTS.items():
+        list_ = F.array(*[F.lit(c + v) for c in consonants.split() for v in vowels.split()])
+        part = [F.element_at(list_, (F.pmod(_number(h, 1 + 4 * i, 4), F.size(list_)) + 1).cast("int")) for i in range(16)]
         end = F.when(gender == "f", female).when(gender == "m", male).otherwise(neutral)
         first_word = F.array_join(F.slice(F.array(*part[:11]), F.lit(1), F.least(attempt, F.lit(8)) + 3), "")
         one = F.concat(F.initcap(first_word), end)
@@ -135,25 +147,38 @@ def render(kind: Column, match: Column, form: Column) -> Column:
     return F.when(kind == "email", email).when(kind == "ip", form).when(kind == "name", F.concat(_title(match), name)).otherwise(filled)
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``entities``: array of (start, end, kind, match, form), by start.
+ENTITIES = "array<struct<start:int,end:int,kind:string,match:string,form:string>>"
 
-    Where mentions overlap, the type listed first in TYPES has it.
-    """
-    t = F.coalesce(F.col("text"), F.lit(""))
+
+def _detected(docs: DataFrame) -> DataFrame:
+    """(id, row, t, entities): a number of the row, the input's columns as one struct, so that no
+    name of theirs can clash, the text and its entities."""
+    t = F.col("t")
+    step = docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("t"))
     # what every match holds; most texts have neither and aren't searched further
+    step = step.withColumn("digits", t.rlike("[0-9]{2}"))
     needs = {"email": t.contains("@"), "name": F.lit(True)}
-    digits = docs.withColumn("_digits", t.rlike("[0-9]{2}"))
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    step = digits.withColumns({f"_{kind}": F.when(needs.get(kind, F.col("_digits")), spans(t, pattern)).otherwise(empty) for kind, pattern in TYPES}).drop("_digits")
+    step = step.withColumns({kind: F.when(needs.get(kind, F.col("digits")), spans(t, pattern)).otherwise(empty) for kind, pattern in TYPES})
+
     def labelled(order: int, kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["match"].alias("match")))
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["match"].alias("match")))
 
-    step = step.withColumn("_all", F.concat(*[labelled(i, kind) for i, (kind, _) in enumerate(TYPES)])).drop(*[f"_{kind}" for kind, _ in TYPES])
-    first = F.filter("_all", lambda s: ~F.exists("_all", lambda o: (o["order"] < s["order"]) & (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    step = step.select("id", "row", "t", F.concat(*[labelled(i, kind) for i, (kind, _) in enumerate(TYPES)]).alias("found"))
+    first = F.filter("found", lambda s: ~F.exists("found", lambda o: (o["order"] < s["order"]) & (o["start"] < s["end"]) & (s["start"] < o["end"])))
     full = F.transform(F.array_sort(first), lambda s: F.struct(s["start"], s["end"], s["kind"], s["match"], normal(s["kind"], s["match"]).alias("form")))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,match:string,form:string>>")
-    return step.withColumn("entities", F.when(F.size("_all") > 0, full).otherwise(empty)).drop("_all")
+    return step.select("id", "row", "t", F.when(F.size("found") > 0, full).otherwise(F.array().cast(ENTITIES)).alias("entities"))
+
+
+def detect(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``entities``: array of (start, end, kind, match, form), by start.
+
+    Where mentions overlap, the type listed first in TYPES has it.  Null and empty texts have
+    none; repeated rows have the same.  Other columns keep their values, whatever their names;
+    one named ``entities`` is replaced.  An empty table stays empty.
+    """
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != "entities"]
+    return _detected(docs).select(*kept, "entities")
 
 
 def retries(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
@@ -191,29 +216,28 @@ def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     with 0 entities; repeated rows change alike; a column named n_entities is replaced; an
     empty table stays empty; other columns are kept as they are.
     """
-    columns = [c for c in docs.columns if c != "n_entities"]
-    base = docs.select(*columns)
-    rows = table(detect(base), "detected")  # texts are searched once
+    rows = table(_detected(docs), "detected")  # texts are searched once, and rows keep their numbers
     some = rows.filter(F.size("entities") > 0)
     pair = F.transform("entities", lambda e: F.struct(e["kind"].alias("kind"), e["form"].alias("form")))
     found = some.select(F.explode(F.array_distinct(pair)).alias("e")).select("e.kind", "e.form").distinct()
     changed = table(retries(found, key), "retries")
     if changed.head(1):
-        # per text that holds one: the entities that try again, a small part of all
-        small = some.select(F.xxhash64("text").alias("_h"), F.explode("entities").alias("e")).select("_h", F.col("e.kind").alias("_k"), F.col("e.form").alias("_f"))
-        hits = small.join(changed, (F.col("_k") == F.col("kind")) & (F.col("_f") == F.col("form"))).select("_h", "kind", "form", "own").distinct()
-        hits = hits.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "form"), "own"))).alias("_own"))
-        hits = table(hits, "texts-that-try-again")
-        rows = rows.join(hits, F.xxhash64("text") == F.col("_h"), "left").drop("_h")
+        # per row that holds one: the entities that try again, a small part of all
+        small = some.select("id", F.explode(F.array_distinct(pair)).alias("e")).select("id", F.col("e.kind").alias("k"), F.col("e.form").alias("f"))
+        hits = small.join(changed, (F.col("k") == F.col("kind")) & (F.col("f") == F.col("form")))
+        hits = hits.groupBy(F.col("id").alias("hit")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "form"), "own"))).alias("own"))
+        rows = rows.join(table(hits, "rows-that-try-again"), F.col("id") == F.col("hit"), "left")
     else:
-        rows = rows.withColumn("_own", F.lit(None).cast("map<string,string>"))
-    t = F.coalesce(F.col("text"), F.lit(""))
+        rows = rows.withColumn("own", F.lit(None).cast("map<string,string>"))
+    t = F.col("t")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, e: Column) -> Column:
-        form = F.coalesce(F.try_element_at("_own", F.concat_ws("|", e["kind"], e["form"])), surrogate(key, e["kind"], e["form"], F.lit(0)))
+        form = F.coalesce(F.try_element_at("own", F.concat_ws("|", e["kind"], e["form"])), surrogate(key, e["kind"], e["form"], F.lit(0)))
         out = F.concat(acc["out"], F.substr(t, acc["at"] + 1, e["start"] - acc["at"]), render(e["kind"], e["match"], form))
         return F.struct(e["end"].alias("at"), out.alias("out"))
 
-    text = F.when(F.size("entities") > 0, F.aggregate("entities", start, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns], F.size("entities").cast("long").alias("n_entities"))
+    clean = F.aggregate("entities", start, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))
+    new = {"text": F.when(F.size("entities") > 0, clean).otherwise(F.col("row.text"))}
+    kept = [new.get(c, F.col("row")[c]).alias(c) for c in docs.columns if c != "n_entities"]
+    return rows.select(*kept, F.size("entities").cast("long").alias("n_entities"))

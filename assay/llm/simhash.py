@@ -396,8 +396,10 @@ def _first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     members = join_counted(found, best.withColumnRenamed("root", "_root"), F.col("root"), "_root", "_n")
     members = members.groupBy("doc_id", "th").agg(F.first(F.col("_me") == F.col("_best")).alias("_stays"), F.count(F.lit(1)).alias("_copies"))
     members = table(members.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_stays", "_copies"), "members")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th"))
+    # the input's columns as one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     # what goes grows with the corpus: it is merged at every size, never broadcast
-    kept = docs.join(members.filter("not _stays or _copies > 1").hint("merge"), same, "left_anti")
-    repeated = docs.join(members.filter("_stays and _copies > 1"), same, "left_semi")
-    return kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    kept = rows.join(members.filter("not _stays or _copies > 1").hint("merge"), same, "left_anti")
+    repeated = rows.join(members.filter("_stays and _copies > 1"), same, "left_semi")
+    return kept.unionByName(repeated.dropDuplicates(["id", "th"])).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,16 +6,15 @@ control bytes and data bytes are kept apart.  Decoding looks the control byte up
 table of lengths and gathers the data bytes, all in numpy.
 
 The files are Parquet, so any store that Spark writes will do.  A row is a segment: the
-documents it holds in ascending order (ids and number of tokens each) and the two byte
-strings.  A file's rows and the files ascend by doc_id.  ``ranks`` beside them holds the
+documents it holds in ascending order (how many without id come first, ids, and number of
+tokens each) and the two byte strings.  A file's rows and the files ascend by doc_id.  ``ranks`` beside them holds the
 id of each rank.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_dir, spread, table
+from .common import folder, in_frames, spread, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
@@ -37,11 +36,10 @@ END = 2
 SEGMENT = 1 << 18
 #: Pre-tokens whose ids a worker remembers.  Once full it stays, as common ones come early,
 #: and starts anew after as many misses (this changes no result).
-REMEMBERED = 1 << 19
-#: Texts of these characters only are split by the plainer pattern below, which says the same of them.
-PLAIN = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-PLAIN_PATTERN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
-FULL_PATTERN = regex.compile(public_tokenizers.PATTERN)
+REMEMBERED = 3 << 17
+#: Characters of a pre-token that is remembered.
+LONG_WORD = 64
+SPLIT = regex.compile(public_tokenizers.PATTERN)
 #: A byte-level vocabulary writes a byte as the character of that number if it can be seen, else as the next from U+0100.
 SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in SEEN)}
@@ -52,9 +50,18 @@ LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)
 @cache
 def tokenizer(path: str) -> tuple[Tokenizer, list[str], dict[str, bytes], list[int]]:
     """The tokenizer, the texts of its added tokens, the ids of pre-tokens so far, and the
-    number of misses since these are full."""
+    number of misses since these are full.
+
+    Only byte-level vocabularies that split by the public pattern are taken: pre-tokens are
+    made by it here, and given to the model as they are.
+    """
     own = Tokenizer.from_file(path)
-    own.model._resize_cache(0)  # pre-tokens are remembered here, so the model sees each but once
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    before = parts.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if parts.get("normalizer") or not plain or parts.get("post_processor"):
+        raise ValueError(f"{path}: only byte-level vocabularies without normalizer, prefix space and post-processor")
     return own, [t.content for t in own.get_added_tokens_decoder().values()], {}, [0]
 
 
@@ -67,7 +74,7 @@ def encode(text: str, path: str) -> bytes:
     own, added, known, missed = tokenizer(path)
     if any(a in text for a in added):
         return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    words = (PLAIN_PATTERN if PLAIN.fullmatch(text) else FULL_PATTERN).findall(text)
+    words = SPLIT.findall(text)
     got = list(map(known.get, words))
     if None not in got:
         return b"".join(got)
@@ -85,7 +92,7 @@ def encode(text: str, path: str) -> bytes:
             known.clear()
             missed[0] = 0
     if len(known) < REMEMBERED:
-        known.update(new)
+        known.update((word, ids) for word, ids in new.items() if len(word) <= LONG_WORD)
     return b"".join(got)
 
 
@@ -124,8 +131,9 @@ def _segments(rows: Iterator[tuple], tokens: int) -> Iterator[list[tuple]]:
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END) -> None:
     """Encode every text and write the files to ``path``/segments and ``path``/ranks.
 
-    ``end`` is appended to each document.  Null texts are taken as empty.  Documents
-    ascend by doc_id, null first; those of the same doc_id by their text's hash.
+    ``end`` is appended to each document.  Null and empty texts have it alone.  Documents
+    ascend by doc_id, null first; those of the same doc_id by their text's hash, and copies
+    as they were read.  An empty table gives no segment; extra columns are ignored.
     """
     spark = docs.sparkSession
 
@@ -139,11 +147,12 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
                 own = encode(text or "", file) + last
                 n.append(len(own) // 4)
                 ids.append(squeeze(np.frombuffer(own, "<u4").astype("<u2").tobytes() if wide == 2 else own))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "n": n, "ids": ids})
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "h": batch["h"], "n": n, "ids": ids})
 
     size = tokenizer(public_tokenizers.path(vocabulary))[0].get_vocab_size()
     wide = 2 if max(size, end) < 1 << 16 else 4
-    coded = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInPandas(code, "doc_id long, h long, n long, ids binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text")
+    coded = in_frames(rows, code, "row long, doc_id long, h long, n long, ids binary")
     # the bounds of the ranges come from doc_id alone, so no text is encoded for them
     parts = spread(docs)
     coded = table(coded, "coded")
@@ -160,14 +169,14 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
-    counts = coded.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = in_frames(coded.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # at most one row per id of the vocabulary, whatever the corpus
     counts = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1)
     counts.coalesce(1).write.parquet(f"{path}/ranks")
-    order = np.zeros(max(size, end + 1), np.int64)
+    rank_of = np.zeros(max(size, end + 1), np.int64)
     for row in spark.read.parquet(f"{path}/ranks").collect():
-        order[row["id"]] = row["rank"]
-    order_of = spark.sparkContext.broadcast(order.astype("<u4"))
+        rank_of[row["id"]] = row["rank"]
+    order_of = spark.sparkContext.broadcast(rank_of.astype("<u4"))
 
     def recode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = order_of.value
@@ -179,10 +188,13 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
         for held in _segments(rows(), SEGMENT):
             ids = np.concatenate([read(r[2]) for r in held])
             control, data = pack(ranks[ids])
-            yield pd.DataFrame({"docs": [[None if pd.isna(r[0]) else int(r[0]) for r in held]], "lengths": [[r[1] for r in held]], "tokens": [len(ids)], "control": [control], "data": [data]})
+            known = [int(r[0]) for r in held if not pd.isna(r[0])]
+            yield pd.DataFrame({"absent": [len(held) - len(known)], "docs": [known], "lengths": [[r[1] for r in held]], "tokens": [len(ids)], "control": [control], "data": [data]})
 
-    ranged = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
-    out = ranged.mapInPandas(recode, "docs array<long>, lengths array<long>, tokens long, control binary, data binary")
+    # the row's number deals copies of one row to several ranges
+    order = (F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row"))
+    ranged = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
+    out = in_frames(ranged, recode, "absent long, docs array<long>, lengths array<long>, tokens long, control binary, data binary")
     # partitions ascend, and so do a partition's segments
     place = (F.spark_partition_id().cast("long"), F.monotonically_increasing_id())
     out.withColumns({"part": place[0], "segment": place[1]}).write.option("compression", "uncompressed").parquet(f"{path}/segments")
@@ -206,19 +218,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for docs, lengths, control, data, start in zip(batch["docs"], batch["lengths"], batch["control"], batch["data"], batch["start"], strict=True):
+            for absent, docs, lengths, control, data, start in zip(*(batch[c] for c in ("absent", "docs", "lengths", "control", "data", "start")), strict=True):
                 n = np.array(lengths, np.int64)
                 ids = ids_of.value[unpack(control, data, int(n.sum()))]
                 ends = np.cumsum(n)
                 yield pd.DataFrame({
-                    "doc_id": pd.array([None if pd.isna(d) else int(d) for d in docs], dtype="Int64"),
+                    "doc_id": pd.array([None] * int(absent) + docs.tolist(), dtype="Int64"),
                     "start": start + ends - n,
                     "n_tokens": n,
                     "ids": [ids[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)],
                 })
 
-    located = segments.join(places, segments["segment"] == places["_segment"]).select("docs", "lengths", "control", "data", "start")
-    return located.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids binary")
+    located = segments.join(places, segments["segment"] == places["_segment"]).select("absent", "docs", "lengths", "control", "data", "start")
+    return in_frames(located, decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
@@ -230,7 +242,7 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Dat
     ignored.
     """
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/assay-tokens-{uuid.uuid4().hex}"
+    path = folder(spark, "tokens")
     write(docs, path, vocabulary, end)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,4 +250,4 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Dat
             batch["ids_crc32"] = [zlib.crc32(x) for x in batch["ids"]]
             yield batch[["doc_id", "start", "n_tokens", "ids_crc32"]]
 
-    return read(spark, path).mapInPandas(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_frames(read(spark, path), check, "doc_id long, start long, n_tokens long, ids_crc32 long")
