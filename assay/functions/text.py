@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: The word for paragraph, and the shape of a citation in text.
 PARAGRAPH = "문단"
-CITATION = r"([0-9]{3,4})[^0-9\[\]]*?문단\s*([0-9]+[A-Za-z]?(?:[-–][0-9]+[A-Za-z]?)?)(?:\s*\(([^)]{1,12})\))?"
+CITATION = r"([0-9]{3,4})\s*[^0-9\[\]]*?문단\s*([0-9]+[A-Za-z]?)\s*(?:[-–]\s*)?(?:\(([^)]{1,12})\))?"
 
 
 def collapse(x: Column) -> Column:
@@ -26,10 +26,37 @@ def citation(x: Column) -> Column:
     return F.when(x.rlike(CITATION), F.struct(part(1).alias("standard"), part(2).alias("paragraph"), part(3).alias("subitem")))
 
 
+def cited_object(standard: Column, paragraph: Column, subitem: Column) -> Column:
+    """struct(standard, paragraph, subitem) of a citation given in parts, or null if either of the first two is blank.
+
+    A paragraph that is as a whole a number with a sub-item in brackets is split; a sub-item
+    given by itself comes first.
+    """
+    whole = r"^([0-9]+[A-Za-z]?)\s*\(([^)]+)\)$"
+    blank = lambda x: F.nullif(strip(x), F.lit(""))
+    para = strip(paragraph)
+    given = F.when(F.coalesce(subitem, F.lit("")) != "", strip(subitem))
+    split = para.rlike(whole)
+    number = F.when(split, F.regexp_extract(para, whole, 1)).otherwise(para)
+    inside = F.when(split, F.regexp_extract(para, whole, 2))
+    parts = F.struct(strip(standard).alias("standard"), number.alias("paragraph"), F.coalesce(F.when(split, F.nullif(given, F.lit(""))).otherwise(given), inside).alias("subitem"))
+    return F.when(blank(standard).isNotNull() & blank(paragraph).isNotNull(), parts)
+
+
+def strip(x: Column) -> Column:
+    """White space of any script gone from both ends."""
+    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def has_subitem(body: Column, sub: Column) -> Column:
-    """Whether a body names a sub-item: bare, in brackets, or closed by one."""
-    bare = F.regexp_replace(sub, r"[()]", "")
-    return F.contains(body, sub) | F.contains(body, F.concat(F.lit("("), sub, F.lit(")"))) | F.contains(body, F.concat(sub, F.lit(")"))) | F.contains(body, F.concat(F.lit("("), bare, F.lit(")"))) | F.contains(body, F.concat(bare, F.lit(")")))
+    """Whether a body names a sub-item: bare, in brackets, or closed by one; white space is collapsed in both."""
+    body, s = collapse(body), collapse(sub)
+    bare = F.regexp_replace(s, r"^[()]+|[()]+$", "")
+    forms = (s, F.concat(F.lit("("), s, F.lit(")")), F.concat(s, F.lit(")")), F.concat(F.lit("("), bare, F.lit(")")), F.concat(bare, F.lit(")")))
+    named = F.lit(False)
+    for form in forms:
+        named = named | F.contains(body, form)
+    return named
 
 
 def contains_quote(body: Column, quote: Column) -> Column:
@@ -47,11 +74,6 @@ def occurrences(x: Column, literal: str) -> Column:
     return ((F.length(x) - F.length(F.replace(x, F.lit(literal), F.lit("")))) / len(literal)).cast("long")
 
 
-def redact(x: Column, restricted: Column) -> Column:
-    """A restricted text becomes the first 16 digits of its SHA-256."""
-    return F.when(restricted, F.substring(F.sha2(F.coalesce(x, F.lit("")), 256), 1, 16)).otherwise(x)
-
-
 def paragraph_number(x: Column) -> Column:
     return F.regexp_extract(x, rf"{PARAGRAPH}\s*([0-9]+[A-Za-z]?)", 1)
 
@@ -94,6 +116,16 @@ def without_orders(x: Column) -> Column:
     return out
 
 
+#: Fixed value: what is shown of a restricted text, around the first 16 digits of its SHA-256.
+HIDDEN = ("(비공개 근거 — sha256=", ")")
+
+
+def redact(x: Column, restricted: Column) -> Column:
+    """A restricted text becomes a note with its fingerprint; any other is cleaned for a prompt."""
+    note = F.concat(F.lit(HIDDEN[0]), F.substring(F.sha2(F.coalesce(x, F.lit("")), 256), 1, 16), F.lit(HIDDEN[1]))
+    return F.when(restricted, note).otherwise(without_orders(x))
+
+
 def has_tag(note: Column, tag: str, negators: tuple[str, ...] = NEGATORS) -> Column:
     """Whether a tag occurs without a negator wholly inside the 12 characters that follow it."""
     tails = F.slice(F.split(note, rf"\Q{tag}\E", -1), 2, 1_000_000)
@@ -145,6 +177,11 @@ def base_citation(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s*\([^)]*\)", ""))
 
 
+def subitems(x: Column) -> Column:
+    """The sub-items of a citation, in order."""
+    return F.regexp_extract_all(x, F.lit(r"\(([^)]*)\)"), F.lit(1))
+
+
 def greedy_object(raw: Column) -> Column:
     """From the first opening to the last closing brace, or null: for output with words around the JSON."""
     return F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))
@@ -175,3 +212,27 @@ CONTACT = r"(?i)e-?mail|fax|tel\b|foundation"
 def noise(number: Column, context: Column) -> Column:
     """Whether a paragraph number is surely none: above 999, or among contacts.  A lower bound by design."""
     return (F.floor(number) > 999) | F.coalesce(context, F.lit("")).rlike(CONTACT)
+
+
+def rewritten(x: Column, steps: tuple[tuple[str, str, str], ...]) -> Column:
+    """struct(text, missing) after a chain of substitutions (kind regex or text, what, by what).
+
+    ``missing``: the first step whose anchor wasn't there, or null: a document that has drifted
+    from its steps is told, not silently left as it was.
+    """
+    missing = F.lit(None).cast("int")
+    for i, (kind, what, put) in enumerate(steps):
+        there = x.rlike(what) if kind == "regex" else F.contains(x, F.lit(what))
+        missing = F.coalesce(missing, F.when(~there, i))
+        x = F.regexp_replace(x, what, put) if kind == "regex" else F.replace(x, F.lit(what), F.lit(put))
+    return F.struct(x.alias("text"), missing.alias("missing"))
+
+
+def number_after(x: Column, anchor: str) -> Column:
+    """The decimal number that follows an anchor, or null without one."""
+    return F.try_to_number(F.nullif(F.regexp_extract(x, rf"\Q{anchor}\E([0-9]+[.][0-9]+)", 1), F.lit("")), F.lit("99999999.99999999")).cast("double")
+
+
+def iso_time(at: Column, hours: int = 9) -> Column:
+    """ISO time to the second at a fixed offset of whole hours."""
+    return F.concat(F.date_format(at + F.make_interval(hours=F.lit(hours)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(f"{hours:+03d}:00"))

@@ -9,12 +9,14 @@ exploded claims, and evidence is met by one equi join.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.shared import table
 
 #: Limits of an answer, and the reasons that flag.  Any other reason forces INDETERMINATE.
 MAX_CLAIMS, MAX_LOCATORS, MAX_QUOTE, MAX_ANSWER = 32, 3, 2000, 20000
@@ -91,10 +93,7 @@ def parse(answers: DataFrame) -> DataFrame:
 
 def _locator(c: Column) -> Column:
     """struct(standard, paragraph, subitem) of a citation: a text, or an object of the parts."""
-    inside = F.nullif(F.regexp_extract(c["paragraph"], r"\(([^)]*)\)", 1), F.lit(""))
-    standard, bare = F.nullif(F.trim(c["standard"]), F.lit("")), F.nullif(F.trim(F.regexp_replace(c["paragraph"], r"\(.*$", "")), F.lit(""))
-    parts = F.struct(standard.alias("standard"), bare.alias("paragraph"), F.coalesce(F.nullif(c["subitem"], F.lit("")), inside).alias("subitem"))
-    return F.when(c["text"].isNotNull(), text.citation(c["text"])).when(standard.isNotNull() & bare.isNotNull(), parts)
+    return F.when(c["text"].isNotNull(), text.citation(c["text"])).otherwise(text.cited_object(c["standard"], c["paragraph"], c["subitem"]))
 
 
 def claims(parsed: DataFrame) -> DataFrame:
@@ -135,8 +134,16 @@ def citation_reasons(checked: DataFrame, evidence: DataFrame, require_quote: boo
 
 def findings(answers: DataFrame, evidence: DataFrame, require_quote: bool = True) -> DataFrame:
     """All findings of the parser, the shape and the citations, repeats included."""
-    parsed = parse(answers)
-    c = claims(parsed)
+    return _findings(*_read(answers), evidence, require_quote)
+
+
+def _read(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parsed, claims) of answers, each written once: the JSON reader works row by row and runs a single time."""
+    parsed = table(parse(answers), "parsed")
+    return parsed, table(claims(parsed), "claims")
+
+
+def _findings(parsed: DataFrame, c: DataFrame, evidence: DataFrame, require_quote: bool) -> DataFrame:
     parts = (
         parsed.select("question_id", F.lit(None).cast("string").alias("claim_id"), "reasons"),
         c.select("question_id", "claim_id", "reasons"), citation_reasons(c, evidence, require_quote),
@@ -151,14 +158,58 @@ def decide(answers: DataFrame, found: DataFrame) -> DataFrame:
     return answers.select("question_id").join(worst, "question_id", "left").select("question_id", verdict.alias("verdict"))
 
 
-def judged(kept: DataFrame, judgements: DataFrame) -> DataFrame:
-    """Findings of a table of judgements (question_id, claim_id, label); none or an unknown label is unresolved."""
+def reason_of(label: Column) -> Column:
+    """The reason of a judgement's label: SUPPORTED has none, none or an unknown label is unresolved."""
+    out = F.when(label == "SUPPORTED", None)
+    for known, code in REASON_OF.items():
+        out = out.when(label == known, code)
+    return out.otherwise("semantic_unresolved")
+
+
+def judged(kept: DataFrame, judgements: DataFrame | None) -> DataFrame:
+    """Findings of a table of judgements (question_id, claim_id, label); without one all claims are unresolved."""
+    if judgements is None:
+        return kept.select("question_id", "claim_id", F.lit("semantic_unresolved").alias("reason"))
     j = kept.join(judgements, ["question_id", "claim_id"], "left")
-    reason = F.when(F.col("label") == "SUPPORTED", None)
-    for label, code in REASON_OF.items():
-        reason = reason.when(F.col("label") == label, code)
-    reason = reason.otherwise("semantic_unresolved")
-    return j.select("question_id", "claim_id", reason.alias("reason")).filter("reason is not null")
+    return j.select("question_id", "claim_id", reason_of(F.col("label")).alias("reason")).filter("reason is not null")
+
+
+def judge_claims(kept: DataFrame, judge: Callable[[str, str], str], prompt: str = "text") -> DataFrame:
+    """Judgements (question_id, claim_id, label) of claims by an injected ``judge(prompt, claim_id)``.
+
+    A judge that fails or gives anything but a known label leaves its claim unresolved: the
+    claims go on, and nothing passes for want of a verdict.
+    """
+    def ask(prompts: pd.Series, claim: pd.Series) -> pd.Series:
+        def one(p: str, c: str) -> str:
+            try:
+                said = judge(p, c)
+            except Exception:  # a judge may fail in any way  # noqa: BLE001
+                return "UNRESOLVED"
+            return said if said in ("SUPPORTED", *REASON_OF) else "UNRESOLVED"
+
+        return pd.Series([one(p, c) for p, c in zip(prompts, claim, strict=True)], dtype=object)
+
+    return kept.select("question_id", "claim_id", F.pandas_udf(ask, "string")(prompt, "claim_id").alias("label"))
+
+
+def fail_closed(check: Callable[[str], list[str]]) -> Callable[[pd.Series], pd.Series]:
+    """A check of single texts (it gives reasons) as a function of a column that never lets an error pass.
+
+    A timeout gives verifier_timeout, any other error internal_error; both force INDETERMINATE.
+    """
+    def run(texts: pd.Series) -> pd.Series:
+        def one(x: str) -> list[str]:
+            try:
+                return list(check(x))
+            except TimeoutError:
+                return ["verifier_timeout"]
+            except Exception:  # whatever it is, it must not pass  # noqa: BLE001
+                return ["internal_error"]
+
+        return pd.Series([one(x) for x in texts], dtype=object)
+
+    return run
 
 
 def evaluate(answers: DataFrame, evidence: DataFrame, judgements: DataFrame | None, require_quote: bool = True) -> DataFrame:
@@ -166,10 +217,10 @@ def evaluate(answers: DataFrame, evidence: DataFrame, judgements: DataFrame | No
 
     Without judgements the verdict is that of the layers before.
     """
-    found = findings(answers, evidence, require_quote)
-    first = decide(answers, found)
+    parsed, c = _read(answers)
+    found = _findings(parsed, c, evidence, require_quote)
     if judgements is None:
-        return first
-    survivors = first.filter("verdict = 'VERIFIED'").select("question_id")
-    kept = claims(parse(answers.join(survivors, "question_id", "left_semi"))).filter("kept").select("question_id", "claim_id")
+        return decide(answers, found)
+    found = table(found, "findings")
+    kept = c.filter("kept").join(found.select("question_id"), "question_id", "left_anti").select("question_id", "claim_id")
     return decide(answers, found.unionByName(judged(kept, judgements)))

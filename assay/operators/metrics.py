@@ -80,3 +80,21 @@ def flips(pairs: DataFrame, keys: list[str]) -> DataFrame:
         number(~right("a") & right("b")).alias("improve"), number(right("a") & ~right("b")).alias("worsen"),
         number((F.col("a") != F.col("b")) & ~right("a") & ~right("b")).alias("other"), F.count(F.lit(1)).alias("n"),
     )
+
+
+def diagnostics(units: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind) of voted units to look at: miss, false_alarm, or a split that is neither."""
+    hit = flagged("maj")
+    kind = F.when(problem() & ~hit, "miss").when(~problem() & hit, "false_alarm").when(F.col("maj") == "SPLIT", "split")
+    return units.select(*keys, kind.alias("kind")).filter("kind is not null")
+
+
+def _share(condition: Column, of: Column) -> Column:
+    return F.try_divide(number(condition & of).cast("double"), number(of).cast("double"))
+
+
+#: Predicates and axes by name, for plans that are given by name.
+RULES = {
+    "problem": problem, "flagged": lambda: flagged("maj"), "detected": lambda: problem() & flagged("maj"), "split": lambda: F.col("maj") == "SPLIT",
+}
+AXES = {"recall": lambda: _share(flagged("maj"), problem()), "precision": lambda: _share(problem(), flagged("maj"))}

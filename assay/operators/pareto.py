@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 EPS = 1e-9
 TERMINAL = ("PRUNED", "INVALID")
 NOT_JUDGED = ("INVALID", "PRUNED", "UNJUDGED", "REJECTED_C0")
@@ -88,6 +90,58 @@ def prune(members: DataFrame, cap: int = 8) -> DataFrame:
     return m.select("candidate", gone.alias("pruned"), "halted")
 
 
+def of_two(pool: DataFrame, a: str, b: str, intervals: bool = True) -> DataFrame:
+    """(a, b, relation, recall, precision) of two candidates by id: how they relate, and on either axis."""
+    row = F.struct(*pool.columns)
+    pair = pool.filter(F.col("candidate") == a).agg(F.first(row).alias("x")).join(pool.filter(F.col("candidate") == b).agg(F.first(row).alias("y")), F.lit(True))
+    out = relation(pair.filter("x is not null and y is not null"), intervals)
+    return out.select(F.col("x.candidate").alias("a"), F.col("y.candidate").alias("b"), "relation", *[compare(axis, "x", "y", intervals).alias(axis) for axis in AXES])
+
+
+def unjudged(candidates: DataFrame) -> DataFrame:
+    """Candidates without a verdict: UNJUDGED, or not INVALID while the sample gate didn't let them pass."""
+    state = F.coalesce("status", F.lit(""))
+    return candidates.filter((state == "UNJUDGED") | ((state != "INVALID") & ~F.coalesce("gate_passed", F.lit(False))))
+
+
+def front_document(pool: DataFrame, before: list[str], stall: int, cap: int = 8, intervals: bool = True) -> DataFrame:
+    """One row: front (sorted), its ends, dominated ("id<by+by"), pruned, whether it changed from ``before``, stall_rounds.
+
+    The pool is the short list of candidates; ``stall`` is how long the front before had not changed.
+    """
+    drawn = front(pool, intervals)
+    members = drawn.filter("on_front").drop("dominated_by", "on_front")
+    cut = prune(members, cap)
+    kept = members.join(cut.filter("not pruned").select("candidate"), "candidate")
+    listed = lambda df, c: df.agg(F.array_sort(F.collect_list(c)).alias("v"))
+    ids, gone = listed(kept, "candidate").withColumnRenamed("v", "front"), listed(cut.filter("pruned"), "candidate").withColumnRenamed("v", "pruned")
+    lost = listed(drawn.filter("not on_front").select(F.concat_ws("<", "candidate", F.array_join("dominated_by", "+")).alias("d")), "d").withColumnRenamed("v", "dominated")
+    ends = endpoints(kept).select(F.col("recall").alias("recall_end"), F.col("precision").alias("precision_end"))
+    one = ids.join(gone, F.lit(True)).join(lost, F.lit(True)).join(ends, F.lit(True))  # a row each
+    changed = F.col("front") != F.array(*[F.lit(x) for x in sorted(before)]).cast("array<string>")
+    return one.select("*", F.size("front").cast("long").alias("front_size"), changed.alias("front_changed"), F.when(changed, 0).otherwise(stall + 1).alias("stall_rounds"))
+
+
+def transition(record: DataFrame, status: str, by: str, at: str) -> DataFrame:
+    """Records with a new status and an entry (at, status, by) at the end of status_history; the old rows stay as they are."""
+    entry = F.struct(F.lit(at).alias("at"), F.lit(status).alias("status"), F.lit(by).alias("by"))
+    none = F.array().cast("array<struct<at:string,status:string,by:string>>")
+    return record.withColumns({"status": F.lit(status), "status_history": F.concat(F.coalesce("status_history", none), F.array(entry))})
+
+
+def faults(harness: DataFrame, current: DataFrame, model: str, builders: dict) -> DataFrame:
+    """(candidate, faults) of harnesses (model, prompt_sha256, builder): other model, no prompt hash, one that is
+    there already, a builder that isn't registered."""
+    known = current.select(F.col("prompt_sha256").alias("_hash")).filter("_hash is not null").distinct()
+    h = harness.join(known, F.col("prompt_sha256") == F.col("_hash"), "left")
+    named = F.array(*[F.lit(b) for b in sorted(builders)]).cast("array<string>")
+    rules = {
+        "model": ~F.col("model").eqNullSafe(F.lit(model)), "no_prompt": F.coalesce("prompt_sha256", F.lit("")) == "",
+        "prompt_again": F.col("_hash").isNotNull(), "builder": ~F.coalesce(F.array_contains(named, F.col("builder")), F.lit(False)),
+    }
+    return h.select("candidate", F.array_compact(F.array(*[F.when(v, k) for k, v in rules.items()])).alias("faults"))
+
+
 def latest(ledger: DataFrame) -> DataFrame:
     """Current state of each candidate: the row with the largest seq."""
     columns = [c for c in ledger.columns if c != "candidate"]
@@ -102,11 +156,16 @@ def transitions(current: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def stalls(rounds: DataFrame) -> DataFrame:
-    """From (round, front): how many rounds in a row the front has not changed."""
-    order = Window.orderBy("round")
-    r = rounds.withColumn("same", F.coalesce(F.lag("front").over(order) == F.col("front"), F.lit(False)))
-    r = r.withColumn("island", F.sum((~F.col("same")).cast("int")).over(order))
-    return r.withColumn("stall", F.row_number().over(Window.partitionBy("island").orderBy("round")) - 1).select("round", "front", "stall")
+    """From (round, front): how many rounds in a row the front has not changed.
+
+    A round's stall is its place less that of the last change, found by running sums over ranges.
+    """
+    r = ordered.previous(rounds, [], [F.col("round")], "front", "_before")
+    r = r.withColumn("_fresh", (~F.coalesce(F.col("_before") == F.col("front"), F.lit(False))).cast("long"))
+    r = ordered.running(r, [F.col("round")], {"_place": F.lit(1).cast("long"), "_changes": F.col("_fresh")})
+    r = r.withColumn("_island", F.col("_changes") + F.col("_fresh"))
+    first = r.groupBy("_island").agg(F.min("_place").alias("_first"))
+    return r.join(first, "_island").select("round", "front", (F.col("_place") - F.col("_first")).cast("int").alias("stall"))
 
 
 def gate_violations(c: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import table
+from .ordered import place
+
 # The generator's multiplier, increment and seed.
 LCG_A, LCG_C, SEED = 6364136223846793005, 1442695040888963407, 20260730
 Z, Z_PRECISE = 1.96, 1.959963985
@@ -47,51 +50,78 @@ def disjoint(a: Column, b: Column) -> Column:
     return (a["lo"] > b["hi"]) | (b["lo"] > a["hi"])
 
 
-def draws(spark: SparkSession, size: int, rounds: int, seed: int = SEED) -> DataFrame:
-    """(b, pos): the draws of ``rounds`` resamples of ``size`` each, b-major.
+def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and increments of 1 to ``n`` steps of the generator, modulo 2^64."""
+    mul, add = np.array([LCG_A], np.uint64), np.array([LCG_C], np.uint64)
+    while len(mul) < n:  # k more steps after each of the first k
+        mul, add = np.concatenate([mul, mul * mul[-1]]), np.concatenate([add, mul * add[-1] + add])
+    return mul[:n], add[:n]
+
+
+def draws(spark: SparkSession, size: int, rounds: int, seed: int = SEED, at_once: int = 1 << 18, each: int | None = None) -> DataFrame:
+    """(b, pos): the draws below ``size`` of ``rounds`` resamples of ``each`` (``size``, if not said), b-major.
 
     A block of rounds jumps straight to its place in the sequence, so blocks are made in
-    parallel: after m steps the state is A^m s + C (A^m - 1) / (A - 1), modulo 2^64.
+    parallel: m steps are one affine step modulo 2^64.  ``at_once`` states are one numpy
+    expression, from one state and the factors of 1 to ``at_once`` steps.
     """
-    step = max(1, -(-rounds // 64))
+    step, each = max(1, -(-rounds // 64)), size if each is None else each
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mul, add = _steps(min(at_once, step * each))
         for batch in batches:
             for first in batch["id"]:
-                a, c, mul, add, m = LCG_A, LCG_C, 1, 0, int(first) * size
+                a, c, m, state = LCG_A, LCG_C, int(first) * each, seed % 2**64
                 while m:  # binary powers of the affine step
                     if m & 1:
-                        mul, add = mul * a % 2**64, (add * a + c) % 2**64
+                        state = (state * a + c) % 2**64
                     a, c, m = a * a % 2**64, (c * a + c) % 2**64, m >> 1
-                state = (mul * seed + add) % 2**64
-                last = min(rounds, int(first) + step)
-                out = np.empty((last - int(first)) * size, np.int64)
-                for i in range(len(out)):
-                    state = (LCG_A * state + LCG_C) % 2**64
-                    out[i] = ((state >> 17) * size) >> 47
-                yield pd.DataFrame({"b": np.repeat(np.arange(int(first), last), size), "pos": out})
+                at, end = int(first) * each, min(rounds, int(first) + step) * each
+                while at < end:
+                    n = min(len(mul), end - at)
+                    states = mul[:n] * np.uint64(state) + add[:n]
+                    state = int(states[-1])
+                    # ((state >> 17) * size) >> 47 in two halves, so that no product leaves 64 bits
+                    x, big = states >> np.uint64(17), np.uint64(size)
+                    high, low = x >> np.uint64(24), x & np.uint64((1 << 24) - 1)
+                    pos = (high * big + (low * big >> np.uint64(24))) >> np.uint64(23)
+                    yield pd.DataFrame({"b": np.arange(at, at + n) // each, "pos": pos.astype(np.int64)})
+                    at += n
 
     return spark.range(0, rounds, step, numPartitions=min(64, rounds)).mapInPandas(run, "b long, pos long")
 
 
-def bootstrap(units: DataFrame, keys: list[str], cluster: str | None, size: int, rounds: int = 2000, seed: int = SEED) -> DataFrame:
-    """Percentile intervals of recall and precision per key.
+def bootstrap(units: DataFrame, keys: list[str], cluster: str | None, rounds: int = 2000, seed: int = SEED) -> DataFrame:
+    """Percentile intervals (2.5 and 97.5) of recall and precision per key, rounded to 4 places.
 
-    ``cluster``: column whose values are drawn (a cluster's units come together), or None to
-    draw units by id.  ``size`` clusters per key, the same for all.  Clusters are summed to
-    counts before the join, so a round joins ``size`` small rows, not units.
+    ``units``: the keys, id, human and maj; every key has the same units.  ``cluster``: column
+    whose values are drawn (a cluster's units come together), or None to draw units by id.  A
+    resample without problems (or without flags) counts for the other rate only; ``_valid`` says
+    how many count, and without any the interval is null.  Clusters are summed to counts
+    before the join, and what a round draws several times is one row.
     """
     by = cluster or "id"
     hit = F.col("maj").isin("CONTRADICTED", "INSUFFICIENT")
     bad = F.col("human").isin("C", "I")
-    sums = units.groupBy(*keys, by).agg(
+    units = table(units.select(*keys, F.col(by).alias("_by"), "human", "maj"), "units")
+    sums = units.groupBy(*keys, "_by").agg(
         F.count(F.when(bad, 1)).alias("p"), F.count(F.when(hit, 1)).alias("f"), F.count(F.when(bad & hit, 1)).alias("d")
     )
-    # one row per cluster, of which there are ``size``
-    ranked = units.select(by).distinct().withColumn("pos", F.row_number().over(Window.orderBy(by)).cast("long") - 1)
+    ranked = table(place(units.select("_by").distinct(), [F.col("_by")], "pos"), "ranked")
+    size = ranked.count()
     drawn = draws(units.sparkSession, size, rounds, seed).groupBy("b", "pos").agg(F.count(F.lit(1)).alias("times"))
-    sampled = drawn.join(ranked, "pos").join(sums, by)
+    sampled = drawn.join(sums.join(ranked, "_by"), "pos")
     per = sampled.groupBy(*keys, "b").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in "pfd"])
     per = per.select(*keys, F.try_divide(F.col("d").cast("double"), F.col("p").cast("double")).alias("recall"), F.try_divide(F.col("d").cast("double"), F.col("f").cast("double")).alias("precision"))
     at = lambda c, q: F.bround(F.percentile(c, F.lit(q)), 4)
+    # at most ``rounds`` values per key
     return per.groupBy(*keys).agg(*[x for c in ("recall", "precision") for x in (at(c, 0.025).alias(f"{c}_lo"), at(c, 0.975).alias(f"{c}_hi"), F.count(c).alias(f"{c}_valid"))])
+
+
+def below(a_hi: Column, b_lo: Column) -> Column:
+    """Whether an interval lies below another as a whole; unknown bounds don't."""
+    return F.coalesce(a_hi < b_lo, F.lit(False))
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), x))

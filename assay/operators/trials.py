@@ -6,11 +6,11 @@ expression or one aggregation, so nothing grows but the input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import pareto, stats
+from . import ordered, pareto, stats
 
 LAYERS = ("distractor", "no_answer", "normal")
 
@@ -113,3 +113,139 @@ def covered(mine: DataFrame, theirs: DataFrame, intervals: bool = True) -> DataF
     beats = pareto.dominates("x", "y", intervals)
     each = y.join(x, beats | tie, "left").groupBy("y.candidate").agg(F.bool_or(F.coalesce(beats, F.lit(False))).alias("_beaten"), F.bool_or(F.col("x").isNotNull()).alias("_met"))
     return each.agg((F.bool_and("_met") & F.bool_or("_beaten")).alias("dominates"), F.bool_and("_met").alias("covers"))
+
+
+def round_robin(rows: DataFrame, forced: Column, group: str, order: list[str], cap: int, limit: int) -> DataFrame:
+    """``limit`` rows dealt from groups in turn: forced ones first, which count to cap and limit.
+
+    Within a group rows come in ``order``, ``cap`` of a group at most; turns go by group.
+    """
+    f = rows.filter(forced)
+    n = f.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    turn = rows.filter(~F.coalesce(forced, F.lit(False))).withColumn("_turn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_turn") <= cap)
+    open_ = turn.join(n, F.col(group) == F.col("_g"), "left").filter(F.col("_turn") + F.coalesce("_n", F.lit(0)) <= cap)
+    left = max(0, limit - f.limit(limit).count())  # the limit is a parameter
+    return f.unionByName(open_.orderBy("_turn", group).limit(left).select(*rows.columns))
+
+
+def front_verdict(won: DataFrame, mine: int, others: tuple[int, int], halted: bool = False, control: str = "PASS", sizes: tuple[int, ...] = ()) -> DataFrame:
+    """One row, verdict, of fronts compared in pairs (mine, theirs, dominates, covers).
+
+    V6: the negative control failed, so nothing is read.  V5: pruning halted on ties.  V7: no
+    front grew beyond the baseline (all ``sizes`` 1).  V4: another front dominates mine.  V1: mine
+    dominates both.  V2: only one, named.  V3: all cover each other and none dominates.  NONE
+    if nothing of that was seen.
+    """
+    at = lambda a, b: F.coalesce(F.bool_or((F.col("mine") == a) & (F.col("theirs") == b) & F.col("dominates")), F.lit(False))
+    first, second = others
+    w = won.agg(
+        at(mine, first).alias("a"), at(mine, second).alias("b"), F.coalesce(F.bool_or((F.col("theirs") == mine) & F.col("dominates")), F.lit(False)).alias("under"),
+        F.coalesce(F.bool_and(F.col("covers") & ~F.col("dominates")), F.lit(False)).alias("level"),
+    )
+    verdict = (
+        F.when(F.lit(control != "PASS"), "V6").when(F.lit(halted), "V5").when(F.lit(bool(sizes) and all(n == 1 for n in sizes)), "V7")
+        .when(F.col("under"), "V4").when(F.col("a") & F.col("b"), "V1").when(F.col("a"), f"V2_C{first}").when(F.col("b"), f"V2_C{second}").when(F.col("level"), "V3").otherwise("NONE")
+    )
+    return w.select(verdict.alias("verdict"))
+
+
+def has_proposition(memo: Column) -> Column:
+    """Whether a memo doesn't say that there is no proposition; none at all is one."""
+    return ~F.contains(F.coalesce(memo, F.lit("")), F.lit("명제없음"))  # fixed value
+
+
+def evidence_labels(cited: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, human): S with any supporting evidence, C with other evidence only, I where none is there.
+
+    ``evidence``: keys and supports; it is summed before the join, so keys with much of it cost one row.
+    """
+    per = evidence.groupBy(*keys).agg(F.bool_or("supports").alias("_any"))
+    found = cited.distinct().join(per, keys, "left")
+    return found.select(*keys, F.when(F.col("_any").isNull(), "I").when(F.col("_any"), "S").otherwise("C").alias("human"))
+
+
+def to_do(rows: DataFrame, key: str, done: DataFrame, only: tuple[str, tuple[str, ...]] | None = None, limit: int | None = None) -> DataFrame:
+    """Rows still to do, by key: of some values of a column only, without those done, the first ``limit``."""
+    left = rows.filter(F.col(only[0]).isin(*only[1])) if only else rows
+    left = left.join(done.select(key), key, "left_anti").orderBy(key)
+    return left.limit(limit) if limit is not None else left
+
+
+def pair_units(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, qid, human, quadrant) of two endpoints' verdicts (id, qid, human, said) on the units of both."""
+    both = a.join(b.select("id", F.col("said").alias("_other")), "id")
+    right, other = F.col("said") == F.col("human"), F.col("_other") == F.col("human")
+    q = F.when(right & other, "BOTH_OK").when(right, "A_ONLY").when(other, "B_ONLY").otherwise("BOTH_FAIL")
+    return both.select("id", "qid", "human", q.alias("quadrant"))
+
+
+def base_rates(voted: DataFrame, keys: list[str]) -> DataFrame:
+    """Per set: units, those judged a problem and their rate, splits, and how many could at most be mended."""
+    hit = F.col("maj").isin("CONTRADICTED", "INSUFFICIENT")
+    n = lambda c: F.count(F.when(c, 1))
+    rate = F.bround(F.try_divide(n(hit).cast("double"), F.count(F.lit(1)).cast("double")), 4)
+    return voted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), n(hit).alias("problem"), rate.alias("rate"), n(F.col("maj") == "SPLIT").alias("split"), n(hit).alias("improvement_ceiling"))
+
+
+def shuffled(rows: DataFrame, key: str, seed: str) -> DataFrame:
+    """Rows in the order of a keyed hash: the same in any engine and any run."""
+    return rows.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key)), 256))
+
+
+def sample(rows: DataFrame, key: str, seed: str, stratum: str, n: int) -> DataFrame:
+    """``n`` rows of each stratum by a keyed hash; each task keeps ``n`` a stratum before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(seed), F.col(key)), 256)))
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def set_relation(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row on two sets: whether b is a subset of a, and whether they are equal."""
+    n = lambda x, y, name: x.join(y, key, "left_anti").agg(F.count(F.lit(1)).alias(name))
+    both = n(b, a, "beyond").join(n(a, b, "lacking"), F.lit(True))  # a row each
+    return both.select((F.col("beyond") == 0).alias("subset"), (F.col("beyond") + F.col("lacking") == 0).alias("equal"))
+
+
+#: Slots of a round in the order in which a budget is spent, and the calls of a candidate.
+SLOTS, CALLS = ("filter_strip", "S1", "S2", "S3"), 165
+
+
+def affordable(rounds: DataFrame, budget: Column, strip: bool = True) -> DataFrame:
+    """Rounds with the slots (kind) that their budget pays for: the last in order are dropped first."""
+    kinds = [k for k in SLOTS if strip or k != "filter_strip"]
+    slots = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind")) for i, k in enumerate(kinds, 1)])
+    return rounds.withColumn("_s", F.explode(F.filter(slots, lambda x: x["i"] * CALLS <= budget))).select(*rounds.columns, "_s.kind")
+
+
+def random_parents(pool: DataFrame, key: str, rounds: int, seed: int = 20260731) -> DataFrame:
+    """(round, parent): a parent per round, any of the pool alike, by the seeded generator over sorted ids."""
+    placed = ordered.place(pool, [F.col(key)], "pos").select("pos", F.col(key).alias("parent"))
+    drawn = stats.draws(pool.sparkSession, pool.count(), rounds, seed, each=1)
+    return drawn.select(F.col("b").alias("round"), "pos").join(placed, "pos").select("round", "parent")
+
+
+def two_gates(measured: DataFrame, baseline: str) -> DataFrame:
+    """What a scalar gate and a Pareto gate take of candidates (candidate, score, cost) against a baseline.
+
+    ``scalar``: a higher score.  ``pareto``: nowhere worse, somewhere better.  ``dearer``: more
+    cost.  ``inferior``: no higher score at more cost.
+    """
+    base = measured.filter(F.col("candidate") == baseline).agg(F.first("score").alias("_s"), F.first("cost").alias("_c"))
+    m = measured.filter(F.col("candidate") != baseline).join(base, F.lit(True))
+    up, dearer = F.col("score") > F.col("_s"), F.col("cost") > F.col("_c")
+    level = (F.col("score") >= F.col("_s")) & ~dearer & (up | (F.col("cost") < F.col("_c")))
+    return m.select("candidate", up.alias("scalar"), level.alias("pareto"), dearer.alias("dearer"), (~up & dearer).alias("inferior"))
+
+
+def answer_context(units: DataFrame, recall: float, least_flips: int = 8, least_recall: float = 0.9) -> DataFrame:
+    """One row: is a probe that sees the whole answer adopted?  ``units``: human, old and new (a stable YES), siblings.
+
+    All three must hold: ``least_flips`` old false alarms turned, every old hit stayed (and there
+    was one), the gate's recall is kept.  Turned ones without siblings mean that the wording did
+    it, not the context (``attributable``).
+    """
+    old, new, clean = F.col("old"), F.col("new"), F.col("human") == "S"
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    turned = old & ~new & clean
+    r = units.agg(n(turned, "flipped"), n(old & clean, "false_alarms"), n(old & new & ~clean, "kept"), n(old & ~clean, "hits"), n(turned & (F.col("siblings") <= 1), "solo_flips"))
+    adopted = (F.col("flipped") >= least_flips) & (F.col("hits") > 0) & (F.col("kept") == F.col("hits")) & F.lit(recall >= least_recall - 1e-9)
+    return r.select("*", adopted.alias("adopted"), (F.col("solo_flips") == 0).alias("attributable"))

@@ -83,3 +83,8 @@ def probe(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     n = rows.groupBy(*keys).agg(F.count(F.when(F.col("vote") == "YES", 1)).alias("yes"), F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("yes") == F.col("n"), "all_yes").when(F.col("yes") == 0, "all_no").otherwise("split")
     return n.select(*keys, "yes", (F.col("yes") >= k).alias("hit"), kind.alias("kind"))
+
+
+def listed(rows: DataFrame, keys: list[str], run: str, label: str) -> DataFrame:
+    """The votes of each key as an array of struct(run, label) in the order of runs, which are few."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(run).alias("run"), F.col(label).alias("label")))).alias("votes"))

@@ -50,9 +50,10 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, raw (header and body) and quote of every document."""
     docs = read(spark, sf_dir, "documents")
-    body = F.regexp_replace(F.substring("text", 1, 400), "[^A-Za-z0-9 .,]", " ")
+    body = F.regexp_replace("text", "[^A-Za-z0-9 .,]", " ")
     head = F.concat(F.lit("["), (1001 + F.col("doc_id") % 9).cast("string"), F.lit(" topic 문단 "), (1 + F.col("doc_id") % 97).cast("string"), F.lit("] "))
-    quote = F.trim(F.regexp_replace(F.substring(body, 1, 60), " +", " "))
+    # a quote may stand anywhere in the text
+    quote = F.trim(F.regexp_replace(F.substr(body, F.lit(1) + F.pmod(F.col("doc_id") * 37, F.greatest(F.length(body) - 60, F.lit(1))).cast("int"), F.lit(60)), " +", " "))
     return docs.select(F.col("doc_id").alias("question_id"), F.concat(head, body).alias("raw"), quote.alias("quote"))
 
 
@@ -82,8 +83,8 @@ votes AS (
   FROM events)""",
     "evidence": r"""evidence AS (
   SELECT doc_id AS question_id, '[' || (1001 + doc_id % 9) || ' topic 문단 ' || (1 + doc_id % 97) || '] ' || body AS raw,
-    trim(regexp_replace(substr(body, 1, 60), ' +', ' ', 'g')) AS quote
-  FROM (SELECT doc_id, regexp_replace(substr(text, 1, 400), '[^A-Za-z0-9 .,]', ' ', 'g') AS body FROM documents))""",
+    trim(regexp_replace(substr(body, CAST(1 + (doc_id * 37) % greatest(length(body) - 60, 1) AS BIGINT), 60), ' +', ' ', 'g')) AS quote
+  FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 .,]', ' ', 'g') AS body FROM documents))""",
 }
 
 

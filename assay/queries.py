@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import metrics, pareto, stats, votes
+from .operators import metrics, ordered, pareto, stats, trials, votes
 from .plans import views
 from .plans.views import sql
 
@@ -66,7 +66,8 @@ def jn5(s: SparkSession, d: str) -> DataFrame:
 
 @query("JN6_siblings", sql("units") + "SELECT a.id, count(b.id) AS n_siblings FROM units a LEFT JOIN units b ON a.qid = b.qid AND a.arm = b.arm AND a.id <> b.id GROUP BY a.id")
 def jn6(s: SparkSession, d: str) -> DataFrame:
-    return views.units(s, d).select("id", (F.count(F.lit(1)).over(Window.partitionBy("qid", "arm")) - 1).alias("n_siblings"))
+    u = views.units(s, d)
+    return u.join(u.groupBy("qid", "arm").agg(F.count(F.lit(1)).alias("n")), ["qid", "arm"]).select("id", (F.col("n") - 1).alias("n_siblings"))
 
 
 @query("JN11_resume_todo", BASE + "SELECT DISTINCT u.id FROM units u WHERE u.id NOT IN (SELECT id FROM runs WHERE candidate = 'c000' AND label = 'UNRESOLVED')")
@@ -197,13 +198,14 @@ def ag16(s: SparkSession, d: str) -> DataFrame:
 
 @query("AG18_median", "SELECT event_type, round_even(median(value), 4) AS median_value FROM events GROUP BY event_type")
 def ag18(s: SparkSession, d: str) -> DataFrame:
-    return views.read(s, d, "events").groupBy("event_type").agg(F.bround(F.median("value"), 4).alias("median_value"))
+    q = ordered.quantiles(views.read(s, d, "events"), ["event_type"], "value", {"median_value": 0.5})
+    return q.select("event_type", F.bround("median_value", 4).alias("median_value"))
 
 
 @query("AG19_percentile", "SELECT event_type, round_even(quantile_cont(value, 0.025), 6) AS lo, round_even(quantile_cont(value, 0.975), 6) AS hi FROM events GROUP BY event_type")
 def ag19(s: SparkSession, d: str) -> DataFrame:
-    p = lambda q: F.bround(F.percentile("value", F.lit(q)), 6)
-    return views.read(s, d, "events").groupBy("event_type").agg(p(0.025).alias("lo"), p(0.975).alias("hi"))
+    q = ordered.quantiles(views.read(s, d, "events"), ["event_type"], "value", {"lo": 0.025, "hi": 0.975})
+    return q.select("event_type", F.bround("lo", 6).alias("lo"), F.bround("hi", 6).alias("hi"))
 
 
 ROLL = f"""roll AS (SELECT candidate, count(*) FILTER (decision <> 'INDETERMINATE') AS auto_n, count(*) FILTER (decision = 'INDETERMINATE') AS review_n,
@@ -240,15 +242,10 @@ def ag26(s: SparkSession, d: str) -> DataFrame:
     return views.units(s, d).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), metrics.number(metrics.problem()).alias("bad"), F.count_distinct("qid").alias("n_qid"), F.count_distinct(F.when(metrics.problem(), F.col("qid"))).alias("bad_qid"))
 
 
-@query("AG30_grouping_sets", sql("units") + "SELECT arm, human, count(*) AS n FROM units GROUP BY GROUPING SETS ((), (arm), (arm, human))")
-def ag30(s: SparkSession, d: str) -> DataFrame:
-    return views.units(s, d).rollup("arm", "human").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("AG31_diagnostics", VOTED + f"SELECT candidate, string_agg(id, ',' ORDER BY id) AS missed FROM votes WHERE {BAD} AND NOT {HIT} GROUP BY candidate")
+@query("AG31_diagnostics", VOTED + f"SELECT candidate, id, CASE WHEN {BAD} AND NOT {HIT} THEN 'miss' WHEN NOT ({BAD}) AND {HIT} THEN 'false_alarm' ELSE 'split' END AS kind FROM votes WHERE ({BAD} AND NOT {HIT}) OR (NOT ({BAD}) AND {HIT}) OR maj = 'SPLIT'")
 def ag31(s: SparkSession, d: str) -> DataFrame:
-    missed = _voted(s, d).filter(metrics.problem() & ~votes.flagged("maj"))
-    return missed.groupBy("candidate").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("missed"))
+    """Misses, false alarms and other splits, a row each: the lists grow with the units."""
+    return metrics.diagnostics(_voted(s, d), ["candidate", "id"])
 
 
 # --- statistics ------------------------------------------------------------------------
@@ -283,18 +280,6 @@ def sa3(s: SparkSession, d: str) -> DataFrame:
     return stats.draws(s, 55, 20).groupBy("b", "pos").agg(F.count(F.lit(1)).alias("times"))
 
 
-@query("SA5_cluster_bootstrap")
-def sa5(s: SparkSession, d: str) -> DataFrame:
-    v = _voted(s, d)
-    return stats.bootstrap(v, ["candidate"], "qid", v.select("qid").distinct().count(), rounds=200)
-
-
-@query("PA11_objectives", VOTED.rstrip() + ",\n" + COUNTS + " " + RATES.replace("n_detected, ", "n_units, n_problem, n_flagged, n_detected, n_split, ", 1))
-def pa11(s: SparkSession, d: str) -> DataFrame:
-    columns = ("candidate", "n_units", "n_problem", "n_flagged", "n_detected", "n_split", "recall", "precision")
-    return metrics.rates(metrics.counts(_voted(s, d), ["candidate"])).select(*columns)
-
-
 # --- fronts and ledger -----------------------------------------------------------------
 
 CANDIDATES = VOTED.rstrip() + ",\n" + COUNTS + f""", candidates AS (SELECT candidate, n_flagged, CAST(substr(candidate, 2) AS INTEGER) // 3 AS generation, 'front_pair' AS origin,
@@ -312,21 +297,6 @@ def _candidates(s: SparkSession, d: str) -> DataFrame:
 DOMINATES = "x.recall >= y.recall - 1e-9 AND x.precision >= y.precision - 1e-9 AND (x.recall > y.recall + 1e-9 OR x.precision > y.precision + 1e-9)"
 
 
-@query("PA3_front", CANDIDATES + f""" SELECT y.candidate, coalesce(string_agg(x.candidate, ',' ORDER BY x.candidate), '') AS dominated_by, count(x.candidate) = 0 AS on_front
-  FROM pool y LEFT JOIN pool x ON {DOMINATES} GROUP BY y.candidate""")
-def pa3(s: SparkSession, d: str) -> DataFrame:
-    return pareto.front(_candidates(s, d), intervals=False).select("candidate", F.array_join("dominated_by", ",").alias("dominated_by"), "on_front")
-
-
-@query("PA2_relation", CANDIDATES + f""" SELECT x.candidate AS a, y.candidate AS b, CASE
-  WHEN abs(x.recall - y.recall) <= 1e-9 AND abs(x.precision - y.precision) <= 1e-9 THEN 'TIE' WHEN {DOMINATES} THEN 'X'
-  WHEN {DOMINATES.replace('x.', 'z.').replace('y.', 'x.').replace('z.', 'y.')} THEN 'Y' ELSE 'TRADE_OFF' END AS relation FROM pool x JOIN pool y ON x.candidate < y.candidate""")
-def pa2(s: SparkSession, d: str) -> DataFrame:
-    c = _candidates(s, d)
-    pairs = c.select(F.struct(*c.columns).alias("x")).join(c.select(F.struct(*c.columns).alias("y")), F.col("x.candidate") < F.col("y.candidate"))
-    return pareto.relation(pairs, intervals=False).select(F.col("x.candidate").alias("a"), F.col("y.candidate").alias("b"), "relation")
-
-
 @query("TK1_endpoints", CANDIDATES + " SELECT (SELECT candidate FROM pool ORDER BY recall DESC, precision DESC, generation, candidate LIMIT 1) AS recall, (SELECT candidate FROM pool ORDER BY precision DESC, recall DESC, generation, candidate LIMIT 1) AS precision")
 def tk1(s: SparkSession, d: str) -> DataFrame:
     return pareto.endpoints(_candidates(s, d))
@@ -365,8 +335,10 @@ def wn11(s: SparkSession, d: str) -> DataFrame:
 
 @query("WN2_cap_per_group", sql("units") + "SELECT id FROM (SELECT id, human, row_number() OVER (PARTITION BY qid ORDER BY sha256('7' || id)) AS rk FROM units) WHERE rk <= 2 OR human = 'C'")
 def wn2(s: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.sha2(F.concat(F.lit("7"), F.col("id")), 256))
-    return views.units(s, d).withColumn("rk", F.row_number().over(order)).filter("rk <= 2 or human = 'C'").select("id")
+    u = views.units(s, d).select("id", "qid", "human", F.sha2(F.concat(F.lit("7"), F.col("id")), 256).alias("h"))
+    # the cap alone lets each task keep two rows of a group; the exempt are added after it
+    capped = u.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("h"))).filter("rk <= 2").select("id")
+    return capped.union(u.filter("human = 'C'").select("id")).distinct()
 
 
 @query("WN3_stratum_quota", sql("units") + "SELECT human, id FROM (SELECT *, row_number() OVER (PARTITION BY human ORDER BY sha256('7' || id)) AS rk FROM units) WHERE rk <= 5")
@@ -375,10 +347,13 @@ def wn3(s: SparkSession, d: str) -> DataFrame:
     return views.units(s, d).withColumn("rk", F.row_number().over(order)).filter("rk <= 5").select("human", "id")
 
 
-@query("WN4_round_robin", sql("units") + "SELECT id, arm FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY id) AS r FROM units) WHERE r <= 8 ORDER BY r, qid LIMIT 80")
+@query("WN4_round_robin", sql("units") + """, f AS (SELECT id, arm, qid, 0 AS forced FROM units WHERE human = 'C' AND doc_id % 50 = 7), g AS (SELECT qid, count(*) AS n FROM f GROUP BY qid),
+r AS (SELECT u.id, u.arm, u.qid, CASE u.human WHEN 'I' THEN 0 ELSE 1 END AS layer, row_number() OVER (PARTITION BY u.qid ORDER BY CASE u.human WHEN 'I' THEN 0 ELSE 1 END, u.id) AS r FROM units u WHERE u.id NOT IN (SELECT id FROM f)),
+k AS (SELECT r.id, r.arm, row_number() OVER (ORDER BY r.r, r.qid) AS rk FROM r LEFT JOIN g USING (qid) WHERE r.r + coalesce(g.n, 0) <= 8)
+SELECT id, arm FROM f UNION ALL SELECT id, arm FROM k WHERE rk <= 80 - (SELECT count(*) FROM f)""")
 def wn4(s: SparkSession, d: str) -> DataFrame:
-    r = views.units(s, d).withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
-    return r.filter("r <= 8").orderBy("r", "qid").limit(80).select("id", "arm")
+    u = views.units(s, d).withColumn("layer", F.when(F.col("human") == "I", 0).otherwise(1))
+    return trials.round_robin(u, (F.col("human") == "C") & (F.col("doc_id") % 50 == 7), "qid", ["layer", "id"], 8, 80).select("id", "arm")
 
 
 @query("ST_set_operations", sql("units") + """SELECT 'union' AS op, count(*) AS n FROM (SELECT qid FROM units WHERE human = 'C' UNION SELECT qid FROM units WHERE human = 'I')
@@ -408,10 +383,16 @@ def fn6(s: SparkSession, d: str) -> DataFrame:
     return views.evidence(s, d).select("question_id", text.contains_quote(F.col("raw"), F.col("quote")).alias("found"))
 
 
-@query("FN3_citation", sql("evidence") + r"SELECT question_id, regexp_extract(raw, '([0-9]{3,4})[^0-9\[\]]*?문단\s*([0-9]+[A-Za-z]?)', 1) AS standard, regexp_extract(raw, '([0-9]{3,4})[^0-9\[\]]*?문단\s*([0-9]+[A-Za-z]?)', 2) AS paragraph FROM evidence")
+SHAPES = """CASE doc_id % 7 WHEN 0 THEN s || ' 문단 ' || p WHEN 1 THEN s || ' 문단 ' || p || '-(' || q || ')' WHEN 2 THEN '[' || s || ' 재고자산 문단 ' || p || 'A]' WHEN 3 THEN 'K-IFRS ' || s || ' 문단 ' || p || '(' || q || ')'
+  WHEN 4 THEN s || ' 문단 ' || p || ' – (가)' WHEN 5 THEN s || ' 문단 ' || p || '-' || (p + 1) ELSE 'see page ' || p END || ' ' || coalesce(source, '')"""
+CITATION_SQL = r"([0-9]{3,4})\s*[^0-9\[\]]*?문단\s*([0-9]+[A-Za-z]?)\s*(?:[-–]\s*)?(?:\(([^)]{1,12})\))?"
+
+
+@query("FN3_citation", f"WITH n AS (SELECT doc_id, source, CAST(1001 + doc_id % 9 AS VARCHAR) AS s, 1 + doc_id % 97 AS p, doc_id % 5 AS q FROM documents), c AS (SELECT doc_id, {SHAPES} AS cite FROM n) SELECT doc_id, " + ", ".join(f"nullif(regexp_extract(cite, '{CITATION_SQL}', {i}), '') AS {n}" for i, n in enumerate(("standard", "paragraph", "subitem"), 1)) + " FROM c")
 def fn3(s: SparkSession, d: str) -> DataFrame:
-    c = text.citation(F.col("raw"))
-    return views.evidence(s, d).select("question_id", c["standard"].alias("standard"), c["paragraph"].alias("paragraph"))
+    n = views.read(s, d, "documents").select("doc_id", "source", F.expr("cast(1001 + doc_id % 9 as string)").alias("s"), F.expr("1 + doc_id % 97").alias("p"), F.expr("doc_id % 5").alias("q"))
+    c = text.citation(F.expr(SHAPES))
+    return n.select("doc_id", *[c[k].alias(k) for k in ("standard", "paragraph", "subitem")])
 
 
 @query("FN21_literal_counts", "SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_the FROM documents")

@@ -21,21 +21,26 @@ def append_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
-def seed_ledger(rows: DataFrame, path: str) -> None:
-    """The first rows of a ledger; fails if there is one."""
-    rows.write.mode("errorifexists").json(path)
+def seed_ledger(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The first rows of a ledger; fails if there is one, or takes its place if ``overwrite``."""
+    rows.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
-def keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """(key, fields...) of a JSON object of objects; ``value`` is their struct type."""
-    whole = spark.read.text(path, wholetext=True)
+def json_array(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:
+    """Rows of JSON arrays of objects, an array a line, or a file if not ``lines`` (such a file is one task's)."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", str(not lines).lower()).json(path)
+
+
+def keyed_json(spark: SparkSession, path: str, value: str, lines: bool = False) -> DataFrame:
+    """(key, fields...) of JSON objects of objects, one a file, or a line if ``lines``; ``value`` is their struct type."""
+    whole = spark.read.text(path, wholetext=not lines)
     entries = whole.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "v"))
     return entries.select("key", "v.*")
 
 
-def labels(spark: SparkSession, path: str) -> DataFrame:
-    """(id, human) of a label file: a list of objects, or a map of id to label; only S, C and I stay."""
-    whole = spark.read.text(path, wholetext=True)
+def labels(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(id, human) of label files: a list of objects, or a map of id to label, a file or a line; only S, C and I stay."""
+    whole = spark.read.text(path, wholetext=not lines)
     is_list = F.ltrim("value").startswith("[")
     listed = F.from_json("value", "array<struct<id string, human_label string, human string>>")
     from_list = whole.filter(is_list).select(F.explode(listed).alias("r")).select("r.id", F.coalesce("r.human_label", "r.human").alias("human"))
@@ -43,6 +48,54 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return from_list.unionByName(from_map).filter(F.col("human").isin("S", "C", "I"))
 
 
+def write_documents(rows: DataFrame, path: str) -> None:
+    """(key, document struct) as one JSON text a row: keys in the struct's order, null fields kept, other scripts as they are."""
+    key = rows.columns[0]
+    rows.select(key, F.to_json("document", {"ignoreNullFields": "false"}).alias("document")).write.parquet(path)
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def merge_keyed(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """Keyed rows merged into a checkpoint and read back: a row replaces the one with its key.
+
+    Each step writes a whole new version beside the old ones, so a step that fails leaves the
+    last; versions are numbered, and the highest finished one counts.
+    """
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(int(f.getPath().getName()[2:]) for f in system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*")) if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+    merged = rows
+    if done:
+        old = spark.read.schema(rows.schema).parquet(f"{path}/v={done[-1]}")
+        merged = old.join(rows.select(key), key, "left_anti").unionByName(rows)
+    new = f"{path}/v={done[-1] + 1 if done else 0}"
+    merged.write.parquet(new)
+    return spark.read.schema(rows.schema).parquet(new)
+
+
+def guard(manifest: DataFrame, path: str, warn: tuple[str, ...] = ()) -> DataFrame:
+    """A manifest (key, value) written once and compared ever after: (key, before, after, only_warns) of what differs.
+
+    The first call writes it and finds nothing; keys of ``warn`` may change with a warning.
+    """
+    spark = manifest.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        manifest.select("key", "value").write.parquet(path)
+    found = changed(spark.read.parquet(path), manifest)
+    return found.withColumn("only_warns", F.col("key").isin(*warn) if warn else F.lit(False))
+
+
+def digests(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, sha256) of the bytes of files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return found.select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(path, text) of the files below ``root`` whose names match, but for those in .git and .venv."""
     found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)

@@ -38,10 +38,11 @@ def stalls(rounds: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         front, stall = state.get if state.exists else (None, 0)
         out = []
-        for row in pd.concat(batches).sort_values("round").itertuples():
-            stall = stall + 1 if row.front == front else 0
-            front = row.front
-            out.append((key[0], row.round, stall))
+        # a study's rounds of one batch: two small columns
+        for at, seen in sorted(pair for batch in batches for pair in zip(batch["round"].tolist(), batch["front"].tolist(), strict=True)):
+            stall = stall + 1 if seen == front else 0
+            front = seen
+            out.append((key[0], at, stall))
         state.update((front, stall))
         yield pd.DataFrame(out, columns=["study", "round", "stall"])
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import metrics, pareto, stats, trials, votes
+from .operators import metrics, stats, trials, votes
 from .plans import views
 from .plans.views import sql
-from .queries import BAD, BASE, CANDIDATES, DOMINATES, HIT, VOTED, WILSON, _candidates, _voted, query
+from .queries import BAD, BASE, HIT, VOTED, WILSON, _voted, query
 from .sources import files
 from .streaming import runs as streams
 from .plans.shared import folder
@@ -49,10 +49,10 @@ def sa12(s: SparkSession, d: str) -> DataFrame:
     return p.select("candidate", h.alias("h")).select("candidate", "h.significant", "h.better", "h.beyond_control", "h.accepted")
 
 
-@query("SP8_precision_at", """WITH e AS (SELECT user_id % 7 AS q, event_type AS doc, event_type IN ('purchase', 'click') AS ok FROM events WHERE event_id % 3 = 0 AND event_type IS NOT NULL)
+@query("SP8_precision_at", """WITH e AS (SELECT user_id % 7 AS q, event_type AS doc, event_type IN ('purchase', 'click') AS ok FROM events WHERE event_type IS NOT NULL)
 SELECT q, round_even(count(*) FILTER (ok)::DOUBLE / count(*), 4) AS by_slot, round_even(count(DISTINCT doc) FILTER (ok)::DOUBLE / count(DISTINCT doc), 4) AS by_document, count(DISTINCT doc) FILTER (ok) AS distinct_right FROM e GROUP BY q""")
 def sp8(s: SparkSession, d: str) -> DataFrame:
-    e = views.read(s, d, "events").filter("event_id % 3 = 0 and event_type is not null")
+    e = views.read(s, d, "events").filter("event_type is not null")
     slots = e.select((F.col("user_id") % 7).alias("q"), F.col("event_type").alias("doc"), F.col("event_type").isin("purchase", "click").alias("ok"))
     return trials.precision_at(slots, ["q"], "doc", "ok")
 
@@ -77,47 +77,6 @@ def sp11(s: SparkSession, d: str) -> DataFrame:
     return _voted(s, d).groupBy("candidate").agg(*trials.routing(votes.flagged("maj"), metrics.problem()))
 
 
-# --- fronts ----------------------------------------------------------------------------
-
-
-def _with_intervals(c: DataFrame) -> DataFrame:
-    """Candidates with intervals of no width, so that they compare by their values."""
-    return c.withColumns({f"{a}_{e}": F.col(a) for a in pareto.AXES for e in ("lo", "hi")})
-
-
-@query("PA4_prune", CANDIDATES + f""", f AS (SELECT * FROM pool),
-ends AS (SELECT (SELECT candidate FROM pool ORDER BY recall DESC, precision DESC, generation, candidate LIMIT 1) AS a, (SELECT candidate FROM pool ORDER BY precision DESC, recall DESC, generation, candidate LIMIT 1) AS b),
-t AS (SELECT *, EXISTS (SELECT 1 FROM f z WHERE z.candidate <> f.candidate AND abs(z.recall - f.recall) <= 1e-9 AND abs(z.precision - f.precision) <= 1e-9) AS tied, candidate IN (SELECT a FROM ends UNION SELECT b FROM ends) AS safe FROM f),
-r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN safe THEN 3 WHEN tied THEN 1 ELSE 2 END, CASE WHEN tied AND NOT safe THEN n_flagged ELSE 0 END, generation DESC, candidate DESC) AS rk, count(*) OVER () AS size FROM t)
-SELECT candidate, NOT safe AND rk <= size - 8 AS pruned, false AS halted FROM r""")
-def pa4(s: SparkSession, d: str) -> DataFrame:
-    return pareto.prune(_with_intervals(_candidates(s, d)), cap=8)
-
-
-@query("PA12_outward", CANDIDATES + " SELECT y.candidate, y.recall >= x.recall - 1e-9 AND y.n_flagged <= x.n_flagged AND (y.recall > x.recall + 1e-9 OR y.n_flagged < x.n_flagged) AS outward FROM pool y, (SELECT * FROM pool WHERE candidate = 'c006') x")
-def pa12(s: SparkSession, d: str) -> DataFrame:
-    # fewer reviews are better, so that axis is negated
-    c = _candidates(s, d).select("candidate", "recall", (-F.col("n_flagged")).cast("double").alias("precision"))
-    base = c.filter("candidate = 'c006'").select(F.struct("recall", "precision").alias("y"))  # one row
-    return c.select("candidate", F.struct("recall", "precision").alias("x")).join(F.broadcast(base), F.lit(True)).select("candidate", pareto.dominates("x", "y", intervals=False).alias("outward"))
-
-
-@query("SP1_parents", CANDIDATES + """, e AS (SELECT (SELECT candidate FROM pool ORDER BY recall DESC, precision DESC, generation, candidate LIMIT 1) AS r, (SELECT candidate FROM pool ORDER BY precision DESC, recall DESC, generation, candidate LIMIT 1) AS p)
-SELECT 'S1' AS slot, 'front_endpoint' AS origin, r AS parents FROM e UNION ALL SELECT 'S2', CASE WHEN r = p THEN 'filter_strip' ELSE 'front_endpoint' END, p FROM e UNION ALL SELECT 'S3', 'front_pair', r || ',' || p FROM e""")
-def sp1(s: SparkSession, d: str) -> DataFrame:
-    return trials.parents(_candidates(s, d)).withColumn("parents", F.array_join("parents", ","))
-
-
-BEATS_OR_TIES = f"({DOMINATES} OR (abs(x.recall - y.recall) <= 1e-9 AND abs(x.precision - y.precision) <= 1e-9))"
-
-
-@query("SP6_front_against_front", CANDIDATES + f""", e AS (SELECT y.candidate, coalesce(bool_or({DOMINATES}), false) AS beaten, coalesce(bool_or({BEATS_OR_TIES}), false) AS met FROM pool y LEFT JOIN pool x ON x.generation >= 2 WHERE y.generation < 2 GROUP BY y.candidate)
-SELECT bool_and(met) AND bool_or(beaten) AS dominates, bool_and(met) AS covers FROM e""")
-def sp6(s: SparkSession, d: str) -> DataFrame:
-    c = _candidates(s, d)
-    return trials.covered(c.filter("generation >= 2"), c.filter("generation < 2"), intervals=False)
-
-
 # --- sources, resumed runs -------------------------------------------------------------
 
 
@@ -137,12 +96,12 @@ def src13(s: SparkSession, d: str) -> DataFrame:
     return docs.select("lang", "doc_id", F.substring("text", 1, 80).alias("shown"), rank.alias("rk")).filter("rk > 3 and rk <= 8").drop("rk")
 
 
-@query("SNK3_ledger_append", sql("ledger") + "SELECT candidate, seq, status FROM ledger WHERE seq % 3 <> 2 AND status IS NOT NULL")
+@query("SNK3_ledger_append", sql("ledger") + "SELECT candidate, seq, status FROM ledger WHERE status IS NOT NULL")
 def snk3(s: SparkSession, d: str) -> DataFrame:
     at = folder(s, "ledger")
     rows = views.ledger(s, d).select("candidate", "seq", "status").filter("status is not null")
     files.seed_ledger(rows.filter("seq % 3 = 0"), at)
-    files.append_json_lines(rows.filter("seq % 3 = 1"), at)
+    files.append_json_lines(rows.filter("seq % 3 <> 0"), at)
     return s.read.schema("candidate string, seq long, status string").json(at)
 
 
@@ -178,14 +137,14 @@ def sm4(s: SparkSession, d: str) -> DataFrame:
     return tasks.join(done, ["qid", "task"], "left_anti")
 
 
-@query("SM6_stall_stream", """WITH e AS (SELECT user_id % 5 AS study, event_id AS round, event_type AS front FROM events WHERE event_type IS NOT NULL),
+@query("SM6_stall_stream", """WITH e AS (SELECT user_id AS study, event_id AS round, event_type AS front FROM events WHERE event_type IS NOT NULL),
 m AS (SELECT *, CASE WHEN lag(front) OVER w = front THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY study ORDER BY round)),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY study ORDER BY round) AS island FROM m)
 SELECT 's' || study AS study, round, CAST(row_number() OVER (PARTITION BY study, island ORDER BY round) - 1 AS INTEGER) AS stall FROM i""")
 def sm6(s: SparkSession, d: str) -> DataFrame:
     log, out = folder(s, "rounds"), folder(s, "stalls")
     e = views.read(s, d, "events").filter("event_type is not null")
-    study: Column = F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string"))
+    study: Column = F.concat(F.lit("s"), F.col("user_id").cast("string"))
     e.select(study.alias("study"), F.col("event_id").alias("round"), F.col("event_type").alias("front")).write.parquet(log)
     streams.drain(streams.stalls(streams.source(s, log, "study string, round long, front string", 1_000)), out, folder(s, "state"), "append")
     return s.read.schema("study string, round long, stall int").parquet(out).select("study", "round", "stall")
