@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from .plans import views
 from .plans.shared import folder
 from .plans.views import sql
 from .queries import BAD, BASE, HIT, PROBE, RATE, VOTED, _probe, _voted, query
-from .sources import files, sheets
+from .sources import files, remote, sheets
 from .study_queries import PAIR, QUADRANT, _n
 
 
@@ -149,6 +153,62 @@ def hs2(s: SparkSession, d: str) -> DataFrame:
     return files.digests(s, at, "*.txt").select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), F.col("sha256").alias("h"))
 
 
+@query("SRC10_archives", "SELECT CAST(n_regionkey AS VARCHAR) AS region, n_name AS name, length(n_name) AS n FROM nation")
+def src10(s: SparkSession, d: str) -> DataFrame:
+    """Members of tar files; fetching them is left to whatever puts files where Spark reads."""
+    at = folder(s, "tars")
+    names = views.read(s, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))  # one of the five regions each
+    packed = names.select(F.col("n_regionkey").cast("string").alias("key"), F.pandas_udf(_packed, "binary")("names").alias("content"))
+    files.write_binary(packed, at, ".tar.gz")
+    found = remote.archived(s, at)
+    return found.select(F.regexp_extract("archive", "([^/]+)[.]tar[.]gz$", 1).alias("region"), F.regexp_replace("path", "[.]txt$", "").alias("name"), F.length("text").cast("long").alias("n"))
+
+
+def _packed(lists: pd.Series) -> pd.Series:
+    out = []
+    for names in lists:
+        held = io.BytesIO()
+        with tarfile.open(fileobj=held, mode="w:gz") as tar:
+            for name in names:
+                member = tarfile.TarInfo(f"{name}.txt")
+                member.size = len(name.encode())
+                tar.addfile(member, io.BytesIO(name.encode()))
+        out.append(held.getvalue())
+    return pd.Series(out, dtype=object)
+
+
+@query("SRC11_paged_scan", "SELECT CAST(i AS BIGINT) AS place, 'row ' || i AS row FROM (SELECT unnest(range(137)) AS i)")
+def src11(s: SparkSession, d: str) -> DataFrame:
+    """A service of 137 rows in pages of 10, by an injected fetch."""
+    return remote.paged(s, _page, 10, pages_at_once=4)
+
+
+def _page(offset: int, length: int) -> list[str]:
+    return [f"row {i}" for i in range(offset, min(137, offset + length))]
+
+
+@query("SRC12_commands", "SELECT n_name AS prompt, n_name AS said FROM nation")
+def src12(s: SparkSession, d: str) -> DataFrame:
+    """Each prompt to a command's standard input; what it prints is the row's answer."""
+    return remote.asked(views.read(s, d, "nation").select(F.col("n_name").alias("prompt")), remote.command(["cat"], timeout=20, retries=1))
+
+
+@query("SNK7_report_lines", VOTED + f"SELECT candidate || '  ' || lpad(count(*) FILTER ({HIT})::VARCHAR, 6, ' ') || ' of ' || lpad(count(*)::VARCHAR, 6, ' ') || ' flagged' AS line FROM votes GROUP BY candidate")
+def snk7(s: SparkSession, d: str) -> DataFrame:
+    """A report as lines of text, for a console or a file."""
+    c = metrics.counts(_voted(s, d), ["candidate"])
+    wide = lambda n: F.lpad(F.col(n).cast("string"), 6, " ")
+    return c.select(F.concat("candidate", F.lit("  "), wide("n_flagged"), F.lit(" of "), wide("n_units"), F.lit(" flagged")).alias("line"))
+
+
+@query("SRC9_markdown_profile", "WITH m AS (SELECT doc_id, '# ' || coalesce(source, '') || chr(10) || '## ' || coalesce(lang, '') || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '|---|' || chr(10) ELSE '' END || regexp_replace(coalesce(text, ''), '[#|`!()]|\\[|\\]', ' ', 'g') || '[a](b) ![c](d)' AS md FROM documents) SELECT doc_id, 2 AS headings, len(regexp_extract_all(md, '\\|---\\|')) AS rules, len(string_split(md, chr(10))) AS lines, length(md) AS chars FROM m")
+def src9b(s: SparkSession, d: str) -> DataFrame:
+    md = F.expr("'# ' || coalesce(source, '') || '\n' || '## ' || coalesce(lang, '') || '\n' || CASE WHEN doc_id % 3 = 0 THEN '|---|' || '\n' ELSE '' END")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[#|`!()]|\[|\]", " ")
+    m = views.read(s, d, "documents").select("doc_id", F.concat(md, body, F.lit("[a](b) ![c](d)")).alias("md")).withColumn("p", text.profile(F.col("md")))
+    return m.select("doc_id", F.size("p.levels").alias("headings"), F.col("p.rules").cast("long").alias("rules"), F.size(F.split("md", "\n", -1)).cast("long").alias("lines"), F.length("md").cast("long").alias("chars"))
+
+
 # --- projections, filters, joins -------------------------------------------------------
 
 

@@ -190,7 +190,9 @@ def judge_claims(kept: DataFrame, judge: Callable[[str, str], str], prompt: str
 
         return pd.Series([one(p, c) for p, c in zip(prompts, claim, strict=True)], dtype=object)
 
-    return kept.select("question_id", "claim_id", F.pandas_udf(ask, "string")(prompt, "claim_id").alias("label"))
+    # prompts are written before they are asked, and answers once: a judge is dear
+    ready = table(kept.select("question_id", "claim_id", prompt), "prompts")
+    return table(ready.select("question_id", "claim_id", F.pandas_udf(ask, "string")(prompt, "claim_id").alias("label")), "judgements")
 
 
 def fail_closed(check: Callable[[str], list[str]]) -> Callable[[pd.Series], pd.Series]:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import prompts, reports
+from .operators import gate, prompts, reports
 from .plans import views
-from .queries import query
+from .queries import SQL, query
 from .study_queries import cleaned
 
 W = prompts.Wording()
@@ -69,12 +69,27 @@ def _unit(u: bool) -> Column:
        f" b AS (SELECT c.*, coalesce((SELECT r.shown FROM r WHERE r.answer = c.answer AND r.citation = c.citation AND c.id % 2 = 0 ORDER BY r.id LIMIT 1), (SELECT string_agg(r.shown, {NL} ORDER BY r.id) FROM r WHERE r.answer = c.answer)) AS block FROM c) SELECT id, "
        + _hash("prompt", _sql([f"'{W.guard}'", f"CASE WHEN id % 7 <> 0 THEN {_part('question', 'question')} END", _part("claim", "claim", "' ' || name"), f"CASE WHEN id % 3 <> 1 THEN {_part('quoted', 'left(claim, 20)')} END", _part("evidence", f"'{prompts.BEGIN}' || chr(10) || block || chr(10) || '{prompts.END}'"), f"'{W.contract}'"])) + " FROM b")
 def fn10(s: SparkSession, d: str) -> DataFrame:
+    return _claim_prompts(s, d).select("id", F.sha2("prompt", 256).alias("prompt"))
+
+
+def _claim_prompts(s: SparkSession, d: str) -> DataFrame:
     u = _units(s, d)
     of = u.groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("id", F.col("citation").alias("address"), F.when(F.col("id") % 2 == 0, "standard").otherwise("guide").alias("authority"), F.col("evidence").alias("body"), (F.col("id") % 5 == 0).alias("restricted")))).alias("records"))
     k, c = F.col("id"), F.col
     cited = F.when(k % 2 == 0, F.array("citation", "citation")).otherwise(F.array(F.lit("9999 문단 1")))
     prompt = prompts.claim_prompt(W, F.when(k % 7 != 0, c("question")), c("name"), c("claim"), F.when(k % 3 != 1, F.substring("claim", 1, 20)), cited, c("records"))
-    return u.join(of, "answer").select("id", F.sha2(prompt, 256).alias("prompt"))
+    return u.join(of, "answer").select("id", prompt.alias("prompt"))
+
+
+@query("UD1_judge_of_prompts", SQL["FN10_claim_prompt"].replace("sha256(concat_ws(", "(concat_ws(").replace("SELECT id, (concat_ws", "SELECT id, CASE length(concat_ws").replace("AS prompt FROM b", "% 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'CONTRADICTED' ELSE 'UNRESOLVED' END AS label FROM b"))
+def ud1(s: SparkSession, d: str) -> DataFrame:
+    """An injected judge(prompt, claim) over whole prompts; it fails on some, which stay unresolved."""
+    kept = _claim_prompts(s, d).select(F.col("id").alias("question_id"), F.lit("c1").alias("claim_id"), "prompt")
+    return gate.judge_claims(kept, _judge, "prompt").select(F.col("question_id").alias("id"), "label")
+
+
+def _judge(prompt: str, claim_id: str) -> str:
+    return {0: "SUPPORTED", 1: "CONTRADICTED"}[len(prompt) % 3]
 
 
 @query("FN11_unit_prompts", f"WITH {CLAIMS} SELECT id, {_hash('plain', _unit_sql(False))}, {_hash('with_siblings', _unit_sql(True))} FROM c")

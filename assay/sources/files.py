@@ -58,6 +58,18 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_binary(rows: DataFrame, path: str, suffix: str) -> None:
+    """(key, content) as a file each, named by the key; a file at a time passes through the driver."""
+    spark = rows.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    for row in rows.toLocalIterator():
+        out = system.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{row[0]}{suffix}"), True)
+        out.write(bytearray(row[1]))
+        out.close()
+
+
 def merge_keyed(rows: DataFrame, path: str, key: str) -> DataFrame:
     """Keyed rows merged into a checkpoint and read back: a row replaces the one with its key.
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import write_binary
+
 CELLS = "path string, row int, cells map<int, string>"
 #: The names of a workbook's parts and of their elements' space.
 SPACE = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -138,7 +140,6 @@ def write(rows: DataFrame, path: str, choices: dict[str, tuple[str, ...]] | None
     A workbook is named by its partition and number, so a task that runs again writes the same.
     """
     names = rows.columns
-    spark = rows.sparkSession
     parts = rows.select(F.spark_partition_id().alias("_part"), F.struct(*names).alias("r"))
 
     def books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +147,7 @@ def write(rows: DataFrame, path: str, choices: dict[str, tuple[str, ...]] | None
         part = number = 0
 
         def one() -> pd.DataFrame:
-            return pd.DataFrame({"name": [f"{part:05d}-{number:05d}.xlsx"], "content": [_book(names, held, choices or {})]})
+            return pd.DataFrame({"name": [f"{part:05d}-{number:05d}"], "content": [_book(names, held, choices or {})]})
 
         for batch in batches:
             for part, r in zip(batch["_part"], batch["r"], strict=True):
@@ -157,13 +158,8 @@ def write(rows: DataFrame, path: str, choices: dict[str, tuple[str, ...]] | None
         if held:
             yield one()
 
-    made = parts.mapInPandas(books, "name string, content binary")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    for book in made.toLocalIterator():  # a workbook at a time; label sheets are read by people
-        out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{book['name']}"), True)
-        out.write(bytearray(book["content"]))
-        out.close()
+    # label sheets are read by people, so they are few
+    write_binary(parts.mapInPandas(books, "name string, content binary"), path, ".xlsx")
 
 
 def choices(spark: SparkSession, path: str) -> DataFrame:

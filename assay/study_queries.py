@@ -224,11 +224,12 @@ def wn5(s: SparkSession, d: str) -> DataFrame:
     return first.select("id", F.row_number().over(Window.orderBy("h")).cast("long").alias("place"))
 
 
-@query("WN6_nested_prefix", "SELECT true AS nested")
+@query("WN6_nested_prefix", sql("units") + ", w AS (SELECT id, row_number() OVER (ORDER BY sha256('7' || id)) AS place FROM units), p AS (SELECT id FROM units ORDER BY sha256('7' || id) LIMIT 30) SELECT (SELECT count(*) FROM p ANTI JOIN (SELECT id FROM w WHERE place <= 30) f USING (id)) = 0 AS nested, (SELECT count(*) FROM p) AS n")
 def wn6(s: SparkSession, d: str) -> DataFrame:
     whole = wn5(s, d)
     pilot = views.units(s, d).orderBy(F.sha2(F.concat(F.lit("7"), "id"), 256)).limit(30).select("id")
-    return pilot.join(whole.filter("place <= 30"), "id", "left_anti").agg((F.count(F.lit(1)) == 0).alias("nested"))
+    held = pilot.join(whole.filter("place <= 30").withColumn("there", F.lit(1)), "id", "left")
+    return held.agg((F.count(F.when(F.col("there").isNull(), 1)) == 0).alias("nested"), _n())
 
 
 RULED = f"""e AS (SELECT candidate, human, unnest(['all_of_3', 'any_of_3', 'two_of_3']) AS rule, unnest([count(*) FILTER ({HIT.replace('maj', 'label')}) >= 3, count(*) FILTER ({HIT.replace('maj', 'label')}) >= 1, count(*) FILTER ({HIT.replace('maj', 'label')}) >= 2]) AS f FROM runs GROUP BY candidate, id, human),
@@ -262,11 +263,12 @@ def tk5(s: SparkSession, d: str) -> DataFrame:
 # --- text and prompts ------------------------------------------------------------------
 
 
-@query("PRJ6_rule_type", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'SELECTION' WHEN 1 THEN 'CONJUNCTIVE' WHEN 2 THEN 'SELECTION' ELSE 'OTHER' END AS kind FROM documents")
+RULE_TEXT = "coalesce(source, '') || ' ' || CASE (doc_id + length(coalesce(text, ''))) % 7 WHEN 0 THEN '기간 중 이른 날' WHEN 1 THEN '다음을 모두 갖춘다' WHEN 2 THEN '모두 충족하되 둘 중 하나' WHEN 3 THEN '모두 확인한다' WHEN 4 THEN '둘 중' WHEN 5 THEN '중 작은 금액' ELSE '기타' END"
+
+
+@query("PRJ6_rule_type", f"SELECT doc_id, CASE WHEN regexp_matches(e, '{'|'.join(text.SELECTION)}') THEN 'SELECTION' WHEN regexp_matches(e, '{'|'.join(text.CONJUNCTIVE)}') THEN 'CONJUNCTIVE' ELSE 'OTHER' END AS kind FROM (SELECT doc_id, {RULE_TEXT} AS e FROM documents)")
 def prj6(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    e = F.when(k == 0, "기간 중 이른 날").when(k == 1, "다음을 모두 갖춘다").when(k == 2, "모두 충족하되 둘 중 하나").otherwise("기타")
-    return views.read(s, d, "documents").select("doc_id", text.rule_type(e).alias("kind"))
+    return views.read(s, d, "documents").select("doc_id", text.rule_type(F.expr(RULE_TEXT)).alias("kind"))
 
 
 @query("PRJ7_standard", sql("evidence") + "SELECT question_id, regexp_extract(raw, '([0-9]{3,4})', 1) AS standard FROM evidence")
@@ -274,11 +276,12 @@ def prj7(s: SparkSession, d: str) -> DataFrame:
     return views.evidence(s, d).select("question_id", F.regexp_extract("raw", "([0-9]{3,4})", 1).alias("standard"))
 
 
-@query("FLT7_tags", "SELECT doc_id, doc_id % 3 <> 1 AS tagged FROM documents")
+NOTE = "coalesce(source, '') || ' 분해' || CASE (doc_id + length(coalesce(text, ''))) % 5 WHEN 0 THEN ' 필요' WHEN 1 THEN ' 아님' WHEN 2 THEN '가 이번 건에는 아마도 아님' WHEN 3 THEN ', 해당 없음' ELSE '' END || CASE doc_id % 3 WHEN 0 THEN ' 분해' WHEN 1 THEN ' 다시 보면 분해 제외' ELSE ' (메모)' END"
+
+
+@query("FLT7_tags", f"SELECT doc_id, len(list_filter(range(1, length(note) + 1), lambda p: substr(note, p, 2) = '분해' AND NOT regexp_matches(substr(note, p + 2, 12), '{'|'.join(text.NEGATORS)}'))) > 0 AS tagged FROM (SELECT doc_id, {NOTE} AS note FROM documents)")
 def flt7(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 3
-    note = F.when(k == 0, "분해 필요").when(k == 1, "분해 아님").otherwise("분해 아님, 다시 보면 분해")
-    return views.read(s, d, "documents").select("doc_id", text.has_tag(note, "분해").alias("tagged"))
+    return views.read(s, d, "documents").select("doc_id", text.has_tag(F.expr(NOTE), "분해").alias("tagged"))
 
 
 def cleaned(x: str) -> str:

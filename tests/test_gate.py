@@ -21,6 +21,10 @@ CASES = {
     "one citation, other keys": (answer({"claim_id": "x", "statement": "s", "citation": "1002 문단 34", "quote": "recognise cost"}), []),
     "numbers for text": (answer(GOOD | {"citations": [{"standard": 1002, "paragraph": 34}]}), []),
     "sub-item in the paragraph": (answer(GOOD | {"citations": [{"standard": "1002", "paragraph": "34(2)"}]}), []),
+    "sub-item after a dash": (answer(GOOD | {"citations": ["1002 문단 34-(2)"]}), []),
+    "range of paragraphs": (answer(GOOD | {"citations": ["1002 문단 34-35"]}), []),
+    "no such sub-item after a dash": (answer(GOOD | {"citations": ["1002 문단 34 – (가)"]}), ["quote_not_in_source", "subitem_not_found"]),
+    "more than a sub-item": (answer(GOOD | {"citations": [{"standard": "1002", "paragraph": "34(2) x"}]}), ["quote_not_in_source", "source_id_not_found"]),
     "other standard": (answer(GOOD | {"citations": [{"standard": "1038", "paragraph": "34"}]}), ["quote_not_in_source", "source_id_not_found"]),
     "no such sub-item": (answer(GOOD | {"citations": ["1002 문단 34(7)"]}), ["quote_not_in_source", "subitem_not_found"]),
     "half evidence": (answer(GOOD, GOOD | {"id": "c2", "quote": "never said"}), ["quote_not_in_source"]),

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from assay.functions import text
@@ -55,3 +56,12 @@ def test_text_functions(spark):
     ).first()
     assert r["c"] == "a b" and r["u"] == '{"a": 1}' and r["q"] and not r["e"] and r["n"] is None
     assert (r["f"]["standard"], r["f"]["paragraph"], r["f"]["subitem"]) == ("1002", "34", "2")
+
+
+@pytest.mark.parametrize(("said", "want"), [
+    ("1002 문단 34-(2)", ("1002", "34", "2")), ("[1002 재고자산 문단 34A]", ("1002", "34A", None)), ("K-IFRS 1116 문단 9(1)", ("1116", "9", "1")),
+    ("1002 문단 34 – (가)", ("1002", "34", "가")), ("1002 문단 34-35", ("1002", "34", None)), ("no citation", None),
+])
+def test_citation_forms(spark, said, want):
+    c = spark.range(1).select(text.citation(F.lit(said)).alias("c")).first()["c"]
+    assert (tuple(c) if c else None) == want
