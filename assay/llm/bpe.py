@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -23,15 +23,13 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_frames, spread, table
+from .common import Memo, in_frames, spread, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
-#: Pre-tokens whose ids a worker remembers; beyond, it starts anew (this changes no result).
+#: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 1 << 18
-#: Characters of a pre-token that is remembered.
-LONG_WORD = 64
 
 
 @cache
@@ -52,25 +50,10 @@ def coder(path: str) -> tuple[tiktoken.Encoding, list[bytes], list[str]]:
     return encoding, raw, [str(i) for i in range(len(raw))]
 
 
-class Memo(dict):
-    """Pre-token to its ids as little-endian 32-bit integers."""
-
-    def __init__(self, encode: Callable[[str], list[int]]) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word), "<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) <= LONG_WORD:
-            self[word] = ids
-        return ids
-
-
 @cache
 def memo(path: str) -> Memo:
-    return Memo(coder(path)[0].encode_ordinary)
+    encode = coder(path)[0].encode_ordinary
+    return Memo(lambda word: np.array(encode(word), "<u4").tobytes(), REMEMBERED)
 
 
 def pieces_of(text: str, path: str, source: str) -> bytes:

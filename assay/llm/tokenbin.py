@@ -13,7 +13,8 @@ id of each rank.
 
 from __future__ import annotations
 
-import json
+import itertools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,19 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import folder, in_frames, spread, table
+from .common import Memo, folder, in_frames, spread, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Tokens in a segment (a longer document is a segment of its own).
 SEGMENT = 1 << 18
-#: Pre-tokens whose ids a worker remembers.  Once full it stays, as common ones come early,
-#: and starts anew after as many misses (this changes no result).
-REMEMBERED = 3 << 17
-#: Characters of a pre-token that is remembered.
-LONG_WORD = 64
-SPLIT = regex.compile(public_tokenizers.PATTERN)
+#: Pre-tokens whose ids a worker remembers.
+REMEMBERED = 1 << 19
 #: A byte-level vocabulary writes a byte as the character of that number if it can be seen, else as the next from U+0100.
 SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in SEEN)}
@@ -47,22 +45,49 @@ VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in
 LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)], np.uint8)
 
 
+def _class(names: str) -> str:
+    """The code points of a Unicode class, as ranges for a set in a pattern."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for found in regex.findall(f"[{names}]+", every) for run in _runs(found))
+
+
+def _runs(found: str) -> list[str]:
+    """A string of ascending characters, cut where one is left out."""
+    cuts = [0, *(i for i in range(1, len(found)) if ord(found[i]) != ord(found[i - 1]) + 1), len(found)]
+    return [found[a:b] for a, b in itertools.pairwise(cuts)]
+
+
+@cache
+def split() -> re.Pattern:
+    """The public pattern, said so that a run of Latin letters, ASCII digits or other ASCII signs takes
+    one step where an ASCII character follows; the classes are those of \\p{L}, \\p{N} and \\s."""
+    letter, number, space = _class(r"\p{L}"), _class(r"\p{N}"), _class(r"\s")
+    end, other = r"(?![\x80-\U0010ffff])", f"[^{letter}{number}{space}]"
+    return re.compile(
+        rf" ?[A-Za-zÀ-ÖØ-öø-ÿ]++{end}| ?[{letter}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]++{end}| ?[{number}]+"
+        rf"| ?[\x00-\x08\x0e-\x1f!-/:-@\[-`{{-\x7f]++{end}| ?{other}+|[{space}]+(?![^{space}])|[{space}]+"
+    )
+
+
 @cache
-def tokenizer(path: str) -> tuple[Tokenizer, list[str], dict[str, bytes], list[int]]:
-    """The tokenizer, the texts of its added tokens, the ids of pre-tokens so far, and the
-    number of misses since these are full.
+def tokenizer(path: str) -> tuple[Tokenizer, list[str], Memo]:
+    """The tokenizer, the texts of its added tokens, and the ids of pre-tokens so far.
 
     Only byte-level vocabularies that split by the public pattern are taken: pre-tokens are
     made by it here, and given to the model as they are.
     """
     own = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as file:
-        parts = json.load(file)
-    before = parts.get("pre_tokenizer") or {}
-    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-    if parts.get("normalizer") or not plain or parts.get("post_processor"):
+    before = own.pre_tokenizer
+    plain = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
+    if own.normalizer is not None or not plain or own.post_processor is not None:
         raise ValueError(f"{path}: only byte-level vocabularies without normalizer, prefix space and post-processor")
-    return own, [t.content for t in own.get_added_tokens_decoder().values()], {}, [0]
+    pieces_of = own.model.tokenize
+
+    def encode(word: str) -> bytes:
+        ids = [piece.id for piece in pieces_of(word.encode("utf-8").decode("latin-1").translate(VISIBLE))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return own, [t.content for t in own.get_added_tokens_decoder().values()], Memo(encode, REMEMBERED)
 
 
 def encode(text: str, path: str) -> bytes:
@@ -71,29 +96,10 @@ def encode(text: str, path: str) -> bytes:
     Byte-level BPE treats each pre-token by itself, so the model is given pre-tokens, and
     each is remembered.  A text that holds an added token goes through the tokenizer whole.
     """
-    own, added, known, missed = tokenizer(path)
+    own, added, known = tokenizer(path)
     if any(a in text for a in added):
         return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    words = SPLIT.findall(text)
-    got = list(map(known.get, words))
-    if None not in got:
-        return b"".join(got)
-    places = [i for i, ids in enumerate(got) if ids is None]
-    pieces_of = own.model.tokenize
-    new: dict[str, bytes] = {}
-    for word in {words[i] for i in places}:
-        ids = [piece.id for piece in pieces_of(word.encode("utf-8").decode("latin-1").translate(VISIBLE))]
-        new[word] = struct.pack(f"<{len(ids)}I", *ids)
-    for i in places:
-        got[i] = new[words[i]]
-    if len(known) >= REMEMBERED:
-        missed[0] += len(new)
-        if missed[0] >= REMEMBERED:
-            known.clear()
-            missed[0] = 0
-    if len(known) < REMEMBERED:
-        known.update((word, ids) for word, ids in new.items() if len(word) <= LONG_WORD)
-    return b"".join(got)
+    return b"".join(map(known.__getitem__, split().findall(text)))
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
