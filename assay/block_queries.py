@@ -287,10 +287,10 @@ def ag28(s: SparkSession, d: str) -> DataFrame:
     return trials.base_rates(_voted(s, d).filter("candidate = 'c005'").withColumn("part", part), ["part"])
 
 
-@query("WN9_line_numbers", "SELECT doc_id, CASE WHEN contains(text, 'the ') THEN length(left(text, instr(text, 'the ') - 1)) - length(replace(left(text, instr(text, 'the ') - 1), chr(10), '')) + 1 END AS line FROM documents")
+@query("WN9_line_numbers", "SELECT doc_id, length(left(text, instr(text, 'the ') - 1)) - length(replace(left(text, instr(text, 'the ') - 1), chr(10), '')) + 1 AS line FROM documents WHERE contains(text, 'the ')")
 def wn9(s: SparkSession, d: str) -> DataFrame:
     at = F.instr("text", F.lit("the "))
-    return _docs(s, d, "text").select("doc_id", F.when(at > 0, text.line_of(F.col("text"), at)).cast("long").alias("line"))
+    return _docs(s, d, "text").filter(at > 0).select("doc_id", text.line_of(F.col("text"), at).cast("long").alias("line"))
 
 
 @query("TK6_sorted_ids", "SELECT conv_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM conversations GROUP BY conv_id")
@@ -374,11 +374,11 @@ def fn4(s: SparkSession, d: str) -> DataFrame:
 REWRITES = (("regex", "[0-9]{3,}", "N"), ("text", "the ", "THE "), ("regex", r"\s+$", ""))
 
 
-@query("FN25_rewrite_chain", "SELECT doc_id, sha256(regexp_replace(replace(regexp_replace(t, '[0-9]{3,}', 'N', 'g'), 'the ', 'THE '), '\\s+$', '', 'g')) AS h, CASE WHEN NOT regexp_matches(t, '[0-9]{3,}') THEN 0 WHEN NOT contains(regexp_replace(t, '[0-9]{3,}', 'N', 'g'), 'the ') THEN 1 WHEN NOT regexp_matches(replace(regexp_replace(t, '[0-9]{3,}', 'N', 'g'), 'the ', 'THE '), '\\s+$') THEN 2 END AS missing FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END AS t FROM documents)")
+@query("FN25_rewrite_chain", "SELECT doc_id, sha256(regexp_replace(replace(regexp_replace(t, '[0-9]{3,}', 'N', 'g'), 'the ', 'THE '), '\\s+$', '', 'g')) AS h, CASE WHEN NOT regexp_matches(t, '[0-9]{3,}') THEN 0 WHEN NOT contains(regexp_replace(t, '[0-9]{3,}', 'N', 'g'), 'the ') THEN 1 WHEN NOT regexp_matches(replace(regexp_replace(t, '[0-9]{3,}', 'N', 'g'), 'the ', 'THE '), '\\s+$') THEN 2 ELSE -1 END AS missing FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END AS t FROM documents)")
 def fn25(s: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", ""), F.when(_k(3) == 0, " ").otherwise(""))
     done = _docs(s, d, "text").select("doc_id", text.rewritten(t, REWRITES).alias("r"))
-    return done.select("doc_id", F.sha2("r.text", 256).alias("h"), "r.missing")
+    return done.select("doc_id", F.sha2("r.text", 256).alias("h"), F.coalesce("r.missing", F.lit(-1)).alias("missing"))
 
 
 @query("FN26_number_after", "SELECT doc_id, TRY_CAST(nullif(regexp_extract(t, 'recall = ([0-9]+[.][0-9]+)', 1), '') AS DOUBLE) AS number FROM (SELECT doc_id, coalesce(source, '') || CASE WHEN doc_id % 4 <> 0 THEN ' recall = ' || (doc_id % 10) || '.' || (doc_id % 97) ELSE ' recall is high' END AS t FROM documents)")

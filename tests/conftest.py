@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master(f"local[{CORES}]").config("spark.sql.shuffle.partitions", CORES).config("spark.ui.enabled", "false")
+        SparkSession.builder.master(f"local[{CORES}]").config("spark.sql.shuffle.partitions", CORES).config("spark.ui.enabled", "false").config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "true"))
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
