@@ -230,7 +230,7 @@ def links(fps: DataFrame, bits: int = 4, width: int = 3, list_rows: int = 4096,
         keys.append(value)
     index = fps.select("fp", F.posexplode(F.array(*keys)).alias("slot", "key"))
     lists = table(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
-    dealt = _dealt(join_counted(index, lists.withColumnRenamed("key", "_list"), F.col("key"), "_list", "n").drop("_list"), "key", "fp", list_rows, "slot")
+    dealt = _dealt(index.join(lists, "key"), "key", "fp", list_rows, "slot")
     return in_frames(dealt, lambda rows: _links(rows, sets, bits, bits if most is None else most), "src long, dst long")
 
 
@@ -372,8 +372,8 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42,
     own = some.filter("f1 <> f2").select(F.greatest("f1", "f2").alias("src"), F.least("f1", "f2").alias("dst"))
     roots = components(edges.union(own))
     some = table(some.join(roots, some["f1"] == roots["v"], "left").select(F.col("th").alias("_th"), F.col("low").alias("_low"), F.coalesce("root", "f1").alias("key")), "candidate-lists")
-    lists = table(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "candidate-counts").withColumnRenamed("key", "_list")
-    listed = table(join_counted(some, lists, F.col("key"), "_list", "n").drop("_list"), "listed")
+    lists = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    listed = table(some.join(lists, "key"), "listed")
     # the text of a list's member is taken from one of its rows: repeats have another doc_id
     # and is merged at every size, as the lists grow with the corpus
     whole = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
