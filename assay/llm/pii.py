@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .secrets import spans
+from .secrets import _one, spans
 
 # Titles and the gender they tell.
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Signor", "господин", "κύριος", "պարոն", "ბატონი", "מר", "السيد", "श्री", "นาย")
@@ -118,15 +118,19 @@ def surrogate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
     phone = F.concat(F.substr(form, F.lit(1), F.lit(1)), (F.substr(plain, F.lit(2), F.lit(1)).cast("int") % 8 + 2).cast("string"), longer)
     ssn = F.concat(F.lit("9"), F.substr(plain, F.lit(2)))
     gender, script = F.element_at(F.split(form, r"\|"), 1), F.element_at(F.split(form, r"\|"), 2)
-    names = F.lit(None).cast("string")
-    for kind_of, (consonants, vowels, (male, female, neutral)) in SCRIPTS.items():
-        list_ = F.array(*[F.lit(c + v) for c in consonants.split() for v in vowels.split()])
+    syllables = ends = F.lit(None).cast("string")
+    for kind_of, (consonants, vowels, ending) in SCRIPTS.items():
+        syllables = F.when(script == kind_of, " ".join(c + v for c in consonants.split() for v in vowels.split())).otherwise(syllables)
+        ends = F.when(script == kind_of, " ".join(ending)).otherwise(ends)
+    end = F.element_at(F.split(ends, " "), F.when(gender == "m", 1).when(gender == "f", 2).otherwise(3))
+
+    def made(list_: Column) -> Column:
         part = [F.element_at(list_, (F.pmod(_number(h, 1 + 4 * i, 4), F.size(list_)) + 1).cast("int")) for i in range(16)]
-        end = F.when(gender == "f", female).when(gender == "m", male).otherwise(neutral)
         first_word = F.array_join(F.slice(F.array(*part[:11]), F.lit(1), F.least(attempt, F.lit(8)) + 3), "")
-        one = F.concat(F.initcap(first_word), end)
         two = F.when(F.element_at(F.split(form, r"\|"), 3).contains(" "), F.concat(F.lit(" "), F.initcap(F.concat(*part[11:])))).otherwise("")
-        names = F.when(script == kind_of, F.concat(one, two)).otherwise(names)
+        return F.concat(F.initcap(first_word), end, two)
+
+    names = F.when(kind == "name", _one(F.split(syllables, " "), made))
     names = F.concat_ws("|", gender, script, F.lower(names))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(names)
 
