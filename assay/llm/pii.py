@@ -220,7 +220,7 @@ def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     with 0 entities; repeated rows change alike; a column named n_entities is replaced; an
     empty table stays empty; other columns are kept as they are.
     """
-    rows = table(_detected(docs), "detected")  # texts are searched once, and rows keep their numbers
+    rows = table(_detected(docs).drop("t"), "detected")  # texts are searched once, and rows keep their numbers
     some = rows.filter(F.size("entities") > 0)
     pair = F.transform("entities", lambda e: F.struct(e["kind"].alias("kind"), e["form"].alias("form")))
     found = some.select(F.explode(F.array_distinct(pair)).alias("e")).select("e.kind", "e.form").distinct()
@@ -233,7 +233,7 @@ def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
         rows = rows.join(table(hits, "rows-that-try-again"), F.col("id") == F.col("hit"), "left")
     else:
         rows = rows.withColumn("own", F.lit(None).cast("map<string,string>"))
-    t = F.col("t")
+    t = F.coalesce("row.text", F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, e: Column) -> Column:
