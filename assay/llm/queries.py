@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, pii, quality, secrets, simhash, tokenbin, topk, toxicity
+from . import bpe, licenses, merkle, mixing, packing, pii, quality, secrets, simhash, tokenbin, topk, toxicity, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +55,25 @@ def op10_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.digest(_docs(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), with_ids=False)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_docs(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk, op2_toxicity, op3_mixing, op4_secrets, op5_quality, op6_licenses, op7_simhash, op8_bpe, op9_pii, op10_tokenbin, pipeline)
+    for f in (op1_topk, op2_toxicity, op3_mixing, op4_secrets, op5_quality, op6_licenses, op7_simhash, op8_bpe, op9_pii, op10_tokenbin, op11_packing, op12_merkle, op13_whitening, pipeline)
 }
-#: The others have none: XXH64, BPE ids, trained scores, aligned or randomly tested spans.
-SQL = {"op1_topk": topk.ORACLE, "op3_mixing": mixing.ORACLE, "op5_quality": quality.ORACLE}
+#: The others have none: XXH64, BPE ids, trained scores, eigenvectors, aligned or randomly tested spans.
+SQL = {"op1_topk": topk.ORACLE, "op3_mixing": mixing.ORACLE, "op5_quality": quality.ORACLE, "op12_merkle": merkle.ORACLE}
