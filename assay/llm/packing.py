@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
@@ -36,8 +37,8 @@ from .tokenbin import VISIBLE
 VOCABULARY, END, CAPACITY = "word_bpe_49k.json", 1, 4096
 #: Rounds of the multiplicative weights, and how fast a price follows its coverage.
 ROUNDS, RATE = 32, 0.1
-#: Chunks and words whose ids a worker remembers.
-REMEMBERED = 1 << 18
+#: Words, and chunks, whose ids a worker remembers.
+REMEMBERED = 1 << 19
 
 Config = tuple[tuple[int, int], ...]
 
@@ -206,47 +207,46 @@ def located(table_: np.ndarray, length: np.ndarray, number: np.ndarray) -> tuple
 
 # -- pieces -----------------------------------------------------------------------------
 
-#: Text that every version of the Unicode tables reads alike: lower case, letters and digits of these are the tokenizer's own.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-#: Python splits at these as well, the tokenizer doesn't.
-SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Texts whose letters, digits, signs and spaces every version of the Unicode tables reads alike, and their pre-tokens in lower case.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[!-/:-@\[-`{-~]+")
+#: White space; the tokenizer doesn't split at U+001C to U+001F.
 SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 @cache
-def encoder(path: str) -> tuple[Memo, int]:
-    """(ids of chunks without white space, size of the vocabulary).
+def encoder(path: str) -> tuple[Memo, Memo, re.Pattern, int]:
+    """(ids of words, ids of chunks without white space, the added tokens' pattern, size of the vocabulary).
 
-    The tokenizer splits at white space and lets no pre-token cross it, so a text's ids are
-    those of its chunks; a chunk of plain letters, digits and signs is cut to words, and new
-    words are given to the model; any other goes through the tokenizer whole.  Ids are 16-bit,
-    or 32-bit for larger vocabularies.
+    A plain text is cut to the tokenizer's own pre-tokens here, and new ones are given to the
+    model.  Of any other text the chunks between white space, which no pre-token crosses, go
+    through the tokenizer whole.  Both are remembered.  Ids are 16-bit, or 32-bit for larger
+    vocabularies.
     """
     own = Tokenizer.from_file(path)
     size = own.get_vocab_size()
-    kind = _kind(size)
+    kind = "H" if _kind(size) == "<u2" else "I"
     pieces_of = own.model.tokenize
 
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, kind).tobytes()
-
-    words = Memo(lambda w: packed([p.id for p in pieces_of(w.encode().decode("latin-1").translate(VISIBLE))]), REMEMBERED)
-    marks = [t.content for t in own.get_added_tokens_decoder().values()]
+    def word(text: str) -> bytes:
+        seen = text if text.isascii() else text.encode().decode("latin-1").translate(VISIBLE)
+        return array(kind, [p.id for p in pieces_of(seen)]).tobytes()
 
     def chunk(text: str) -> bytes:
-        if PLAIN.fullmatch(text) and not any(m in text for m in marks):
-            return b"".join(map(words.__getitem__, WORDS.findall(text.lower())))
-        return packed(own.encode(text, add_special_tokens=False).ids)
+        return array(kind, own.encode(text, add_special_tokens=False).ids).tobytes()
 
-    return Memo(chunk, REMEMBERED), size
+    marks = re.compile("|".join(re.escape(t.content) for t in own.get_added_tokens_decoder().values()) or r"(?!)")
+    return Memo(word, REMEMBERED), Memo(chunk, REMEMBERED), marks, size
 
 
 def ids_of(text: str, path: str) -> np.ndarray:
     """Ids of a text, as ``Tokenizer.encode`` without special tokens gives them."""
-    known, size = encoder(path)
-    chunks = SPACES.split(text) if SEPARATORS.search(text) else text.split()
-    return np.frombuffer(b"".join(map(known.__getitem__, filter(None, chunks))), _kind(size))
+    words, chunks, marks, size = encoder(path)
+    if PLAIN.fullmatch(text) and not marks.search(text):
+        parts = map(words.__getitem__, WORDS.findall(text.lower()))
+    else:
+        parts = map(chunks.__getitem__, filter(None, SPACES.split(text)))
+    return np.frombuffer(b"".join(parts), _kind(size))
 
 
 def _kind(size: int) -> str:
@@ -260,7 +260,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, squeeze = public_tokenizers.path(vocabulary), zstandard.ZstdCompressor(level=1).compress
-        kind = _kind(max(encoder(path)[1], end + 1))
+        kind = _kind(max(encoder(path)[3], end + 1))
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
@@ -280,7 +280,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
 
 def tokens(packed: bytes, vocabulary: str = VOCABULARY, end: int = END) -> np.ndarray:
     """The ids of a piece's ``ids``."""
-    kind = _kind(max(encoder(public_tokenizers.path(vocabulary))[1], end + 1))
+    kind = _kind(max(encoder(public_tokenizers.path(vocabulary))[3], end + 1))
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind).astype("<u4")
 
 
