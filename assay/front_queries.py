@@ -38,17 +38,13 @@ CLUSTERED = VOTED.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + COUN
 POOL = CLUSTERED + f""", candidates AS (SELECT candidate, n_flagged, n_split, CAST(substr(candidate, 2) AS INTEGER) // 3 AS generation, CASE WHEN candidate IN ('c004', 'c008') THEN 'filter_strip' ELSE 'front_pair' END AS origin,
   {RATE.format(a='n_detected', b='n_problem')} AS recall, {RATE.format(a='n_detected', b='n_flagged')} AS precision, recall_lo, recall_hi, precision_lo, precision_hi FROM counts JOIN ci USING (candidate)),
 pool AS (SELECT * FROM candidates WHERE recall IS NOT NULL AND precision IS NOT NULL)"""
-_HELD: dict[tuple[str, str], DataFrame] = {}
 
 
 def objectives(s: SparkSession, d: str) -> DataFrame:
-    """The objective vectors with cluster intervals: written once a session and table, as fronts read them."""
-    key = (s.sparkContext.applicationId, d)
-    if key not in _HELD:
-        v = _voted(s, d)
-        rated = metrics.rates(metrics.counts(v, ["candidate"]))
-        _HELD[key] = table(rated.join(stats.bootstrap(v, ["candidate"], "qid", ROUNDS), "candidate"), "objectives")
-    return _HELD[key]
+    """The objective vectors with cluster intervals, written once a call, as fronts read them more than once."""
+    v = _voted(s, d)
+    rated = metrics.rates(metrics.counts(v, ["candidate"]))
+    return table(rated.join(stats.bootstrap(v, ["candidate"], "qid", ROUNDS), "candidate"), "objectives")
 
 
 def candidates(s: SparkSession, d: str) -> DataFrame:
@@ -101,8 +97,7 @@ def sa6(s: SparkSession, d: str) -> DataFrame:
 @query("SA7_apart", POOL + " SELECT x.candidate AS a, y.candidate AS b, x.recall_hi < y.recall_lo AS below, x.recall_lo > y.recall_hi OR y.recall_lo > x.recall_hi AS apart FROM pool x JOIN pool y ON x.candidate < y.candidate")
 def sa7(s: SparkSession, d: str) -> DataFrame:
     c = candidates(s, d).select("candidate", F.struct(F.col("recall_lo").alias("lo"), F.col("recall_hi").alias("hi")).alias("r"))
-    x, y = c.toDF("a", "p"), c.toDF("b", "q")
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", stats.below(F.col("p.hi"), F.col("q.lo")).alias("below"), stats.disjoint(F.col("p"), F.col("q")).alias("apart"))
+    return _pairs(c).select(F.col("x.candidate").alias("a"), F.col("y.candidate").alias("b"), stats.below(F.col("x.r.hi"), F.col("y.r.lo")).alias("below"), stats.disjoint(F.col("x.r"), F.col("y.r")).alias("apart"))
 
 
 @query("SA14_interval_self_test", "SELECT * FROM (VALUES ('all_hit', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('all_miss', 0.0::DOUBLE, 0.0::DOUBLE, NULL, NULL)) t(candidate, recall_lo, recall_hi, precision_lo, precision_hi)")
@@ -126,9 +121,8 @@ def pa11(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(c: DataFrame) -> DataFrame:
-    """Pairs of the short list of candidates."""
-    row = F.struct(*c.columns)
-    return c.select(row.alias("x")).join(c.select(row.alias("y")), F.col("x.candidate") < F.col("y.candidate"))
+    """All pairs of candidates, as the report lists them."""
+    return pareto.pairs(c, c, F.col("x.candidate") < F.col("y.candidate"))
 
 
 @query("PA1_compare", POOL + " SELECT x.candidate AS a, y.candidate AS b, " + ", ".join(f"{cmp_sql(axis)} AS {axis}" for axis in pareto.AXES) + " FROM pool x JOIN pool y ON x.candidate < y.candidate")

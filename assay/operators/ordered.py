@@ -34,6 +34,23 @@ def place(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     return running(df, order, {name: F.lit(1).cast("long")})
 
 
+def leading(df: DataFrame, order: list[Column], value: str, name: str = "best") -> DataFrame:
+    """``df`` with the largest ``value`` of the rows before it in ``order``; null if there is none.
+
+    As a running total, but of the maximum: each range has its own, and those of the ranges
+    before are one row per partition.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranged = table(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order), "ranged")
+    most = ranged.groupBy("_part").agg(F.max(value).alias("_own"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    most = most.select(F.col("_part").alias("_p"), F.max("_own").over(earlier).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(most), F.col("_part") == F.col("_p"))  # one row per partition
+    return out.select(*df.columns, F.greatest("_base", F.max(value).over(inside)).alias(name))
+
+
 def previous(df: DataFrame, keys: list[str], order: list[Column], value: str, name: str = "before") -> DataFrame:
     """``df`` with ``value`` of the row before it among those of the same ``keys``, in ``order``; null for the first.
 

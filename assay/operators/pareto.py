@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import table
 from . import ordered
 
 EPS = 1e-9
@@ -46,17 +47,84 @@ def judgeable(candidates: DataFrame) -> DataFrame:
     return candidates.filter(~state.isin(*NOT_JUDGED) & F.col("gate_passed") & F.col("recall").isNotNull() & F.col("precision").isNotNull())
 
 
+#: Rows of a tile's side where pairs are listed.
+TILE = 4096
+
+
+def pairs(xs: DataFrame, ys: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
+    """Pairs of rows (structs x and y) that meet ``condition``, in tiles of at most about TILE by TILE rows.
+
+    For listings whose result is pairs; neither side is broadcast or held whole.
+    """
+    across, down = (max(1, -(-df.count() // TILE)) for df in (xs, ys))
+    x = xs.select(F.struct(*xs.columns).alias("x"), F.pmod(F.xxhash64("candidate"), F.lit(across)).alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_d"))
+    y = ys.select(F.struct(*ys.columns).alias("y"), F.pmod(F.xxhash64("candidate"), F.lit(down)).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("_u"))
+    return x.join(y, (F.col("_a") == F.col("_u")) & (F.col("_d") == F.col("_v")) & condition, how).drop("_a", "_d", "_u", "_v")
+
+
+def _ends(axis: str, intervals: bool) -> tuple[Column, Column]:
+    return (F.col(f"{axis}_lo"), F.col(f"{axis}_hi")) if intervals else (F.col(axis), F.col(axis))
+
+
+ENDLESS = float("inf")
+
+
+def _beaten_on(pool: DataFrame, first: str, second: str, intervals: bool) -> DataFrame:
+    """Ids of those beaten on ``first`` by one that isn't worse on ``second``.
+
+    y is beaten if some x has lo(x) > hi(y) + eps on the first axis and hi(x) + eps >= lo(y) on
+    the second: a sweep down the first axis keeps the largest hi of the second so far.  At
+    equal places what asks comes before what answers.
+    """
+    (lo, hi), (other_lo, other_hi) = _ends(first, intervals), _ends(second, intervals)
+    known = lambda c, x: F.coalesce(c, F.lit(x)).cast("double")
+    answers = pool.select(lo.cast("double").alias("_at"), F.lit(1).alias("_turn"), known(other_hi, ENDLESS).alias("_hi"), F.lit(None).cast("double").alias("_need"), F.lit(None).cast("string").alias("candidate"))
+    asks = pool.select((hi + EPS).cast("double").alias("_at"), F.lit(0).alias("_turn"), F.lit(None).cast("double").alias("_hi"), known(other_lo, -ENDLESS).alias("_need"), "candidate")
+    swept = ordered.leading(answers.unionByName(asks).filter("_at is not null"), [F.desc("_at"), F.col("_turn")], "_hi", "_best")
+    return swept.filter((F.col("_turn") == 0) & (F.col("_need") <= F.col("_best") + EPS)).select("candidate")
+
+
+def on_front(pool: DataFrame, intervals: bool = True) -> DataFrame:
+    """The pool with on_front: whether no other candidate dominates it.
+
+    Two sorts, one per axis, and no pairs: each axis is an interval order, so the one that
+    reaches furthest on the other axis tells for all that are better on this one.  Nothing is
+    discarded early, as dominance isn't transitive where intervals tie.  Ids are unique, and
+    no interval ends before it begins.
+    """
+    beaten = _beaten_on(pool, *AXES, intervals).unionByName(_beaten_on(pool, *AXES[::-1], intervals)).distinct()
+    marked = pool.join(beaten.withColumn("_beaten", F.lit(True)), "candidate", "left")
+    return marked.select(*[c for c in pool.columns if c != "on_front"], F.col("_beaten").isNull().alias("on_front"))
+
+
 def front(pool: DataFrame, intervals: bool = True) -> DataFrame:
     """The pool with dominated_by (sorted) and on_front.
 
-    The pool is the short list of candidates, not data: every pair is compared, since
-    dropping dominated ones early is wrong where ties make dominance intransitive.
+    Who is on the front is swept (``on_front``); only for the others the ones that dominate
+    them are looked up.  Where these lists aren't wanted, ``on_front`` makes no pairs.
     """
-    row = F.struct(*pool.columns)
-    x, y = pool.select(row.alias("x")), pool.select(row.alias("y"))
-    worse = x.join(y, dominates("x", "y", intervals)).groupBy(F.col("y.candidate").alias("candidate")).agg(F.array_sort(F.collect_list("x.candidate")).alias("dominated_by"))
-    out = pool.join(worse, "candidate", "left").withColumn("dominated_by", F.coalesce("dominated_by", F.array().cast("array<string>")))
-    return out.withColumn("on_front", F.size("dominated_by") == 0)
+    marked = table(on_front(pool, intervals).drop("dominated_by"), "front")
+    lost = marked.filter("not on_front")
+    worse = pairs(marked, lost, dominates("x", "y", intervals)).groupBy(F.col("y.candidate").alias("candidate")).agg(F.array_sort(F.collect_list("x.candidate")).alias("dominated_by"))
+    out = marked.join(worse, "candidate", "left").withColumn("dominated_by", F.coalesce("dominated_by", F.array().cast("array<string>")))
+    return out.select(*[c for c in pool.columns if c not in ("dominated_by", "on_front")], "dominated_by", "on_front")
+
+
+def tied(members: DataFrame, intervals: bool = True) -> DataFrame:
+    """Ids of members that another member ties with on both axes.
+
+    Two that don't dominate each other tie if they overlap on one axis, so among members that
+    nobody beats, all of them on a front, a sweep up and one down that axis tell.  Only for
+    those that are beaten pairs are looked at.
+    """
+    marked = table(on_front(members, intervals), "members")
+    lo, hi = _ends(AXES[0], intervals)
+    line = marked.filter("on_front").select("candidate", F.coalesce(lo, F.lit(-ENDLESS)).alias("_lo"), F.coalesce(hi, F.lit(ENDLESS)).alias("_hi"))
+    up = ordered.leading(line, [F.col("_lo"), F.col("candidate")], "_hi", "_reach").filter(F.col("_lo") <= F.col("_reach") + EPS)
+    down = ordered.leading(line.withColumn("_back", -F.col("_lo")), [F.desc("_lo"), F.desc("candidate")], "_back", "_next").filter(-F.col("_next") <= F.col("_hi") + EPS)
+    level = (F.col("x.candidate") != F.col("y.candidate")) & (compare(AXES[0], "x", "y", intervals) == 0) & (compare(AXES[1], "x", "y", intervals) == 0)
+    met = pairs(marked, marked.filter("not on_front"), level).select(F.explode(F.array("x.candidate", "y.candidate")).alias("candidate"))
+    return up.select("candidate").unionByName(down.select("candidate")).unionByName(met).distinct()
 
 
 def endpoints(members: DataFrame) -> DataFrame:
@@ -73,21 +141,18 @@ def prune(members: DataFrame, cap: int = 8) -> DataFrame:
     flagged, latest, largest id first), then the latest.  Nothing goes if the front fits, or
     if half of it or more are filter_strip (``halted``).
     """
-    row = F.struct(*members.columns)
-    x, y = members.select(row.alias("x")), members.select(row.alias("y"))
-    tied = x.join(y, (F.col("x.candidate") != F.col("y.candidate")) & (compare("recall", "x", "y") == 0) & (compare("precision", "x", "y") == 0), "left_semi").select(F.col("x.candidate").alias("candidate"), F.lit(True).alias("tied"))
+    level = tied(members).withColumn("tied", F.lit(True))
     ends = endpoints(members).select(F.explode(F.array(*AXES)).alias("candidate")).distinct().withColumn("safe", F.lit(True))
-    # digits of an id sort late first by their negative; ids are compared as text
-    m = members.join(tied, "candidate", "left").join(ends, "candidate", "left")
-    everything = Window.partitionBy()
-    m = m.withColumns({"size": F.count(F.lit(1)).over(everything), "strips": F.sum((F.col("origin") == "filter_strip").cast("int")).over(everything)})
-    m = m.withColumn("halted", (F.col("size") > cap) & (F.col("strips") * 2 >= F.col("size")))
+    m = members.join(level, "candidate", "left").join(ends, "candidate", "left")
+    size, strips = members.agg(F.count(F.lit(1)), F.count(F.when(F.col("origin") == "filter_strip", 1))).first()
+    halted = size > cap and strips * 2 >= size
     stage = F.when(F.col("safe"), 3).when(F.col("tied"), 1).otherwise(2)
-    flagged = F.when(stage == 1, F.col("n_flagged")).otherwise(0)
-    order = Window.orderBy(stage, flagged, F.desc("generation"), F.desc("candidate"))
-    m = m.withColumn("rank", F.row_number().over(order))
-    gone = ~F.col("halted") & F.col("safe").isNull() & (F.col("rank") <= F.col("size") - cap)
-    return m.select("candidate", gone.alias("pruned"), "halted")
+    m = m.withColumns({"_stage": stage, "_flagged": F.when(stage == 1, F.col("n_flagged")).otherwise(0)})
+    # what stays is at most ``cap`` rows: the last ones in the order in which members go
+    last = m.orderBy(F.desc("_stage"), F.desc("_flagged"), "generation", "candidate").limit(cap).select("candidate", F.lit(True).alias("stays"))
+    m = m.join(last, "candidate", "left")
+    gone = F.lit(not halted) & F.col("safe").isNull() & F.col("stays").isNull()
+    return m.select("candidate", gone.alias("pruned"), F.lit(halted).alias("halted"))
 
 
 def of_two(pool: DataFrame, a: str, b: str, intervals: bool = True) -> DataFrame:
@@ -185,13 +250,10 @@ def termination(members: DataFrame, current: DataFrame, stall: int = 0, halted:
     the newest generation, if not the first, has none to judge; T4: half of the front or
     more ties with another member on both axes, or pruning halted.
     """
-    row = F.struct(*members.columns)
-    x, y = members.select(row.alias("x")), members.select(row.alias("y"))
-    level = (compare("recall", "x", "y", intervals) == 0) & (compare("precision", "x", "y", intervals) == 0)
-    tied = x.join(y, (F.col("x.candidate") != F.col("y.candidate")) & level, "left_semi").agg(F.count(F.lit(1)).alias("tied"))
+    level = tied(members, intervals).agg(F.count(F.lit(1)).alias("tied"))
     by_generation = current.groupBy("generation").agg(F.sum(F.coalesce("calls", F.lit(0))).alias("calls"), F.bool_or("judgeable").alias("any"))
     spent = by_generation.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.max("generation"), F.lit(0)).alias("generation"), F.max_by("any", "generation").alias("any"))
-    one = members.agg(F.count(F.lit(1)).alias("size")).crossJoin(tied).crossJoin(spent)  # a row each
+    one = members.agg(F.count(F.lit(1)).alias("size")).crossJoin(level).crossJoin(spent)  # a row each
     rules = {
         "T1": F.lit(stall >= 3), "T2": F.col("calls") > 1650, "T3": (F.col("generation") > 0) & ~F.coalesce("any", F.lit(False)),
         "T4": F.lit(halted) | ((F.col("size") > 0) & (F.col("tied") * 2 >= F.col("size"))),

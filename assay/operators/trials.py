@@ -105,13 +105,11 @@ def parents(members: DataFrame) -> DataFrame:
 
 def covered(mine: DataFrame, theirs: DataFrame, intervals: bool = True) -> DataFrame:
     """One row on two fronts: whether mine dominates theirs: each of theirs is beaten or tied, one of them beaten.
-
-    Fronts are capped, so the pairs are few.
     """
-    x, y = mine.select(F.struct(*mine.columns).alias("x")), theirs.select(F.struct(*theirs.columns).alias("y"))
     tie = (pareto.compare("recall", "x", "y", intervals) == 0) & (pareto.compare("precision", "x", "y", intervals) == 0)
     beats = pareto.dominates("x", "y", intervals)
-    each = y.join(x, beats | tie, "left").groupBy("y.candidate").agg(F.bool_or(F.coalesce(beats, F.lit(False))).alias("_beaten"), F.bool_or(F.col("x").isNotNull()).alias("_met"))
+    met = pareto.pairs(mine, theirs, beats | tie).groupBy(F.col("y.candidate").alias("candidate")).agg(F.bool_or(beats).alias("_beaten"))
+    each = theirs.select("candidate").join(met.withColumn("_met", F.lit(True)), "candidate", "left").select(F.coalesce("_beaten", F.lit(False)).alias("_beaten"), F.col("_met").isNotNull().alias("_met"))
     return each.agg((F.bool_and("_met") & F.bool_or("_beaten")).alias("dominates"), F.bool_and("_met").alias("covers"))
 
 
