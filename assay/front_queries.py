@@ -40,9 +40,9 @@ POOL = CLUSTERED + f""", candidates AS (SELECT candidate, n_flagged, n_split, CA
 pool AS (SELECT * FROM candidates WHERE recall IS NOT NULL AND precision IS NOT NULL)"""
 
 
-def objectives(s: SparkSession, d: str) -> DataFrame:
+def objectives(s: SparkSession, d: str, voted: DataFrame | None = None) -> DataFrame:
     """The objective vectors with cluster intervals, written once a call, as fronts read them more than once."""
-    v = _voted(s, d)
+    v = table(_voted(s, d), "voted") if voted is None else voted
     rated = metrics.rates(metrics.counts(v, ["candidate"]))
     return table(rated.join(stats.bootstrap(v, ["candidate"], "qid", ROUNDS), "candidate"), "objectives")
 
@@ -113,8 +113,9 @@ def sa14(s: SparkSession, d: str) -> DataFrame:
 def pa11(s: SparkSession, d: str) -> DataFrame:
     """The objective vector: counts, both rates, and of either rate the cluster and the claim interval."""
     ends = [f"{a}_{e}" for a in pareto.AXES for e in ("lo", "hi")]
-    claim = stats.bootstrap(_voted(s, d), ["candidate"], None, ROUNDS).select("candidate", *[F.col(e).alias(e.replace("_", "_claim_")) for e in ends])
-    return objectives(s, d).select("candidate", "n_units", "n_problem", "n_flagged", "n_detected", "n_split", "recall", "precision", *ends).join(claim, "candidate")
+    v = table(_voted(s, d), "voted")
+    claim = stats.bootstrap(v, ["candidate"], None, ROUNDS).select("candidate", *[F.col(e).alias(e.replace("_", "_claim_")) for e in ends])
+    return objectives(s, d, v).select("candidate", "n_units", "n_problem", "n_flagged", "n_detected", "n_split", "recall", "precision", *ends).join(claim, "candidate")
 
 
 # --- comparison and fronts -------------------------------------------------------------

@@ -101,6 +101,8 @@ def draws(spark: SparkSession, size: int, rounds: int, seed: int = SEED, at_once
 
 #: Places in a slice (one array), slices that a task holds, keys in an array, and tasks wanted.
 SLICE, SLICES, KEYS, TASKS = 1 << 16, 64, 16, 64
+#: Draws that are one expression.
+AT_ONCE = 1 << 18
 
 
 def resampled(cells: DataFrame, keys: list[str], size: int, rounds: int, seed: int = SEED, slice_: int = SLICE, slices: int = SLICES) -> DataFrame:
@@ -144,16 +146,20 @@ def resampled(cells: DataFrame, keys: list[str], size: int, rounds: int, seed: i
         first = int(rows["block"].iloc[0]) * step
         held = [(int(s) * slice_ - low, np.frombuffer(m, kind).reshape(-1, KEYS * 3)) for s, kind, m in zip(rows["slice"], rows["kind"], rows["m"], strict=True)]
         n = min(step, rounds - first)
-        out = np.zeros((n, KEYS * 3), np.int64)
-        for b in range(n):
-            times = np.zeros(high - low, np.int64)
-            for pos in _positions((first + b) * size, size, size, seed, 1 << 18):
-                mine = pos if high - low == size else pos[(pos >= low) & (pos < high)]
-                times += np.bincount(mine - low, minlength=high - low)
+        out, span = np.zeros((n, KEYS * 3), np.int64), high - low
+        most = max(int(m.max()) for _, m in held)
+        number = np.float64 if most * size < 2**53 else np.int64  # either way sums are exact
+        together = max(1, min(n, AT_ONCE // size))  # resamples whose draws are counted at once
+        for b in range(0, n, together):
+            c, at = min(together, n - b), 0
+            times = np.zeros(c * span, np.int64)
+            for pos in _positions((first + b) * size, c * size, size, seed, AT_ONCE):
+                cell = np.arange(at, at + len(pos)) // size * span + pos - low
+                at += len(pos)
+                times += np.bincount(cell if span == size else cell[(pos >= low) & (pos < high)], minlength=c * span)
+            times = times.reshape(c, span).astype(number)
             for start, m in held:
-                here = times[start : start + len(m)]
-                drawn = np.flatnonzero(here)
-                out[b] += here[drawn] @ m[drawn].astype(np.int64)
+                out[b : b + c] += (times[:, start : start + len(m)] @ m.astype(number)).astype(np.int64)
         out = out.reshape(n * KEYS, 3)
         b, k = np.divmod(np.arange(n * KEYS), KEYS)
         return pd.DataFrame({"_key": int(rows["group"].iloc[0]) * KEYS + k, "b": first + b, "p": out[:, 0], "f": out[:, 1], "d": out[:, 2]})
