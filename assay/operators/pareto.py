@@ -84,15 +84,19 @@ def _beaten_on(pool: DataFrame, first: str, second: str, intervals: bool) -> Dat
     return swept.filter((F.col("_turn") == 0) & (F.col("_need") <= F.col("_best") + EPS)).select("candidate")
 
 
-def on_front(pool: DataFrame, intervals: bool = True) -> DataFrame:
+def on_front(pool: DataFrame, intervals: bool = True, tile: int = TILE) -> DataFrame:
     """The pool with on_front: whether no other candidate dominates it.
 
-    Two sorts, one per axis, and no pairs: each axis is an interval order, so the one that
-    reaches furthest on the other axis tells for all that are better on this one.  Nothing is
-    discarded early, as dominance isn't transitive where intervals tie.  Ids are unique, and
-    no interval ends before it begins.
+    A pool of up to ``tile`` rows is one tile of pairs.  A larger one takes two sorts, one per
+    axis, and no pairs: each axis is an interval order, so the one that reaches furthest on
+    the other axis tells for all that are better on this one.  Nothing is discarded early, as
+    dominance isn't transitive where intervals tie.  Ids are unique, and no interval ends
+    before it begins.
     """
-    beaten = _beaten_on(pool, *AXES, intervals).unionByName(_beaten_on(pool, *AXES[::-1], intervals)).distinct()
+    if pool.count() <= tile:
+        beaten = pairs(pool, pool, dominates("x", "y", intervals)).select("y.candidate").distinct()
+    else:
+        beaten = _beaten_on(pool, *AXES, intervals).unionByName(_beaten_on(pool, *AXES[::-1], intervals)).distinct()
     marked = pool.join(beaten.withColumn("_beaten", F.lit(True)), "candidate", "left")
     return marked.select(*[c for c in pool.columns if c != "on_front"], F.col("_beaten").isNull().alias("on_front"))
 
@@ -110,19 +114,21 @@ def front(pool: DataFrame, intervals: bool = True) -> DataFrame:
     return out.select(*[c for c in pool.columns if c not in ("dominated_by", "on_front")], "dominated_by", "on_front")
 
 
-def tied(members: DataFrame, intervals: bool = True) -> DataFrame:
+def tied(members: DataFrame, intervals: bool = True, tile: int = TILE) -> DataFrame:
     """Ids of members that another member ties with on both axes.
 
-    Two that don't dominate each other tie if they overlap on one axis, so among members that
+    Up to ``tile`` members are one tile of pairs; beyond that, two that don't dominate each other tie if they overlap on one axis, so among members that
     nobody beats, all of them on a front, a sweep up and one down that axis tell.  Only for
     those that are beaten pairs are looked at.
     """
-    marked = table(on_front(members, intervals), "members")
+    level = (F.col("x.candidate") != F.col("y.candidate")) & (compare(AXES[0], "x", "y", intervals) == 0) & (compare(AXES[1], "x", "y", intervals) == 0)
+    if members.count() <= tile:
+        return pairs(members, members, level).select("y.candidate").distinct()
+    marked = table(on_front(members, intervals, tile), "members")
     lo, hi = _ends(AXES[0], intervals)
     line = marked.filter("on_front").select("candidate", F.coalesce(lo, F.lit(-ENDLESS)).alias("_lo"), F.coalesce(hi, F.lit(ENDLESS)).alias("_hi"))
     up = ordered.leading(line, [F.col("_lo"), F.col("candidate")], "_hi", "_reach").filter(F.col("_lo") <= F.col("_reach") + EPS)
     down = ordered.leading(line.withColumn("_back", -F.col("_lo")), [F.desc("_lo"), F.desc("candidate")], "_back", "_next").filter(-F.col("_next") <= F.col("_hi") + EPS)
-    level = (F.col("x.candidate") != F.col("y.candidate")) & (compare(AXES[0], "x", "y", intervals) == 0) & (compare(AXES[1], "x", "y", intervals) == 0)
     met = pairs(marked, marked.filter("not on_front"), level).select(F.explode(F.array("x.candidate", "y.candidate")).alias("candidate"))
     return up.select("candidate").unionByName(down.select("candidate")).unionByName(met).distinct()
 

@@ -39,18 +39,19 @@ def dominates(x, y, intervals=True):
     return a >= 0 and b >= 0 and a + b > 0
 
 
-@pytest.mark.parametrize(("seed", "intervals", "null"), [(1, True, 0.15), (2, True, 0.0), (3, False, 0.1)])
-def test_front_and_ties_equal_all_pairs(spark, seed, intervals, null):
+@pytest.mark.parametrize(("seed", "intervals", "null", "tile"), [(1, True, 0.15, 0), (2, True, 0.0, 5), (3, False, 0.1, 0), (5, True, 0.2, 4096)])
+def test_front_and_ties_equal_all_pairs(spark, seed, intervals, null, tile):
     rows = pool_of(seed, 60, null)
     df = spark.createDataFrame(rows, COLUMNS).repartition(3)
     got = {r["candidate"]: r for r in pareto.front(df, intervals).collect()}
     for y in rows:
         by = sorted(x[0] for x in rows if dominates(x, y, intervals))
         assert (got[y[0]]["dominated_by"], got[y[0]]["on_front"]) == (by, not by)
+    assert {r["candidate"]: r["on_front"] for r in pareto.on_front(df, intervals, tile).collect()} == {c: r["on_front"] for c, r in got.items()}
     members = [y for y in rows if got[y[0]]["on_front"]]
     for some in (rows, members):
         level = {x[0] for x, y in itertools.permutations(some, 2) if not cmp(x, y, 0, intervals) and not cmp(x, y, 1, intervals)}
-        assert {r[0] for r in pareto.tied(spark.createDataFrame(some, COLUMNS), intervals).collect()} == level
+        assert {r[0] for r in pareto.tied(spark.createDataFrame(some, COLUMNS), intervals, tile).collect()} == level
     assert pareto.front(df.filter("false"), intervals).count() == pareto.tied(df.filter("false")).count() == 0
 
 
