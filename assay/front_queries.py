@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import metrics, pareto, stats, trials
+from .operators import objectives as objectives_module
 from .plans import views
 from .plans.shared import table
 from .plans.views import sql
@@ -118,6 +119,23 @@ def pa11(s: SparkSession, d: str) -> DataFrame:
     return objectives(s, d, v).select("candidate", "n_units", "n_problem", "n_flagged", "n_detected", "n_split", "recall", "precision", *ends).join(claim, "candidate")
 
 
+DOCUMENT = CLUSTERED + ",\n" + intervals_sql("id", name="cl") + """, timed AS (SELECT *, ((doc_id * 7 + run * 13 + k) % 97)::DOUBLE / 10 AS elapsed, 200 + doc_id % 131 AS chars FROM (SELECT runs.*, CAST(substr(candidate, 2) AS INTEGER) AS k FROM runs)),
+raw AS (SELECT candidate, count(DISTINCT run) AS n_runs, count(*) AS search_cost_calls, count(*) FILTER (label = 'UNRESOLVED') AS n_raw_unresolved, round_even(quantile_cont(elapsed, 0.5), 2) AS elapsed_median, CAST(floor(quantile_cont(chars, 0.5)) AS BIGINT) AS prompt_chars_median FROM timed GROUP BY candidate),
+seen AS (SELECT candidate, count(*) FILTER (""" + f"{BAD} AND NOT {HIT}) AS n_misses, count(*) FILTER (NOT ({BAD}) AND {HIT}" + """) AS n_false_alarms FROM votes GROUP BY candidate),
+gated AS (SELECT candidate, concat_ws(',', CASE WHEN n_problem < 8 THEN 'R1' END, CASE WHEN n_flagged < 5 THEN 'R2' END, CASE WHEN n_runs <> 3 THEN 'R3' END, CASE WHEN greatest(n_unresolved::DOUBLE / n_units, n_raw_unresolved::DOUBLE / search_cost_calls) >= 0.1 THEN 'R4' END, CASE WHEN n_split::DOUBLE / n_units >= 0.2 THEN 'R5' END) AS violations FROM counts JOIN raw USING (candidate))
+SELECT counts.*, n_runs, search_cost_calls, n_raw_unresolved, n_misses, n_false_alarms, """ + f"{RATE.format(a='n_detected', b='n_problem')} AS recall, {RATE.format(a='n_detected', b='n_flagged')} AS precision, " + ", ".join(f"{t}.{e} AS {e.replace('_', '_' + u, 1)}" for t, u in (("ci", ""), ("cl", "claim_")) for e in objectives_module.ENDS) + """,
+  elapsed_median, prompt_chars_median, violations, violations = '' AS gate_passed, 20260730 AS seed, """ + f"{ROUNDS} AS resamples FROM counts JOIN ci USING (candidate) JOIN cl USING (candidate) JOIN raw USING (candidate) JOIN seen USING (candidate) JOIN gated USING (candidate)"
+
+
+@query("PA11_document", DOCUMENT)
+def pa11b(s: SparkSession, d: str) -> DataFrame:
+    """The objective document with sample gate, medians, calls and diagnostics."""
+    v = table(_voted(s, d), "voted")
+    k = F.substring("candidate", 2, 3).cast("int")
+    timed = views.judge_runs(s, d).withColumns({"elapsed": ((F.col("doc_id") * 7 + F.col("run") * 13 + k) % 97).cast("double") / 10, "prompt_chars": 200 + F.col("doc_id") % 131})
+    return objectives_module.document(timed, v, "candidate", "qid", ROUNDS)
+
+
 # --- comparison and fronts -------------------------------------------------------------
 
 

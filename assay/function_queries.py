@@ -190,11 +190,25 @@ def va15(s: SparkSession, d: str) -> DataFrame:
     return c.join(base, F.lit(True)).select("candidate", trials.axis_check(F.col("precision"), F.col("base")).alias("verdict"))
 
 
-@query("VA10_question_faults", """WITH q AS (SELECT doc_id AS qid, doc_id % 7 AS k FROM documents)
-SELECT qid, unnest(CASE k WHEN 0 THEN ['bad_layer'] WHEN 1 THEN ['citations_not_empty'] WHEN 2 THEN ['citations_empty'] WHEN 3 THEN ['unknown_standard'] WHEN 4 THEN ['quote_not_in_corpus', 'quote_not_in_evidence'] WHEN 5 THEN ['copied_question'] ELSE [] END) AS fault FROM q""")
+@query("VA10_question_faults", sql("evidence") + r""", q AS (SELECT question_id - CASE WHEN question_id % 11 = 3 THEN 1 ELSE 0 END AS qid, question_id % 7 AS k, question_id AS own, raw AS evidence, CASE question_id % 7 WHEN 0 THEN 'odd' WHEN 1 THEN 'no_answer' ELSE 'normal' END AS layer,
+  CASE WHEN question_id % 7 = 5 THEN left(raw, 40) ELSE 'what is ' || question_id || '?' END AS question, CASE WHEN question_id % 7 = 3 THEN '9999' ELSE CAST(1001 + question_id % 9 AS VARCHAR) END AS standard,
+  CASE WHEN question_id % 7 = 4 THEN reverse(quote) WHEN question_id % 7 = 6 THEN substr(quote, 3, 5) ELSE quote END AS quote FROM evidence),
+corpus AS (SELECT CAST(1001 + question_id % 9 AS VARCHAR) AS standard, replace(raw, ' ', '') AS body FROM evidence),
+c AS (SELECT DISTINCT qid, standard, replace(coalesce(quote, ''), ' ', '') AS quote, replace(evidence, ' ', '') AS evidence FROM q WHERE k <> 2),
+m AS (SELECT *, standard IN (SELECT standard FROM corpus) AS known, EXISTS (SELECT 1 FROM corpus b WHERE b.standard = c.standard AND contains(b.body, c.quote)) AS there FROM c)
+SELECT qid, 'bad_layer' AS fault FROM q WHERE layer NOT IN ('distractor', 'no_answer', 'normal') UNION ALL SELECT qid, 'citations_not_empty' FROM q WHERE layer = 'no_answer' AND k <> 2
+UNION ALL SELECT qid, 'citations_empty' FROM q WHERE layer <> 'no_answer' AND k = 2 UNION ALL SELECT qid, 'copied_question' FROM q WHERE replace(question, ' ', '') <> '' AND contains(replace(evidence, ' ', ''), replace(question, ' ', ''))
+UNION ALL SELECT qid, 'duplicate_qid' FROM (SELECT qid, unnest(range(count(*) - 1)) FROM q GROUP BY qid)
+UNION ALL SELECT qid, 'unknown_standard' FROM m WHERE NOT known UNION ALL SELECT qid, 'quote_not_in_corpus' FROM m WHERE known AND NOT there UNION ALL SELECT qid, 'quote_not_in_evidence' FROM m WHERE known AND NOT contains(evidence, quote)""")
 def va10(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 7
-    citation = F.struct(F.when(k == 3, "9999").otherwise("1001").alias("standard"), F.when(k == 4, "not there").otherwise("a b").alias("quote"))
-    layer = F.when(k == 0, "odd").when(k == 1, "no_answer").otherwise("normal")
-    q = _docs(s, d).select(F.col("doc_id").alias("qid"), layer.alias("layer"), F.when(k == 5, "a  b").otherwise("what").alias("question"), F.lit("so ab is").alias("evidence"), F.when(k != 2, F.array(citation)).otherwise(F.array().cast("array<struct<standard: string, quote: string>>")).alias("citations"))
-    return trials.question_faults(q, s.createDataFrame([("1001", "x a  b y")], "standard string, body string"))
+    """Questions on every document's evidence, sound or broken, against the whole corpus."""
+    e, i = views.evidence(s, d), F.col("question_id")
+    k, standard = i % 7, (1001 + i % 9).cast("string")
+    quote = F.when(k == 4, F.reverse("quote")).when(k == 6, F.substring("quote", 3, 5)).otherwise(F.col("quote"))
+    citation = F.struct(F.when(k == 3, "9999").otherwise(standard).alias("standard"), quote.alias("quote"))
+    q = e.select(
+        (i - F.when(i % 11 == 3, 1).otherwise(0)).alias("qid"), F.when(k == 0, "odd").when(k == 1, "no_answer").otherwise("normal").alias("layer"),
+        F.when(k == 5, F.left("raw", F.lit(40))).otherwise(F.concat(F.lit("what is "), i.cast("string"), F.lit("?"))).alias("question"), F.col("raw").alias("evidence"),
+        F.when(k != 2, F.array(citation)).otherwise(F.array().cast("array<struct<standard: string, quote: string>>")).alias("citations"),
+    )
+    return trials.question_faults(q, e.select(standard.alias("standard"), F.col("raw").alias("body")))

@@ -104,6 +104,9 @@ NEGATORS = ("아님", "아니", "해당 없", "해당없", "제외")
 #: Words of a rule that picks one, and of one whose parts must all hold.
 SELECTION = ("중 이른", "중 늦은", "중 빠른", "둘 중", "중 하나", "중 작은", "중 큰", "중 낮은", "중 높은")
 CONJUNCTIVE = ("모두 충족", "모두 해당", "요소로 구성", "항목으로 구성", "모두 확인", "다음을 모두")
+#: The narrow lists of the same, for studies that were made with them.
+SELECTION_NARROW = ("중 이른 날", "중 이른", "둘 중", "중 빠른", "중 늦은", "중 하나")
+CONJUNCTIVE_NARROW = ("모두 충족", "모두 해당", "요소로 구성", "항목으로 구성", "모두 확인")
 
 
 def without_orders(x: Column) -> Column:
@@ -135,10 +138,11 @@ def has_tag(note: Column, tag: str, negators: tuple[str, ...] = NEGATORS) -> Col
     return F.coalesce(F.exists(places, lambda t: ~denied(t)), F.lit(False))
 
 
-def rule_type(evidence: Column) -> Column:
-    """SELECTION before CONJUNCTIVE before OTHER."""
+def rule_type(evidence: Column, narrow: bool = False) -> Column:
+    """SELECTION before CONJUNCTIVE before OTHER, by the wide lists or the narrow ones."""
     names = lambda words: evidence.rlike("|".join(words))
-    return F.when(names(SELECTION), "SELECTION").when(names(CONJUNCTIVE), "CONJUNCTIVE").otherwise("OTHER")
+    picks, joins = (SELECTION_NARROW, CONJUNCTIVE_NARROW) if narrow else (SELECTION, CONJUNCTIVE)
+    return F.when(names(picks), "SELECTION").when(names(joins), "CONJUNCTIVE").otherwise("OTHER")
 
 
 def aliased(cite: Column) -> Column:

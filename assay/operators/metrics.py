@@ -89,6 +89,28 @@ def diagnostics(units: DataFrame, keys: list[str]) -> DataFrame:
     return units.select(*keys, kind.alias("kind")).filter("kind is not null")
 
 
+def net_effect(units: DataFrame) -> DataFrame:
+    """One row: reviews and problems caught without and with a probe of what would pass.
+
+    ``units``: human, review (is reviewed anyhow), all_flagged, yes (the probe's vote).  Caught
+    is what is flagged or reviewed.
+    """
+    off = F.when(F.col("review"), "REVIEW").when(F.col("all_flagged"), "FLAGGED").otherwise("PASS")
+    u = units.withColumn("_off", off).withColumn("_on", F.when((F.col("_off") == "PASS") & F.col("yes"), "REVIEW").otherwise(F.col("_off")))
+    c = u.agg(*[number(F.col(f"_{x}") == "REVIEW").alias(f"review_{x}") for x in ("off", "on")], *[number(problem() & (F.col(f"_{x}") != "PASS")).alias(f"caught_{x}") for x in ("off", "on")], number(problem()).alias("problems"))
+    rate = lambda a: F.bround(F.try_divide(F.col(a).cast("double"), F.col("problems").cast("double")), 4)
+    return c.withColumns({"more_review": F.col("review_on") - F.col("review_off"), "more_caught": F.col("caught_on") - F.col("caught_off"), "recall_off": rate("caught_off"), "recall_on": rate("caught_on")})
+
+
+def availability(answers: DataFrame, claims: str, arm: str, rule: str) -> DataFrame:
+    """Per arm, and per arm and rule (null: over all rules): answers, abstentions, claims, answers with siblings and their claims."""
+    n = F.col(claims)
+    many = n > 1
+    return answers.groupingSets([[F.col(arm)], [F.col(arm), F.col(rule)]], F.col(arm), F.col(rule)).agg(
+        F.count(F.lit(1)).alias("answers"), number(n == 0).alias("abstained"), F.sum(n).alias("claims"), number(many).alias("with_siblings"), F.coalesce(F.sum(F.when(many, n)), F.lit(0)).alias("sibling_claims"),
+    )
+
+
 def _share(condition: Column, of: Column) -> Column:
     return F.try_divide(number(condition & of).cast("double"), number(of).cast("double"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import guards
 
 # Headings of a prompt's parts, the fences of its evidence, the mark of a claim among
 # its siblings, and what stands for no sibling.
@@ -97,6 +98,11 @@ def single_variable(a: Column, b: Column, siblings: Column) -> Column:
     return F.when(F.size(siblings) > 0, without == a).otherwise(a == b)
 
 
+def checked_pairs(pairs: DataFrame, a: str, b: str, siblings: str, *ids: str) -> DataFrame:
+    """Pairs of prompts as they are, if each differs by the sibling block alone; one that doesn't ends the job."""
+    return guards.refuse(pairs, ~single_variable(F.col(a), F.col(b), F.col(siblings)), "prompts differ by more than the block", *ids)
+
+
 def answer_prompt(words: Wording, question: Column, answer: Column, claim_id: Column, claim: Column, citation: Column, evidence: Column, siblings: Column) -> Column:
     """Prompt with the whole answer and its other claims (array of struct(id, text)); only the end of an id is shown."""
     lines = F.transform(siblings, lambda s: F.concat(F.lit("- ("), F.regexp_extract(s["id"], "[^-]*$", 0), F.lit(") "), s["text"]))

@@ -46,11 +46,24 @@ def two_arms(grades: DataFrame) -> DataFrame:
     ``grades``: error_a, error_b, acc_a, acc_b and acc_draft, null where nothing was revised.
     Over-corrected is a draft that was right and whose revision isn't; its share is of all.
     """
+    return _rated(grades.agg(*_tallies()))
+
+
+def report(grades: DataFrame) -> DataFrame:
+    """The rows of ``two_arms`` over all and per layer, from one aggregation: layer, whole (the row over all), and its columns."""
+    sets = grades.groupingSets([[], [F.col("layer")]], F.col("layer"))
+    return _rated(sets.agg((F.grouping("layer") == 1).alias("whole"), *_tallies()))
+
+
+def _tallies() -> list[Column]:
     a, b = F.col("error_a"), F.col("error_b")
-    r = grades.agg(
+    return [
         F.count(F.lit(1)).alias("n"), _count(a, "errors_a"), _count(b, "errors_b"), _count(a & ~b, "improved"), _count(~a & b, "worsened"),
         _count(F.col("acc_a"), "right_a"), _count(F.col("acc_b"), "right_b"), F.count("acc_draft").alias("revised"), _count(F.col("acc_draft") & ~F.col("acc_b"), "over_corrected"),
-    )
+    ]
+
+
+def _rated(r: DataFrame) -> DataFrame:
     share = lambda x: F.try_divide(F.col(x).cast("double"), F.col("n").cast("double"))
     named = {"error_rate_a": "errors_a", "error_rate_b": "errors_b", "accuracy_a": "right_a", "accuracy_b": "right_b", "over_correction": "over_corrected"}
     return r.withColumns({k: F.bround(share(v), 4) for k, v in named.items()} | {"over_limit": share("over_corrected") > OVER, "p": F.bround(stats.mcnemar(F.col("improved"), F.col("worsened")), 6)})

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import ordered, pareto, stats
+from . import ordered, pareto, search, stats
 
 LAYERS = ("distractor", "no_answer", "normal")
 
@@ -26,6 +26,27 @@ def first_hypothesis(improved: Column, worsened: Column, other: Column, n: Colum
     return F.struct(p.alias("p"), parts[0].alias("significant"), parts[1].alias("better"), parts[2].alias("beyond_control"), (parts[0] & parts[1] & parts[2]).alias("accepted"))
 
 
+def second_hypothesis(units: DataFrame) -> DataFrame:
+    """One row: does a change of context turn verdicts on rules whose parts must all hold more often than on those that pick one?
+
+    ``units``: rule, qid, changed.  The share of claims that changed must lie with its whole
+    interval above, and the share of questions with a change must point the same way; where
+    only the claims differ, clusters may be the cause and nothing is decided.
+    """
+    def of(rule: str) -> list[Column]:
+        own, name = F.col("rule") == rule, rule.lower()
+        hit = own & F.col("changed")
+        return [F.count(F.when(hit, 1)).alias(f"{name}_k"), F.count(F.when(own, 1)).alias(f"{name}_n"), F.count_distinct(F.when(hit, F.col("qid"))).alias(f"{name}_flip_questions"), F.count_distinct(F.when(own, F.col("qid"))).alias(f"{name}_questions")]
+
+    r = units.agg(*of("CONJUNCTIVE"), *of("SELECTION"))
+    low = stats.wilson(F.col("conjunctive_k"), F.col("conjunctive_n"))["lo"]
+    high = stats.wilson(F.col("selection_k"), F.col("selection_n"))["hi"]
+    rate = lambda n: F.col(f"{n}_flip_questions") / F.greatest(F.lit(1), F.col(f"{n}_questions"))
+    r = r.withColumns({"claims_apart": low > high, "questions_agree": rate("conjunctive") > rate("selection")})
+    verdict = F.when(F.col("claims_apart") & F.col("questions_agree"), "ACCEPTED").when(F.col("claims_apart"), "CLUSTERED").otherwise("REJECTED")
+    return r.withColumn("verdict", verdict)
+
+
 def axis_check(negative_hi: Column, base_lo: Column) -> Column:
     """PASS if a control made worse lies below the base with its whole interval; unknown bounds fail."""
     return F.when(F.coalesce(negative_hi < base_lo, F.lit(False)), "PASS").otherwise("FAIL")
@@ -84,9 +105,10 @@ def question_faults(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     }
     shape = questions.select("qid", F.explode(F.array_compact(F.array(*[F.when(v, k) for k, v in whole.items()]))).alias("fault"))
     twice = questions.groupBy("qid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("qid", F.explode(F.expr("array_repeat('duplicate_qid', int(_n - 1))")).alias("fault"))
-    cited = questions.select("qid", "evidence", F.posexplode("citations").alias("_i", "c")).select("qid", "_i", norm(F.col("evidence")).alias("_e"), "c.standard", norm(F.col("c.quote")).alias("_q"))
-    held = corpus.select(F.col("standard").alias("_s"), norm(F.col("body")).alias("_body"))
-    met = cited.join(held, F.col("standard") == F.col("_s"), "left").groupBy("qid", "_i", "_e", "_q").agg(F.count("_s").alias("_known"), F.coalesce(F.bool_or(F.contains("_body", "_q")), F.lit(False)).alias("_there"))
+    cited = questions.select("qid", "evidence", F.posexplode("citations").alias("_i", "c")).select("qid", "_i", norm(F.col("evidence")).alias("_e"), F.col("c.standard").alias("standard"), norm(F.col("c.quote")).alias("_q"))
+    held = corpus.select(F.col("standard").alias("_s")).distinct().withColumn("_known", F.lit(1))
+    met = search.quoted(cited, "standard", "_q", corpus, "body", "_there").join(held, F.col("standard") == F.col("_s"), "left")
+    met = met.groupBy("qid", "_i", "_e", "_q").agg(F.count("_known").alias("_known"), F.coalesce(F.bool_or("_there"), F.lit(False)).alias("_there"))
     known = F.col("_known") > 0
     faults = F.array_compact(F.array(F.when(~known, "unknown_standard"), F.when(known & ~F.col("_there"), "quote_not_in_corpus"), F.when(known & ~F.contains("_e", "_q"), "quote_not_in_evidence")))
     return shape.unionByName(twice).unionByName(met.select("qid", F.explode(faults).alias("fault")))

@@ -88,3 +88,16 @@ def probe(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
 def listed(rows: DataFrame, keys: list[str], run: str, label: str) -> DataFrame:
     """The votes of each key as an array of struct(run, label) in the order of runs, which are few."""
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(run).alias("run"), F.col(label).alias("label")))).alias("votes"))
+
+
+def versions(units: DataFrame, said: DataFrame, key: str, version: str, label: str, names: dict[str, str]) -> DataFrame:
+    """Units with a column per version of the judge and their ``ensemble``: what two of them say, in their order, else U.
+
+    ``said``: key, version and short label, one row each (of several, the largest); a unit that
+    a version didn't judge has U there.
+    """
+    wide = said.groupBy(F.col(key).alias("_k")).agg(*[F.max(F.when(F.col(version) == v, F.col(label))).alias(n) for v, n in names.items()])
+    out = units.join(wide, F.col(key) == F.col("_k"), "left").select(*units.columns, *[F.coalesce(n, F.lit("U")).alias(n) for n in names.values()])
+    own = list(names.values())
+    agreed = F.coalesce(*[F.when(F.col(a) == F.col(b), F.col(a)) for i, a in enumerate(own) for b in own[i + 1 :]], F.lit("U"))
+    return out.withColumn("ensemble", agreed)

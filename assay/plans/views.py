@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.evidence import records as records_of
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,6 +89,11 @@ votes AS (
   FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 .,]', ' ', 'g') AS body FROM documents))""",
 }
 
+CTE["bundles"] = r"""bundles AS (
+  SELECT question_id, CASE WHEN question_id % 5 = 4 THEN '[note] ' || body WHEN question_id % 5 = 3 THEN bare || left(body, length(body) // 2) || ' [note] ' || substr(body, length(body) // 2 + 1)
+    ELSE named || left(body, length(body) // 2) || ' [see 9] ' || bare || substr(body, length(body) // 2 + 1) END AS raw, CASE question_id % 5 WHEN 1 THEN '1115 contracts' WHEN 2 THEN 'none' END AS standard
+  FROM (SELECT question_id, regexp_replace(raw, '^\[[^\]]*\] ', '') AS body, '[' || (1001 + question_id % 9) || ' topic 문단 ' || (1 + question_id % 97) || 'A]' AS named, '[ 문단 ' || (2 + question_id % 97) || ' ] ' AS bare FROM evidence))"""
+
 
 def sql(*names: str) -> str:
     """WITH clause of the named expressions, in order."""
@@ -95,10 +102,20 @@ def sql(*names: str) -> str:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, standard, paragraph, body of each header in the evidence."""
-    head = F.regexp_extract_all("raw", F.lit(r"\[([^\]]*)\] "), F.lit(1))
-    body = F.slice(F.split("raw", r"\[[^\]]*\] ", -1), 2, 1_000_000)
-    r = evidence(spark, sf_dir).select("question_id", F.explode(F.arrays_zip(head.alias("head"), body.alias("body"))).alias("r"))
-    return r.select("question_id", F.regexp_extract("r.head", "^([0-9]{3,4})", 1).alias("standard"), F.regexp_extract("r.head", r"문단 ([0-9]+[A-Za-z]?)$", 1).alias("paragraph"), F.col("r.body").alias("body"))
+    return records_of(evidence(spark, sf_dir).select("question_id", "raw"), "raw").drop("content_sha256")
+
+
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, raw, standard of evidence with two headers, one or both without a standard, brackets in a body, or no header."""
+    k, p = F.col("question_id") % 5, 1 + F.col("question_id") % 97
+    half = (F.length("body") / 2).cast("int")
+    first, second = F.substr("body", F.lit(1), half), F.substr("body", half + 1)
+    named = F.concat(F.lit("["), (1001 + F.col("question_id") % 9).cast("string"), F.lit(" topic 문단 "), p.cast("string"), F.lit("A]"))
+    bare = F.concat(F.lit("[ 문단 "), (p + 1).cast("string"), F.lit(" ] "))
+    e = evidence(spark, sf_dir).withColumn("body", F.regexp_replace("raw", r"^\[[^\]]*\] ", ""))
+    raw = F.when(k == 4, F.concat(F.lit("[note] "), "body")).when(k == 3, F.concat(bare, first, F.lit(" [note] "), second)).otherwise(F.concat(named, first, F.lit(" [see 9] "), bare, second))
+    standard = F.when(k == 1, "1115 contracts").when(k == 2, "none")
+    return e.select("question_id", raw.alias("raw"), standard.alias("standard"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,26 @@ def ag30(s: SparkSession, d: str) -> DataFrame:
     return reports.two_arms(reports.graded(_graded(s, d)))
 
 
+REPORT_COLUMNS = """round_even(errors_a::DOUBLE / n, 4) AS error_rate_a, round_even(errors_b::DOUBLE / n, 4) AS error_rate_b, round_even(right_a::DOUBLE / n, 4) AS accuracy_a, round_even(right_b::DOUBLE / n, 4) AS accuracy_b,
+  round_even(over_corrected::DOUBLE / n, 4) AS over_correction, over_corrected::DOUBLE / n > 0.005 AS over_limit,
+  round_even(CASE WHEN improved + worsened = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum([exp(lgamma(improved + worsened + 1) - lgamma(i + 1) - lgamma(improved + worsened - i + 1) - (improved + worsened) * ln(2.0)) FOR i IN range(least(improved, worsened) + 1)])) END, 6) AS p"""
+
+
+@query("AG30_report", REPORT + f""", r AS (SELECT layer, grouping(layer) = 1 AS whole, count(*) AS n, count(*) FILTER (ea) AS errors_a, count(*) FILTER (eb) AS errors_b, count(*) FILTER (ea AND NOT eb) AS improved, count(*) FILTER (NOT ea AND eb) AS worsened,
+  count(*) FILTER (acc_a) AS right_a, count(*) FILTER (acc_b) AS right_b, count(acc_draft) AS revised, count(*) FILTER (acc_draft AND NOT acc_b) AS over_corrected FROM g GROUP BY GROUPING SETS ((), (layer)))
+SELECT *, {REPORT_COLUMNS} FROM r""")
+def ag30c(s: SparkSession, d: str) -> DataFrame:
+    """The report over all and per layer, its test with it, from one pass."""
+    return reports.report(reports.graded(_graded(s, d)))
+
+
+@query("FN12_checked_pairs", f"WITH {CLAIMS} SELECT id, {_hash('plain', _unit_sql(False))}, {_hash('with_siblings', _unit_sql(True))} FROM c")
+def fn12b(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of prompts of an experiment; were one to differ by more than the siblings, the job would end there."""
+    made = _units(s, d).select("id", "siblings", _unit(False).alias("a"), _unit(True).alias("b"))
+    return prompts.checked_pairs(made, "a", "b", "siblings", "id").select("id", F.sha2("a", 256).alias("plain"), F.sha2("b", 256).alias("with_siblings"))
+
+
 @query("AG30_by_layer", REPORT + " SELECT layer, count(*) AS n, count(*) FILTER (ea) AS errors_a, count(*) FILTER (eb) AS errors_b FROM g GROUP BY layer")
 def ag30b(s: SparkSession, d: str) -> DataFrame:
     return reports.by_layer(reports.graded(_graded(s, d)))

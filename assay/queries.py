@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import metrics, ordered, pareto, stats, trials, votes
+from .operators import guards, metrics, ordered, pareto, stats, trials, votes
 from .plans import views
 from .plans.views import sql
+from .sources import evidence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,6 +58,14 @@ def jn2(s: SparkSession, d: str) -> DataFrame:
     return views.units(s, d).join(labels, "doc_id").filter((F.col("human") == "C") != (F.col("toxic") == 1)).select("id")
 
 
+@query("JN2_checked_join", BASE + "SELECT candidate, human, count(*) AS n FROM runs WHERE human <> 'S' GROUP BY ALL")
+def jn2b(s: SparkSession, d: str) -> DataFrame:
+    """Runs met with the sheet; were a label different, the job would end there."""
+    sheet = views.units(s, d).select("id", F.col("human").alias("sheet_human"))
+    met = guards.consistent(views.judge_runs(s, d).filter("human <> 'S'"), sheet)
+    return met.groupBy("candidate", F.col("sheet_human").alias("human")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("JN5_pairing", VOTED + "SELECT a.id, a.human, a.maj AS a, b.maj AS b FROM votes a JOIN votes b ON a.id = b.id WHERE a.candidate = 'c005' AND b.candidate = 'c006'")
 def jn5(s: SparkSession, d: str) -> DataFrame:
     v = _voted(s, d).filter(F.col("candidate").isin("c005", "c006"))
@@ -89,6 +98,19 @@ def jn16(s: SparkSession, d: str) -> DataFrame:
     return r.groupBy("id").pivot("run", [1, 2, 3]).agg(F.max("label")).toDF("id", "r1", "r2", "r3")
 
 
+VERSIONS = """said AS (SELECT id, candidate, CASE label WHEN 'SUPPORTED' THEN 'S' WHEN 'CONTRADICTED' THEN 'C' WHEN 'INSUFFICIENT' THEN 'I' ELSE 'U' END AS short FROM runs WHERE run = 1 AND candidate IN ('c000', 'c001', 'c002') AND NOT (candidate = 'c001' AND doc_id % 7 = 0) AND NOT (candidate = 'c002' AND doc_id % 5 = 0))"""
+
+
+@query("JN16_versions", BASE.rstrip() + ",\n" + VERSIONS + """, w AS (SELECT u.id, u.human, """ + ", ".join(f"coalesce(max(short) FILTER (candidate = 'c00{i}'), 'U') AS v{i + 1}" for i in range(3)) + """ FROM units u LEFT JOIN said USING (id) GROUP BY ALL)
+SELECT *, CASE WHEN v1 = v2 OR v1 = v3 THEN v1 WHEN v2 = v3 THEN v2 ELSE 'U' END AS ensemble FROM w""")
+def jn16b(s: SparkSession, d: str) -> DataFrame:
+    """Labels of three versions and of their ensemble beside each unit; what a version lacks is U."""
+    runs = views.judge_runs(s, d).filter("run = 1").select("candidate", "id", "doc_id", votes.short().alias("short"))
+    lacks = {"c000": F.lit(False), "c001": F.col("doc_id") % 7 == 0, "c002": F.col("doc_id") % 5 == 0}
+    said = runs.filter(F.col("candidate").isin(*lacks)).filter(~F.when(F.col("candidate") == "c001", lacks["c001"]).when(F.col("candidate") == "c002", lacks["c002"]).otherwise(False))
+    return votes.versions(views.units(s, d).select("id", "human"), said, "id", "candidate", "short", {"c000": "v1", "c001": "v2", "c002": "v3"})
+
+
 @query("AG2_majority", VOTED + "SELECT candidate, id, maj FROM votes")
 def ag2(s: SparkSession, d: str) -> DataFrame:
     return _voted(s, d).select("candidate", "id", "maj")
@@ -230,6 +252,18 @@ def ag21(s: SparkSession, d: str) -> DataFrame:
     return n.select("routed", "hits", F.bround(F.try_divide(rate("hits", "routed"), rate("bad", "n")), 4).alias("lift"))
 
 
+@query("AG21_net_effect", BASE.rstrip() + f""", v AS (SELECT id, doc_id, human, count(*) FILTER (label IN ('CONTRADICTED', 'INSUFFICIENT')) AS hits, count(*) AS n FROM runs WHERE candidate = 'c004' GROUP BY ALL),
+r AS (SELECT human, CASE WHEN doc_id % 9 = 0 THEN 'REVIEW' WHEN hits = n THEN 'FLAGGED' ELSE 'PASS' END AS off, doc_id % 4 = 0 AS yes FROM v),
+o AS (SELECT human, off, CASE WHEN off = 'PASS' AND yes THEN 'REVIEW' ELSE off END AS probed FROM r),
+c AS (SELECT count(*) FILTER (off = 'REVIEW') AS review_off, count(*) FILTER (probed = 'REVIEW') AS review_on, count(*) FILTER ({BAD} AND off <> 'PASS') AS caught_off, count(*) FILTER ({BAD} AND probed <> 'PASS') AS caught_on, count(*) FILTER ({BAD}) AS problems FROM o)
+SELECT *, review_on - review_off AS more_review, caught_on - caught_off AS more_caught, {RATE.format(a='caught_off', b='problems')} AS recall_off, {RATE.format(a='caught_on', b='problems')} AS recall_on FROM c""")
+def ag21b(s: SparkSession, d: str) -> DataFrame:
+    """What a probe of what would pass costs in reviews and brings in problems caught."""
+    v = views.judge_runs(s, d).filter("candidate = 'c004'").groupBy("id", "doc_id", "human").agg(F.bool_and(votes.flagged("label")).alias("all_flagged"))
+    u = v.select("human", (F.col("doc_id") % 9 == 0).alias("review"), "all_flagged", (F.col("doc_id") % 4 == 0).alias("yes"))
+    return metrics.net_effect(u)
+
+
 @query("AG25_flips", VOTED + f""", p AS (SELECT a.human, {SAID.replace('maj', 'a.maj')} AS a, {SAID.replace('maj', 'b.maj')} AS b FROM votes a JOIN votes b ON a.id = b.id WHERE a.candidate = 'c005' AND b.candidate = 'c006')
 SELECT count(*) FILTER (a <> human AND b = human) AS improve, count(*) FILTER (a = human AND b <> human) AS worsen, count(*) FILTER (a <> b AND a <> human AND b <> human) AS other, count(*) AS n FROM p""")
 def ag25(s: SparkSession, d: str) -> DataFrame:
@@ -259,6 +293,12 @@ def sa1(s: SparkSession, d: str) -> DataFrame:
     return metrics.counts(_voted(s, d), ["candidate"]).select("candidate", F.bround(w["lo"], 6).alias("lo"), F.bround(w["hi"], 6).alias("hi"))
 
 
+@query("SA1_wilson_precise", VOTED.rstrip() + ",\n" + COUNTS + ", w AS (SELECT candidate, CAST(n_detected AS DOUBLE) AS k, CAST(n_problem AS DOUBLE) AS n FROM counts) SELECT candidate, round_even(" + WILSON.format(edge="0.0", best="greatest", sign="-", z="1.959963985e0") + ", 6) AS lo, round_even(" + WILSON.format(edge="1.0", best="least", sign="+", z="1.959963985e0") + ", 6) AS hi FROM w")
+def sa1b(s: SparkSession, d: str) -> DataFrame:
+    w = stats.wilson(F.col("n_detected"), F.col("n_problem"), stats.Z_PRECISE)
+    return metrics.counts(_voted(s, d), ["candidate"]).select("candidate", F.bround(w["lo"], 6).alias("lo"), F.bround(w["hi"], 6).alias("hi"))
+
+
 @query("SA2_mcnemar", VOTED + f""", p AS (SELECT b.candidate, count(*) FILTER (a.maj <> 'SUPPORTED' AND b.maj = 'SUPPORTED') AS b, count(*) FILTER (a.maj = 'SUPPORTED' AND b.maj <> 'SUPPORTED') AS c
   FROM votes a JOIN votes b ON a.id = b.id WHERE a.candidate = 'c000' AND b.candidate <> 'c000' AND a.human <> 'S' GROUP BY b.candidate)
 SELECT candidate, b, c, round_even(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum([exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0)) FOR i IN range(least(b, c) + 1)])) END, 6) AS p FROM p""")
@@ -343,8 +383,9 @@ def wn2(s: SparkSession, d: str) -> DataFrame:
 
 @query("WN3_stratum_quota", sql("units") + "SELECT human, id FROM (SELECT *, row_number() OVER (PARTITION BY human ORDER BY sha256('7' || id)) AS rk FROM units) WHERE rk <= 5")
 def wn3(s: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("human").orderBy(F.sha2(F.concat(F.lit("7"), F.col("id")), 256))
-    return views.units(s, d).withColumn("rk", F.row_number().over(order)).filter("rk <= 5").select("human", "id")
+    """Five of each label; a label with fewer ends the job."""
+    u = views.units(s, d).select("human", "id")
+    return guards.quota(u, trials.sample(u, "id", "7", "human", 5), "human", ("S", "C", "I"), 5)
 
 
 @query("WN4_round_robin", sql("units") + """, f AS (SELECT id, arm, qid, 0 AS forced FROM units WHERE human = 'C' AND doc_id % 50 = 7), g AS (SELECT qid, count(*) AS n FROM f GROUP BY qid),
@@ -369,13 +410,17 @@ def st(s: SparkSession, d: str) -> DataFrame:
 # --- text, evidence, documents ---------------------------------------------------------
 
 
-@query("SRC7_evidence_records", sql("evidence") + r"SELECT question_id, regexp_extract(raw, '^\[([0-9]{3,4})', 1) AS standard, regexp_extract(raw, '문단 ([0-9]+[A-Za-z]?)\]', 1) AS paragraph, sha256(regexp_replace(raw, '^\[[^\]]*\] ', '')) AS content_sha256 FROM evidence")
+@query("SRC7_evidence_records", sql("evidence") + r"SELECT question_id, regexp_extract(raw, '^\[([0-9]{3,4})', 1) AS standard, regexp_extract(raw, '문단 ([0-9]+[A-Za-z]?)\]', 1) AS paragraph, sha256(trim(regexp_replace(raw, '^\[[^\]]*\] ', ''))) AS content_sha256 FROM evidence")
 def src7(s: SparkSession, d: str) -> DataFrame:
-    e = views.evidence(s, d)
-    head = F.regexp_extract_all("raw", F.lit(r"\[([^\]]*)\] "), F.lit(1))
-    body = F.slice(F.split("raw", r"\[[^\]]*\] ", -1), 2, 1_000_000)
-    r = e.select("question_id", F.explode(F.arrays_zip(head.alias("head"), body.alias("body"))).alias("r"))
-    return r.select("question_id", F.regexp_extract("r.head", "^([0-9]{3,4})", 1).alias("standard"), F.regexp_extract("r.head", r"문단 ([0-9]+[A-Za-z]?)$", 1).alias("paragraph"), F.sha2("r.body", 256).alias("content_sha256"))
+    return evidence.records(views.evidence(s, d).select("question_id", "raw"), "raw").drop("body")
+
+
+@query("SRC7_mixed_headers", sql("evidence", "bundles") + rf""", r AS (SELECT question_id, regexp_extract(standard, '[0-9]{{3,4}}') AS other, regexp_extract_all(raw, '{evidence.HEADER}') AS heads, string_split_regex(raw, '{evidence.HEADER.replace("(", "(?:")}') AS parts FROM bundles),
+f AS (SELECT question_id, other, unnest(heads) AS head, unnest(parts[2:]) AS body FROM r)
+SELECT question_id, CASE WHEN regexp_extract(head, '{evidence.HEADER}', 1) <> '' THEN regexp_extract(head, '{evidence.HEADER}', 1) WHEN other <> '' THEN other ELSE 'UNKNOWN' END AS standard, regexp_extract(head, '{evidence.HEADER}', 2) AS paragraph, sha256(trim(body)) AS content_sha256 FROM f""")
+def src7b(s: SparkSession, d: str) -> DataFrame:
+    """Headers with and without a standard, brackets within bodies, texts without a header."""
+    return evidence.records(views.bundles(s, d).withColumnRenamed("standard", "_own"), "raw", F.col("_own")).drop("body", "_own")
 
 
 @query("FN6_contains_quote", sql("evidence") + r"SELECT question_id, trim(regexp_replace(quote, '[\s]+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(raw, '[\s]+', ' ', 'g')), trim(regexp_replace(quote, '[\s]+', ' ', 'g'))) AS found FROM evidence")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import metrics, ordered, pareto, stats, votes
+from .operators import guards, metrics, ordered, pareto, search, stats, votes
 from .plans import views
 from .plans.shared import folder
 from .plans.views import sql
@@ -65,28 +65,32 @@ def jn13(s: SparkSession, d: str) -> DataFrame:
     return views.read(s, d, "documents").select("doc_id").join(views.read(s, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("JN14_quote_absent", sql("evidence") + r"SELECT a.question_id FROM evidence a JOIN evidence b ON b.question_id = a.question_id + 1 WHERE NOT contains(regexp_replace(b.raw, '\s+', '', 'g'), regexp_replace(a.quote, '\s+', '', 'g'))")
+@query("JN14_quote_absent", sql("evidence") + r""", bare AS (SELECT question_id, CAST(1001 + question_id % 9 AS VARCHAR) AS standard, replace(raw, ' ', '') AS body, CAST(1001 + (question_id + question_id % 2) % 9 AS VARCHAR) AS asked, replace(quote, ' ', '') AS quote FROM evidence)
+SELECT question_id FROM bare a WHERE quote IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bare b WHERE b.standard = a.asked AND contains(b.body, a.quote))""")
 def jn14(s: SparkSession, d: str) -> DataFrame:
-    e = views.evidence(s, d)
-    b = e.select((F.col("question_id") - 1).alias("question_id"), F.col("raw").alias("other"))
-    return e.select("question_id", "quote").join(b, "question_id").filter(~F.contains(text.without_space(F.col("other")), text.without_space(F.col("quote")))).select("question_id")
+    """Quotes that no document of their standard holds; those with an odd number name the next standard."""
+    e, k = views.evidence(s, d), F.col("question_id")
+    corpus = e.select((1001 + k % 9).cast("string").alias("standard"), F.col("raw").alias("body"))
+    asked = e.select("question_id", (1001 + (k + k % 2) % 9).cast("string").alias("standard"), "quote")
+    return search.quoted(asked, "standard", "quote", corpus, "body").filter(~F.col("quoted")).select("question_id")
 
 
 WORDS = ("http", "password", "the ", "license")
+#: The dictionary: four words and the first one of each benchmark text.
+DICTIONARY = f"(SELECT unnest({list(WORDS)}) AS word UNION SELECT split_part(text, ' ', 1) FROM benchmark WHERE split_part(text, ' ', 1) <> '')"
 
 
-@query("JN15_dictionary_scan", f"SELECT doc_id, word, (length(text) - length(replace(text, word, ''))) // length(word) AS n, length(left(text, instr(text, word) - 1)) - length(replace(left(text, instr(text, word) - 1), chr(10), '')) + 1 AS first_line FROM documents, (SELECT unnest({list(WORDS)}) AS word) WHERE contains(text, word)")
+@query("JN15_dictionary_scan", f"SELECT doc_id, word, (length(text) - length(replace(text, word, ''))) // length(word) AS n, length(left(text, instr(text, word) - 1)) - length(replace(left(text, instr(text, word) - 1), chr(10), '')) + 1 AS first_line FROM documents, {DICTIONARY} WHERE contains(text, word)")
 def jn15(s: SparkSession, d: str) -> DataFrame:
-    return _scan(s, d).select("doc_id", "word", "n", "first_line")
+    return _scan(s, d)
 
 
 def _scan(s: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    each = [F.when(F.contains(t, F.lit(w)), F.struct(F.lit(w).alias("word"), text.occurrences(t, w).alias("n"), text.line_of(t, F.instr(t, w)).cast("long").alias("first_line"))) for w in WORDS]
-    return views.read(s, d, "documents").select("doc_id", F.explode(F.array_compact(F.array(*each))).alias("h")).select("doc_id", "h.*")
+    words = s.createDataFrame([(w,) for w in WORDS], "pattern string").union(views.read(s, d, "benchmark").select(F.split("text", " ")[0]))
+    return search.dictionary(views.read(s, d, "documents"), "doc_id", "text", words).withColumnRenamed("pattern", "word")
 
 
-@query("TK7_top_hits", f"SELECT word, doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, doc_id) AS rk FROM (SELECT doc_id, word, (length(text) - length(replace(text, word, ''))) // length(word) AS n FROM documents, (SELECT unnest({list(WORDS)}) AS word) WHERE contains(text, word))) WHERE rk <= 10")
+@query("TK7_top_hits", f"SELECT word, doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, doc_id) AS rk FROM (SELECT doc_id, word, (length(text) - length(replace(text, word, ''))) // length(word) AS n FROM documents, {DICTIONARY} WHERE contains(text, word))) WHERE rk <= 10")
 def tk7(s: SparkSession, d: str) -> DataFrame:
     # a filter on row_number lets each task keep ten rows a word before the shuffle
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "doc_id"))
@@ -151,8 +155,9 @@ def ag23(s: SparkSession, d: str) -> DataFrame:
 
 @query("AG24_pilot_base_rate", sql("units") + f"SELECT count(*) AS n, count(*) FILTER ({BAD}) AS bad, count(DISTINCT CASE WHEN {BAD} THEN qid END) AS bad_qid, {RATE.format(a=f'count(*) FILTER ({BAD})', b='count(*) FILTER (doc_id % 13 <> 0)')} AS rate FROM units")
 def ag24(s: SparkSession, d: str) -> DataFrame:
+    """The share of problems in a pilot; a unit without a label, or another than these, ends the job."""
     bad = metrics.problem()
-    return views.units(s, d).agg(_n(), metrics.number(bad).alias("bad"), F.count_distinct(F.when(bad, F.col("qid"))).alias("bad_qid"), _rate(metrics.number(bad), metrics.number(F.col("doc_id") % 13 != 0)).alias("rate"))
+    return guards.labelled(views.units(s, d), "human", ("S", "C", "I"), "id").agg(_n(), metrics.number(bad).alias("bad"), F.count_distinct(F.when(bad, F.col("qid"))).alias("bad_qid"), _rate(metrics.number(bad), metrics.number(F.col("doc_id") % 13 != 0)).alias("rate"))
 
 
 THREE = """outcomes AS (SELECT candidate, id, CASE WHEN count(*) < 3 THEN 'incomplete' WHEN count(*) FILTER (label = 'UNRESOLVED') > 0 THEN 'unresolved'
@@ -175,6 +180,17 @@ def ag29(s: SparkSession, d: str) -> DataFrame:
     return a.agg(_n("answers"), metrics.number(F.col("c") == 0).alias("abstained"), F.sum("c").alias("claims"), metrics.number(many).alias("with_siblings"), F.coalesce(F.sum(F.when(many, F.col("c"))), F.lit(0)).alias("sibling_claims"))
 
 
+AVAILABLE = ", ".join(f"CAST({x} AS BIGINT) AS {n}" for n, x in {"answers": "count(*)", "abstained": "count(*) FILTER (c = 0)", "claims": "sum(c)", "with_siblings": "count(*) FILTER (c > 1)", "sibling_claims": "coalesce(sum(c) FILTER (c > 1), 0)"}.items())
+
+
+@query("AG29_availability_by_arm", f"WITH a AS (SELECT conv_id, role AS arm, conv_id % 3 AS k, count(*) AS c FROM conversations GROUP BY ALL), r AS (SELECT *, CASE k WHEN 0 THEN 'SELECTION' WHEN 1 THEN 'CONJUNCTIVE' ELSE 'OTHER' END AS rule FROM a) SELECT arm, rule, {AVAILABLE} FROM r GROUP BY GROUPING SETS ((arm), (arm, rule))")
+def ag29b(s: SparkSession, d: str) -> DataFrame:
+    """What either arm offers, over all and by rule."""
+    k = F.col("conv_id") % 3
+    a = views.read(s, d, "conversations").groupBy("conv_id", F.col("role").alias("arm")).agg(_n("c"))
+    return metrics.availability(a.withColumn("rule", F.when(k == 0, "SELECTION").when(k == 1, "CONJUNCTIVE").otherwise("OTHER")), "c", "arm", "rule")
+
+
 @query("AG32_search_cost", sql("ledger") + "SELECT CAST(sum(coalesce(c, 0)) AS BIGINT) AS calls FROM (SELECT candidate, max(seq) % 7 * 100 AS c FROM ledger GROUP BY candidate)")
 def ag32(s: SparkSession, d: str) -> DataFrame:
     return pareto.latest(views.ledger(s, d)).agg(F.sum(F.coalesce(F.col("seq") % 7 * 100, F.lit(0))).alias("calls"))
@@ -271,6 +287,11 @@ def prj6(s: SparkSession, d: str) -> DataFrame:
     return views.read(s, d, "documents").select("doc_id", text.rule_type(F.expr(RULE_TEXT)).alias("kind"))
 
 
+@query("PRJ6_rule_type_narrow", f"SELECT doc_id, CASE WHEN regexp_matches(e, '{'|'.join(text.SELECTION_NARROW)}') THEN 'SELECTION' WHEN regexp_matches(e, '{'|'.join(text.CONJUNCTIVE_NARROW)}') THEN 'CONJUNCTIVE' ELSE 'OTHER' END AS kind FROM (SELECT doc_id, {RULE_TEXT} AS e FROM documents)")
+def prj6b(s: SparkSession, d: str) -> DataFrame:
+    return views.read(s, d, "documents").select("doc_id", text.rule_type(F.expr(RULE_TEXT), narrow=True).alias("kind"))
+
+
 @query("PRJ7_standard", sql("evidence") + "SELECT question_id, regexp_extract(raw, '([0-9]{3,4})', 1) AS standard FROM evidence")
 def prj7(s: SparkSession, d: str) -> DataFrame:
     return views.evidence(s, d).select("question_id", F.regexp_extract("raw", "([0-9]{3,4})", 1).alias("standard"))
@@ -324,6 +345,13 @@ def va17(s: SparkSession, d: str) -> DataFrame:
     return views.read(s, d, "labels").agg(unlabelled.alias("unlabelled"), invalid.alias("invalid"), (unlabelled + invalid == 0).alias("complete"))
 
 
+@query("VA17_complete_labels", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
+def va17b(s: SparkSession, d: str) -> DataFrame:
+    """Labels by kind; a blank or invalid one ends the job."""
+    labels = guards.labelled(guards.labelled(views.read(s, d, "labels"), "toxic", (0, 1), "doc_id"), "quality", (0, 1), "doc_id")
+    return labels.groupBy("quality", "toxic").agg(_n())
+
+
 @query("SA8_labels_needed", sql("units") + f"SELECT arm, CAST(CASE WHEN b = 0 THEN n ELSE least(n, greatest(90, ceil(55 / (b::DOUBLE / n)))) END AS BIGINT) AS need, b < 55 AS short FROM (SELECT arm, count(*) AS n, count(*) FILTER ({BAD}) AS b FROM units GROUP BY arm)")
 def sa8(s: SparkSession, d: str) -> DataFrame:
     u = views.units(s, d).groupBy("arm").agg(_n(), metrics.number(metrics.problem()).alias("b"))

@@ -49,6 +49,33 @@ def sa12(s: SparkSession, d: str) -> DataFrame:
     return p.select("candidate", h.alias("h")).select("candidate", "h.significant", "h.better", "h.beyond_control", "h.accepted")
 
 
+H2 = VOTED.rstrip() + f""", p AS (SELECT a.qid, CASE WHEN hash_rule = 0 THEN 'CONJUNCTIVE' WHEN hash_rule = 1 THEN 'SELECTION' ELSE 'OTHER' END AS rule, a.maj <> b.maj AS changed FROM (SELECT *, CAST(substr(id, 9) AS BIGINT) % 3 AS hash_rule FROM votes WHERE candidate = 'c000') a JOIN votes b ON a.id = b.id WHERE b.candidate = 'c011'),
+r AS (SELECT """ + ", ".join(f"count(*) FILTER (rule = '{x}' AND changed) AS {x.lower()}_k, count(*) FILTER (rule = '{x}') AS {x.lower()}_n, count(DISTINCT CASE WHEN rule = '{x}' AND changed THEN qid END) AS {x.lower()}_flip_questions, count(DISTINCT CASE WHEN rule = '{x}' THEN qid END) AS {x.lower()}_questions" for x in ("CONJUNCTIVE", "SELECTION")) + """ FROM p),
+w AS (SELECT r.*, lo.low, hi.high FROM r, (SELECT """ + LO + """ AS low FROM (SELECT conjunctive_k::DOUBLE AS k, conjunctive_n::DOUBLE AS n FROM r)) lo, (SELECT """ + HI + """ AS high FROM (SELECT selection_k::DOUBLE AS k, selection_n::DOUBLE AS n FROM r)) hi),
+t AS (SELECT *, low > high AS claims_apart, conjunctive_flip_questions::DOUBLE / greatest(1, conjunctive_questions) > selection_flip_questions::DOUBLE / greatest(1, selection_questions) AS questions_agree FROM w)
+SELECT * EXCLUDE (low, high), CASE WHEN claims_apart AND questions_agree THEN 'ACCEPTED' WHEN claims_apart THEN 'CLUSTERED' ELSE 'REJECTED' END AS verdict FROM t"""
+
+
+@query("SA12_second_hypothesis", H2)
+def sa12b(s: SparkSession, d: str) -> DataFrame:
+    v = _voted(s, d).filter("candidate in ('c000', 'c011')")
+    side = lambda c: F.max(F.when(F.col("candidate") == c, F.col("maj")))
+    k = F.substring("id", 9, 20).cast("long") % 3
+    p = v.groupBy("id", "qid").agg(side("c000").alias("a"), side("c011").alias("b"))
+    return trials.second_hypothesis(p.select("qid", F.when(k == 0, "CONJUNCTIVE").when(k == 1, "SELECTION").otherwise("OTHER").alias("rule"), (F.col("a") != F.col("b")).alias("changed")))
+
+
+@query("SP8_versions", """WITH e AS (SELECT user_id % 7 AS q, user_id % 3 AS version, count(*) FILTER (event_type = 'purchase') AS bought, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL)
+SELECT a.q, a.version AS version, b.version AS other, CASE WHEN a.version % 2 = b.version % 2 THEN CASE WHEN a.bought::DOUBLE / a.n > b.bought::DOUBLE / b.n THEN 'BETTER' ELSE 'NOT_BETTER' END ELSE 'SKIPPED' END AS verdict FROM e a JOIN e b ON a.q = b.q AND a.version < b.version""")
+def sp8b(s: SparkSession, d: str) -> DataFrame:
+    """Reports compared only where their metrics are of one version."""
+    e = views.read(s, d, "events").filter("event_type is not null").groupBy((F.col("user_id") % 7).alias("q"), (F.col("user_id") % 3).alias("version")).agg(metrics.number(F.col("event_type") == "purchase").alias("bought"), _n())
+    share = F.col("bought").cast("double") / F.col("n")
+    a, b = e.select("q", "version", share.alias("a")), e.select(F.col("q").alias("_q"), F.col("version").alias("other"), share.alias("b"))
+    verdict = trials.comparable(F.col("version") % 2, F.col("other") % 2, F.when(F.col("a") > F.col("b"), "BETTER").otherwise("NOT_BETTER"))
+    return a.join(b, (F.col("q") == F.col("_q")) & (F.col("version") < F.col("other"))).select("q", "version", "other", verdict.alias("verdict"))
+
+
 @query("SP8_precision_at", """WITH e AS (SELECT user_id % 7 AS q, event_type AS doc, event_type IN ('purchase', 'click') AS ok FROM events WHERE event_type IS NOT NULL)
 SELECT q, round_even(count(*) FILTER (ok)::DOUBLE / count(*), 4) AS by_slot, round_even(count(DISTINCT doc) FILTER (ok)::DOUBLE / count(DISTINCT doc), 4) AS by_document, count(DISTINCT doc) FILTER (ok) AS distinct_right FROM e GROUP BY q""")
 def sp8(s: SparkSession, d: str) -> DataFrame:

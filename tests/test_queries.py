@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from assay.queries import QUERIES, SQL
 
-TABLES = "documents labels events pages orders conversations nation".split()
+TABLES = "documents labels events pages orders conversations nation benchmark".split()
 
 
 @pytest.fixture(scope="module")
