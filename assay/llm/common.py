@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow types of the columns that Python functions give back.
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
-    "array<long>": pa.list_(pa.int64()),
+    "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
 }
 
 

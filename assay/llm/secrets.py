@@ -45,21 +45,58 @@ TEXT_PAIRS, TEXT_TURNS = 0.065, 0.35
 SPANS = "array<struct<start:int,end:int,match:string>>"
 
 
+#: Matches whose places are summed together.
+BLOCK = 256
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` as array of (start, end, match), in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    empty = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), empty.alias("out"))
+    """Matches of ``pattern`` as array of (start, end, match), in code points, end exclusive.
+
+    A list that grows by one is copied at each step, so places are summed over blocks of
+    BLOCK matches, and the blocks' own sums over the blocks: a text with many matches costs
+    BLOCK steps a match at most, not as many as it has.
+    """
+    empty, places = F.array().cast(SPANS), F.array().cast("array<int>")
+
+    def inside(found: Column, between: Column, block: Column) -> Column:
+        """(total, out) of a block: its length and its spans, counted from its own start."""
+
+        def step(acc: Column, i: Column) -> Column:
+            begin = acc["at"] + F.length(F.get(between, i))
+            match = F.get(found, i)
+            end = begin + F.length(match)
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), match.alias("match")))).alias("out"))
 
-    def step(acc: Column, match: Column) -> Column:
-        begin = acc["at"] + F.length(F.get(between, acc["i"]))
-        end = begin + F.length(match)
-        one = F.struct(begin.alias("start"), end.alias("end"), match.alias("match"))
-        return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        own = F.sequence(block * BLOCK, F.least((block + 1) * BLOCK, F.size(found)) - 1)
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+
+    def moved(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), places.alias("out"))
+        first = F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, first, lambda b, at: F.transform(b["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["match"].alias("match")))))
+
+    def cut(found: Column) -> Column:
+        blocks = lambda between: F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: inside(found, between, b))
+        return _one(F.split(text, pattern, -1), lambda between: _one(blocks(between), moved))
 
     # most texts have no match: for them nothing is cut
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(empty)
+    return _one(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, cut(found)).otherwise(empty))
+
+
+def touches(of_kind: Column, s: Column) -> Column:
+    """Whether a span overlaps one of ``of_kind``, spans of one kind in order: of those that begin
+    before its end the last one reaches furthest, and halving finds it."""
+
+    def step(at: Column, _: Column) -> Column:
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        before = F.get(of_kind, middle)["start"] < s["end"]
+        open_ = at["lo"] < at["hi"]
+        return F.struct(F.when(open_ & before, middle + 1).otherwise(at["lo"]).alias("lo"), F.when(open_ & ~before, middle).otherwise(at["hi"]).alias("hi"))
+
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(of_kind) + 1)).cast("int"))
+    begin = F.struct(F.lit(0).alias("lo"), F.size(of_kind).alias("hi"))
+    last = F.aggregate(halvings, begin, step, lambda at: F.get(of_kind, at["lo"] - 1))
+    return F.when(F.size(of_kind) > 0, F.coalesce(last["end"] > s["start"], F.lit(False))).otherwise(False)
 
 
 def upper_tail(z: Column) -> Column:
@@ -146,8 +183,9 @@ def _random(candidates: Column, rate: float, lost: float) -> Column:
 
     def left(found: Column) -> Column:
         def outer(some: Column) -> Column:
-            inside = lambda c: F.exists(some, lambda o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (o["end"] - o["start"] > c["end"] - c["start"]))
-            return F.transform(F.filter(some, lambda c: ~inside(c)), bare)
+            # only a run with a slash holds another candidate, a piece of it, and runs don't overlap
+            runs = F.filter(some, lambda c: c["match"].contains("/"))
+            return _one(runs, lambda over: F.transform(F.filter(some, lambda c: c["match"].contains("/") | ~touches(over, c)), bare))
 
         keep = _discovered(found, "random", lost, lambda all_, p, at: F.filter(all_, lambda c: p(c) > at))
         return F.when(F.size(found) > 0, _one(keep, outer)).otherwise(empty)
@@ -164,11 +202,10 @@ def _with_spans(docs: DataFrame, text: str, rate: float, lost: float) -> DataFra
     step = step.withColumns({"assign": spans(t, ASSIGN), "access": spans(t, ACCESS), "hex": spans(t, HEX), "token": spans(t, TOKEN)})
     long_enough = F.filter("assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 8)
     step = step.withColumn("assign", F.when(F.size("assign") > 0, long_enough).otherwise(F.col("assign")))
-    step = step.withColumn("base", F.concat("assign", "access", "hex"))
     # a run with a slash may be a path: its pieces are candidates too
     both = F.when(F.exists("token", lambda s: s["match"].contains("/")), F.array_distinct(F.concat("token", spans(t, PIECE)))).otherwise(F.col("token"))
     encoded = "|".join(pattern for _, pattern, _ in ENCODINGS)
-    fit = F.filter(both, lambda s: s["match"].rlike(encoded) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    fit = F.filter(both, lambda s: s["match"].rlike(encoded) & ~touches(F.col("assign"), s) & ~touches(F.col("access"), s) & ~touches(F.col("hex"), s))
     step = step.withColumn("token", F.when(F.size("token") > 0, fit).otherwise(F.col("token")))
     step = step.withColumn("random", _random(F.col("token"), rate, lost))
 

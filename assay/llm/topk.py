@@ -46,9 +46,10 @@ def best_of_tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
     for at in range(0, len(qid) if len(cid) else 0, 512):
         own, scores = qid[at : at + 512], _products(q[at : at + 512], c)
         other = cid[None, :] != own[:, None]
-        if len(cid) > k + 1:
-            # the k + 1 highest scores hold the k best of the others; equal ones are all kept here
-            place = len(cid) - k - 1
+        if len(cid) > k:
+            # a query's own rows, of which there may be several, have the lowest score; equal ones are all kept here
+            scores = np.where(other, scores, LONG[0])
+            place = len(cid) - k
             other &= scores >= np.partition(scores, place, axis=1)[:, place : place + 1]
         row, col = np.nonzero(other)
         order = np.lexsort((cid[col], ~scores[row, col], row))  # ~x falls as x rises, without overflow
@@ -67,7 +68,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     candidates all rows but the query's own; ties go to smaller ids.  Vectors that are null
     or hold null or non-finite components take no part, nor do rows without vec_id;
     components of 2**52 / scale or more, which have no exact integer, count as non-finite.
-    Only vectors of the same length are compared.  Rows that repeat vec_id and vector are
+    Only vectors of the same length are compared.  An id may have several vectors: none of them is a candidate of its own.  An empty table gives no lists.  Rows that repeat vec_id and vector are
     one row.  Empty vectors score 0.  A query with fewer candidates gets them all.  Scores
     beyond a long are held at its ends.  Extra columns are ignored.
     """

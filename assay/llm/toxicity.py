@@ -40,6 +40,11 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
     return (F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % 4).cast("int")
 
 
+def words_of(text: str | None) -> set[str]:
+    """The words of a text, for training and scoring alike."""
+    return set(LETTERS.findall((text or "").lower()))
+
+
 @dataclass
 class Model:
     words: list[str]
@@ -53,7 +58,7 @@ class Model:
         begin = {n: some for n, some in begin.items() if some}
 
         def score(text: str | None) -> float:
-            words = set(LETTERS.findall((text or "").lower()))
+            words = words_of(text)
             found = list(whole & words)
             for n, some in begin.items():
                 found += [f"{w}*" for w in some.intersection([w[:n] for w in words if len(w) > n])]
@@ -82,10 +87,6 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: flo
     return w[:-1], float(w[-1])
 
 
-def _beginnings(n: int) -> Column:
-    return F.transform(F.filter("w", lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
-
-
 def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000, words: int = 256, least: int = 8, z: float = 5.0) -> Model:
     """Fit on rows of ``labels`` outside fold 2.
 
@@ -93,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
     smallest hashes of doc_id: the sample's bound, so the fit costs the same at any size.
     U is drawn from all of these rows whatever their label, which isn't looked at; ``prior``
     is the toxic share of all labelled rows outside fold 2.  At most ``words`` features,
-    each in ``least`` texts of P.
+    each in ``least`` texts of P; of equally telling ones the first by its letters.
 
     Labels without doc_id or value take no part; of several labels of a doc_id the highest
     counts; of several texts of a doc_id that of the smallest hash.  Null and empty texts have
@@ -112,8 +113,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
     sample = docs.join(F.broadcast(chosen.unionByName(others).withColumnRenamed("doc_id", "_id")), docs["doc_id"] == F.col("_id"))
     # rows that share a doc_id are one text, so the bound holds for rows too
     sample = sample.groupBy("doc_id", "p").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    found = sample.select("p", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    found = found.select("p", F.array_distinct(F.concat("w", *map(_beginnings, BEGINNINGS))).alias("w"))
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"p": batch["p"], "w": [sorted(w | {f"{x[:n]}*" for x in w for n in BEGINNINGS if len(x) > n}) for w in map(words_of, batch["text"])]})
+
+    found = in_frames(sample.select("p", "text"), features, "p int, w array<string>")
     found = found.persist()
     try:
         total = dict(found.groupBy("p").count().collect())
