@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import Memo, in_frames, table
-from .tokenbin import VISIBLE
+from .tokenbin import PLAIN, VISIBLE
 
 VOCABULARY, END, CAPACITY = "word_bpe_49k.json", 1, 4096
 #: Rounds of the multiplicative weights, and how fast a price follows its coverage.
@@ -207,8 +207,7 @@ def located(table_: np.ndarray, length: np.ndarray, number: np.ndarray) -> tuple
 
 # -- pieces -----------------------------------------------------------------------------
 
-#: Texts whose letters, digits, signs and spaces every version of the Unicode tables reads alike, and their pre-tokens in lower case.
-PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+#: The pre-tokens of plain texts in lower case.
 WORDS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[!-/:-@\[-`{-~]+")
 #: White space; the tokenizer doesn't split at U+001C to U+001F.
 SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import itertools
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,6 +36,11 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Tokens in a segment (a longer document is a segment of its own).
 SEGMENT = 1 << 18
+#: Texts whose letters, digits, signs and spaces every version of the Unicode tables reads alike, and the public pattern for them.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+SIMPLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[!-/:-@\[-`{-~]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: Texts whose ids are tallied together.
+TOGETHER = 256
 #: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 1 << 18
 #: A byte-level vocabulary writes a byte as the character of that number if it can be seen, else as the next from U+0100.
@@ -84,8 +89,9 @@ def tokenizer(path: str) -> tuple[Tokenizer, list[str], Memo]:
     pieces_of = own.model.tokenize
 
     def encode(word: str) -> bytes:
-        ids = [piece.id for piece in pieces_of(word.encode("utf-8").decode("latin-1").translate(VISIBLE))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        # of the printable ASCII characters only the space has another one for it
+        seen = word.replace(" ", chr(VISIBLE[32])) if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(VISIBLE)
+        return array("I", [piece.id for piece in pieces_of(seen)]).tobytes()
 
     return own, [t.content for t in own.get_added_tokens_decoder().values()], Memo(encode, REMEMBERED)
 
@@ -99,7 +105,8 @@ def encode(text: str, path: str) -> bytes:
     own, added, known = tokenizer(path)
     if any(a in text for a in added):
         return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return b"".join(map(known.__getitem__, split().findall(text)))
+    cut = SIMPLE if PLAIN.fullmatch(text) else split()
+    return b"".join(map(known.__getitem__, cut.findall(text)))
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -169,9 +176,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(max(size, end + 1), np.int64)
         for batch in batches:
-            for raw in batch["ids"]:
-                got = np.bincount(read(raw))
-                total[: len(got)] += got
+            for at in range(0, len(batch), TOGETHER):  # a tally is as long as the vocabulary, so not one for each text
+                total += np.bincount(np.concatenate([read(raw) for raw in batch["ids"].iloc[at : at + TOGETHER]]), minlength=len(total))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 

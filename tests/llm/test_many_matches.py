@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assay.llm import secrets, topk, toxicity
+from assay.llm import secrets, tokenbin, topk, toxicity
 
 
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 700])
@@ -76,3 +76,13 @@ def test_risk_against_a_plain_version():
     near = [np.append(*toxicity.nnpu(p, u, prior, steps=s, decay=0.0, rate=0.01)) for s in (400, 401)]
     numeric = np.array([(risk(near[0] + d) - risk(near[0] - d)) / 2e-6 for d in np.eye(6) * 1e-6])
     assert np.dot(near[1] - near[0], numeric) <= 1e-6  # a step doesn't climb the risk
+
+
+@pytest.mark.parametrize("edges", [(0, 255), (255, 256), (65_535, 65_536), (2**24 - 1, 2**24), (2**32 - 1, 0)])
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
+def test_ranks_of_one_to_four_bytes(edges, n):
+    rng = np.random.default_rng(n)
+    ranks = np.where(rng.random(n) < 0.5, *edges).astype(np.uint32) if n else np.zeros(0, np.uint32)
+    control, data = tokenbin.pack(ranks)
+    assert len(control) == -(-n // 4) and len(data) == sum(max(1, (int(r).bit_length() + 7) // 8) for r in ranks)
+    assert tokenbin.unpack(control, data, n).tolist() == ranks.tolist()
