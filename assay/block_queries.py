@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import gate, metrics, pareto, stats, trials, votes
 from .plans import views
-from .plans.shared import folder
+from .plans.shared import folder, table
 from .plans.views import sql
 from .queries import BAD, BASE, HIT, PROBE, RATE, VOTED, _probe, _voted, query
 from .sources import files, remote, sheets
+from .streaming import runs as streams
 from .study_queries import PAIR, QUADRANT, _n
 
 
@@ -83,10 +84,12 @@ def snk5(s: SparkSession, d: str) -> DataFrame:
     return read.filter("_gold is null and probe_vote is null").join(allowed, "path").select("id", "arm", F.nullif("human_label", F.lit("")).alias("human_label"), "allowed")
 
 
-@query("VA14_blind_leaks", "SELECT * FROM (VALUES ('_gold'), ('Gold'), ('judge_v2'), ('probe_vote')) t(name)")
+@query("VA14_blind_leaks", sql("units") + "SELECT arm, name, count(*) AS n FROM units, (SELECT unnest(['_gold', 'Gold', 'judge_v2', 'probe_vote']) AS name) GROUP BY ALL")
 def va14(s: SparkSession, d: str) -> DataFrame:
-    shown = views.units(s, d).select("id", F.lit(1).alias("_gold"), F.lit(1).alias("Gold"), F.lit(1).alias("judge_v2"), F.lit(1).alias("probe_vote"), "arm")
-    return s.createDataFrame([(n,) for n in sheets.leaks(shown.columns)], "name string")
+    """Filled cells under headers that would tell a labeller the answer, in the sheets that were written."""
+    at = folder(s, "leaky")
+    sheets.write(views.units(s, d).select("id", "arm", F.col("human").alias("_gold"), F.col("human").alias("Gold"), F.lit("x").alias("judge_v2"), F.lit("YES").alias("probe_vote"), "qid"), at)
+    return sheets.leaking(sheets.cells(s, at), "arm").groupBy("arm", "name").agg(_n())
 
 
 @query("SRC8_text_tree", "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND doc_id % 3 <> 0 GROUP BY lang")
@@ -119,11 +122,14 @@ def snk2(s: SparkSession, d: str) -> DataFrame:
 
 @query("SNK4_keyed_checkpoint", sql("units") + "SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS state FROM units")
 def snk4(s: SparkSession, d: str) -> DataFrame:
-    """A keyed file written anew at each step: what a step brings replaces what was there under its key."""
-    at = folder(s, "checkpoint")
+    """A keyed table fed by a stream: what a batch brings replaces what was there under its key."""
+    log, at = folder(s, "log"), folder(s, "checkpoint")
     u = views.units(s, d).select("id", "doc_id")
-    files.merge_keyed(u.select("id", F.lit("first").alias("state")), at, "id")
-    return files.merge_keyed(u.filter("doc_id % 3 = 0").select("id", F.lit("second").alias("state")), at, "id")
+    u.select("id", F.lit("first").alias("state")).write.parquet(log)
+    streams.upsert(streams.source(s, log, "id string, state string", 1_000), at, folder(s, "state") + "/1")
+    files.put_batch(u.filter("doc_id % 3 = 0").select("id", F.lit("second").alias("state")), at, 1)
+    files.compact(s, at, "id string, state string", "id")
+    return files.keyed(s, at, "id string, state string", "id")
 
 
 @query("SNK6_manifest", "WITH a AS (SELECT lang AS key, count(*)::VARCHAR AS v FROM documents WHERE lang IS NOT NULL GROUP BY lang), b AS (SELECT lang AS key, count(*)::VARCHAR AS v FROM documents WHERE lang IS NOT NULL AND doc_id % 9 <> 0 GROUP BY lang) SELECT key, a.v AS before, b.v AS after, key = 'en' AS only_warns FROM a FULL JOIN b USING (key) WHERE a.v IS DISTINCT FROM b.v")
@@ -442,32 +448,36 @@ def dt2(s: SparkSession, d: str) -> DataFrame:
 # --- checks and injected functions -----------------------------------------------------
 
 
-@query("VA5_fail_closed", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'verifier_timeout' WHEN doc_id % 6 = 1 THEN 'internal_error' WHEN length(coalesce(source, '')) % 2 = 0 THEN 'schema_invalid' END AS reason, CASE WHEN doc_id % 6 < 2 OR length(coalesce(source, '')) % 2 = 0 THEN 'INDETERMINATE' ELSE 'VERIFIED' END AS verdict FROM documents")
+@query("VA5_fail_closed", r"""WITH r AS (SELECT doc_id, CASE WHEN contains(text, '@') THEN 'verifier_timeout' WHEN text IS NULL OR NOT regexp_matches(text, '[a-z]') THEN 'internal_error' WHEN length(text) % 2 = 1 THEN 'schema_invalid' END AS reason FROM documents)
+SELECT doc_id, reason, CASE WHEN reason IS NULL THEN 'VERIFIED' ELSE 'INDETERMINATE' END AS verdict FROM r""")
 def va5(s: SparkSession, d: str) -> DataFrame:
-    said = F.concat(_k(6).cast("string"), F.coalesce("source", F.lit("")))
-    found = _docs(s, d, "source").select(F.col("doc_id").alias("question_id"), F.pandas_udf(gate.fail_closed(_check), "array<string>")(said).alias("reasons"))
+    """A check of whole texts that runs out of time on some and breaks on others."""
+    found = _docs(s, d, "text").select(F.col("doc_id").alias("question_id"), F.pandas_udf(gate.fail_closed(_check), "array<string>")("text").alias("reasons"))
+    found = table(found, "checked")
     verdict = gate.decide(found, found.select("question_id", F.explode("reasons").alias("reason")))
     return found.join(verdict, "question_id").select(F.col("question_id").alias("doc_id"), F.get("reasons", F.lit(0)).alias("reason"), "verdict")
 
 
 def _check(x: str) -> list[str]:
-    if x[0] == "0":
+    if "@" in x:
         raise TimeoutError
-    if x[0] == "1":
-        raise KeyError(x)
+    next(c for c in x if "a" <= c <= "z")  # a text without letters breaks it
     return ["schema_invalid"] if len(x) % 2 else []
 
 
-@query("VA7_injected_judge", "SELECT doc_id AS question_id, CASE doc_id % 5 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'CONTRADICTED' ELSE 'UNRESOLVED' END AS label FROM documents")
+@query("VA7_injected_judge", r"""WITH w AS (SELECT doc_id AS question_id, text, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'the', ''))) // 3 AS n FROM documents)
+SELECT question_id, CASE WHEN text IS NULL OR text = '' THEN 'UNRESOLVED' WHEN contains(text, 'http') THEN 'UNRESOLVED' WHEN n > 20 THEN 'SUPPORTED' WHEN n > 5 THEN 'CONTRADICTED' ELSE 'UNRESOLVED' END AS label FROM w""")
 def va7(s: SparkSession, d: str) -> DataFrame:
-    kept = _docs(s, d).select(F.col("doc_id").alias("question_id"), F.lit("c1").alias("claim_id"), _k(5).cast("string").alias("text"))
+    """A judge that reads the whole text: it fails on some, and says what is no label of others."""
+    kept = _docs(s, d, "text").select(F.col("doc_id").alias("question_id"), F.lit("c1").alias("claim_id"), F.coalesce("text", F.lit("")).alias("text"))
     return gate.judge_claims(kept, _judge).select("question_id", "label")
 
 
 def _judge(prompt: str, claim_id: str) -> str:
-    if prompt == "2":
+    if "http" in prompt:
         raise ValueError(claim_id)
-    return {"0": "SUPPORTED", "1": "CONTRADICTED", "3": "maybe"}.get(prompt)
+    n = prompt.count("the")
+    return "SUPPORTED" if n > 20 else "CONTRADICTED" if n > 5 else "maybe"
 
 
 @query("VA8_reasons", BASE + "SELECT label, CASE label WHEN 'CONTRADICTED' THEN 'semantic_contradicted' WHEN 'INSUFFICIENT' THEN 'semantic_insufficient' WHEN 'SUPPORTED' THEN NULL ELSE 'semantic_unresolved' END AS reason, count(*) AS n FROM runs GROUP BY label")

@@ -17,16 +17,21 @@ ROUNDS = 2000
 MODULUS = "18446744073709551616::UHUGEINT"
 
 
-def intervals_sql(by: str, units: str = "votes", name: str = "ci") -> str:
-    """Expressions that end in ``name`` (candidate, bounds, valid resamples): the generator by doubling,
-    the draws, the clusters' sums, rates per resample, quantiles."""
-    p = name
+def draws_sql(by: str, units: str, p: str) -> str:
+    """Expressions that end in ``p`` + t (b, pos, times): the generator by doubling, and the draws."""
     return f"""{p}k AS (SELECT count(DISTINCT {by}) AS n FROM {units}),
 {p}g(lvl, i, s, a, c) AS (SELECT 0, 0::BIGINT, 20260730::UHUGEINT, 6364136223846793005::UHUGEINT, 1442695040888963407::UHUGEINT UNION ALL
   SELECT lvl + 1, i + j * (1::BIGINT << lvl), CASE WHEN j = 0 THEN s ELSE (s * a + c) % {MODULUS} END, (a * a) % {MODULUS}, (a * c + c) % {MODULUS}
   FROM {p}g, {p}k, (SELECT unnest([0, 1]) AS j) WHERE (1::BIGINT << lvl) <= {ROUNDS} * n),
 {p}t AS (SELECT (i - 1) // n AS b, CAST((((s - s % 131072::UHUGEINT) // 131072::UHUGEINT) * n::UHUGEINT) // 140737488355328::UHUGEINT AS BIGINT) AS pos, count(*) AS times
-  FROM {p}g, {p}k WHERE lvl = (SELECT max(lvl) FROM {p}g) AND i BETWEEN 1 AND {ROUNDS} * n GROUP BY ALL),
+  FROM {p}g, {p}k WHERE lvl = (SELECT max(lvl) FROM {p}g) AND i BETWEEN 1 AND {ROUNDS} * n GROUP BY ALL)"""
+
+
+def intervals_sql(by: str, units: str = "votes", name: str = "ci") -> str:
+    """Expressions that end in ``name`` (candidate, bounds, valid resamples): the draws, the clusters'
+    sums, rates per resample, quantiles."""
+    p = name
+    return draws_sql(by, units, p) + f""",
 {p}r AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS pos FROM (SELECT DISTINCT {by} AS u FROM {units})),
 {p}s AS (SELECT candidate, pos, count(*) FILTER ({BAD}) AS p, count(*) FILTER ({HIT}) AS f, count(*) FILTER ({BAD} AND {HIT}) AS d FROM {units} JOIN {p}r ON {by} = u GROUP BY ALL),
 {p}b AS (SELECT candidate, b, sum(times * p)::DOUBLE AS p, sum(times * f)::DOUBLE AS f, sum(times * d)::DOUBLE AS d FROM {p}t JOIN {p}s USING (pos) GROUP BY ALL),
@@ -74,6 +79,13 @@ DOM, TIE = dom_sql(), f"({cmp_sql('recall')} = 0 AND {cmp_sql('precision')} = 0)
 UNITS = ("candidate", "recall_lo", "recall_hi", "precision_lo", "precision_hi", "recall_valid", "precision_valid")
 
 
+@query("SA3_lcg_draws", "WITH RECURSIVE " + sql("units").removeprefix("WITH ").rstrip() + ",\n" + draws_sql("id", "units", "u") + " SELECT b, pos, times FROM ut WHERE b < 20")
+def sa3(s: SparkSession, d: str) -> DataFrame:
+    """The seeded draws of the first 20 resamples of the units."""
+    size = views.units(s, d).select("id").distinct().count()
+    return stats.draws(s, size, 20).groupBy("b", "pos").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query("SA4_claim_bootstrap", VOTED.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + intervals_sql("id") + f" SELECT {', '.join(UNITS)} FROM ci")
 def sa4(s: SparkSession, d: str) -> DataFrame:
     return stats.bootstrap(_voted(s, d), ["candidate"], None, ROUNDS).select(*UNITS)

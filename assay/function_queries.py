@@ -124,10 +124,14 @@ def fn28(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d, "source").groupBy(F.upper(F.trim("source")).alias("label")).agg(_n())
 
 
-@query("JS2_tolerant_json", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE 'S' || (doc_id % 5) END AS label FROM documents")
+SAID_TEXT = """CASE WHEN length(coalesce(text, '')) % 3 = 2 THEN 'so: {broken ' || coalesce(source, '') ELSE 'so: {"label": "' || coalesce(source, 'none') || length(coalesce(text, '')) || '", "more": {"x": 1}}' END || chr(10) || 'done'"""
+
+
+@query("JS2_tolerant_json", f"WITH w AS (SELECT doc_id, {SAID_TEXT} AS said FROM documents), b AS (SELECT doc_id, regexp_extract(said, '(?s)\\{{.*\\}}') AS body FROM w) SELECT doc_id, CASE WHEN body <> '' AND json_valid(body) THEN body::JSON ->> 'label' END AS label FROM b")
 def js2(s: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit("so: "), F.when(F.col("doc_id") % 3 == 2, "{broken").otherwise(F.format_string('{"label": "S%d"}', F.col("doc_id") % 5)), F.lit("\ndone"))
-    return _docs(s, d).select("doc_id", F.from_json(text.greedy_object(said), "label string")["label"].alias("label"))
+    """From the first brace to the last in what a model said of each text."""
+    said = F.expr(SAID_TEXT.replace("chr(10)", "char(10)"))
+    return views.read(s, d, "documents").select("doc_id", F.from_json(text.greedy_object(said), "label string")["label"].alias("label"))
 
 
 @query("HS3_text_of_first", "SELECT source, sha256(coalesce(arg_min(text, doc_id), '')) AS h FROM documents GROUP BY source")

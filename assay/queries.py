@@ -311,15 +311,6 @@ def sa2(s: SparkSession, d: str) -> DataFrame:
     return p.withColumn("p", F.bround(stats.mcnemar(F.col("b"), F.col("c")), 6))
 
 
-LCG = """WITH RECURSIVE g(i, s) AS (SELECT 0, 20260730::HUGEINT UNION ALL
-  SELECT i + 1, (s * 6364136223846793005::HUGEINT + 1442695040888963407::HUGEINT) % 18446744073709551616::HUGEINT FROM g WHERE i < {n})"""
-
-
-@query("SA3_lcg_draws", LCG.format(n=1100) + " SELECT CAST((i - 1) // 55 AS BIGINT) AS b, CAST(((s // 131072) * 55) // 140737488355328 AS BIGINT) AS pos, count(*) AS times FROM g WHERE i > 0 GROUP BY ALL")
-def sa3(s: SparkSession, d: str) -> DataFrame:
-    return stats.draws(s, 55, 20).groupBy("b", "pos").agg(F.count(F.lit(1)).alias("times"))
-
-
 # --- fronts and ledger -----------------------------------------------------------------
 
 CANDIDATES = VOTED.rstrip() + ",\n" + COUNTS + f""", candidates AS (SELECT candidate, n_flagged, CAST(substr(candidate, 2) AS INTEGER) // 3 AS generation, 'front_pair' AS origin,

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 RUN = "id string, run string, label string, rationale string, human string, n_siblings int, candidate_id string, candidate string, `condition` string, model string, prompt_sha256 string, elapsed double, domain string"
 
@@ -58,16 +64,103 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+class _FileWriter(DataSourceWriter):
+    """Writes (name, content) rows in the tasks, each task to a folder of its own; the commit moves the files to their place."""
+
+    def __init__(self, at: str, suffix: str) -> None:
+        self.at, self.suffix, self.job = at, suffix, uuid.uuid4().hex
+
+    def _where(self) -> tuple[pafs.FileSystem, str]:
+        return pafs.FileSystem.from_uri(self.at)
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        system, root = self._where()
+        own, names = f"{root}/_temporary-{self.job}/{uuid.uuid4().hex}", []
+        system.create_dir(own, recursive=True)
+        for name, content in iterator:
+            with system.open_output_stream(f"{own}/{name}{self.suffix}", compression=None) as out:  # a name tells nothing of what is in it
+                out.write(bytes(content))
+            names.append(name)
+        return _Written(own, names)
+
+    def commit(self, messages: list) -> None:
+        system, root = self._where()
+        for m in filter(None, messages):
+            for name in m.names:
+                system.move(f"{m.folder}/{name}{self.suffix}", f"{root}/{name}{self.suffix}")
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:  # noqa: ARG002
+        system, root = self._where()
+        if system.get_file_info(f"{root}/_temporary-{self.job}").type != pafs.FileType.NotFound:
+            system.delete_dir(f"{root}/_temporary-{self.job}")
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+    names: list[str]
+
+
+class _FileSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "named_files"
+
+    def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:  # noqa: ARG002, FBT001
+        return _FileWriter(self.options["at"], self.options["suffix"])
+
+
 def write_binary(rows: DataFrame, path: str, suffix: str) -> None:
-    """(key, content) as a file each, named by the key; a file at a time passes through the driver."""
+    """(key, content) as a file each, named by the key, written by the tasks that make them.
+
+    A task writes to a folder of its own, and only names come to the driver, which moves the
+    finished files; a task that fails or runs twice leaves nothing.  The store must be one
+    that pyarrow opens from ``path`` on every executor.  Two rows of one key are one file.
+    """
     spark = rows.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.mkdirs(where)
-    for row in rows.toLocalIterator():
-        out = system.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{row[0]}{suffix}"), True)
-        out.write(bytearray(row[1]))
-        out.close()
+    spark.dataSource.register(_FileSink)
+    pafs.FileSystem.from_uri(path)  # an unknown store fails here, before any work
+    rows.write.format("named_files").mode("append").option("at", path).option("suffix", suffix).save()
+
+
+def put_batch(rows: DataFrame, path: str, number: int) -> None:
+    """Rows of a batch beside those of the batches before; a batch that comes again replaces itself, so nothing changes."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+
+
+def _finished(spark: SparkSession, path: str, kind: str) -> dict[int, str]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.globStatus(hadoop.Path(f"{path}/{kind}=*")) or []
+    return {int(f.getPath().getName().split("=")[1]): f.getPath().toString() for f in found if system.exists(hadoop.Path(f.getPath(), "_SUCCESS"))}
+
+
+def keyed(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """The keyed table that the batches make: of each key the row of the latest batch (of several in it, the largest).
+
+    Batches that were not finished don't count.  Reading starts at the last ``compact``.
+    """
+    bases, batches = _finished(spark, path, "base"), _finished(spark, path, "batch")
+    base = max(bases, default=-1)
+    parts = [(base, bases[base])] if bases else []
+    parts += [(n, at) for n, at in sorted(batches.items()) if n > base]
+    out = None
+    for n, at in parts:
+        rows = spark.read.schema(schema).parquet(at).withColumn("_batch", F.lit(n).cast("long"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    columns = [c for c in out.columns if c != "_batch"]
+    last = F.max_by(F.struct(*columns), F.struct("_batch", F.struct(*columns)))
+    return out.groupBy(F.col(key).alias("_key")).agg(last.alias("_row")).select("_row.*")
+
+
+def compact(spark: SparkSession, path: str, schema: str, key: str) -> None:
+    """All finished batches as one, from which ``keyed`` reads on; the batches stay until they are removed."""
+    done = _finished(spark, path, "batch")
+    if done:
+        keyed(spark, path, schema, key).write.mode("overwrite").parquet(f"{path}/base={max(done):012d}")
 
 
 def merge_keyed(rows: DataFrame, path: str, key: str) -> DataFrame:

@@ -90,6 +90,15 @@ def leaks(names: list[str]) -> list[str]:
     return [n for n in names if n.startswith("_") or any(word in n.lower() for word in ("gold", "judge", "probe"))]
 
 
+def leaking(rows: DataFrame, also: str) -> DataFrame:
+    """(path, row, name, also) of the filled cells whose header would tell the answer, with the row's cell under ``also``."""
+    heads = rows.filter("row = 1").select(F.col("path").alias("_p"), F.explode("cells").alias("_i", "name"))
+    told = F.startswith("name", F.lit("_")) | F.lower("name").rlike("gold|judge|probe")
+    beside = rows.filter("row = 1").select(F.col("path").alias("_q"), F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(e["value"], e["key"]))).alias("_h"))
+    body = rows.filter("row >= 2").join(beside, F.col("path") == F.col("_q")).select("path", "row", F.try_element_at("cells", F.try_element_at("_h", F.lit(also))).alias(also), F.explode("cells").alias("_j", "value"))
+    return body.join(heads.filter(told), (F.col("path") == F.col("_p")) & (F.col("_j") == F.col("_i"))).select("path", "row", "name", also)
+
+
 def blind(rows: DataFrame) -> DataFrame:
     """What a labeller may see."""
     hidden = set(leaks(rows.columns))
@@ -158,7 +167,6 @@ def write(rows: DataFrame, path: str, choices: dict[str, tuple[str, ...]] | None
         if held:
             yield one()
 
-    # label sheets are read by people, so they are few
     write_binary(parts.mapInPandas(books, "name string, content binary"), path, ".xlsx")
 
 

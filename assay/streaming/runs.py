@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import files
 
-def source(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream, ``files`` of them a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+def source(spark: SparkSession, path: str, schema: str, at_once: int = 1) -> DataFrame:
+    """A folder of Parquet files as a stream, ``at_once`` of them a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(path)
 
 
 def resume(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +51,15 @@ def stalls(rounds: DataFrame) -> DataFrame:
     return rounds.groupBy("study").applyInPandasWithState(step, "study string, round long, stall int", "front string, stall int", "append", GroupStateTimeout.NoTimeout)
 
 
+def upsert(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Run a stream of keyed rows over all that is there into the batches that ``files.keyed`` reads.
+
+    A batch that runs again after a crash between its write and its commit has the same number
+    and the same rows, and so leaves the table as it was.
+    """
+    rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, number: files.put_batch(batch, path, number)).start().awaitTermination()
+
+
 def drain(rows: DataFrame, out: str, checkpoint: str, mode: str) -> None:
     """Run a stream over all that is there, each batch to a folder of its own."""
     def put(batch: DataFrame, number: int) -> None:

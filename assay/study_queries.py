@@ -261,21 +261,6 @@ def tk3(s: SparkSession, d: str) -> DataFrame:
     return best.agg(F.min_by("rule", F.struct((-F.col("tp")).alias("a"), "rule")).alias("rule"), F.max("tp").alias("tp"))
 
 
-GRID = "WITH g AS (SELECT a, b, 100.0::DOUBLE AS n, a::DOUBLE AS ka, b::DOUBLE AS kb FROM (SELECT unnest(range(101)) AS a), (SELECT unnest(range(101)) AS b) WHERE b < a), w AS (SELECT a, b, " + WILSON.format(edge="0.0", best="greatest", sign="-", z="1.96e0").replace("k /", "ka /").replace("k / n)", "ka / n)") + " AS lo, " + WILSON.format(edge="1.0", best="least", sign="+", z="1.96e0").replace("k /", "kb /") + " AS hi FROM g)"
-
-
-@query("TK4_least_separating_gap", GRID + " SELECT CAST(min(a - b) AS BIGINT) AS gap FROM w WHERE lo > hi")
-def tk4(s: SparkSession, d: str) -> DataFrame:
-    a, b, n = F.col("a"), F.col("b"), F.lit(100)
-    g = s.range(101).toDF("a").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(100)))).filter("b < a")
-    return g.filter(stats.disjoint(stats.wilson(a, n), stats.wilson(b, n))).agg(F.min(a - b).cast("long").alias("gap"))
-
-
-@query("TK5_first_n", "SELECT min(n) AS n FROM (SELECT unnest(range(1, 2000)) AS n) WHERE 1.96 * sqrt(0.25 / n) < 0.05")
-def tk5(s: SparkSession, d: str) -> DataFrame:
-    return s.range(1, 2000).filter(1.96 * F.sqrt(F.lit(0.25) / F.col("id")) < 0.05).agg(F.min("id").alias("n"))
-
-
 # --- text and prompts ------------------------------------------------------------------
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import metrics, stats, trials, votes
+from .operators import metrics, pareto, stats, trials, votes
 from .plans import views
 from .plans.views import sql
-from .queries import BAD, BASE, HIT, VOTED, WILSON, _voted, query
+from .queries import BAD, BASE, COUNTS, HIT, VOTED, WILSON, _voted, query
 from .sources import files
 from .streaming import runs as streams
-from .plans.shared import folder
+from .plans.shared import folder, table
 from .study_queries import _n
 
 LO, HI = WILSON.format(edge="0.0", best="greatest", sign="-", z="1.96e0"), WILSON.format(edge="1.0", best="least", sign="+", z="1.96e0")
@@ -21,14 +21,49 @@ LO, HI = WILSON.format(edge="0.0", best="greatest", sign="-", z="1.96e0"), WILSO
 # --- statistics and trials -------------------------------------------------------------
 
 
-@query("SA10_power_grid", f"""WITH c AS (SELECT pc, {LO} AS lo FROM (SELECT pc, pc::DOUBLE AS k, 100.0::DOUBLE AS n FROM (SELECT unnest([60, 70, 80, 90]) AS pc))),
-g AS (SELECT ps, {HI} AS hi FROM (SELECT ps, round_even(ps * 0.8, 0)::DOUBLE AS k, 80.0::DOUBLE AS n FROM (SELECT unnest([0, 10, 20, 30, 50, 70]) AS ps)))
-SELECT pc, ps, lo > hi AS apart FROM c, g""")
+PAIRED = VOTED.rstrip() + ",\n" + COUNTS + f", w AS (SELECT candidate, k, n, {LO} AS lo, {HI} AS hi FROM (SELECT candidate, n_detected::DOUBLE AS k, n_problem::DOUBLE AS n FROM counts))"
+
+
+@query("SA10_power_grid", PAIRED + " SELECT a.candidate AS a, b.candidate AS b, a.lo > b.hi AS apart FROM w a JOIN w b ON a.candidate <> b.candidate")
 def sa10(s: SparkSession, d: str) -> DataFrame:
-    pc, ps = F.explode(F.array(*map(F.lit, (60, 70, 80, 90)))), F.explode(F.array(*map(F.lit, (0, 10, 20, 30, 50, 70))))
-    grid = s.range(1).select(pc.alias("pc")).select("pc", ps.alias("ps"))
-    a, b = stats.wilson(F.col("pc"), F.lit(100), 1.96), stats.wilson(F.bround(F.col("ps") * 0.8, 0), F.lit(80), 1.96)
-    return grid.select("pc", "ps", (a["lo"] > b["hi"]).alias("apart"))
+    """Which measured rates are apart with their whole intervals, for every pair of candidates."""
+    return _rate_pairs(s, d).select("a", "b", "apart")
+
+
+def _rate_pairs(s: SparkSession, d: str) -> DataFrame:
+    c = metrics.counts(_voted(s, d), ["candidate"]).select("candidate", "n_detected", "n_problem", stats.wilson(F.col("n_detected"), F.col("n_problem")).alias("w"))
+    p = pareto.pairs(table(c, "rates"), table(c, "rates"), F.col("x.candidate") != F.col("y.candidate"))
+    gap = F.try_divide(F.col("x.n_detected").cast("double"), F.col("x.n_problem").cast("double")) - F.try_divide(F.col("y.n_detected").cast("double"), F.col("y.n_problem").cast("double"))
+    return p.select(F.col("x.candidate").alias("a"), F.col("y.candidate").alias("b"), (F.col("x.w.lo") > F.col("y.w.hi")).alias("apart"), F.bround(gap, 6).alias("gap"))
+
+
+@query("TK4_least_separating_gap", PAIRED + " SELECT a, b, gap FROM (SELECT a.candidate AS a, b.candidate AS b, round_even(a.k / a.n - b.k / b.n, 6) AS gap FROM w a JOIN w b ON a.candidate <> b.candidate WHERE a.lo > b.hi) ORDER BY gap, a, b LIMIT 1")
+def tk4(s: SparkSession, d: str) -> DataFrame:
+    """The pair whose rates are the closest of those that are apart."""
+    least = _rate_pairs(s, d).filter("apart").agg(F.min(F.struct("gap", "a", "b")).alias("m")).filter("m is not null")
+    return least.select("m.a", "m.b", "m.gap")
+
+
+@query("TK5_first_n", VOTED.rstrip() + ",\n" + COUNTS + ", s AS (SELECT candidate, n_detected::DOUBLE / n_problem AS p FROM counts), g AS (SELECT candidate, p, unnest(range(10, 2001, 10))::DOUBLE AS n FROM s), w AS (SELECT candidate, n, " + LO + " AS lo FROM (SELECT candidate, p, n, p * n AS k FROM g)) SELECT s.candidate, coalesce(CAST(min(w.n) FILTER (w.lo > 0.5) AS BIGINT), 0) AS n FROM s JOIN w USING (candidate) GROUP BY s.candidate")
+def tk5(s: SparkSession, d: str) -> DataFrame:
+    """How many units each candidate's measured rate needs until its interval lies above a half; 0 if 2,000 don't do."""
+    rate = F.try_divide(F.col("n_detected").cast("double"), F.col("n_problem").cast("double"))
+    g = metrics.counts(_voted(s, d), ["candidate"]).select("candidate", rate.alias("p"), F.explode(F.sequence(F.lit(10), F.lit(2000), F.lit(10))).alias("n"))
+    n = F.col("n").cast("double")
+    return g.groupBy("candidate").agg(F.coalesce(F.min(F.when(stats.wilson(F.col("p") * n, n)["lo"] > 0.5, F.col("n"))).cast("long"), F.lit(0)).alias("n"))
+
+
+@query("SM3_resume", "WITH q AS (SELECT conv_id, max(turn) AS turns FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN conv_id % 2 = 0 AND coalesce(turns >= 3, false) THEN 1 ELSE 2 END AS pass FROM q")
+def sm3b(s: SparkSession, d: str) -> DataFrame:
+    """A run that broke off and is taken up: the second pass gets only what isn't done, and a repeated batch changes nothing."""
+    at, schema = folder(s, "questions"), "conv_id long, done boolean, pass int"
+    q = views.read(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turns"))
+    files.put_batch(q.filter("conv_id % 2 = 0").select("conv_id", F.coalesce(F.col("turns") >= 3, F.lit(False)).alias("done"), F.lit(1).alias("pass")), at, 0)
+    held = table(files.keyed(s, at, schema, "conv_id"), "held")
+    left = trials.to_do(q, "conv_id", held.filter("done"))
+    for _ in range(2):  # the batch again, as after a crash before its commit
+        files.put_batch(left.select("conv_id", F.lit(True).alias("done"), F.lit(2).alias("pass")), at, 1)
+    return files.keyed(s, at, schema, "conv_id").select("conv_id", "pass")
 
 
 @query("SA11_cost", sql("units") + "SELECT qid, count(*) * 2 * 3 AS calls FROM units GROUP BY qid")
