@@ -13,8 +13,11 @@ output stays below its number of entries.  Lists over ``list_rows`` entries are
 to several tasks as pairs of blocks.
 
 Texts of a given similarity (``drop_similar``) use the same index over other bytes: each of
-the 8 is of a min-hash, so texts of similarity s share a byte with probability s.  What the
-index links is verified by the exact similarity of the shingles.
+the 8 is of a min-hash, so texts of similarity s share a byte with probability s.  A pair that
+the index finds is linked only if it shares enough of all the min-hash bytes, most of which
+the index doesn't look at; so unrelated texts that agree by chance never join two groups,
+however many texts there are.  What is linked is verified by the exact similarity of the
+shingles.
 """
 
 from __future__ import annotations
@@ -63,14 +66,20 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits((counts * 2 > n), bitorder="little").view(np.uint64)[0])
 
 
-#: Odd factors and masks of the min-hashes: two sketches of 8 bytes each.
-FACTORS, MASKS = np.random.default_rng(20).integers(1 << 63, size=(2, 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Sketches of 8 bytes: the first INDEXED are looked up, all are compared.
+SKETCHES, INDEXED = 4, 2
+#: Bytes of all sketches that a linked pair shares.  At similarity 0.8 fewer are shared with probability
+#: 0.00004.  By chance two of n texts meet in a list and share so many with probability 2 * 70 / 256^4 *
+#: C(24, 12) / 256^12, which is below 10^-29: a text has no chance partner among any number of texts.
+SHARED = 16
+#: Odd factors and masks of the min-hashes.
+FACTORS, MASKS = np.random.default_rng(20).integers(1 << 63, size=(2, 8 * SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Two sketches: of 8 min-hashes each the lowest byte; without a shingle both are 0."""
+    """The sketches: of 8 min-hashes each the lowest byte; without a shingle all are 0."""
     if not len(hashes):
-        return np.zeros(2, np.int64)
+        return np.zeros(SKETCHES, np.int64)
     low = [((hashes ^ m) * f).min() for f, m in zip(FACTORS, MASKS, strict=True)]
     return (np.array(low, np.uint64) & np.uint64(255)).astype(np.uint8).view(np.int64)
 
@@ -162,11 +171,12 @@ def tallied(fp: np.ndarray, begin: np.ndarray, end: np.ndarray, held: np.ndarray
         at = upto
 
 
-def _links(batches: Iterator[pd.DataFrame], sets: list[tuple[int, ...]], bits: int, most: int) -> Iterator[pd.DataFrame]:
-    """From rows (entry, side, slot, fp) sorted by entry: edges that connect all linked pairs.
+def _links(batches: Iterator[pd.DataFrame], sets: list[tuple[int, ...]], bits: int, linked) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+    """From rows (entry, side, slot, fp and more) sorted by entry: edges that connect all linked pairs.
 
     slot: which of ``sets`` the entry's key holds.  side 0: compared with all of its entry;
-    sides 1 and 2: only 1 with 2.
+    sides 1 and 2: only 1 with 2.  ``linked(rows)`` gives the numbers that stand for the rows
+    in edges, and a function that says which of the pairs (i, j) link.
     """
     holds = np.array([[p in some for p in range(8)] for some in sets])
     for part in pieces(batches, "entry"):
@@ -178,8 +188,9 @@ def _links(batches: Iterator[pd.DataFrame], sets: list[tuple[int, ...]], bits: i
         begin, end = np.repeat(edge[:-1], size), np.repeat(edge[1:], size)
         root = np.arange(n)
         left, right, pairs = [], [], 0
+        named, alike = linked(part)
         for i, j in tallied(fp, begin, end, holds[part["slot"].to_numpy(np.int32)], 8 - bits):
-            fine = ((side[i] != side[j]) | (side[i] == 0)) & (np.bitwise_count(fp[i] ^ fp[j]) <= most)
+            fine = ((side[i] != side[j]) | (side[i] == 0)) & alike(i, j)
             left.append(i[fine])
             right.append(j[fine])
             pairs += int(fine.sum())
@@ -190,7 +201,7 @@ def _links(batches: Iterator[pd.DataFrame], sets: list[tuple[int, ...]], bits: i
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         if not len(a):
             continue
-        values, index = np.unique(fp[np.concatenate([a, b])].view(np.int64), return_inverse=True)
+        values, index = np.unique(named[np.concatenate([a, b])], return_inverse=True)
         root = _roots(index[: len(a)], index[len(a) :], len(values))
         keep = np.flatnonzero(root != np.arange(len(values)))
         yield pd.DataFrame({"src": values[keep], "dst": values[root[keep]]})
@@ -212,14 +223,24 @@ def _dealt(listed: DataFrame, key: str, value: str, list_rows: int, *rest: str)
     )
 
 
-def links(fps: DataFrame, bits: int = 4, width: int = 3, list_rows: int = 4096, most: int | None = None) -> DataFrame:
-    """Edges (src > dst, as signed longs) that connect distinct fingerprints like their links do.
+def _near_bits(most: int):  # noqa: ANN202
+    def linked(rows: pd.DataFrame) -> tuple:
+        fp = rows["fp"].to_numpy(np.int64)
+        return fp, lambda i, j: np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= most
 
-    Linked are those that differ in ``bits`` bits or less; with ``most``, those that differ in
-    ``bits`` bytes and ``most`` bits or less.
+    return linked
 
-    ``width``: bytes in a key of the index, 3 for up to some billion fingerprints, 4 beyond.
-    """
+
+def _many_bytes(shared: int):  # noqa: ANN202
+    def linked(rows: pd.DataFrame) -> tuple:
+        all_ = rows[[f"f{k}" for k in range(SKETCHES)]].to_numpy(np.int64).copy().view(np.uint8)
+        return rows["node"].to_numpy(np.int64), lambda i, j: (all_[i] == all_[j]).sum(axis=1) >= shared
+
+    return linked
+
+
+def _index(fps: DataFrame, bits: int, width: int, list_rows: int, linked, *rest: str) -> DataFrame:  # noqa: ANN001
+    """Edges of what the byte-position index of ``fp`` brings together and ``linked`` accepts."""
     if not 0 <= bits <= 8 - width:
         raise ValueError("bits must be between 0 and 8 - width")
     keys, sets = [], position_sets(8 - bits, width)
@@ -228,10 +249,19 @@ def links(fps: DataFrame, bits: int = 4, width: int = 3, list_rows: int = 4096,
         for p in at:
             value = value * 256 + F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255)
         keys.append(value)
-    index = fps.select("fp", F.posexplode(F.array(*keys)).alias("slot", "key"))
+    index = fps.select("fp", *rest, F.posexplode(F.array(*keys)).alias("slot", "key"))
     lists = table(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
-    dealt = _dealt(index.join(lists, "key"), "key", "fp", list_rows, "slot")
-    return in_frames(dealt, lambda rows: _links(rows, sets, bits, bits if most is None else most), "src long, dst long")
+    dealt = _dealt(index.join(lists, "key"), "key", rest[0] if rest else "fp", list_rows, "slot", *(["fp", *rest[1:]] if rest else []))
+    return in_frames(dealt, lambda rows: _links(rows, sets, bits, linked), "src long, dst long")
+
+
+def links(fps: DataFrame, bits: int = 4, width: int = 3, list_rows: int = 4096) -> DataFrame:
+    """Edges (src > dst, as signed longs) that connect distinct fingerprints like their links do.
+
+    Linked are those that differ in ``bits`` bits or less.  ``width``: bytes in a key of the
+    index, 3 for up to some billion fingerprints, 4 beyond.
+    """
+    return _index(fps.select("fp"), bits, width, list_rows, _near_bits(bits))
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -307,7 +337,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: i
     """The documents with one row left of each component: that of the smallest doc_id.
 
     A null doc_id comes after all others; of different texts under the smallest doc_id the
-    one with the smallest hash stays, of repeated rows one.  Columns are the input's.
+    one with the smallest hash stays, of repeated rows one.  Null, empty and blank texts are
+    alike; texts of any length are read whole; an empty table stays empty.  Columns are the
+    input's, whatever their names.
     """
     return _first_of_each(docs, _grouped(docs, words, bits, seed))
 
@@ -343,37 +375,38 @@ def _same(batches: Iterator[pd.DataFrame], words: int, least: float, seed: int)
         yield pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
 
-def similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42, list_rows: int = 1024) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42, list_rows: int = 1024, shared: int = SHARED) -> DataFrame:
     """doc_id, th (a hash of the text) and root (the th that names its component) of every row.
 
     Texts link when the sets of their shingles of ``words`` words have a Jaccard similarity of
-    ``least`` or more.  Compared are texts that share 4 bytes or more of one of two sketches of
-    8 (a pair of similarity 0.8 fails that with probability 0.0001), and all in reach of them.
+    ``least`` or more.  Compared are texts that share 4 bytes or more of one of the INDEXED
+    sketches and ``shared`` bytes of all (a pair of similarity 0.8 fails the first with
+    probability 0.0001 and the second with 0.00004), and all in reach of them.  Null, empty
+    and blank texts have no shingle and link to each other; a text of fewer words is one
+    shingle; texts of any length are read whole.  Repeated rows have the same th.  An empty
+    table gives an empty result.  Extra columns are ignored.
     """
+    own = [f"f{k}" for k in range(SKETCHES)]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            both = np.array([sketch(shingles(t, words, seed)) for t in batch["text"]], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "f1": both[:, 0], "f2": both[:, 1]})
+            all_ = np.array([sketch(shingles(t, words, seed)) for t in batch["text"]], np.int64).reshape(-1, SKETCHES)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], **{f: all_[:, k] for k, f in enumerate(own)}})
 
-    seen = in_frames(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), score, "doc_id long, th long, f1 long, f2 long")
+    seen = in_frames(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), score, "doc_id long, th long, " + ", ".join(f"{f} long" for f in own))
     seen = table(seen, "sketches")
-    texts = table(seen.groupBy("th", "f1", "f2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")), "texts")
-    near, again = [], []
-    for f in ("f1", "f2"):
-        count = table(texts.groupBy(F.col(f).alias("fp")).agg(F.count(F.lit(1)).alias("n")), f"distinct-{f}")
-        near.append(links(count.select("fp"), 4, most=64))
-        again.append(count.filter("n > 1").select(F.col("fp").alias("v")))
-    edges = table(near[0].union(near[1]), "sketch-links")
-    touched = edges.select(F.col("src").alias("v")).union(edges.select("dst")).union(again[0]).union(again[1]).distinct()
-    touched = table(touched, "touched")
-    some = texts.join(touched, texts["f1"] == touched["v"], "left_semi").union(texts.join(touched, texts["f2"] == touched["v"], "left_semi")).distinct()
-    some = table(some, "candidates")
-    own = some.filter("f1 <> f2").select(F.greatest("f1", "f2").alias("src"), F.least("f1", "f2").alias("dst"))
-    roots = components(edges.union(own))
-    some = table(some.join(roots, some["f1"] == roots["v"], "left").select(F.col("th").alias("_th"), F.col("low").alias("_low"), F.coalesce("root", "f1").alias("key")), "candidate-lists")
-    lists = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    listed = table(some.join(lists, "key"), "listed")
+    texts = table(seen.groupBy("th", *own).agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")).withColumn("node", F.xxhash64(*own)), "texts")
+    # texts with equal sketches are one node; one that nothing else is near has no edge
+    nodes = table(texts.groupBy("node", *own).agg(F.count(F.lit(1)).alias("n")), "nodes")
+    near = [_index(nodes.select(F.col(f).alias("fp"), "node", *own), 4, 3, list_rows * 4, _many_bytes(shared), "node", *own) for f in own[:INDEXED]]
+    edges = near[0]
+    for more in near[1:]:
+        edges = edges.union(more)
+    roots = components(edges)
+    keyed = table(nodes.join(roots, nodes["node"] == roots["v"], "left").select("node", "n", F.coalesce("root", "node").alias("key")), "keyed")
+    lists = keyed.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    some = table(keyed.drop("n").join(lists, "key").select(F.col("node").alias("_node"), "key", "n"), "candidate-nodes")
+    listed = table(texts.join(some, texts["node"] == some["_node"]).select(F.col("th").alias("_th"), F.col("low").alias("_low"), "key", "n"), "listed")
     # the text of a list's member is taken from one of its rows: repeats have another doc_id
     # and is merged at every size, as the lists grow with the corpus
     whole = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -385,7 +418,10 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42,
 
 
 def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
-    """The documents with one row left of each component of ``similar``, as drop_near_duplicates."""
+    """The documents with one row left of each component of ``similar``, as drop_near_duplicates.
+
+    Null, empty and very long texts, repeats and empty tables: see there and ``similar``.
+    """
     return _first_of_each(docs, similar(docs, words, least, seed))
 
 
