@@ -74,14 +74,55 @@ def _payload(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["ok", "answer", "answer_ok", "claims_ok", "claims"])
 
 
+#: Types of a payload that native functions read as the exact reader does: texts only, citations of one kind.
+_ADDRESS = "OBJECT<paragraph: STRING, standard: STRING(, subitem: STRING)?>"
+PLAIN = f"^OBJECT<answer: STRING, claims: ARRAY<(VOID|OBJECT<(citations: ARRAY<(VOID|STRING|{_ADDRESS})>, )?(id: STRING, )?(quote: STRING, )?text: STRING>)>>$"
+_FIELDS = "answer string, claims array<struct<id: string, text: string, quote: string, citations: array<string>>>"
+
+
+def is_plain(raw: Column) -> Column:
+    """Whether a text is one JSON object of the common shape, on whose reading all readers agree.
+
+    Not so: what no JSON is, repeated keys, NaN, text after the object, numbers or nulls for
+    texts, other keys, half surrogates.  The brackets make text after the object an error or
+    a second element.
+    """
+    whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    one = F.try_variant_get(whole, "$[1]", "variant").isNull()
+    return F.coalesce(one & F.schema_of_variant(F.try_variant_get(whole, "$[0]", "variant")).rlike(PLAIN) & ~raw.rlike(r"(?i)\\ud[89a-f]|\"\s*\{"), F.lit(False))
+
+
+def _natively(raw: Column) -> Column:
+    """The columns of PAYLOAD of a plain text."""
+    x = F.from_json(raw, _FIELDS)
+
+    def cited(c: Column) -> Column:
+        own = F.from_json(c, "standard string, paragraph string, subitem string")
+        address = F.startswith(F.ltrim(c), F.lit("{"))  # objects come as their JSON
+        return F.struct(F.when(~address, c).alias("text"), *[F.when(address, own[k]).alias(k) for k in ("standard", "paragraph", "subitem")])
+
+    def claim(c: Column) -> Column:
+        none = F.array().cast(f"array<struct<{CITATION}>>")
+        return F.struct(
+            F.lit(True).alias("object"), F.nullif(c["id"], F.lit("")).alias("id"), F.nullif(c["text"], F.lit("")).alias("text"), F.coalesce(c["quote"], F.lit("")).alias("quote"), F.lit(True).alias("quote_ok"),
+            F.coalesce(F.transform(c["citations"], cited), none).alias("citations"),
+        )
+
+    return F.struct(F.lit(True).alias("ok"), x["answer"].alias("answer"), F.lit(True).alias("answer_ok"), F.lit(True).alias("claims_ok"), F.transform(x["claims"], claim).alias("claims"))
+
+
 def parse(answers: DataFrame) -> DataFrame:
     """Answers with claims (array of structs), ok (the text is a JSON object), reasons and go.
 
     A fence around the JSON is taken off; null and blank texts are empty_output, other
-    texts that are no JSON object schema_invalid.  ``go``: claims are worth checking.
+    texts that are no JSON object schema_invalid.  ``go``: claims are worth checking.  Texts of
+    the common shape are read natively, only the others by the exact reader.
     """
     clean = text.unfence(F.coalesce("raw", F.lit("")))
-    a = answers.withColumn("_clean", clean).withColumn("_p", F.pandas_udf(_payload, PAYLOAD)("_clean")).select(*answers.columns, "_clean", "_p.*")
+    marked = answers.withColumn("_clean", clean).withColumn("_plain", is_plain(F.col("_clean")))
+    native = marked.filter("_plain").withColumn("_p", _natively(F.col("_clean")))
+    exact = marked.filter("not _plain").withColumn("_p", F.pandas_udf(_payload, PAYLOAD)("_clean"))
+    a = native.unionByName(exact).select(*answers.columns, "_clean", "_p.*")
     none, said, blank, ok = F.size("claims") == 0, F.trim("answer") != "", F.trim("_clean") == "", F.col("ok")
     reasons = _reasons(
         (~ok & blank, "empty_output"), (~ok & ~blank, "schema_invalid"), (ok & ~F.col("answer_ok"), "schema_invalid"), (ok & ~F.col("claims_ok"), "schema_invalid"),

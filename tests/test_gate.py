@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from assay.operators import gate, pareto
 
@@ -91,3 +92,26 @@ def test_termination_and_admission(spark):
     new = new.selectExpr("*", "recall as precision", *[f"{b} as {a}_{c}" for a in ("recall", "precision") for b, c in (("recall", "lo"), ("recall", "hi"))])
     got = {r["candidate"]: (r["status"], r["code"]) for r in pareto.admit(new, known, "m").collect()}
     assert got == {"c000": (None, 2), "n1": (None, 2), "n2": ("INVALID", 3), "n3": ("INVALID", 3), "n4": ("INVALID", 3), "n5": ("UNJUDGED", 3), "n6": ("DOMINATED", 0), "n7": ("ON_FRONT", 0)}
+
+
+PLAIN = {
+    '{"answer": "a", "claims": []}': True, '{"answer": "a", "claims": [{"id": "", "text": "t", "citations": ["1002 문단 3", "{odd"], "quote": "q\\n\\u00e9\\ud83d"}]}': False,
+    '{"answer": "", "claims": [{"text": "t"}]}': True, ' {"claims": [{"id": "c1", "text": "", "citations": [{"standard": "1002", "paragraph": "34(2)"}]}], "answer": "x"}\n': True,
+    '{"answer": "a", "claims": [{"id": "c1", "text": "t", "citations": ["1002 문단 3", "x"]}, {"text": "\\u00e9 \\"q\\" \\\\", "quote": ""}]}': True,
+    '{"answer": "a", "claims": [{"id": "c", "text": "t", "citations": [{"standard": "1002", "paragraph": "3", "subitem": "가"}, {"standard": "9", "paragraph": ""}]}]}': True,
+    '{"answer": "a", "claims": [{"id": "c1", "id": "c2", "text": "t"}]}': False, '{"answer": "a", "claims": []} trailing': False, '{"answer": "a", "claims": []}, null': False,
+    '{"answer": "a", "claims": [{"id": 7, "text": "t"}]}': False, '{"answer": "a", "claims": null}': False, '{"answer": NaN, "claims": []}': False, "{'answer': 'a', 'claims': []}": False,
+    '{"answer": "a", "claims": [{"text": null}]}': False, '{"answer": "a", "claims": ["x"]}': False, '{"answer": "a", "claims": [{"text": "t", "citations": ["a", {"standard": "1"}]}]}': False,
+    '{"answer": "a", "claims": [], "more": 1}': False, '{"answer": "a\nb", "claims": []}': False, '[{"answer": "a", "claims": []}]': False, "": False, '{"answer": "a", "claims": [{"text": "t", "citations": []}]}': True,
+}
+
+
+def test_both_readers_agree(spark):
+    """What is read natively is what the exact reader gives."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(PLAIN)], "question_id int, raw string")
+    seen = {r["raw"]: r["p"] for r in df.select("raw", gate.is_plain(F.col("raw")).alias("p")).collect()}
+    assert seen == PLAIN
+    plain = df.filter(gate.is_plain(F.col("raw")))
+    native = {r["question_id"]: r["p"].asDict(True) for r in plain.select("question_id", gate._natively(F.col("raw")).alias("p")).collect()}
+    exact = {r["question_id"]: r["p"].asDict(True) for r in plain.select("question_id", F.pandas_udf(gate._payload, gate.PAYLOAD)("raw").alias("p")).collect()}
+    assert native == exact and len(native) == sum(PLAIN.values())
