@@ -115,7 +115,8 @@ def write_binary(rows: DataFrame, path: str, suffix: str) -> None:
     """(key, content) as a file each, named by the key, written by the tasks that make them.
 
     A task writes to a folder of its own, and only names come to the driver, which moves the
-    finished files; a task that fails or runs twice leaves nothing.  The store must be one
+    finished files; a job that fails puts no file in its place, and what tasks that were still
+    running had begun is below _temporary.  The store must be one
     that pyarrow opens from ``path`` on every executor.  Two rows of one key are one file.
     """
     spark = rows.sparkSession

@@ -35,20 +35,32 @@ def latest(ledger: DataFrame) -> DataFrame:
 def stalls(rounds: DataFrame) -> DataFrame:
     """(study, round, stall) of a stream of (study, round, front): rounds in a row with the same front.
 
-    Rounds of a study come in order from batch to batch; within a batch they are sorted.
+    A study's state is its rounds so far.  A round that comes late is put in its place, and the
+    rows from it up to the next change of front are given again; ``settled`` reads the last one
+    of each.  A round that comes again replaces its front.  A null front equals none.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        front, stall = state.get if state.exists else (None, 0)
-        out = []
-        # a study's rounds of one batch: two small columns
-        for at, seen in sorted(pair for batch in batches for pair in zip(batch["round"].tolist(), batch["front"].tolist(), strict=True)):
-            stall = stall + 1 if seen == front else 0
-            front = seen
-            out.append((key[0], at, stall))
-        state.update((front, stall))
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        new = dict(pair for batch in batches for pair in zip(batch["round"].tolist(), batch["front"].tolist(), strict=True))
+        held |= new
+        order = sorted(held)
+        out, stall, dirty = [], 0, False
+        for i, at in enumerate(order):
+            same = i > 0 and held[at] is not None and held[at] == held[order[i - 1]]
+            stall = stall + 1 if same else 0
+            dirty = at in new or (dirty and same) or (i > 0 and order[i - 1] in new)
+            if dirty:
+                out.append((key[0], at, stall))
+        state.update((order, [held[at] for at in order]))
         yield pd.DataFrame(out, columns=["study", "round", "stall"])
 
-    return rounds.groupBy("study").applyInPandasWithState(step, "study string, round long, stall int", "front string, stall int", "append", GroupStateTimeout.NoTimeout)
+    return rounds.groupBy("study").applyInPandasWithState(step, "study string, round long, stall int", "rounds array<bigint>, fronts array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def settled(spark: SparkSession, out: str) -> DataFrame:
+    """What ``drain`` wrote of ``stalls``: of each study's round the row of the last batch."""
+    rows = spark.read.schema("study string, round long, stall int, batch int").option("basePath", out).parquet(f"{out}/batch=*")
+    return rows.groupBy("study", "round").agg(F.max_by("stall", "batch").alias("stall"))
 
 
 def upsert(rows: DataFrame, path: str, checkpoint: str) -> None:
