@@ -212,8 +212,11 @@ class Scanner:
     """Finds notices by the words of a template that are rarest in all templates.
 
     An alignment that covers ``least`` of a template misses fewer than its ``rare`` words, so
-    it holds one of them: every window that can hold the template begins where one of them
-    says.  Windows that hold too few of the template's words, however ordered, aren't aligned.
+    it holds one of them, and windows are tried about where each of them says the template
+    begins.  Words put in or left out before it move that place, so of much edited notices a
+    few are missed.  Windows that hold too few of the template's words, however ordered, aren't
+    aligned.  Of overlapping notices that are equally good the one that begins first counts, then
+    the one that ends first, then the smaller name.
     """
 
     def __init__(self, templates: dict[str, str], least: float) -> None:
