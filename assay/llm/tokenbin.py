@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -42,7 +43,7 @@ SIMPLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++
 #: Texts whose ids are tallied together.
 TOGETHER = 256
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 16
 #: A byte-level vocabulary writes a byte as the character of that number if it can be seen, else as the next from U+0100.
 SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in SEEN)}
@@ -141,6 +142,18 @@ def _segments(rows: Iterator[tuple], tokens: int) -> Iterator[list[tuple]]:
         yield held
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` in what runs meanwhile: a worker holds fewer whole texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END) -> None:
     """Encode every text and write the files to ``path``/segments and ``path``/ranks.
 
@@ -168,7 +181,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
     coded = in_frames(rows, code, "row long, doc_id long, h long, n long, ids binary")
     # the bounds of the ranges come from doc_id alone, so no text is encoded for them
     parts = spread(docs)
-    coded = table(coded, "coded")
+    with small_batches(spark):
+        coded = table(coded, "coded")
 
     def read(raw: bytes) -> np.ndarray:
         return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), f"<u{wide}").astype("<u4")
@@ -216,6 +230,11 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The documents of the files: doc_id, start (tokens before it), ids (binary: little-endian
     32-bit integers) and n_tokens."""
+    return _decoded(spark, path, "ids binary", lambda ids: ids)
+
+
+def _decoded(spark: SparkSession, path: str, column: str, of_ids) -> DataFrame:  # noqa: ANN001
+    """doc_id, start, n_tokens and, as ``column`` ("name type"), what ``of_ids`` makes of each document's ids."""
     segments = spark.read.parquet(f"{path}/segments")
     parts = segments.groupBy("part").agg(F.sum("tokens").alias("_tokens"))
     # one row per written file and segment: running totals within a file, then over files
@@ -238,11 +257,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     "doc_id": pd.array([None] * int(absent) + docs.tolist(), dtype="Int64"),
                     "start": start + ends - n,
                     "n_tokens": n,
-                    "ids": [ids[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)],
+                    column.split()[0]: [of_ids(ids[a:b].tobytes()) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)],
                 })
 
     located = segments.join(places, segments["segment"] == places["_segment"]).select("absent", "docs", "lengths", "control", "data", "start")
-    return in_frames(located, decode, "doc_id long, start long, n_tokens long, ids binary")
+    return in_frames(located, decode, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def digest(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
@@ -256,10 +275,4 @@ def digest(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Dat
     spark = docs.sparkSession
     path = folder(spark, "tokens")
     write(docs, path, vocabulary, end)
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["ids_crc32"] = [zlib.crc32(x) for x in batch["ids"]]
-            yield batch[["doc_id", "start", "n_tokens", "ids_crc32"]]
-
-    return in_frames(read(spark, path), check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _decoded(spark, path, "ids_crc32 long", zlib.crc32)
