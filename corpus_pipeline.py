@@ -4,6 +4,9 @@ Each stage is (name, function); a function takes (spark, docs, sf_dir) and retur
 DataFrame.  All but the last return the columns of documents.  Stages are written as
 Parquet to the folder that the cluster shares and read again, so a lost executor repeats
 no earlier stage.
+
+In every stage an empty table stays empty, further columns keep their values whatever their
+names, and texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -15,27 +18,29 @@ from assay.llm.common import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null and empty texts, having no words, among them.  Repeated rows fare alike."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts alike in 0.8 of their 5-word shingles one stays, that of the smallest doc_id."""
+    """Of texts alike in 0.8 of their 5-word shingles one stays, that of the smallest doc_id (null last; then by the
+    text's hash).  Null, empty and blank texts are alike; of repeated rows one stays."""
     return simhash.drop_similar(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay."""
+    """Secrets are replaced by a mark; all documents stay, null and empty texts as they are, repeated rows alike."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole; those it doesn't take go."""
+    """Documents as often as the mix takes them, whole; those it doesn't take go, and those without words.  A null
+    source is one of its own; repeated rows come as often as each other."""
     return mixing.mix(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; a null text is an empty one."""
     return bpe.digest(docs)
 
 
