@@ -8,12 +8,14 @@ A dictionary is one automaton, or several if it is large, passed over each text
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -32,15 +34,21 @@ def winnowed(one: str, run: int = RUN, window: int = WINDOW) -> np.ndarray:
     code = np.frombuffer(one.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     if len(code) < run + window - 1:
         return np.zeros(0, np.int64)
-    n, base = len(code) - run + 1, np.uint64(0x9E3779B97F4A7C15)
-    h = np.zeros(n, np.uint64)
-    for i in range(run):
-        h = (h + code[i : i + n]) * base
-        h ^= h >> np.uint64(29)
-    least = h[: n - window + 1].copy()
-    for i in range(1, window):
-        np.minimum(least, h[i : i + n - window + 1], out=least)
-    return np.unique(least).view(np.int64)
+    # runs and windows by doubling: a run is hashed from two that overlap or meet, and so is the smallest of a window
+    h, size, base = code, 1, np.uint64(0x9E3779B97F4A7C15)
+    while size < run:
+        step = min(size, run - size)
+        h = (h[: len(h) - step] * base) ^ (h[step:] + (h[step:] >> np.uint64(29)))
+        size += step
+    h = h * base
+    least, size = h ^ (h >> np.uint64(32)), 1
+    while size < window:
+        step = min(size, window - size)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        size += step
+    turns = np.ones(len(least), bool)  # neighbours mostly share theirs
+    np.not_equal(least[1:], least[:-1], out=turns[1:])
+    return np.unique(least[turns]).view(np.int64)
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
@@ -113,11 +121,14 @@ def _short(quotes: DataFrame, docs: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(listed)
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            made, told = _automaton(sent.value), set()
+            made, told = _automaton(sent.value), defaultdict(set)
             for batch in batches:
-                new = {(s, p) for s, one in zip(batch["scope"], batch["text"], strict=True) for _, p in made.iter(one)} - told
-                told |= new
-                yield pd.DataFrame(sorted(new), columns=["scope", "text"])
+                news = []
+                for s, one in zip(batch["scope"], batch["text"], strict=True):
+                    new = set(map(itemgetter(1), made.iter(one))) - told[s]
+                    told[s] |= new
+                    news += [(s, p) for p in new]
+                yield pd.DataFrame(news, columns=["scope", "text"])
 
         held = docs.select("scope", "text").mapInPandas(scan, "scope string, text string").distinct()
         out = out.unionByName(quotes.select("scope", "text").join(held, ["scope", "text"], "left_semi"))
@@ -140,11 +151,13 @@ def found(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
     Short ones go through automata.
     """
     order = F.monotonically_increasing_id().alias("at")
-    docs = table(corpus.select("scope", "text").filter("scope is not null and text is not null").select(order, "scope", "text"), "corpus")
-    asked = table(quotes.select("scope", "text").filter("scope is not null and text is not null").distinct().select(order, "scope", "text"), "quotes")
+    # texts are written before nulls are left out, or what makes a text would run once more for the filter
+    given = "scope is not null and text is not null"
+    docs = table(corpus.select(order, "scope", "text"), "corpus").filter(given)
+    asked = table(table(quotes.select("scope", "text"), "asked").filter(given).distinct().select(order, "scope", "text"), "quotes")
     long = asked.filter(F.length("text") >= RUN + WINDOW - 1)
     theirs = table(fingerprints(long), "quote-prints")
-    wanted = theirs.select("scope", "print").distinct()
+    wanted = theirs.select("scope", "print").distinct().hint("shuffle_hash")  # the corpus's prints, far more, aren't sorted
     index = table(fingerprints(docs).join(wanted, ["scope", "print"], "left_semi"), "index")
     known = index.groupBy("scope", "print").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("one"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "print", "one"))
@@ -168,9 +181,8 @@ def quoted(rows: DataFrame, scope: str, quote: str, corpus: DataFrame, body: str
 
     White space doesn't count.  Null where the row has no scope or no quote.
     """
-    bare: Column = F.when(F.col(quote).isNotNull(), text.without_space(F.col(quote)))
-    own = rows.withColumns({"_scope": F.col(scope).cast("string"), "_bare": bare})
-    held = corpus.select(F.col(scope).cast("string").alias("scope"), F.when(F.col(body).isNotNull(), text.without_space(F.col(body))).alias("text"))
+    own = table(rows.withColumns({"_scope": F.col(scope).cast("string"), "_bare": text.bare(F.col(quote))}), "rows")
+    held = corpus.select(F.col(scope).cast("string").alias("scope"), text.bare(F.col(body)).alias("text"))
     answers = found(own.select(F.col("_scope").alias("scope"), F.col("_bare").alias("text")), held)
     joined = own.join(answers.toDF("_s", "_t", "_found"), (F.col("_scope") == F.col("_s")) & (F.col("_bare") == F.col("_t")), "left")
     return joined.select(*rows.columns, F.col("_found").alias(name))

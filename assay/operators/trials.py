@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.shared import table
 from . import ordered, pareto, search, stats
 
 LAYERS = ("distractor", "no_answer", "normal")
@@ -101,16 +102,20 @@ def question_faults(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     whole = {
         "bad_layer": ~F.coalesce(F.col("layer").isin(*LAYERS), F.lit(False)),
         "citations_not_empty": F.coalesce(none, F.lit(False)) & (n > 0), "citations_empty": ~F.coalesce(none, F.lit(False)) & (n == 0),
-        "copied_question": (norm(F.col("question")) != "") & F.contains(norm(F.col("evidence")), norm(F.col("question"))),
+        "copied_question": (F.col("_asked") != "") & F.contains("_text", "_asked"),
     }
-    shape = questions.select("qid", F.explode(F.array_compact(F.array(*[F.when(v, k) for k, v in whole.items()]))).alias("fault"))
-    twice = questions.groupBy("qid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("qid", F.explode(F.expr("array_repeat('duplicate_qid', int(_n - 1))")).alias("fault"))
-    cited = questions.select("qid", "evidence", F.posexplode("citations").alias("_i", "c")).select("qid", "_i", norm(F.col("evidence")).alias("_e"), F.col("c.standard").alias("standard"), norm(F.col("c.quote")).alias("_q"))
+    cites = F.transform("citations", lambda c: F.struct(c["standard"].alias("standard"), norm(c["quote"]).alias("_q"), F.contains(F.col("_text"), norm(c["quote"])).alias("_in")))
+    # evidence is read once; after that its digest stands for it
+    q = questions.withColumns({"_text": norm(F.col("evidence")), "_asked": norm(F.col("question"))})
+    q = table(q.select("qid", F.array_compact(F.array(*[F.when(v, k) for k, v in whole.items()])).alias("shape"), F.sha2("_text", 256).alias("_e"), cites.alias("cites")), "questions")
+    shape = q.select("qid", F.explode("shape").alias("fault"))
+    twice = q.groupBy("qid").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("qid", F.explode(F.expr("array_repeat('duplicate_qid', int(_n - 1))")).alias("fault"))
+    cited = q.select("qid", "_e", F.posexplode("cites").alias("_i", "c")).select("qid", "_i", "_e", "c.*")
     held = corpus.select(F.col("standard").alias("_s")).distinct().withColumn("_known", F.lit(1))
     met = search.quoted(cited, "standard", "_q", corpus, "body", "_there").join(held, F.col("standard") == F.col("_s"), "left")
-    met = met.groupBy("qid", "_i", "_e", "_q").agg(F.count("_known").alias("_known"), F.coalesce(F.bool_or("_there"), F.lit(False)).alias("_there"))
+    met = met.groupBy("qid", "_i", "_e", "_q", "_in").agg(F.count("_known").alias("_known"), F.coalesce(F.bool_or("_there"), F.lit(False)).alias("_there"))
     known = F.col("_known") > 0
-    faults = F.array_compact(F.array(F.when(~known, "unknown_standard"), F.when(known & ~F.col("_there"), "quote_not_in_corpus"), F.when(known & ~F.contains("_e", "_q"), "quote_not_in_evidence")))
+    faults = F.array_compact(F.array(F.when(~known, "unknown_standard"), F.when(known & ~F.col("_there"), "quote_not_in_corpus"), F.when(known & ~F.col("_in"), "quote_not_in_evidence")))
     return shape.unionByName(twice).unionByName(met.select("qid", F.explode(faults).alias("fault")))
 
 
