@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import small_batches, table
 from . import stats
 
 #: The verdict of a probe that agrees, and the share of over-corrections that is too much.
@@ -127,7 +128,8 @@ def run_arms(questions: DataFrame, answer: Callable[[str, str], str], probe: Cal
                     out.append((qid, None, False, None, False))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ARMS.split(", ")])
 
-    return questions.filter("qid is not null").select("qid", "question", "evidence").mapInPandas(run, ARMS)
+    with small_batches(questions.sparkSession):  # evidence is whole texts; written, as a call is dear
+        return table(questions.filter("qid is not null").select("qid", "question", "evidence").mapInPandas(run, ARMS), "arms")
 
 
 def run_stress(cases: DataFrame, first: Callable[[str], bool], second: Callable[[str], bool]) -> DataFrame:
