@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import gate, metrics, pareto, stats, trials, votes
 from .plans import views
-from .plans.shared import folder, table
+from .plans.shared import folder, small_batches, table
 from .plans.views import sql
 from .queries import BAD, BASE, HIT, PROBE, RATE, VOTED, _probe, _voted, query
 from .sources import files, remote, sheets
@@ -453,7 +453,8 @@ SELECT doc_id, reason, CASE WHEN reason IS NULL THEN 'VERIFIED' ELSE 'INDETERMIN
 def va5(s: SparkSession, d: str) -> DataFrame:
     """A check of whole texts that runs out of time on some and breaks on others."""
     found = _docs(s, d, "text").select(F.col("doc_id").alias("question_id"), F.pandas_udf(gate.fail_closed(_check), "array<string>")("text").alias("reasons"))
-    found = table(found, "checked")
+    with small_batches(s):
+        found = table(found, "checked")
     verdict = gate.decide(found, found.select("question_id", F.explode("reasons").alias("reason")))
     return found.join(verdict, "question_id").select(F.col("question_id").alias("doc_id"), F.get("reasons", F.lit(0)).alias("reason"), "verdict")
 
