@@ -16,10 +16,10 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import Memo, folder, in_frames, spread, table
+from .common import folder, in_frames, spread, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
@@ -42,8 +42,10 @@ PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 SIMPLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[!-/:-@\[-`{-~]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Texts whose ids are tallied together.
 TOGETHER = 256
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 3 << 16
+#: Pre-tokens whose ids a worker remembers, besides as many that it met before those; longer ones than LONGEST aren't kept.
+REMEMBERED, LONGEST = 1 << 18, 64
+#: Characters of the texts whose pre-tokens are looked up together (a longer text by itself), and pre-tokens the model gets at once.
+AT_ONCE, JOINED = 1 << 21, 256
 #: A byte-level vocabulary writes a byte as the character of that number if it can be seen, else as the next from U+0100.
 SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in SEEN)}
@@ -75,8 +77,57 @@ def split() -> re.Pattern:
     )
 
 
+class Pretokens:
+    """Pre-tokens and their ids as bytes, of a worker.
+
+    The model gets many new ones at once, joined by a byte that none of its merges has, so
+    that each is merged by itself.  Once as many as REMEMBERED are held they become the old
+    ones, of which those met again are taken over.
+    """
+
+    def __init__(self, own: Tokenizer) -> None:
+        self.tokenize, self.known, self.old = own.model.tokenize, {}, {}
+        self.seen = "".join(chr(VISIBLE.get(b, b)) for b in range(256))
+        merged = set("".join(token for token in own.get_vocab() if len(token) > 1))
+        apart = [b for b in VISIBLE if b < 128 and self.seen[b] not in merged and own.token_to_id(self.seen[b]) is not None]
+        self.between = chr(apart[0]) if apart else None
+        self.mark = own.token_to_id(self.seen[apart[0]]) if apart else None
+
+    def ids(self, text: str) -> np.ndarray:
+        pieces = self.tokenize(text.encode("utf-8").decode("latin-1").translate(self.seen))
+        return np.fromiter(map(attrgetter("id"), pieces), "<u4", len(pieces))
+
+    def learn(self, words: list[str]) -> None:
+        single = [w for w in words if self.between is None or self.between in w]
+        for word in single:
+            self.known[word] = self.ids(word).tobytes()
+        if single:
+            words = [w for w in words if w not in self.known]
+        for at in range(0, len(words), JOINED):
+            held = words[at : at + JOINED]
+            ids = self.ids(self.between.join(held))
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(held, [*(np.flatnonzero(ids == self.mark) * 4).tolist(), len(raw)], strict=True):
+                self.known[word] = raw[begin:end]
+                begin = end + 4
+
+    def encode(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pre-tokens."""
+        new = set().union(*lists).difference(self.known)
+        again = new.intersection(self.old)
+        self.known.update((word, self.old[word]) for word in again)
+        self.learn(list(new - again))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in lists]
+        for word in new:
+            if len(word) > LONGEST:
+                del self.known[word]
+        if len(self.known) >= REMEMBERED:
+            self.known, self.old = {}, self.known
+        return out
+
+
 @cache
-def tokenizer(path: str) -> tuple[Tokenizer, list[str], Memo]:
+def tokenizer(path: str) -> tuple[Tokenizer, list[str], Pretokens]:
     """The tokenizer, the texts of its added tokens, and the ids of pre-tokens so far.
 
     Only byte-level vocabularies that split by the public pattern are taken: pre-tokens are
@@ -87,27 +138,39 @@ def tokenizer(path: str) -> tuple[Tokenizer, list[str], Memo]:
     plain = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
     if own.normalizer is not None or not plain or own.post_processor is not None:
         raise ValueError(f"{path}: only byte-level vocabularies without normalizer, prefix space and post-processor")
-    pieces_of = own.model.tokenize
+    return own, [t.content for t in own.get_added_tokens_decoder().values()], Pretokens(own)
 
-    def encode(word: str) -> bytes:
-        # of the printable ASCII characters only the space has another one for it
-        seen = word.replace(" ", chr(VISIBLE[32])) if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(VISIBLE)
-        return array("I", [piece.id for piece in pieces_of(seen)]).tobytes()
 
-    return own, [t.content for t in own.get_added_tokens_decoder().values()], Memo(encode, REMEMBERED)
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    held: list[str] = []
+    total = 0
+    for text in texts:
+        if held and total + len(text) > AT_ONCE:
+            yield held
+            held, total = [], 0
+        held.append(text)
+        total += len(text)
+    if held:
+        yield held
 
 
-def encode(text: str, path: str) -> bytes:
-    """Ids of a text as little-endian 32-bit integers, as ``Tokenizer.encode`` gives them.
+def encode_all(texts: list[str], path: str) -> Iterator[bytes]:
+    """Ids of texts as little-endian 32-bit integers, as ``Tokenizer.encode`` gives them.
 
     Byte-level BPE treats each pre-token by itself, so the model is given pre-tokens, and
     each is remembered.  A text that holds an added token goes through the tokenizer whole.
     """
     own, added, known = tokenizer(path)
-    if any(a in text for a in added):
-        return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    cut = SIMPLE if PLAIN.fullmatch(text) else split()
-    return b"".join(map(known.__getitem__, cut.findall(text)))
+    for held in _together(texts):
+        whole = [any(a in text for a in added) for text in held]
+        lists = [[] if w else (SIMPLE if PLAIN.fullmatch(text) else split()).findall(text) for text, w in zip(held, whole, strict=True)]
+        for text, w, ids in zip(held, whole, known.encode(lists), strict=True):
+            yield np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if w else ids
+
+
+def encode(text: str, path: str) -> bytes:
+    """``encode_all`` of one text."""
+    return next(encode_all([text], path))
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -169,8 +232,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ids, n = [], []
-            for text in batch["text"]:
-                own = encode(text or "", file) + last
+            for own in encode_all([text or "" for text in batch["text"]], file):
+                own += last
                 n.append(len(own) // 4)
                 ids.append(squeeze(np.frombuffer(own, "<u4").astype("<u2").tobytes() if wide == 2 else own))
             yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "h": batch["h"], "n": n, "ids": ids})
