@@ -22,6 +22,18 @@ ARROW = {
 }
 
 
+#: Bytes of a batch that become Python objects at a time: whole texts take several times as much there.
+FRAME = 1 << 22
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about FRAME bytes at most (a larger row by itself), as views of the ones given."""
+    for batch in batches:
+        rows = max(1, FRAME * batch.num_rows // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_frames(rows: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """``mapInPandas`` that keeps every long as it is.
 
@@ -37,7 +49,7 @@ def in_frames(rows: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator
         return pd.DataFrame(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in work(map(frame, batches)):
+        for out in work(map(frame, slices(batches))):
             yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
     return rows.mapInArrow(run, schema)

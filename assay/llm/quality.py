@@ -17,12 +17,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD, in_frames
+from .common import WORD, in_frames, slices
 
 FOUND = re.compile(WORD)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Words that are sorted at a time (a longer document is sorted alone).
-BATCH_WORDS = 1 << 19
+#: Words that are sorted at a time (a longer document is sorted alone): some 20 arrays are as long.
+BATCH_WORDS = 1 << 16
 #: Repeats of so many words or more may cover this share of the characters; none may be longer than LONGEST words.
 LONG_WORDS, FRACTION, LONGEST = 10, 0.1, 60
 
@@ -201,7 +201,7 @@ def keep_good(docs: DataFrame, window: int = 5, long_words: int = LONG_WORDS, fr
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             frames = iter([pd.DataFrame({"text": batch.column(at).to_pandas()})])
             kept = [_measure([None] * len(rows), [t or "" for t in rows["text"]], lists, rules)["kept"] for rows, lists in _batches(frames)]
             if kept:
