@@ -56,6 +56,6 @@ def va6(s: SparkSession, d: str) -> DataFrame:
 @query("JN4_locator_evidence", FOUND + "SELECT question_id, k <> 1 AND there AS found FROM q WHERE k IN (0, 1, 2, 9, 10)")
 def jn4(s: SparkSession, d: str) -> DataFrame:
     c = gate.claims(gate.parse(views.answers(s, d))).filter("kept").select("question_id", F.explode("locators").alias("at"))
-    e = views.records(s, d).select(F.col("question_id").alias("q"), "standard", "paragraph")
+    e = views.addresses(s, d).withColumnRenamed("question_id", "q")
     m = c.join(e, (F.col("question_id") == F.col("q")) & (F.col("at.standard") == F.col("standard")) & (F.col("at.paragraph") == F.col("paragraph")), "left")
     return m.select("question_id", F.col("q").isNotNull().alias("found"))

@@ -21,6 +21,11 @@ def stripped(x: Column) -> Column:
     return F.regexp_replace(x, f"^(?:{SPACE})|(?:{SPACE})$", "")
 
 
+def addresses(rows: DataFrame, raw: str, default: Column | None = None) -> DataFrame:
+    """Standard and paragraph of each record in ``rows``, as ``records`` has them; no body is cut or held."""
+    return _each(rows, raw, F.transform(_heads(raw), lambda h: F.struct(h.alias("head"))), default)
+
+
 def records(rows: DataFrame, raw: str, default: Column | None = None) -> DataFrame:
     """``rows`` without ``raw``, one per header in it: standard, paragraph, body and content_sha256.
 
@@ -29,11 +34,19 @@ def records(rows: DataFrame, raw: str, default: Column | None = None) -> DataFra
     standard), else UNKNOWN, so no evidence is lost.  Null texts and texts without a header
     have no record.
     """
-    heads = F.regexp_extract_all(F.col(raw), F.lit(HEADER), F.lit(0))
     bodies = F.slice(F.split(F.col(raw), HEADER, -1), 2, 1_000_000)
+    out = _each(rows, raw, F.arrays_zip(_heads(raw).alias("head"), bodies.alias("body")), default, stripped(F.col("_r.body")).alias("body"))
+    return out.withColumn("content_sha256", F.sha2("body", 256))
+
+
+def _heads(raw: str) -> Column:
+    return F.regexp_extract_all(F.col(raw), F.lit(HEADER), F.lit(0))
+
+
+def _each(rows: DataFrame, raw: str, found: Column, default: Column | None, *more: Column) -> DataFrame:
+    """A row per header of ``found`` (array of struct(head, ...)): standard, paragraph and ``more``."""
     keep = [c for c in rows.columns if c != raw]
     other = standard_number(default) if default is not None else F.lit(None).cast("string")
-    found = rows.select(*keep, other.alias("_default"), F.explode(F.arrays_zip(heads.alias("head"), bodies.alias("body"))).alias("_r"))
+    each = rows.select(*keep, other.alias("_default"), F.explode(found).alias("_r"))
     own = F.nullif(F.regexp_extract("_r.head", HEADER, 1), F.lit(""))
-    out = found.select(*keep, F.coalesce(own, "_default", F.lit(UNKNOWN)).alias("standard"), F.regexp_extract("_r.head", HEADER, 2).alias("paragraph"), stripped(F.col("_r.body")).alias("body"))
-    return out.withColumn("content_sha256", F.sha2("body", 256))
+    return each.select(*keep, F.coalesce(own, "_default", F.lit(UNKNOWN)).alias("standard"), F.regexp_extract("_r.head", HEADER, 2).alias("paragraph"), *more)
