@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: Fixed value: the characters that ``SPACE`` meets, one by one.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: The word for paragraph, and the shape of a citation in text.
 PARAGRAPH = "문단"
 CITATION = r"([0-9]{3,4})\s*[^0-9\[\]]*?문단\s*([0-9]+[A-Za-z]?)\s*(?:[-–]\s*)?(?:\(([^)]{1,12})\))?"
@@ -49,8 +51,8 @@ def cited_object(standard: Column, paragraph: Column, subitem: Column) -> Column
 
 
 def strip(x: Column) -> Column:
-    """White space of any script gone from both ends."""
-    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """White space of any script gone from both ends; only they are looked at, where a pattern would try each space of the text."""
+    return F.trim(x, F.lit(BLANKS))
 
 
 def has_subitem(body: Column, sub: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE
+from ..functions.text import strip
 
 #: A header, ``[1002 name 문단 34]`` or ``[문단 34A]``, and the address of what has no standard.
 HEADER = r"\[\s*([0-9]{3,4})?\s*[^\]]*?문단\s*([0-9]+[A-Za-z]?)\s*\]"
@@ -17,10 +17,6 @@ def standard_number(name: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(name, F.lit("")), "[0-9]{3,4}", 0), F.lit(""))
 
 
-def stripped(x: Column) -> Column:
-    return F.regexp_replace(x, f"^(?:{SPACE})|(?:{SPACE})$", "")
-
-
 def addresses(rows: DataFrame, raw: str, default: Column | None = None) -> DataFrame:
     """Standard and paragraph of each record in ``rows``, as ``records`` has them; no body is cut or held."""
     return _each(rows, raw, F.transform(_heads(raw), lambda h: F.struct(h.alias("head"))), default)
@@ -35,7 +31,7 @@ def records(rows: DataFrame, raw: str, default: Column | None = None) -> DataFra
     have no record.
     """
     bodies = F.slice(F.split(F.col(raw), HEADER, -1), 2, 1_000_000)
-    out = _each(rows, raw, F.arrays_zip(_heads(raw).alias("head"), bodies.alias("body")), default, stripped(F.col("_r.body")).alias("body"))
+    out = _each(rows, raw, F.arrays_zip(_heads(raw).alias("head"), bodies.alias("body")), default, strip(F.col("_r.body")).alias("body"))
     return out.withColumn("content_sha256", F.sha2("body", 256))
 
 

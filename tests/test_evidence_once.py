@@ -1,8 +1,9 @@
-"""Evidence is read for what is asked: no body is cut for addresses."""
+"""Evidence is read for what is asked: no body is cut for addresses, no pattern goes over bodies for their ends."""
 
 from pyspark.sql import functions as F
 
 from assay import gate_queries
+from assay.functions import text
 from assay.plans import views
 from assay.sources import evidence
 
@@ -26,6 +27,20 @@ def test_the_locator_cuts_no_bodies(spark, sf):
     assert "split(" not in plan(gate_queries.jn4(spark, sf))
 
 
+def test_ends_of_bodies_are_trimmed_without_a_pattern(spark, sf):
+    held = plan(views.records(spark, sf).select("body"))
+    assert "regexp_replace(_r" not in held and "trim(_r" in held
+
+
+def test_the_characters_trimmed_are_those_of_the_pattern(spark):
+    code = spark.range(0x110000).filter("id not between 55296 and 57343")
+    c = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex("id"), 8, "0"))), "UTF-32")  # a byte order mark first: U+FEFF is a character too
+    x = code.select(c.alias("c")).select(F.explode(F.array("c", F.concat("c", F.lit(" a b"), "c", F.lit("\r\n"), "c"))).alias("x"))
+    by_pattern = F.regexp_replace("x", f"^(?:{text.SPACE})|(?:{text.SPACE})$", "")
+    assert x.filter(~text.strip(F.col("x")).eqNullSafe(by_pattern)).count() == 0
+    assert x.filter(text.strip(F.col("x")) == "").count() == len(text.BLANKS)
+
+
 def test_evidence_is_cleaned_as_by_a_class(spark, sf, tmp_path):
     texts = ["", "plain text, 1.", "é", "a\nb\r\n\U0001f600c", "\n", "tail é", "é é ", "$1 \\ [x]", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
