@@ -87,7 +87,15 @@ def is_plain(raw: Column) -> Column:
     texts, other keys, half surrogates.  The brackets make text after the object an error or
     a second element.
     """
-    whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    return _is_plain(raw, _bracketed(raw))
+
+
+def _bracketed(raw: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+
+
+def _is_plain(raw: Column, whole: Column) -> Column:
+    """``is_plain`` of a text and its JSON in brackets; as a column of its own that is parsed once."""
     one = F.try_variant_get(whole, "$[1]", "variant").isNull()
     return F.coalesce(one & F.schema_of_variant(F.try_variant_get(whole, "$[0]", "variant")).rlike(PLAIN) & ~raw.rlike(r"(?i)\\ud[89a-f]|\"\s*\{"), F.lit(False))
 
@@ -119,8 +127,8 @@ def parse(answers: DataFrame) -> DataFrame:
     the common shape are read natively, only the others by the exact reader.
     """
     # both steps are written: their filters would else repeat, for each row, all that the texts and reasons are made of
-    whole = answers.withColumn("_clean", text.unfence(F.coalesce("raw", F.lit(""))))
-    marked = table(whole.withColumn("_plain", is_plain(F.col("_clean"))), "answers")
+    whole = answers.withColumn("_clean", text.unfence(F.coalesce("raw", F.lit("")))).withColumn("_json", _bracketed(F.col("_clean")))
+    marked = table(whole.select(*answers.columns, "_clean", _is_plain(F.col("_clean"), F.col("_json")).alias("_plain")), "answers")
     native = marked.filter("_plain").withColumn("_p", _natively(F.col("_clean")))
     exact = marked.filter("not _plain").withColumn("_p", F.pandas_udf(_payload, PAYLOAD)("_clean"))
     a = native.unionByName(exact).select(*answers.columns, "_clean", "_p.*")
