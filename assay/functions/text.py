@@ -60,15 +60,23 @@ def has_subitem(body: Column, sub: Column) -> Column:
     body, s = collapse(body), collapse(sub)
     bare = F.regexp_replace(s, r"^[()]+|[()]+$", "")
     forms = (s, F.concat(F.lit("("), s, F.lit(")")), F.concat(s, F.lit(")")), F.concat(F.lit("("), bare, F.lit(")")), F.concat(bare, F.lit(")")))
-    named = F.lit(False)
-    for form in forms:
-        named = named | F.contains(body, form)
-    return named
+    def named(held: Column) -> Column:
+        out = F.lit(False)
+        for form in forms:
+            out = out | F.contains(held, form)
+        return out
+
+    return F.exists(F.array(body), named)  # else each form would collapse the body again
 
 
 def contains_quote(body: Column, quote: Column) -> Column:
-    q = collapse(quote)
-    return (q != "") & F.contains(collapse(body), q)
+    """Whether a body holds a quote; white space is collapsed in both.
+
+    A collapsed quote has single spaces only, inside it, so a body that holds it as it stands
+    holds it collapsed too: only other bodies are collapsed.
+    """
+    body, q = F.coalesce(body, F.lit("")), collapse(quote)
+    return (q != "") & (F.contains(body, q) | F.contains(collapse(body), q))
 
 
 def unfence(x: Column) -> Column:

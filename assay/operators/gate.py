@@ -173,9 +173,11 @@ def citation_reasons(checked: DataFrame, evidence: DataFrame, require_quote: boo
     m = each.join(e, (F.col("question_id") == F.col("_q")) & (F.col("at.standard") == F.col("_s")) & (F.col("at.paragraph") == F.col("_p")), "left")
     found = F.col("_q").isNotNull()
     sub = F.col("at.subitem").isNull() | text.has_subitem(F.col("body"), F.col("at.subitem"))
+    # as columns, since the sums would each search the body for the sub-item again
+    m = m.select("question_id", "idx", "claim_id", found.alias("found"), (found & sub).alias("sub"), (found & sub & text.contains_quote(F.col("body"), F.col("quote"))).alias("said"))
     g = m.groupBy("question_id", "idx", "claim_id").agg(
-        F.count(F.when(~found, 1)).alias("missing"), F.count(F.when(found & ~sub, 1)).alias("no_sub"),
-        F.coalesce(F.bool_or(found & sub & text.contains_quote(F.col("body"), F.col("quote"))), F.lit(False)).alias("quoted"),
+        F.count(F.when(~F.col("found"), 1)).alias("missing"), F.count(F.when(F.col("found") & ~F.col("sub"), 1)).alias("no_sub"),
+        F.coalesce(F.bool_or("said"), F.lit(False)).alias("quoted"),
     )
     again = lambda reason, n: F.array_repeat(F.lit(reason), F.col(n).cast("int"))
     unquoted = _reasons((~F.col("quoted") & F.lit(require_quote), "quote_not_in_source"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from assay import gate_queries
 from assay.functions import text
+from assay.operators import gate
 from assay.plans import views
 from assay.sources import evidence
 
@@ -49,3 +50,24 @@ def test_evidence_is_cleaned_as_by_a_class(spark, sf, tmp_path):
         d = views.read(spark, at, "documents").select(F.col("doc_id").alias("question_id"), F.regexp_replace("text", "[^A-Za-z0-9 .,]", " ").alias("want"))
         m = e.join(d, "question_id")
         assert m.count() == d.count() and m.filter("not body <=> want").count() == 0
+
+
+def test_a_body_is_collapsed_once_for_a_subitem(spark):
+    df = spark.createDataFrame([("an (  2 ) b", "(2"), ("an ( 2 ) b", " 2 "), ("(가)", "가"), (None, "1"), ("x", None)], "body string, sub string")
+    got = df.select(text.has_subitem(F.col("body"), F.col("sub")).alias("has"))
+    assert plan(got).count("regexp_replace(coalesce(body") == 1
+    assert [r["has"] for r in got.collect()] == [False, True, True, False, True]
+
+
+def test_quotes_are_found_as_in_collapsed_bodies(spark):
+    bodies = ["a  b", "a b", "a\u3000\n b", " xa b", "ab", "", None]
+    df = spark.createDataFrame([(b, q) for b in bodies for q in ("a b", " a\tb ", "b", " ", "", None)], "body string, quote string")
+    q = text.collapse(F.col("quote"))
+    got = df.select(text.contains_quote(F.col("body"), F.col("quote")).alias("got"), ((q != "") & F.contains(text.collapse(F.col("body")), q)).alias("want"))
+    assert got.filter("not got <=> want").count() == 0 and 0 < got.filter("got").count() < got.count()
+
+
+def test_sums_of_citations_search_no_body(spark, sf):
+    c = gate.claims(gate.parse(views.answers(spark, sf)))
+    sums = [x for x in plan(gate.citation_reasons(c, views.records(spark, sf))).splitlines() if "Aggregate [" in x]
+    assert sums and not any("regexp_replace" in x for x in sums)
