@@ -1,5 +1,7 @@
 """Evidence is read for what is asked: no body is cut for addresses, no pattern goes over bodies for their ends."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from assay import gate_queries
@@ -52,6 +54,11 @@ def test_evidence_is_cleaned_as_by_a_class(spark, sf, tmp_path):
         assert m.count() == d.count() and m.filter("not body <=> want").count() == 0
 
 
+def test_what_evidence_keeps_is_looked_up(spark, sf):
+    assert sorted(views.KEPT) == [c for c in map(chr, range(0x110000)) if re.fullmatch("[A-Za-z0-9 .,]", c)]
+    assert "A-Z" not in plan(views.evidence(spark, sf))
+
+
 def test_a_body_is_collapsed_once_for_a_subitem(spark):
     df = spark.createDataFrame([("an (  2 ) b", "(2"), ("an ( 2 ) b", " 2 "), ("(가)", "가"), (None, "1"), ("x", None)], "body string, sub string")
     got = df.select(text.has_subitem(F.col("body"), F.col("sub")).alias("has"))
